@@ -108,10 +108,13 @@ def _decide(candidates: DataFrame, block_size: int) -> DataFrame:
             F.min("_rank").alias("_first_rank"), F.count("*").alias("_n")
         ).filter(F.col("_n") > 1).drop("_n")
         waits = F.coalesce(F.col("_rank") > F.col("_first_rank"), F.lit(False))
-        open_rows = left.join(repeats, "booking_id", "left").withColumn("_waits", waits)
         place = F.row_number().over(Window.partitionBy("table_id", "_island").orderBy("_rank"))
-        block = islands(open_rows, ["table_id"]).withColumn("_place", place).filter(
-            F.col("_place") <= block_size
+        block = (
+            islands(left, ["table_id"])
+            .join(repeats, "booking_id", "left")
+            .withColumn("_waits", waits)
+            .withColumn("_place", place)
+            .filter(F.col("_place") <= block_size)
         )
         judged = cut_lineage(_verdicts(block))
         n_decided = judged.filter(F.col("_verdict") != WAIT).count()
@@ -149,8 +152,9 @@ def admit_slots(
     run ``audit_capacity`` on existing plus admitted slots.
     """
     rank = F.struct(*[F.col(c) for c in arrival], F.col("slot_id"))
-    placed = with_bounds(with_placement(candidates, bookings, tables)).withColumn("_rank", rank)
-    checked = with_stored_conflicts(placed, existing, bookings)
+    timed = with_bounds(candidates)
+    placed = with_placement(timed, bookings, tables).withColumn("_rank", rank)
+    checked = with_stored_conflicts(placed, timed, existing, bookings)
     first = _judge(checked, checked.columns, [
         *placement_rules(),
         table_overlap_rule(F.col("_overlaps") > 0),

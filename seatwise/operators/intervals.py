@@ -83,6 +83,7 @@ def overlap_sum(
     amount: Column | str,
     name: str,
     keys: Sequence[str] = (),
+    bounds_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add to each window the sum of ``amount`` over all intervals that overlap it.
 
@@ -91,11 +92,15 @@ def overlap_sum(
     each other, so the answer is (amount started before e) - (amount ended by s). The
     work is a few sorts of n + m rows, whatever the number of overlapping pairs. Equal
     windows are answered once and joined back. Empty windows and NULL keys get 0.
+
+    ``bounds_from`` may hold the same windows (keys, ``_s``, ``_e``) before other columns
+    were joined to them, so that those joins are not computed again for the bounds.
     """
     keys = list(keys)
     valid = F.col("_s") < F.col("_e")
     facts = intervals.filter(valid).select(*keys, "_s", "_e", col(amount).alias("_amount"))
-    spans = windows.filter(valid).select(*keys, "_s", "_e").distinct()
+    source = windows if bounds_from is None else bounds_from
+    spans = source.filter(valid).select(*keys, "_s", "_e").distinct()
     points = _edges(facts, keys, F.col("_amount")).unionByName(_edges(spans, keys, F.lit(0)))
     if keys:
         points, spans = points.dropna(subset=keys), spans.dropna(subset=keys)

@@ -141,16 +141,18 @@ def with_placement(candidates: DataFrame, bookings: DataFrame, tables: DataFrame
 
 
 def with_stored_conflicts(
-    placed: DataFrame, slots: DataFrame, bookings: DataFrame, update: bool = False
+    placed: DataFrame, candidates: DataFrame, slots: DataFrame, bookings: DataFrame,
+    update: bool = False,
 ) -> DataFrame:
     """Add ``_overlaps`` (stored slots blocking the table then) and ``_slots`` (stored slots
-    of the booking). With ``update`` a stored row of the same ``slot_id`` is left out.
+    of the booking). ``placed`` are the ``candidates`` with more columns. With ``update`` a
+    stored row of the same ``slot_id`` is left out.
 
     Overlaps are counted by running sums and slots by a grouped count: a busy table or a
     much-repeated booking makes no pairs.
     """
     stored = with_bounds(blocking_slots(slots, bookings))
-    df = overlap_sum(placed, stored, F.lit(1), "_overlaps", ["table_id"])
+    df = overlap_sum(placed, stored, F.lit(1), "_overlaps", ["table_id"], candidates)
     per_booking = slots.groupBy("booking_id").agg(F.count("*").alias("_slots"))
     df = df.join(per_booking, "booking_id", "left").withColumn(
         "_slots", F.coalesce("_slots", F.lit(0))
@@ -186,10 +188,12 @@ def check_slots(
     First failure wins: booking missing, table missing, party too big, table overlap,
     booking already has a slot, restaurant capacity exceeded.
     """
-    df = with_bounds(with_placement(candidates, bookings, tables))
-    df = with_stored_conflicts(df, slots, bookings, update)
+    timed = with_bounds(candidates)
+    df = with_stored_conflicts(
+        with_placement(timed, bookings, tables), timed, slots, bookings, update
+    )
     live = with_bounds(booked_slots(slots, bookings.filter(F.col("status").isin(RESERVED, OCCUPIED))))
-    df = overlap_sum(df, live, "party_size", "_people")
+    df = overlap_sum(df, live, "party_size", "_people", bounds_from=timed)
     people = F.col("_people") - F.col("_own_people") if update else F.col("_people")
     df = df.withColumn("_taken", people).withColumn(
         "_capacity", tables.agg(F.coalesce(F.sum("seats"), F.lit(0))).scalar()

@@ -168,6 +168,12 @@ ORACLES["kitchen_queue"] = _sql(
     "SELECT e.cook_id, l.order_id, l.line_no, d.name AS dish, d.prep_s, l.qty, l.requested FROM order_lines l "
     "JOIN dishes d USING (dish_id) JOIN specialties e USING (dish_id) WHERE l.status = 1",
     "order_lines", "dishes", "specialties")
+ORACLES["kitchen_panel"] = _sql(
+    f"SELECT l.order_id, l.line_no, d.name AS dish, {_LINE_LABEL} AS status, l.qty, c.name AS customer, o.table_id, "
+    "l.requested FROM order_lines l JOIN dishes d USING (dish_id) JOIN ords o USING (order_id) "
+    "JOIN users c ON c.user_id = o.customer_id WHERE l.status = 1 "
+    "AND EXISTS (SELECT 1 FROM specialties e WHERE e.dish_id = l.dish_id)",
+    "order_lines", "dishes", "ords", "users", "specialties")
 ORACLES["kitchen_load"] = _sql(
     "SELECT e.cook_id, count(*) AS waiting_lines, CAST(sum(l.qty) AS BIGINT) AS units, max(d.prep_s) AS longest_prep_s "
     "FROM order_lines l JOIN dishes d USING (dish_id) JOIN specialties e USING (dish_id) WHERE l.status = 1 "
@@ -222,6 +228,8 @@ def _lacks(user: str, role: str) -> str:
     return f"concat('user ', {user}, ' does not have role {role}')"
 
 
+ORACLES["has_role"] = _sql(
+    f"SELECT u.*, {_role('u.user_id', 'COOK')} AS is_cook FROM users u", "users", "user_roles")
 ORACLES["check_bookings"] = _sql(
     f"SELECT b.*, CASE WHEN NOT {_role('b.customer_id', 'CUSTOMER')} THEN 'not_customer' END AS rule, "
     f"CASE WHEN NOT {_role('b.customer_id', 'CUSTOMER')} THEN {_lacks('b.customer_id', 'CUSTOMER')} END AS message "
@@ -336,9 +344,12 @@ ORACLES["audit_overlap_counts"] = _sql(
     "WHERE a.status <> 4 AND b.status <> 4 GROUP BY ALL", "booked")
 ORACLES["audit_capacity"] = _sql(
     "SELECT a.slot_id, a.table_id, CAST(sum(b.party_size) AS BIGINT) AS people_booked, "
-    "(SELECT CAST(sum(seats) AS BIGINT) FROM dining_tables WHERE seats = 8) AS total_seats FROM booked a JOIN booked b "
+    "(SELECT CAST(sum(seats) // 5 AS BIGINT) FROM dining_tables) AS total_seats FROM booked a JOIN booked b "
     "ON a.start < b.finish AND b.start < a.finish WHERE a.status IN (1, 2) AND b.status IN (1, 2) GROUP BY 1, 2 "
-    "HAVING sum(b.party_size) > (SELECT sum(seats) FROM dining_tables WHERE seats = 8)", "booked", "dining_tables")
+    "HAVING sum(b.party_size) > (SELECT sum(seats) // 5 FROM dining_tables)", "booked", "dining_tables")
+ORACLES["audit_repeated_bookings"] = _sql(
+    "SELECT booking_id, count(*) AS n_slots FROM (SELECT booking_id FROM slots UNION ALL SELECT event_id * 2 FROM ev) "
+    "GROUP BY booking_id HAVING count(*) > 1", "slots")
 ORACLES["admit_slots"] = _sql(
     "WITH cand AS (SELECT b.*, t.seats, CAST(round(e.value * 100) AS BIGINT) AS arrived FROM booked b "
     "JOIN events e ON e.event_id = b.slot_id LEFT JOIN dining_tables t USING (table_id) WHERE b.status <> 2), "

@@ -54,7 +54,7 @@ def tables_with_bookings(tables: DataFrame, slots: DataFrame, bookings: DataFram
     rows = keep_all(tables.select("table_id", "seats"), taken, "table_id")
     return ordered(
         rows.select("table_id", "seats", "start", "end", "booking_id", "party_size"),
-        "table_id", "start",
+        "table_id", "start", "booking_id",
     )
 
 
@@ -187,7 +187,8 @@ def seated_customers(
     slots: DataFrame, bookings: DataFrame, users: DataFrame, at: datetime | str | None = None
 ) -> DataFrame:
     """Customers whose slot covers an instant, both ends included."""
-    return ordered(_seated(active_at(slots, instant(at)), bookings, users, []), "name", "table_id")
+    rows = _seated(active_at(slots, instant(at)), bookings, users, [])
+    return ordered(rows, "name", "table_id", "booking_id")
 
 
 def seated_customers_each(
@@ -195,7 +196,7 @@ def seated_customers_each(
 ) -> DataFrame:
     """The same for a table of instants ``at``."""
     rows = active_at_each(slots, instants.select("at"))
-    return ordered(_seated(rows, bookings, users, ["at"]), "at", "name", "table_id")
+    return ordered(_seated(rows, bookings, users, ["at"]), "at", "name", "table_id", "booking_id")
 
 
 def booking_order_history(

@@ -41,4 +41,4 @@ def cook_dishes(specialties: DataFrame, users: DataFrame, dishes: DataFrame) ->
     cooks = users.select(F.col("user_id").alias("cook_id"), F.col("name").alias("cook"))
     names = dishes.select("dish_id", F.col("name").alias("dish"))
     rows = specialties.join(cooks, "cook_id").join(names, "dish_id")
-    return ordered(rows.select("cook_id", "cook", "dish_id", "dish"), "cook", "dish")
+    return ordered(rows.select("cook_id", "cook", "dish_id", "dish"), "cook", "dish", "cook_id", "dish_id")

@@ -123,7 +123,32 @@ def kitchen_queue(
         rows.select(
             "cook_id", "order_id", *_line_key(lines), "dish", "prep_s", "qty", "requested"
         ),
-        "cook_id", "-prep_s", "requested",
+        "cook_id", "-prep_s", "requested", "order_id", *_line_key(lines),
+    )
+
+
+def kitchen_panel(
+    orders: DataFrame, lines: DataFrame, users: DataFrame, dishes: DataFrame,
+    specialties: DataFrame, cook_id: int | None = None,
+) -> DataFrame:
+    """Waiting lines that some cook (or one cook) can prepare, oldest first, with customer
+    and table. Each line once: the table is the order's own."""
+    if cook_id is not None:
+        specialties = specialties.filter(F.col("cook_id") == cook_id)
+    pending = lines.filter(F.col("status") == REQUESTED).join(
+        specialties.select("dish_id").distinct(), "dish_id", "left_semi"
+    )
+    heads = orders.join(_people(users, "customer_id", "customer"), "customer_id")
+    rows = _lines_with_dish(pending, dishes).join(
+        heads.select("order_id", "customer", "table_id"), "order_id"
+    )
+    return ordered(
+        rows.select(
+            "order_id", *_line_key(lines), "dish",
+            decode_status(F.col("status"), LINE_STATUS).alias("status"),
+            "qty", "customer", "table_id", "requested",
+        ),
+        "requested", "order_id", *_line_key(lines),
     )
 
 
@@ -164,7 +189,7 @@ def ready_lines(
         rows.select(
             "order_id", "table_id", "waiter", *_line_key(lines), "dish", "qty", "requested"
         ),
-        "table_id", "requested",
+        "table_id", "requested", "order_id", *_line_key(lines),
     )
 
 
@@ -173,7 +198,7 @@ def delivered_lines(orders: DataFrame, lines: DataFrame, dishes: DataFrame) -> D
     rows = _lines_with_dish(done, dishes).join(orders.select("order_id", "table_id"), "order_id")
     return ordered(
         rows.select(*_line_key(lines), "order_id", "table_id", "dish", "qty", "requested"),
-        "requested",
+        "requested", "order_id", *_line_key(lines),
     )
 
 

@@ -148,6 +148,13 @@ def kitchen_queue(m):
     return service.kitchen_queue(m.order_lines().drop("cook_id"), m.dishes(), m.specialties())
 
 
+@query
+def kitchen_panel(m):
+    return service.kitchen_panel(
+        m.orders(), m.order_lines().drop("cook_id"), m.users(), m.dishes(), m.specialties()
+    )
+
+
 @query
 def kitchen_load(m):
     return service.kitchen_load(m.order_lines(), m.dishes(), m.specialties())
@@ -234,6 +241,13 @@ def pseudonymise(m):
 # rules ---------------------------------------------------------------------------------
 
 
+@query
+def has_role(m):
+    return rules.with_role(
+        m.users(), "user_id", C.COOK.lower(), "is_cook", m.role_assignments(), m.roles()
+    )
+
+
 @query
 def check_bookings(m):
     return rules.check_bookings(m.bookings(), m.role_assignments(), m.roles())
@@ -316,9 +330,14 @@ def audit_overlap_counts(m):
 
 @query
 def audit_capacity(m):
-    return rules.audit_capacity(
-        m.slots(), m.bookings(), m.dining_tables().filter(F.col("seats") == 8)
-    )
+    """Capacity when only a fifth of the seats may be used."""
+    fifth = m.dining_tables().agg((F.sum("seats") / 5).cast("long")).scalar()
+    return rules.audit_capacity(m.slots(), m.bookings(), m.dining_tables(), fifth)
+
+
+@query
+def audit_repeated_bookings(m):
+    return rules.audit_repeated_bookings(m.slots().unionByName(m.proposed_slots()))
 
 
 @query

@@ -16,6 +16,7 @@ from seatwise.operators.keys import assign_ids, resolve_names
 class MappedModel:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._categories: DataFrame | None = None
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -142,8 +143,11 @@ class MappedModel:
 
     # menu ---------------------------------------------------------------------
     def categories(self) -> DataFrame:
-        names = self.source("part").select(F.col("p_type").alias("name")).distinct()
-        return assign_ids(names, "category_id", ["name"]).select("category_id", "name")
+        if self._categories is None:
+            names = self.source("part").select(F.col("p_type").alias("name")).distinct()
+            ids = assign_ids(names, "category_id", ["name"])
+            self._categories = ids.select("category_id", "name")
+        return self._categories
 
     def dishes(self) -> DataFrame:
         """Dishes without ``category_id``; ``category`` is still a name here."""
