@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +21,13 @@ DEFAULTS = {
 MONTH = "slot_month"
 
 
-def load_model(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Typed lazy scans of the 12 tables under ``folder``/<table>."""
+def load_model(
+    spark: SparkSession, folder: str, tables: Iterable[str] = TABLES
+) -> dict[str, DataFrame]:
+    """Typed lazy scans of the model tables (all 12 by default) under ``folder``/<table>."""
     return {
-        name: spark.read.schema(schema).parquet(f"{folder.rstrip('/')}/{name}")
-        for name, schema in TABLES.items()
+        name: spark.read.schema(TABLES[name]).parquet(f"{folder.rstrip('/')}/{name}")
+        for name in tables
     }
 
 

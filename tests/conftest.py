@@ -26,7 +26,12 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def seed(spark):
+def seed(spark, tmp_path_factory):
+    """The seed rows, written as parquet and read back through the typed scan."""
+    from seatwise.sources.tables import load_model
     from tests.seed import seed_model
 
-    return seed_model(spark)
+    folder = str(tmp_path_factory.mktemp("seed"))
+    for name, df in seed_model(spark).items():
+        df.coalesce(1).write.parquet(f"{folder}/{name}")
+    return load_model(spark, folder)
