@@ -11,7 +11,7 @@ from seatwise.functions import columns as C
 from seatwise.operators import admission, changes, intervals, joins, keys, rules
 from seatwise.oracle import ORACLES
 from seatwise.plans import floor, people, service
-from seatwise.sources.mapped import MappedModel
+from seatwise.sources.mapped import SOURCES, MappedModel
 from seatwise.sources.schemas import FOREIGN_KEYS, ForeignKey
 from seatwise.sources.tables import read_slots_between, write_slots_by_month
 from seatwise.streaming import live
@@ -424,7 +424,7 @@ def slots_by_month_pruned(m):
 
 
 def _stream(m: MappedModel, name: str) -> DataFrame:
-    return live.file_stream(m.spark, m.folder, f"{name}.parquet")
+    return live.file_stream(m.spark, m.folder, f"{name}.parquet", SOURCES[name])
 
 
 def _streamed(m: MappedModel, **tables: DataFrame) -> MappedModel:

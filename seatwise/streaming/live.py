@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from seatwise.functions.columns import (
     DELIVERED, PREPARED, line_amount, ready_text, slot_end, wall_clock_as_utc,
@@ -17,10 +18,11 @@ from seatwise.functions.columns import (
 from seatwise.plans.floor import instant, table_board, upcoming_bookings
 
 
-def file_stream(spark: SparkSession, folder: str, file_name: str, **options: str) -> DataFrame:
-    """Stream of parquet files of one name pattern, with the schema of those files."""
-    schema = spark.read.option("pathGlobFilter", file_name).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_name)
+def file_stream(
+    spark: SparkSession, folder: str, pattern: str, schema: StructType | str, **options: str
+) -> DataFrame:
+    """Stream of the parquet files in ``folder`` whose names match ``pattern``."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     return reader.options(**options).parquet(folder)
 
 

@@ -103,7 +103,7 @@ def test_closed_days_equal_batch(spark, seed, tmp_path):
         (1 + F.col("id") % 3).cast("int").alias("status"), F.lit(2).alias("qty"),
         (F.lit(str(at("00:00", 1))).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("id") * 3).cast("int"))).alias("requested"))
     feed(lines, source, "lines")
-    stream = live.file_stream(spark, f"{source}/lines", "*.parquet")
+    stream = live.file_stream(spark, f"{source}/lines", "*.parquet", lines.schema)
     live.stream_daily_sales(stream, seed["dishes"], out).awaitTermination()
     got = as_set(live.read_rows(spark, out), "day", "total_sales")
     batch = as_set(service.sales_by_period(lines, seed["dishes"], "day"), "day", "total_sales")
