@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 # Status codes and role names of the data model.
 BOOKING_STATUS = {1: "reserved", 2: "occupied", 3: "released", 4: "cancelled"}
 LINE_STATUS = {1: "requested", 2: "prepared", 3: "delivered"}
+AVAILABILITY = ("AVAILABLE", "NOT AVAILABLE")
+TABLE_STATE = ("Occupied", "Reserved", "Free")
+# The same labels in Spanish.
+BOOKING_STATUS_ES = {1: "reservada", 2: "ocupada", 3: "liberada", 4: "cancelada"}
+LINE_STATUS_ES = {1: "solicitado", 2: "preparado", 3: "entregado"}
+AVAILABILITY_ES = ("DISPONIBLE", "NO DISPONIBLE")
+TABLE_STATE_ES = ("Ocupada", "Reservada", "Libre")
 RESERVED, OCCUPIED, RELEASED, CANCELLED = 1, 2, 3, 4
 REQUESTED, PREPARED, DELIVERED = 1, 2, 3
 ADMIN, MAITRE, WAITER, COOK, CUSTOMER = "ADMIN", "MAITRE", "WAITER", "COOK", "CUSTOMER"

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatwise.functions.columns import CANCELLED, overlaps
-from seatwise.operators.intervals import BUCKET_US, _in_buckets, islands, with_bounds
+from seatwise.operators.intervals import BUCKET_US, in_buckets, islands, with_bounds
 from seatwise.operators.rules import (
     _judge, booking_has_slot_rule, placement_rules, table_overlap_rule, with_placement,
     with_stored_conflicts,
@@ -77,10 +77,10 @@ def _overlapped(rest: DataFrame, admitted: DataFrame) -> DataFrame:
 
     Admitted slots of a table never overlap each other, so few of them share a bucket.
     """
-    a = _in_buckets(rest, F.col("_s"), F.col("_e") - 1, BUCKET_US, "_first").select(
+    a = in_buckets(rest, F.col("_s"), F.col("_e") - 1, BUCKET_US, "_first").select(
         "table_id", "_bucket", "slot_id", "_rank", "_s", "_e"
     )
-    b = _in_buckets(
+    b = in_buckets(
         admitted.filter("_blocks"), F.col("_s"), F.col("_e") - 1, BUCKET_US, "_first"
     ).select(
         "table_id", "_bucket", F.col("_rank").alias("_rank_2"),

@@ -24,14 +24,14 @@ def with_bounds(df: DataFrame, start: str = "start", duration: str = "duration_s
     )
 
 
-def _bucket(at: Column, width: int) -> Column:
+def bucket(at: Column, width: int) -> Column:
     return F.floor(at / F.lit(width)).cast("long")
 
 
-def _in_buckets(df: DataFrame, low: Column, high: Column, width: int, first: str) -> DataFrame:
+def in_buckets(df: DataFrame, low: Column, high: Column, width: int, first: str) -> DataFrame:
     """One copy per time bucket that [low, high] touches, and the first bucket in ``first``."""
-    return df.withColumn(first, _bucket(low, width)).withColumn(
-        "_bucket", F.explode(F.sequence(F.col(first), _bucket(high, width)))
+    return df.withColumn(first, bucket(low, width)).withColumn(
+        "_bucket", F.explode(F.sequence(F.col(first), bucket(high, width)))
     )
 
 
@@ -52,10 +52,10 @@ def overlap_join(
     """
     keys = list(keys)
     valid = F.col("_s") < F.col("_e")
-    a = _in_buckets(left.filter(valid), F.col("_s"), F.col("_e") - 1, bucket_us, "_first")
+    a = in_buckets(left.filter(valid), F.col("_s"), F.col("_e") - 1, bucket_us, "_first")
     renamed = {c: f"{c}_2" for c in right.columns if c in left.columns and c not in keys}
     renamed.update({"_first": "_first_2"})
-    b = _in_buckets(right.filter(valid), F.col("_s"), F.col("_e") - 1, bucket_us, "_first")
+    b = in_buckets(right.filter(valid), F.col("_s"), F.col("_e") - 1, bucket_us, "_first")
     b = b.withColumnsRenamed(renamed)
     pairs = a.join(b, [*keys, "_bucket"]).filter(
         overlaps(F.col("_s"), F.col("_e"), F.col("_s_2"), F.col("_e_2"))
@@ -100,10 +100,11 @@ def overlap_sum(
     valid = F.col("_s") < F.col("_e")
     facts = intervals.filter(valid).select(*keys, "_s", "_e", col(amount).alias("_amount"))
     source = windows if bounds_from is None else bounds_from
-    spans = source.filter(valid).select(*keys, "_s", "_e").distinct()
+    spans = source.filter(valid).select(*keys, "_s", "_e")
+    for k in keys:
+        spans = spans.filter(F.col(k).isNotNull())
+    spans = spans.distinct()
     points = _edges(facts, keys, F.col("_amount")).unionByName(_edges(spans, keys, F.lit(0)))
-    if keys:
-        points, spans = points.dropna(subset=keys), spans.dropna(subset=keys)
     sums = running(points, "_at", {"_started": "sum", "_ended": "sum"}, keys).select(
         *keys, "_at", "_started_before", (F.col("_ended") + F.col("_ended_before")).alias("_gone")
     )
@@ -129,12 +130,12 @@ def active_at(slots: DataFrame, at: Column) -> DataFrame:
 
 def active_at_each(slots: DataFrame, instants: DataFrame, at: str = "at") -> DataFrame:
     """(instant, slot) rows for a table of instants: bucketed equi-join, then the closed test."""
-    spread = _in_buckets(
+    spread = in_buckets(
         with_bounds(slots).filter(F.col("_s") <= F.col("_e")),
         F.col("_s"), F.col("_e"), BUCKET_US, "_first",
     )
     ticks = instants.withColumn("_t", epoch_us(at)).withColumn(
-        "_bucket", _bucket(F.col("_t"), BUCKET_US)
+        "_bucket", bucket(F.col("_t"), BUCKET_US)
     )
     return (
         spread.join(ticks, "_bucket")
@@ -149,10 +150,10 @@ def starting_within(
     """(reference time, slot) rows where the slot starts in [at, at + horizon], both closed."""
     width = max(1, horizon_s) * 1_000_000
     starts = slots.withColumn("_s", epoch_us("start")).withColumn(
-        "_bucket", _bucket(F.col("_s"), width)
+        "_bucket", bucket(F.col("_s"), width)
     )
     ticks = refs.withColumn("_t", epoch_us(at))
-    ticks = _in_buckets(ticks, F.col("_t"), F.col("_t") + horizon_s * 1_000_000, width, "_first")
+    ticks = in_buckets(ticks, F.col("_t"), F.col("_t") + horizon_s * 1_000_000, width, "_first")
     return (
         starts.join(ticks, "_bucket")
         .filter(F.col("_s").between(F.col("_t"), F.col("_t") + horizon_s * 1_000_000))

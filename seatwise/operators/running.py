@@ -24,7 +24,7 @@ def running(
 ) -> DataFrame:
     """For each distinct (keys, at) and each column c of ``folds`` (name -> ``sum`` or
     ``max``): c folded over that instant, and ``c_before`` folded over everything earlier
-    of the same key. ``at`` is in microseconds.
+    of the same key. ``at`` is in microseconds. Rows without key or instant are left out.
 
     Rows of one instant are folded first, with map-side combine. One window then runs
     inside each ~34 s bucket and one over the bucket totals of each key. However many
@@ -42,9 +42,12 @@ def running(
         return [_FOLD[kind](c).over(frame).alias(f"{c}_before") for c, kind in folds.items()]
 
     totals = [_FOLD[kind](c).alias(c) for c, kind in folds.items()]
-    instants = (
-        points.withColumn("_b", F.shiftright(at, _BITS)).groupBy(*keys, "_b", at).agg(*totals)
-    )
+    # The join below would add these NULL filters to one of its sides only; stated here,
+    # both uses of ``instants`` keep the same plan and share one shuffle.
+    known = points.withColumn("_b", F.shiftright(at, _BITS))
+    for c in [*keys, "_b"]:
+        known = known.filter(F.col(c).isNotNull())
+    instants = known.groupBy(*keys, "_b", at).agg(*totals)
     buckets = instants.groupBy(*keys, "_b").agg(*totals).select(*keys, "_b", *earlier(keys, "_b"))
     buckets = buckets.withColumnsRenamed({f"{c}_before": f"_{c}_base" for c in folds})
     inside = instants.select(*keys, "_b", at, *folds, *earlier([*keys, "_b"], at))

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seatwise.functions.columns import (
+    AVAILABILITY,
     BOOKING_STATUS,
     OCCUPIED,
     RESERVED,
+    TABLE_STATE,
     decode_status,
     epoch_us,
     period,
@@ -18,10 +20,10 @@ from seatwise.functions.columns import (
 )
 from seatwise.operators.intervals import (
     BUCKET_US,
-    _bucket,
-    _in_buckets,
     active_at,
     active_at_each,
+    bucket,
+    in_buckets,
     overlap_sum,
     starting_within,
     with_bounds,
@@ -63,13 +65,16 @@ def _bookings_named(bookings: DataFrame, users: DataFrame) -> DataFrame:
     return bookings.join(names, "customer_id")
 
 
-def booking_list(bookings: DataFrame, users: DataFrame, slots: DataFrame) -> DataFrame:
+def booking_list(
+    bookings: DataFrame, users: DataFrame, slots: DataFrame,
+    labels: dict[int, str] = BOOKING_STATUS,
+) -> DataFrame:
     """All bookings with customer, status label and slot, if they have one."""
     rows = _bookings_named(bookings, users).join(slots, "booking_id", "left")
     return ordered(
         rows.select(
             "booking_id", "customer", "party_size",
-            decode_status("status", BOOKING_STATUS).alias("status"),
+            decode_status("status", labels).alias("status"),
             "table_id", "start", "duration_s", _end(),
         ),
         "start", "booking_id",
@@ -77,7 +82,8 @@ def booking_list(bookings: DataFrame, users: DataFrame, slots: DataFrame) -> Dat
 
 
 def customer_bookings(
-    bookings: DataFrame, users: DataFrame, slots: DataFrame, customer_id: int | None = None
+    bookings: DataFrame, users: DataFrame, slots: DataFrame, customer_id: int | None = None,
+    labels: dict[int, str] = BOOKING_STATUS,
 ) -> DataFrame:
     """Booking history of one customer, or of all."""
     if customer_id is not None:
@@ -86,20 +92,23 @@ def customer_bookings(
     return ordered(
         rows.select(
             "customer_id", "customer", "booking_id", "party_size",
-            decode_status("status", BOOKING_STATUS).alias("status"), "table_id", "start",
+            decode_status("status", labels).alias("status"), "table_id", "start",
         ),
         "customer_id", "start", "booking_id",
     )
 
 
-def table_availability(requests: DataFrame, slots: DataFrame, bookings: DataFrame) -> DataFrame:
+def table_availability(
+    requests: DataFrame, slots: DataFrame, bookings: DataFrame,
+    labels: tuple[str, str] = AVAILABILITY,
+) -> DataFrame:
     """Is the table of each request free for its whole window?
 
     Requests: ``table_id``, ``start``, ``duration_s`` and any other columns.
     """
     taken = with_bounds(blocking_slots(slots, bookings))
     counted = overlap_sum(with_bounds(requests), taken, F.lit(1), "_taken", ["table_id"])
-    answer = F.when(F.col("_taken") > 0, "NOT AVAILABLE").otherwise("AVAILABLE")
+    answer = F.when(F.col("_taken") > 0, labels[1]).otherwise(labels[0])
     return counted.select(*requests.columns, _end(), answer.alias("availability"))
 
 
@@ -153,6 +162,7 @@ def bookings_by_period(slots: DataFrame, bookings: DataFrame, unit: str) -> Data
 def table_board(
     tables: DataFrame, slots: DataFrame, bookings: DataFrame, users: DataFrame,
     orders: DataFrame, at: datetime | str | None = None,
+    labels: tuple[str, str, str] = TABLE_STATE,
 ) -> DataFrame:
     """State of every table at an instant: Occupied if the customer seated there ordered
     on that day, else Reserved if a slot covers the instant, else Free.
@@ -171,7 +181,7 @@ def table_board(
     rows = seated.join(names, "customer_id", "left").join(ordering, "customer_id", "left")
     board = keep_all(tables.select("table_id", "seats"), rows, "table_id")
     state = (
-        F.when(F.col("_orders") > 0, "Occupied").when(F.col("_booked"), "Reserved").otherwise("Free")
+        F.when(F.col("_orders") > 0, labels[0]).when(F.col("_booked"), labels[1]).otherwise(labels[2])
     )
     return ordered(
         board.select("table_id", "seats", state.alias("state"), "customer"), "table_id", "customer"
@@ -212,12 +222,12 @@ def booking_order_history(
     base = with_bounds(base).select(
         "booking_id", "customer_id", "customer", "status", "table_id", "_s", "_e"
     )
-    timed = _in_buckets(
+    timed = in_buckets(
         base.filter(F.col("_s") <= F.col("_e")), F.col("_s"), F.col("_e"), BUCKET_US, "_first"
     )
     placed = orders.select(
         "customer_id", "table_id", "order_id", "placed", epoch_us("placed").alias("_t")
-    ).withColumn("_bucket", _bucket(F.col("_t"), BUCKET_US))
+    ).withColumn("_bucket", bucket(F.col("_t"), BUCKET_US))
     matched = timed.join(placed, ["customer_id", "table_id", "_bucket"]).filter(
         F.col("_t").between(F.col("_s"), F.col("_e"))
     )

@@ -68,7 +68,8 @@ def _line_key(lines: DataFrame) -> list[str]:
 
 
 def order_detail(
-    orders: DataFrame, lines: DataFrame, users: DataFrame, dishes: DataFrame
+    orders: DataFrame, lines: DataFrame, users: DataFrame, dishes: DataFrame,
+    labels: dict[int, str] = LINE_STATUS,
 ) -> DataFrame:
     """Every order line with customer, waiter, dish and status label.
 
@@ -81,7 +82,7 @@ def order_detail(
     return ordered(
         rows.select(
             "order_id", "customer", "waiter", "table_id", *_line_key(lines), "dish", "qty",
-            decode_status(F.col("status"), LINE_STATUS).alias("status"), "requested",
+            decode_status("status", labels).alias("status"), "requested",
         ),
         "order_id", *_line_key(lines),
     )
@@ -89,7 +90,7 @@ def order_detail(
 
 def customer_orders(
     orders: DataFrame, lines: DataFrame, users: DataFrame, dishes: DataFrame,
-    customer_id: int | None = None,
+    customer_id: int | None = None, labels: dict[int, str] = LINE_STATUS,
 ) -> DataFrame:
     """Order lines of one customer, or of all."""
     if customer_id is not None:
@@ -101,7 +102,7 @@ def customer_orders(
     return ordered(
         rows.select(
             "customer_id", "customer", "order_id", "table_id", *_line_key(lines), "dish", "qty",
-            decode_status(F.col("status"), LINE_STATUS).alias("status"), "requested",
+            decode_status("status", labels).alias("status"), "requested",
         ),
         "customer_id", "order_id", *_line_key(lines),
     )
@@ -129,7 +130,7 @@ def kitchen_queue(
 
 def kitchen_panel(
     orders: DataFrame, lines: DataFrame, users: DataFrame, dishes: DataFrame,
-    specialties: DataFrame, cook_id: int | None = None,
+    specialties: DataFrame, cook_id: int | None = None, labels: dict[int, str] = LINE_STATUS,
 ) -> DataFrame:
     """Waiting lines that some cook (or one cook) can prepare, oldest first, with customer
     and table. Each line once: the table is the order's own."""
@@ -145,7 +146,7 @@ def kitchen_panel(
     return ordered(
         rows.select(
             "order_id", *_line_key(lines), "dish",
-            decode_status(F.col("status"), LINE_STATUS).alias("status"),
+            decode_status("status", labels).alias("status"),
             "qty", "customer", "table_id", "requested",
         ),
         "requested", "order_id", *_line_key(lines),
@@ -234,6 +235,7 @@ def daily_kpis(lines: DataFrame, dishes: DataFrame, day: str | None = None) -> D
 
     An order belongs to the day of its first line. The star dish breaks ties by name.
     """
+    lines = lines.filter(F.col("order_id").isNotNull())
     placed = lines.groupBy("order_id").agg(F.min("requested").cast("date").alias("day"))
     if day is not None:
         placed = placed.filter(F.col("day") == F.lit(day).cast("date"))

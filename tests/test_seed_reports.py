@@ -40,6 +40,17 @@ def test_booking_list_puts_bookings_without_slot_last(seed):
     assert listed[-1] == (10, "Person 26", 3, "cancelled", None, None, None, None)
 
 
+def test_spanish_labels(spark, seed):
+    args = seed["bookings"], seed["users"], seed["slots"]
+    assert rows(floor.booking_list(*args, C.BOOKING_STATUS_ES))[-1][3] == "cancelada"
+    asked = requests(spark, (4, at("13:30"), 7200))
+    found = floor.table_availability(asked, seed["slots"], seed["bookings"], C.AVAILABILITY_ES)
+    assert found.first()["availability"] == "NO DISPONIBLE"
+    detail = service.order_detail(
+        seed["orders"], seed["order_lines"], seed["users"], seed["dishes"], C.LINE_STATUS_ES)
+    assert {r["status"] for r in detail.collect()} == {"solicitado", "preparado", "entregado"}
+
+
 def test_customer_history(seed):
     assert rows(floor.customer_bookings(seed["bookings"], seed["users"], seed["slots"], 17)) == [
         (17, "Person 17", 1, 2, "occupied", 1, at("11:30"))
