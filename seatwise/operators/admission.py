@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seatwise.functions.columns import CANCELLED, overlaps
+from seatwise.functions.columns import CANCELLED, MAX_DURATION_S, overlaps
 from seatwise.operators.intervals import BUCKET_US, in_buckets, islands, with_bounds
 from seatwise.operators.rules import (
     _judge, booking_has_slot_rule, placement_rules, table_overlap_rule, with_placement,
@@ -95,14 +95,10 @@ def _overlapped(rest: DataFrame, admitted: DataFrame) -> DataFrame:
 
 
 def _decide(candidates: DataFrame, block_size: int) -> DataFrame:
-    """Admitted rows of ``candidates`` (unique ``slot_id`` and ``_rank``)."""
-    spark = candidates.sparkSession
-    left, n_left = cut_lineage(candidates), None
-    admitted: list[DataFrame] = []
-    while True:
-        n_left = left.count()
-        if n_left == 0:
-            break
+    """Admitted rows of ``candidates`` (checkpointed; unique ``slot_id`` and ``_rank``)."""
+    left, n_left = candidates, candidates.count()
+    admitted = [candidates.limit(0)]
+    while n_left:
         # Bookings are checked for repeats among open rows only; usually there are none.
         repeats = left.groupBy("booking_id").agg(
             F.min("_rank").alias("_first_rank"), F.count("*").alias("_n")
@@ -122,13 +118,13 @@ def _decide(candidates: DataFrame, block_size: int) -> DataFrame:
         admitted.append(new)
         if n_decided == n_left:
             break
+        # Only now the next round is prepared; usually there is none.
         decided = judged.filter(F.col("_verdict") != WAIT).select("slot_id")
         rest = left.join(decided, "slot_id", "left_anti")
         used = new.groupBy("booking_id").agg(F.min("_rank").alias("_used_rank"))
         rest = rest.join(used.select("booking_id"), "booking_id", "left_anti")
         left = cut_lineage(rest.join(_overlapped(rest, new), "slot_id", "left_anti"))
-    if not admitted:
-        return spark.createDataFrame([], candidates.schema)
+        n_left = left.count()
     return reduce(lambda a, b: a.unionByName(b), admitted)
 
 
@@ -145,8 +141,8 @@ def admit_slots(
     Rules: booking and table exist, the party fits, no overlap on the table with a stored
     or earlier admitted slot, one slot per booking. A cancelled candidate is judged but,
     once stored, blocks no table; it still uses up its booking. ``slot_id`` must be unique
-    among the candidates; it also breaks ties of ``arrival``. Durations must have passed
-    ``check_columns``.
+    among the candidates; it also breaks ties of ``arrival``. A row without start or with a
+    duration outside (0, 2 h] is never admitted; the other rules are reported before that.
 
     Restaurant capacity depends on all tables at once and is not part of the sequence:
     run ``audit_capacity`` on existing plus admitted slots.
@@ -161,21 +157,25 @@ def admit_slots(
         booking_has_slot_rule(F.col("_slots") > 0),
     ])
     first = cut_lineage(first)
-    contest = first.filter(F.col("rule").isNull()).select(
+    valid = F.coalesce(F.col("duration_s").between(1, MAX_DURATION_S), F.lit(False)) & F.col(
+        "_s"
+    ).isNotNull()
+    contest = first.filter(F.col("rule").isNull() & valid).select(
         "slot_id", "table_id", "booking_id", "_s", "_e", "_rank",
         (F.col("status") != CANCELLED).alias("_blocks"),
     )
-    admitted = cut_lineage(_decide(contest, block_size))
-    # A row refused in the batch may also overlap an earlier admitted one; that rule is first.
+    admitted = _decide(contest, block_size)
+    # Which rule stopped a row depends on what was admitted before it; overlap comes first.
     open_to_batch = first.filter(F.col("rule").isNull() | (F.col("rule") == "booking_has_slot"))
     losers = open_to_batch.join(admitted.select("slot_id"), "slot_id", "left_anti")
     hits = _overlapped(losers, admitted).withColumn("_hit", F.lit(True))
-    wins = admitted.select("slot_id", F.lit(True).alias("_won"))
-    final = first.withColumnRenamed("rule", "_rule").drop("message")
-    final = final.join(hits, "slot_id", "left").join(wins, "slot_id", "left")
-    lost = F.col("_rule").isNull() & F.col("_won").isNull()
+    used = admitted.groupBy("booking_id").agg(F.min("_rank").alias("_used_rank"))
+    final = first.drop("rule", "message").join(hits, "slot_id", "left").join(
+        used, "booking_id", "left"
+    )
     return _judge(final, candidates.columns, [
         *placement_rules(),
         table_overlap_rule((F.col("_overlaps") > 0) | F.col("_hit")),
-        booking_has_slot_rule((F.col("_slots") > 0) | lost),
+        booking_has_slot_rule((F.col("_slots") > 0) | (F.col("_used_rank") < F.col("_rank"))),
+        ("slot_invalid", ~valid, F.lit("start is required; duration must be positive and at most 2 hours")),
     ])

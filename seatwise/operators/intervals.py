@@ -123,9 +123,18 @@ def overlap_sum(
     return joined.select(*windows.columns, F.coalesce(F.col(name), F.lit(0)).alias(name))
 
 
-def active_at(slots: DataFrame, at: Column) -> DataFrame:
-    """Slots whose closed interval contains one instant."""
-    return slots.filter(at.between(F.col("start"), slot_end("start", "duration_s")))
+def active_at(slots: DataFrame, at: Column, longest_s: int | None = None) -> DataFrame:
+    """Slots whose closed interval contains one instant.
+
+    ``longest_s``, the longest duration that can be stored, bounds ``start`` on both sides,
+    so that a scan can skip files and row groups.
+    """
+    found = slots.filter(
+        (F.col("start") <= at) & at.between(F.col("start"), slot_end("start", "duration_s"))
+    )
+    if longest_s is not None:
+        found = found.filter(F.col("start") >= slot_end(at, F.lit(-longest_s)))
+    return found
 
 
 def active_at_each(slots: DataFrame, instants: DataFrame, at: str = "at") -> DataFrame:

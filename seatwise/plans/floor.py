@@ -162,7 +162,7 @@ def bookings_by_period(slots: DataFrame, bookings: DataFrame, unit: str) -> Data
 def table_board(
     tables: DataFrame, slots: DataFrame, bookings: DataFrame, users: DataFrame,
     orders: DataFrame, at: datetime | str | None = None,
-    labels: tuple[str, str, str] = TABLE_STATE,
+    labels: tuple[str, str, str] = TABLE_STATE, longest_s: int | None = None,
 ) -> DataFrame:
     """State of every table at an instant: Occupied if the customer seated there ordered
     on that day, else Reserved if a slot covers the instant, else Free.
@@ -170,7 +170,7 @@ def table_board(
     ``orders`` need ``customer_id`` and ``placed``.
     """
     now = instant(at)
-    seated = active_at(slots, now).join(bookings, "booking_id", "left").select(
+    seated = active_at(slots, now, longest_s).join(bookings, "booking_id", "left").select(
         "table_id", "customer_id", F.col("status").isNotNull().alias("_booked")
     )
     names = users.select(F.col("user_id").alias("customer_id"), F.col("name").alias("customer"))
@@ -194,10 +194,11 @@ def _seated(rows: DataFrame, bookings: DataFrame, users: DataFrame, extra: list[
 
 
 def seated_customers(
-    slots: DataFrame, bookings: DataFrame, users: DataFrame, at: datetime | str | None = None
+    slots: DataFrame, bookings: DataFrame, users: DataFrame, at: datetime | str | None = None,
+    longest_s: int | None = None,
 ) -> DataFrame:
     """Customers whose slot covers an instant, both ends included."""
-    rows = _seated(active_at(slots, instant(at)), bookings, users, [])
+    rows = _seated(active_at(slots, instant(at), longest_s), bookings, users, [])
     return ordered(rows, "name", "table_id", "booking_id")
 
 

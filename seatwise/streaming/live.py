@@ -13,9 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from seatwise.functions.columns import (
-    DELIVERED, PREPARED, line_amount, ready_text, slot_end, wall_clock_as_utc,
+    DELIVERED, MAX_DURATION_S, PREPARED, line_amount, ready_text, slot_end, wall_clock_as_utc,
 )
 from seatwise.plans.floor import instant, table_board, upcoming_bookings
+from seatwise.sources.tables import MONTH
 
 
 def file_stream(
@@ -72,12 +73,22 @@ def stream_upcoming_alerts(
 ) -> StreamingQuery:
     """Reserved bookings about to start, for every distinct reference time ``at`` that a
     batch brings. A time that comes again in a later batch gives the same rows; readers
-    use ``upcoming_alerts``, which keeps one of each."""
-    return _per_batch(
-        ticks,
-        lambda batch: upcoming_bookings(batch.select("at").distinct(), slots, bookings, users, horizon_s),
-        out, once,
-    )
+    use ``upcoming_alerts``, which keeps one of each.
+
+    A batch spans little time, so slots are first cut to that span: the scan skips the
+    months and files outside it.
+    """
+    def soon(batch: DataFrame) -> DataFrame:
+        span = batch.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
+        low, high = instant(span["low"]), slot_end(instant(span["high"]), F.lit(horizon_s))
+        near = slots.filter(F.col("start").between(low, high))
+        if MONTH in slots.columns:
+            near = near.filter(F.col(MONTH).between(
+                F.date_format(low, "yyyy-MM"), F.date_format(high, "yyyy-MM")))
+        refs = batch.select("at").distinct()
+        return upcoming_bookings(refs, near, bookings, users, horizon_s)
+
+    return _per_batch(ticks, soon, out, once)
 
 
 def upcoming_alerts(spark: SparkSession, out: str) -> DataFrame:
@@ -87,16 +98,19 @@ def upcoming_alerts(spark: SparkSession, out: str) -> DataFrame:
 def stream_table_board(
     ticks: DataFrame, tables: DataFrame, slots: DataFrame, bookings: DataFrame,
     users: DataFrame, orders: DataFrame, out: str, once: bool = True,
+    longest_s: int = MAX_DURATION_S,
 ) -> StreamingQuery:
-    """The floor board as of the latest reference time of each batch."""
-    def board(batch: DataFrame) -> DataFrame:
+    """The floor board as of the latest reference time of each batch. Stored slots are at
+    most ``longest_s`` long (a column rule), which keeps the scan to recent files."""
+    def latest(batch: DataFrame) -> DataFrame:
         # One row per refresh: the board shows one instant.
         now = batch.agg(F.max("at").alias("at")).first()["at"]
-        return table_board(tables, slots, bookings, users, orders, now).withColumn(
-            "at", instant(now)
+        board = table_board(
+            tables, slots, bookings, users, orders, now, longest_s=longest_s
         )
+        return board.withColumn("at", instant(now))
 
-    return _per_batch(ticks, board, out, once)
+    return _per_batch(ticks, latest, out, once)
 
 
 def stream_live_board(

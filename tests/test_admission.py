@@ -19,7 +19,8 @@ def walk(candidates, stored, bookings, seats):
     for c in sorted(candidates, key=lambda c: (c[5], c[0])):
         booking = bookings.get(c[2])
         crossing = any(
-            s[1] == c[1] and bookings[s[2]][2] != 4 and s[3] < end(c) and c[3] < end(s) for s in slots)
+            s[1] == c[1] and bookings[s[2]][2] != 4 and s[3] < end(c) and c[3] < end(s) and c[4] > 0
+            for s in slots)
         if booking is None:
             rule = "booking_missing"
         elif c[1] not in seats:
@@ -30,6 +31,8 @@ def walk(candidates, stored, bookings, seats):
             rule = "table_overlap"
         elif any(s[2] == c[2] for s in slots):
             rule = "booking_has_slot"
+        elif not 0 < c[4] <= 7200:
+            rule = "slot_invalid"
         else:
             rule = None
             slots.append(c)
@@ -55,7 +58,9 @@ def batches(seed: int, groups: int, size: int, repeats: bool):
             start = T0 + timedelta(minutes=30 * rng.randrange(16))
             row = (slot, rng.choice([*tables, tables[1] + 1]) if rng.random() < 0.1 else rng.choice(tables),
                    booking, start, rng.choice([1800, 3600, 7200]))
-            is_stored = i < 2 and row[2] in bookings and row[1] in tables
+            if rng.random() < 0.1:
+                row = (*row[:4], rng.choice([0, 10800]))
+            is_stored = i < 2 and 0 < row[4] <= 7200 and row[2] in bookings and row[1] in tables
             (stored if is_stored else candidates).append(row if is_stored else (*row, rng.randrange(1000)))
     return bookings, seats, stored, candidates
 

@@ -40,6 +40,36 @@ def test_scans_read_only_what_they_need(spark):
     assert "ReadSchema: struct<p_partkey:bigint,p_retailprice:double>" in plan
 
 
+def plan_of(spark, name, **conf):
+    """Physical plan without adaptive execution, so that reuse is visible in it."""
+    conf = {"spark.sql.adaptive.enabled": "false", **conf}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        return registered.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_overlap_sums_share_their_shuffles(spark):
+    plan = plan_of(spark, "overlap_sum_all", **{"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    assert plan.count("ReusedExchange") >= 2
+
+
+def test_top_k_does_not_sort_everything(spark):
+    plan = plan_of(spark, "top_dishes")
+    assert plan.startswith("TakeOrderedAndProject") and "rangepartitioning" not in plan
+
+
+def test_large_sides_are_not_broadcast(spark):
+    """With the size threshold at zero only the per-task counts of new ids are broadcast."""
+    for name in ("check_slots", "daily_kpis", "order_detail", "table_availability", "refused_deletes"):
+        plan = plan_of(spark, name, **{"spark.sql.autoBroadcastJoinThreshold": "-1"})
+        assert "BroadcastHashJoin" not in plan, name
+
+
 def test_entry(spark):
     df = registered.entry(spark)
     assert df.columns == ["day", "total_sales"] and df.count() > 0
