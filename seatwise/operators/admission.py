@@ -153,7 +153,7 @@ def admit_slots(
     checked = with_stored_conflicts(placed, timed, existing, bookings)
     first = _judge(checked, checked.columns, [
         *placement_rules(),
-        table_overlap_rule(F.col("_overlaps") > 0),
+        table_overlap_rule(F.col("_crossed")),
         booking_has_slot_rule(F.col("_slots") > 0),
     ])
     first = cut_lineage(first)
@@ -175,7 +175,7 @@ def admit_slots(
     )
     return _judge(final, candidates.columns, [
         *placement_rules(),
-        table_overlap_rule((F.col("_overlaps") > 0) | F.col("_hit")),
+        table_overlap_rule(F.col("_crossed") | F.col("_hit")),
         booking_has_slot_rule((F.col("_slots") > 0) | (F.col("_used_rank") < F.col("_rank"))),
         ("slot_invalid", ~valid, F.lit("start is required; duration must be positive and at most 2 hours")),
     ])

@@ -123,6 +123,33 @@ def overlap_sum(
     return joined.select(*windows.columns, F.coalesce(F.col(name), F.lit(0)).alias(name))
 
 
+def overlaps_any(
+    windows: DataFrame, intervals: DataFrame, name: str, keys: Sequence[str] = (),
+    bounds_from: DataFrame | None = None,
+) -> DataFrame:
+    """Add to each window whether any interval of its key overlaps it.
+
+    Half the work of a sum: [s, e) is overlapped if, among the intervals that start before
+    e, the latest end lies after s. One running maximum and one lookup answer that.
+    """
+    keys = list(keys)
+    valid = F.col("_s") < F.col("_e")
+    source = windows if bounds_from is None else bounds_from
+    facts = intervals.filter(valid).select(
+        *keys, F.col("_s").alias("_at"), F.col("_e").alias("_until")
+    )
+    marks = source.filter(valid).select(
+        *keys, F.col("_e").alias("_at"), F.lit(None).cast("long").alias("_until")
+    )
+    latest = running(facts.unionByName(marks), "_at", {"_until": "max"}, keys).select(
+        *keys, F.col("_at").alias("_e"), "_until_before"
+    )
+    found = valid & (F.col("_until_before") > F.col("_s"))
+    return windows.join(latest, [*keys, "_e"], "left").select(
+        *windows.columns, F.coalesce(found, F.lit(False)).alias(name)
+    )
+
+
 def active_at(slots: DataFrame, at: Column, longest_s: int | None = None) -> DataFrame:
     """Slots whose closed interval contains one instant.
 
@@ -173,18 +200,16 @@ def starting_within(
 def islands(intervals: DataFrame, keys: Sequence[str], name: str = "_island") -> DataFrame:
     """Add the start of the chain of overlapping intervals that each row belongs to.
 
-    A chain begins at a start where nothing of the same key is still open, which the
-    overlap sums tell without a window over the whole key; the latest such start at or
-    before a row is a running maximum. Rows need a valid ``_s`` < ``_e``.
+    A chain begins at a start where everything of the same key that started earlier has
+    ended: a running maximum of the ends. The latest such start at or before a row is a
+    running maximum again, over the same buckets. Rows need a valid ``_s`` < ``_e``.
     """
     keys = list(keys)
-    edges = _edges(intervals, keys, F.lit(1))
-    open_now = running(edges, "_at", {"_started": "sum", "_ended": "sum"}, keys)
-    is_head = F.col("_started_before") == F.col("_ended_before") + F.col("_ended")
-    heads = open_now.filter(F.col("_started") > 0).select(
-        *keys, F.col("_at").alias("_s"), F.when(is_head, F.col("_at")).alias("_head")
-    )
-    latest = running(heads, "_s", {"_head": "max"}, keys).select(
-        *keys, "_s", F.greatest("_head", "_head_before").alias(name)
+    starts = intervals.select(*keys, F.col("_s").alias("_at"), F.col("_e").alias("_until"))
+    ends = running(starts, "_at", {"_until": "max"}, keys)
+    is_head = F.coalesce(F.col("_until_before") <= F.col("_at"), F.lit(True))
+    heads = ends.select(*keys, "_b", "_at", F.when(is_head, F.col("_at")).alias("_head"))
+    latest = running(heads, "_at", {"_head": "max"}, keys).select(
+        *keys, F.col("_at").alias("_s"), F.greatest("_head", "_head_before").alias(name)
     )
     return intervals.join(latest, [*keys, "_s"])

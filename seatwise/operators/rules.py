@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seatwise.functions.columns import (
     CANCELLED, COOK, CUSTOMER, MAX_DURATION_S, OCCUPIED, RESERVED, WAITER, overlaps,
 )
-from seatwise.operators.intervals import overlap_join, overlap_sum, with_bounds
+from seatwise.operators.intervals import overlap_join, overlap_sum, overlaps_any, with_bounds
 from seatwise.operators.joins import blocking_slots, booked_slots
 from seatwise.sources.schemas import FOREIGN_KEYS, TABLES, UNIQUE_KEYS, ForeignKey
 
@@ -144,15 +144,18 @@ def with_stored_conflicts(
     placed: DataFrame, candidates: DataFrame, slots: DataFrame, bookings: DataFrame,
     update: bool = False,
 ) -> DataFrame:
-    """Add ``_overlaps`` (stored slots blocking the table then) and ``_slots`` (stored slots
+    """Add ``_crossed`` (does a stored slot block the table then?) and ``_slots`` (stored slots
     of the booking). ``placed`` are the ``candidates`` with more columns. With ``update`` a
     stored row of the same ``slot_id`` is left out.
 
-    Overlaps are counted by running sums and slots by a grouped count: a busy table or a
+    Overlaps come from running totals and slots from a grouped count: a busy table or a
     much-repeated booking makes no pairs.
     """
     stored = with_bounds(blocking_slots(slots, bookings))
-    df = overlap_sum(placed, stored, F.lit(1), "_overlaps", ["table_id"], candidates)
+    if update:
+        df = overlap_sum(placed, stored, F.lit(1), "_overlaps", ["table_id"], candidates)
+    else:
+        df = overlaps_any(placed, stored, "_crossed", ["table_id"], candidates)
     per_booking = slots.groupBy("booking_id").agg(F.count("*").alias("_slots"))
     df = df.join(per_booking, "booking_id", "left").withColumn(
         "_slots", F.coalesce("_slots", F.lit(0))
@@ -170,7 +173,7 @@ def with_stored_conflicts(
     counts = touches & F.col("_own_status").isin(RESERVED, OCCUPIED)
     return df.join(own, "slot_id", "left").select(
         *placed.columns,
-        (F.col("_overlaps") - F.when(blocks, 1).otherwise(0)).alias("_overlaps"),
+        (F.col("_overlaps") > F.when(blocks, 1).otherwise(0)).alias("_crossed"),
         (F.col("_slots") - F.when(F.col("_own_booking") == F.col("booking_id"), 1).otherwise(0))
         .alias("_slots"),
         F.when(counts, F.col("_own_size")).otherwise(0).alias("_own_people"),
@@ -200,7 +203,7 @@ def check_slots(
     )
     return _judge(df, candidates.columns, [
         *placement_rules(),
-        table_overlap_rule(F.col("_overlaps") > 0),
+        table_overlap_rule(F.col("_crossed")),
         booking_has_slot_rule(F.col("_slots") > 0),
         ("over_capacity", F.col("_taken") + F.col("party_size") > F.col("_capacity"),
          F.format_string("capacity exceeded: occupied=%s new=%s capacity=%s",

@@ -25,6 +25,7 @@ def running(
     """For each distinct (keys, at) and each column c of ``folds`` (name -> ``sum`` or
     ``max``): c folded over that instant, and ``c_before`` folded over everything earlier
     of the same key. ``at`` is in microseconds. Rows without key or instant are left out.
+    The bucket ``_b`` stays in the result: a second pass over it then needs no new shuffle.
 
     Rows of one instant are folded first, with map-side combine. One window then runs
     inside each ~34 s bucket and one over the bucket totals of each key. However many
@@ -44,7 +45,9 @@ def running(
     totals = [_FOLD[kind](c).alias(c) for c, kind in folds.items()]
     # The join below would add these NULL filters to one of its sides only; stated here,
     # both uses of ``instants`` keep the same plan and share one shuffle.
-    known = points.withColumn("_b", F.shiftright(at, _BITS))
+    known = points
+    if "_b" not in points.columns:
+        known = points.withColumn("_b", F.shiftright(at, _BITS))
     for c in [*keys, "_b"]:
         known = known.filter(F.col(c).isNotNull())
     instants = known.groupBy(*keys, "_b", at).agg(*totals)
@@ -53,6 +56,7 @@ def running(
     inside = instants.select(*keys, "_b", at, *folds, *earlier([*keys, "_b"], at))
     return inside.join(buckets, [*keys, "_b"]).select(
         *keys,
+        "_b",
         at,
         *folds,
         *[

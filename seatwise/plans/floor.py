@@ -25,6 +25,7 @@ from seatwise.operators.intervals import (
     bucket,
     in_buckets,
     overlap_sum,
+    overlaps_any,
     starting_within,
     with_bounds,
 )
@@ -107,9 +108,9 @@ def table_availability(
     Requests: ``table_id``, ``start``, ``duration_s`` and any other columns.
     """
     taken = with_bounds(blocking_slots(slots, bookings))
-    counted = overlap_sum(with_bounds(requests), taken, F.lit(1), "_taken", ["table_id"])
-    answer = F.when(F.col("_taken") > 0, labels[1]).otherwise(labels[0])
-    return counted.select(*requests.columns, _end(), answer.alias("availability"))
+    asked = overlaps_any(with_bounds(requests), taken, "_taken", ["table_id"])
+    answer = F.when(F.col("_taken"), labels[1]).otherwise(labels[0])
+    return asked.select(*requests.columns, _end(), answer.alias("availability"))
 
 
 def live_slots(slots: DataFrame, bookings: DataFrame) -> DataFrame:

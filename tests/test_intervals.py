@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seatwise.functions.columns import epoch_us
 from seatwise.operators.intervals import (
-    active_at_each, islands, overlap_join, overlap_sum, starting_within, with_bounds,
+    active_at_each, islands, overlap_join, overlap_sum, overlaps_any, starting_within, with_bounds,
 )
 from seatwise.operators.running import running
 
@@ -49,6 +49,11 @@ def test_overlap_sum_equals_brute_force(spark, keyed):
     got = overlap_sum(
         frame(spark, asked), frame(spark, stored), "amount", "total", ["key"] if keyed else [])
     assert got.columns[-1] == "total" and len(got.columns) == 8
+    keys = ["key"] if keyed else []
+    met = overlaps_any(frame(spark, asked), frame(spark, stored), "met", keys).collect()
+    assert {r["id"]: r["met"] for r in met} == {
+        x[0]: any(meet(x, y) and (not keyed or x[1] == y[1]) for y in stored) for x in asked
+    }
     want = {
         x[0]: sum(y[4] for y in stored if meet(x, y) and (not keyed or x[1] == y[1])) for x in asked
     }
