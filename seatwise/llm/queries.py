@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatwise.llm import mixing, simhash
+from seatwise.llm import chat, decontaminate, mixing, simhash
 from seatwise.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,11 +19,96 @@ def op2_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op7_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = read(spark, folder, "documents"), read(spark, folder, "benchmark")
+    report, _ = decontaminate.contamination(docs, items)
+    return report.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op8_mixing_schedule(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
 
 
+def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
+    )
+    said = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")),
+                             F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role")))).alias("m")
+    more = spark.range(1).select(said).select(
+        F.lit(-7).cast("long"), F.col("m.turn").cast("long"), "m.role", F.lit("</s>[INST] ok [/INST]")
+    )
+    messages = chat.fold_events(chat.as_events(rows.union(more)))
+    shown = chat.render(messages)
+    back = F.array_join(F.transform(
+        chat.read_back(F.col("formatted")), lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))
+    ), "")
+    learnt = chat.under_mask(F.col("formatted"), F.col("loss"))
+    return shown.select(
+        "conv_id", F.size(chat.read_back(F.col("formatted"))).cast("long").alias("n_turns"),
+        F.sha2(back, 256).alias("turns_sha256"), F.char_length(learnt).cast("long").alias("loss_chars"),
+        F.sha2(learnt, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_simhash_groups, op8_mixing_schedule)
+    f.__name__: f for f in (
+        op2_simhash_groups, op7_contamination, op8_mixing_schedule, op10_chat_format,
+    )
 }
-ORACLES: dict[str, str] = {}
+
+# Windows of 13 item words against all runs of words of the same lengths.
+_CONTAMINATION = r"""
+WITH
+lowered AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM lowered),
+items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS win
+  FROM items, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
+runs AS (
+  SELECT rid, size, p, array_to_string(w[p:p + size - 1], ' ') AS win
+  FROM docs, (SELECT DISTINCT size FROM wins), unnest(range(1, len(w) - size + 2)) AS u(p)),
+hits AS (SELECT rid, p, size, item_id FROM runs JOIN wins USING (size, win)),
+words AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + size)) AS q FROM hits) GROUP BY rid),
+owners AS (
+  SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN words USING (rid) LEFT JOIN owners USING (rid)
+"""
+
+_CHAT = r"""
+WITH said AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(regexp_replace(role, '([<\[])(~*)(/?s>|/?INST\])', '\1~\2\3', 'g'))
+          + length(regexp_replace(text, '([<\[])(~*)(/?s>|/?INST\])', '\1~\2\3', 'g'))
+          + length('<s>[INST][/INST]</s>') AS n
+  FROM said)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op7_contamination": _CONTAMINATION, "op10_chat_format": _CHAT}
