@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatwise.llm import chat, decontaminate, mixing, simhash
+from seatwise.llm import chat, decontaminate, langid, mixing, pii, quality, simhash
 from seatwise.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,23 @@ def op2_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(read(spark, folder, "documents"))
+
+
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(read(spark, folder, "documents"))
+    of_kind = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("long")
+    line = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))
+    ), ",")
+    base = F.filter("spans", lambda s: s.kind.isin(*pii.KINDS))
+    return found.select(
+        "doc_id", *[of_kind(k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_contamination(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = read(spark, folder, "documents"), read(spark, folder, "benchmark")
     report, _ = decontaminate.contamination(docs, items)
@@ -32,6 +49,10 @@ def op8_mixing_schedule(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "conversations").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
@@ -56,7 +77,8 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op2_simhash_groups, op7_contamination, op8_mixing_schedule, op10_chat_format,
+        op2_simhash_groups, op3_language, op5_personal_data, op7_contamination, op8_mixing_schedule,
+        op9_quality, op10_chat_format,
     )
 }
 
