@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatwise.workspace import cut_lineage
+from seatwise.workspace import cut_lineage, new_folder
 
-__all__ = ["cut_lineage", "fold_out", "ids_and_text", "read", "remainder", "words"]
+__all__ = ["cut_lineage", "fold_out", "ids_and_text", "read", "remainder", "stored", "words"]
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -40,3 +40,10 @@ def words(text: bytes) -> list[bytes]:
     ``bytes.lower`` and ``bytes.split`` act on ASCII alone, which is just that.
     """
     return text.lower().split()
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows, written once as Parquet to the shared folder and read from there."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -83,7 +83,7 @@ class Machine:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray,
-        epochs: int = 10, steps: int = 1500, rate: float = 0.08, decay: float = 1e-5, seed: int = 9) -> Machine:
+        epochs: int = 10, steps: int = 800, rate: float = 0.08, decay: float = 1e-5, seed: int = 9) -> Machine:
     """Logistic loss, AdaGrad on batches of 64, for ``epochs`` passes and ``steps`` batches at least. ``weights`` undo the balance of the sample. No rows or a
     single class: a constant, the smoothed share of good labels."""
     good = (weights * labels).sum()

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatwise.llm import chat, decontaminate, langid, mixing, pii, quality, simhash
+from seatwise.llm import chat, decontaminate, langid, lm, mixing, pii, quality, simhash
 from seatwise.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(read(spark, folder, "documents"))
+
+
 def op2_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, folder, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -77,7 +81,7 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op2_simhash_groups, op3_language, op5_personal_data, op7_contamination, op8_mixing_schedule,
+        op1_language_model, op2_simhash_groups, op3_language, op5_personal_data, op7_contamination, op8_mixing_schedule,
         op9_quality, op10_chat_format,
     )
 }
