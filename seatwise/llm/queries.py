@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatwise.llm import chat, decontaminate, langid, lm, mixing, pii, quality, simhash
+from seatwise.llm import chat, decontaminate, html, langid, lm, mixing, neighbours, pii, quality, simhash
 from seatwise.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(read(spark, folder, "documents"))
 
 
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = html.main_texts(read(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.personal_data(read(spark, folder, "documents"))
     of_kind = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("long")
@@ -40,6 +45,11 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return neighbours.search(rows, F.col("id") % 50 == 0, 5)
+
+
 def op7_contamination(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = read(spark, folder, "documents"), read(spark, folder, "benchmark")
     report, _ = decontaminate.contamination(docs, items)
@@ -81,7 +91,8 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_language_model, op2_simhash_groups, op3_language, op5_personal_data, op7_contamination, op8_mixing_schedule,
+        op1_language_model, op2_simhash_groups, op3_language, op4_main_text, op5_personal_data, op6_neighbours,
+        op7_contamination, op8_mixing_schedule,
         op9_quality, op10_chat_format,
     )
 }
