@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seatwise.workspace import cut_lineage, new_folder
 
-__all__ = ["cut_lineage", "fold_out", "ids_and_text", "read", "remainder", "stored", "words"]
+__all__ = ["cut_lineage", "fold_out", "ids_and_text", "numbered", "read", "remainder", "stored", "words"]
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -47,3 +47,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame, label: str, *more: Column) -> DataFrame:
+    """n (a number of each row), row (all columns of ``docs``) and further columns, written once, so that the numbers
+    hold for all later reads. Names of ``docs`` cannot clash with them."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row"), *more), label)

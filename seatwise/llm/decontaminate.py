@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seatwise.llm.common import cut_lineage, ids_and_text
+from seatwise.llm.common import cut_lineage, ids_and_text, numbered
 
 WINDOW = 13
 # Words per shingle, the token of the prefix filter; shorter windows use what they have.
@@ -214,3 +214,11 @@ def contamination(
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
     )
     return report, spans
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    held = numbered(docs, "clean")
+    report, _ = contamination(held.select(F.col("n").alias("doc_id"), F.col("row.text").alias("text")), items)
+    found = report.filter("contaminated").select(F.col("doc_id").alias("n"))
+    return held.join(found, "n", "left_anti").select("row.*")

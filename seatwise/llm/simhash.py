@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seatwise.llm.common import cut_lineage, ids_and_text, words
+from seatwise.llm.common import cut_lineage, ids_and_text, numbered, words
 from seatwise.llm.components import components
 
 SHINGLE = 4
@@ -41,14 +41,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n).view("<u8")[0])
 
 
-def fingerprint_column(text: str, shingle: int = SHINGLE) -> Column:
+def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
     @F.pandas_udf("long")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             found = np.fromiter((fingerprint(t or b"", shingle) for t in texts), np.uint64, len(texts))
             yield pd.Series(found.view(np.int64))
 
-    return prints(F.col(text))
+    return prints(text)
 
 
 class Forest:
@@ -210,9 +210,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows are
     kept. A null doc_id never names a component, unless it is the only one there (null).
     """
-    prints = ids_and_text(docs).select("doc_id", fingerprint_column("text", shingle).alias("fp"))
+    prints = ids_and_text(docs).select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp"))
     prints = cut_lineage(prints)
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = groups(prints, radius).join(least, "fp")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     return prints.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def first_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, one per group of near-duplicates: that of the smallest doc_id, null last, and
+    of repeated rows any one."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    held = numbered(docs, "prints", fingerprint_column(text, shingle).alias("fp"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "n"))
+    prints = held.select("n", F.col("row.doc_id").alias("doc_id"), "fp")
+    kept = prints.join(groups(prints, radius), "fp").groupBy("root").agg(least.alias("k")).select("k.n")
+    return held.join(kept, "n", "left_semi").select("row.*")
