@@ -23,7 +23,7 @@ KINDS = ("email", "ip", "card", "phone")
 LIKE = tuple(f"like_{k}" for k in KINDS)
 # Documents that the field is fitted on.
 SAMPLE = 3000
-SURE = 0.9
+SURE = 0.8
 ROUNDS = 8
 _LABELS = len(KINDS) + 1
 _NEXT, _SAME = 0, 1
@@ -196,9 +196,10 @@ class Field:
         return node, joint / joint.sum(axis=(1, 2), keepdims=True)
 
 
-def fit(texts: list[str], steps: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Field:
+def fit(texts: list[str], steps: int = 120, rate: float = 0.15, decay: float = 1e-3, blank: float = 0.25) -> Field:
     """Fits the field to the patterns' own findings: the gradient is what is seen less what the
-    beliefs expect. Without any nodes the field is empty and adds nothing."""
+    beliefs expect. In each step a part ``blank`` of the words shows no features, so that links
+    learn to stand in for them. Without any nodes the field is empty and adds nothing."""
     graph = Graph(texts)
     x, links, y = graph.inputs(), graph.links, np.eye(_LABELS)[np.array(graph.label, np.int64)]
     field = Field(np.zeros((FEATURES, _LABELS)), np.zeros((2, _LABELS, _LABELS)))
@@ -208,11 +209,14 @@ def fit(texts: list[str], steps: int = 120, rate: float = 0.15, decay: float = 1
     seen = np.zeros_like(field.pair)
     np.add.at(seen, (links[:, 2], y[links[:, 0]].argmax(1), y[links[:, 1]].argmax(1)), 1)
     speed = [np.full(field.single.shape, 1e-6), np.full(field.pair.shape, 1e-6)]
+    rng = np.random.default_rng(5)
     for _ in range(steps):
-        node, joint = field.beliefs(x, links, 4)
+        shown = x * (rng.random((len(x), 1)) >= blank)
+        shown[:, 0] = 1
+        node, joint = field.beliefs(shown, links, 4)
         expected = np.zeros_like(field.pair)
         np.add.at(expected, links[:, 2], joint)
-        up = (x.T @ (y - node) / len(x) - decay * field.single, (seen - expected) / len(x) - decay * field.pair)
+        up = (shown.T @ (y - node) / len(x) - decay * field.single, (seen - expected) / len(x) - decay * field.pair)
         for value, g, s in zip((field.single, field.pair), up, speed):
             s += g * g
             value += rate * g / np.sqrt(s)

@@ -1,0 +1,72 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seatwise.llm import neighbours
+
+
+def brute(rows, ids, every, k=5):
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    out = {}
+    for i in np.flatnonzero(ids % every == 0):
+        score = unit @ unit[i]
+        order = np.lexsort((ids, -np.round(score, 12)))
+        out[int(ids[i])] = [int(ids[j]) for j in order if ids[j] != ids[i]][:k]
+    return out
+
+
+def table(spark, ids, rows):
+    data = [(int(i), [float(x) for x in r]) for i, r in zip(ids, rows)]
+    return spark.createDataFrame(data, "id long, vector array<float>")
+
+
+def found(df):
+    out = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append(r.vec_id)
+    return out
+
+
+@pytest.mark.parametrize("seed, size, spread", [(1, 64, 1.0), (2, 64, 0.2), (3, 20, 0.5), (4, 3, 1.0)])
+def test_recall_against_brute_force(spark, seed, size, spread):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(20, size))
+    rows = (centres[rng.integers(0, 20, 3000)] + spread * rng.normal(size=(3000, size))).astype(np.float32).astype(float)
+    ids = np.arange(3000)
+    got, want = found(neighbours.search(table(spark, ids, rows), F.col("id") % 50 == 0)), brute(rows, ids, 50)
+    assert set(got) == set(want)
+    assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.99
+
+
+def test_recall_on_the_given_vectors(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    data = rows.orderBy("id").collect()
+    want = brute(np.array([r.vector for r in data], float), np.array([r.id for r in data]), 50)
+    got = found(neighbours.search(rows, F.col("id") % 50 == 0))
+    assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
+
+
+def test_ties_go_to_smaller_ids(spark):
+    rows = np.array([[1.0, 2.0, 3.0]] * 30 + [[3.0, 1.0, 1.0]] * 3)
+    got = found(neighbours.search(table(spark, np.arange(33), rows).repartition(5), F.col("id") % 10 == 0))
+    assert got[0] == [1, 2, 3, 4, 5] and got[10] == [0, 1, 2, 3, 4] and got[30] == [31, 32, 0, 1, 2]
+
+
+def test_rounds_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    ids, rows = np.arange(200), rng.normal(size=(200, 8)).astype(np.float32).astype(float)
+    monkeypatch.setattr(neighbours, "ROUND_BYTES", 1000)
+    assert found(neighbours.search(table(spark, ids, rows), F.col("id") % 10 == 0)) == brute(rows, ids, 10)
+
+
+def test_rows_in_any_state(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (None, [1.0, 1.0]), (8, [1.0, 2.0, 3.0]), (10, [-1e30, 1e30]), (10, [-1e30, 1e30]), (20, [2.0**-100, 0.0])]
+    odd = spark.createDataFrame(rows, "id long, vector array<double>").withColumn("norm", F.lit(1)).withColumn("bits", F.lit(1))
+    got = neighbours.search(odd, F.col("id") % 10 == 0).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    assert by == {0: [20, 1, 10, 10], 10: [1, 0, 20], 20: [0, 1, 10, 10]}
+    assert neighbours.search(odd.limit(0), F.col("id") % 10 == 0).count() == 0
+    assert neighbours.search(odd.filter("id = 2"), F.col("id") % 2 == 0).count() == 0
