@@ -101,4 +101,4 @@ def sha256_digest(text: Column | str) -> Column:
 
 
 def ready_text(order_id: Column | str, waiter: Column | str) -> Column:
-    return F.format_string("Order #%d is ready to be served. Waiter: %s.", col(order_id), col(waiter))
+    return F.format_string("Order %d waits at the pass for %s", col(order_id), col(waiter))

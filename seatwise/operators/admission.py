@@ -21,11 +21,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seatwise.functions.columns import CANCELLED, MAX_DURATION_S, overlaps
+from seatwise.functions.columns import CANCELLED, OCCUPIED, RESERVED, overlaps
 from seatwise.operators.intervals import BUCKET_US, in_buckets, islands, with_bounds
 from seatwise.operators.rules import (
-    _judge, booking_has_slot_rule, placement_rules, table_overlap_rule, with_placement,
-    with_stored_conflicts,
+    _judge, booking_has_slot_rule, placement_rules, slot_invalid_rule, table_overlap_rule, valid_slot,
+    with_placement, with_stored_conflicts,
 )
 from seatwise.workspace import cut_lineage
 
@@ -75,9 +75,15 @@ def _verdicts(block: DataFrame) -> DataFrame:
 def _overlapped(rest: DataFrame, admitted: DataFrame) -> DataFrame:
     """Ids of ``rest`` that overlap an earlier admitted slot of their table.
 
-    Admitted slots of a table never overlap each other, so few of them share a bucket.
+    Admitted slots of a table never overlap each other, so few of them share a bucket. Rows of
+    ``rest`` can have any length; they are first cut to the time in which their table
+    has admitted slots, so that a senseless duration does not unfold beyond that.
     """
-    a = in_buckets(rest, F.col("_s"), F.col("_e") - 1, BUCKET_US, "_first").select(
+    used = admitted.groupBy("table_id").agg(F.min("_s").alias("_open"), F.max("_e").alias("_shut"))
+    near = rest.join(used, "table_id").withColumn("_low", F.greatest("_s", "_open")).withColumn(
+        "_high", F.least("_e", "_shut")
+    ).filter(F.col("_low") < F.col("_high"))
+    a = in_buckets(near, F.col("_low"), F.col("_high") - 1, BUCKET_US, "_first").select(
         "table_id", "_bucket", "slot_id", "_rank", "_s", "_e"
     )
     b = in_buckets(
@@ -157,10 +163,7 @@ def admit_slots(
         booking_has_slot_rule(F.col("_slots") > 0),
     ])
     first = cut_lineage(first)
-    valid = F.coalesce(F.col("duration_s").between(1, MAX_DURATION_S), F.lit(False)) & F.col(
-        "_s"
-    ).isNotNull()
-    contest = first.filter(F.col("rule").isNull() & valid).select(
+    contest = first.filter(F.col("rule").isNull() & valid_slot()).select(
         "slot_id", "table_id", "booking_id", "_s", "_e", "_rank",
         (F.col("status") != CANCELLED).alias("_blocks"),
     )
@@ -177,5 +180,5 @@ def admit_slots(
         *placement_rules(),
         table_overlap_rule(F.col("_crossed") | F.col("_hit")),
         booking_has_slot_rule((F.col("_slots") > 0) | (F.col("_used_rank") < F.col("_rank"))),
-        ("slot_invalid", ~valid, F.lit("start is required; duration must be positive and at most 2 hours")),
+        slot_invalid_rule(),
     ])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seatwise.functions.columns import REQUESTED
+from seatwise.operators.intervals import active_at
 from seatwise.operators.keys import assign_ids
 from seatwise.sources.schemas import FOREIGN_KEYS, ForeignKey
 
@@ -18,14 +19,32 @@ PRIMARY_KEY = {
 }
 
 
+def with_active_table(
+    forms: DataFrame, slots: DataFrame, bookings: DataFrame, at: Column
+) -> DataFrame:
+    """Forms without ``table_id`` take the table at which their customer sits at that instant; of
+    several slots the one that began last. Customers who sit nowhere keep none."""
+    seats = active_at(slots, at).join(bookings.select("booking_id", "customer_id"), "booking_id")
+    latest = seats.groupBy("customer_id").agg(
+        F.max_by("table_id", F.struct("start", "slot_id")).alias("_seat")
+    )
+    table = F.coalesce(F.col("table_id"), F.col("_seat")).alias("table_id")
+    return forms.join(latest, "customer_id", "left").select(
+        *[table if c == "table_id" else c for c in forms.columns]
+    )
+
+
 def split_order_forms(
-    forms: DataFrame, existing_orders: DataFrame, order_cols: list[str]
+    forms: DataFrame, existing_orders: DataFrame, order_cols: list[str],
+    existing_lines: DataFrame | None = None, requested: Column | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Turn submitted forms into (orders, lines, rejected).
 
     A form has header columns and ``entries``, an array of (dish_id, qty). Entries without
     a positive quantity are dropped; a form without any other is rejected. Ids are given
-    to the forms before the entries are unfolded, so header and lines need no join.
+    to the forms before the entries are unfolded, so header and lines need no join. Lines are
+    numbered after those that exist, by order and place in the form; all are ``requested``
+    at one instant, by default now.
     """
     wanted = F.filter("entries", lambda e: e["qty"] > 0)
     forms = forms.withColumn("entries", wanted)
@@ -33,8 +52,15 @@ def split_order_forms(
     numbered = assign_ids(
         forms.filter(F.size("entries") > 0), "order_id", order_cols, existing_orders
     )
-    lines = numbered.select("order_id", F.inline("entries")).select(
-        "order_id", "dish_id", "qty", F.lit(REQUESTED).alias("status")
+    lines = assign_ids(
+        numbered.select("order_id", F.posexplode("entries").alias("_place", "_e")).select(
+            "order_id", "_place", "_e.dish_id", "_e.qty"
+        ),
+        "line_id", ["order_id", "_place"], existing_lines,
+    )
+    at = F.current_timestamp() if requested is None else requested
+    lines = lines.select(
+        "line_id", "dish_id", "order_id", F.lit(REQUESTED).alias("status"), "qty", at.alias("requested")
     )
     return numbered.drop("entries"), lines, rejected
 

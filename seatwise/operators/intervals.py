@@ -15,6 +15,8 @@ from seatwise.functions.columns import MAX_DURATION_S, col, epoch_us, overlaps,
 from seatwise.operators.running import running
 
 BUCKET_US = MAX_DURATION_S * 1_000_000
+# Parts that a time bucket is dealt into where nothing but time joins two tables.
+PARTS = 16
 
 
 def with_bounds(df: DataFrame, start: str = "start", duration: str = "duration_s") -> DataFrame:
@@ -35,6 +37,14 @@ def in_buckets(df: DataFrame, low: Column, high: Column, width: int, first: str)
     )
 
 
+def _dealt(many: DataFrame, few: DataFrame) -> DataFrame:
+    """Equi-join on ``_bucket``, whose rows of ``many`` are dealt into PARTS by a hash of
+    all their columns, while those of ``few`` (distinct instants) go to each part."""
+    many = many.withColumn("_part", F.pmod(F.xxhash64(*many.columns), F.lit(PARTS)).cast("int"))
+    few = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return many.join(few, ["_bucket", "_part"]).drop("_part")
+
+
 def overlap_join(
     left: DataFrame,
     right: DataFrame,
@@ -165,7 +175,8 @@ def active_at(slots: DataFrame, at: Column, longest_s: int | None = None) -> Dat
 
 
 def active_at_each(slots: DataFrame, instants: DataFrame, at: str = "at") -> DataFrame:
-    """(instant, slot) rows for a table of instants: bucketed equi-join, then the closed test."""
+    """(instant, slot) rows for a table of instants: bucketed equi-join, then the closed test.
+    A bucket is dealt into parts by slot, so that the calendar's length does not bound the tasks."""
     spread = in_buckets(
         with_bounds(slots).filter(F.col("_s") <= F.col("_e")),
         F.col("_s"), F.col("_e"), BUCKET_US, "_first",
@@ -174,7 +185,7 @@ def active_at_each(slots: DataFrame, instants: DataFrame, at: str = "at") -> Dat
         "_bucket", bucket(F.col("_t"), BUCKET_US)
     )
     return (
-        spread.join(ticks, "_bucket")
+        _dealt(spread, ticks)
         .filter(F.col("_t").between(F.col("_s"), F.col("_e")))
         .drop("_bucket", "_first", "_s", "_e", "_t")
     )
@@ -191,7 +202,7 @@ def starting_within(
     ticks = refs.withColumn("_t", epoch_us(at))
     ticks = in_buckets(ticks, F.col("_t"), F.col("_t") + horizon_s * 1_000_000, width, "_first")
     return (
-        starts.join(ticks, "_bucket")
+        _dealt(starts, ticks)
         .filter(F.col("_s").between(F.col("_t"), F.col("_t") + horizon_s * 1_000_000))
         .drop("_bucket", "_first", "_s", "_t")
     )

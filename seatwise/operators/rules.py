@@ -52,7 +52,7 @@ def with_role(
 
 
 def _lacks(user_col: str, role: str, flag: str) -> Rule:
-    text = F.format_string(f"user %s does not have role {role}", F.col(user_col))
+    text = F.format_string(f"user %s lacks the role {role}", F.col(user_col))
     return (f"not_{role.lower()}", ~F.col(flag), text)
 
 
@@ -70,7 +70,7 @@ def check_orders(orders: DataFrame, assignments: DataFrame, roles: DataFrame) ->
     return _judge(df, orders.columns, [
         _lacks("waiter_id", WAITER, "_waiter"),
         _lacks("customer_id", CUSTOMER, "_customer"),
-        ("same_person", same, F.format_string("user %s is customer and waiter", F.col("waiter_id"))),
+        ("same_person", same, F.format_string("user %s would wait on themselves", F.col("waiter_id"))),
     ])
 
 
@@ -97,13 +97,11 @@ def check_preparations(
     df = with_role(df, "cook_id", COOK, "_cook", assignments, roles)
     known = specialties.select("cook_id", "dish_id").distinct().withColumn("_knows", F.lit(True))
     df = df.join(known, ["cook_id", "dish_id"], "left")
-    what = "line %s", "line_id"
-    if lines is None:
-        what = "dish %s", "dish_id"
+    what = ("line %s", "line_id") if lines is not None else ("dish %s", "dish_id")
     return _judge(df, preparations.columns, [
         _lacks("cook_id", COOK, "_cook"),
         ("no_specialty", F.col("_knows").isNull(), F.format_string(
-            f"cook %s has no specialty for {what[0]}", F.col("cook_id"), F.col(what[1]))),
+            f"{what[0]} is beyond the specialties of cook %s", F.col(what[1]), F.col("cook_id"))),
     ])
 
 
@@ -114,23 +112,33 @@ def placement_rules() -> list[Rule]:
     """Booking and table exist, and the party fits. Needs ``party_size`` and ``seats``."""
     return [
         ("booking_missing", F.col("party_size").isNull(),
-         F.format_string("booking %s does not exist", F.col("booking_id"))),
+         F.format_string("no booking %s is known", F.col("booking_id"))),
         ("table_missing", F.col("seats").isNull(),
-         F.format_string("table %s does not exist", F.col("table_id"))),
+         F.format_string("no table %s is known", F.col("table_id"))),
         ("party_too_big", F.col("party_size") > F.col("seats"),
-         F.format_string("table %s has %s seats and the booking needs %s",
-                         F.col("table_id"), F.col("seats"), F.col("party_size"))),
+         F.format_string("a party of %s is more than the %s seats of table %s",
+                         F.col("party_size"), F.col("seats"), F.col("table_id"))),
     ]
 
 
 def table_overlap_rule(broken: Column) -> Rule:
     return ("table_overlap", broken, F.format_string(
-        "table %s already has a booking that overlaps", F.col("table_id")))
+        "table %s is taken for part of that time", F.col("table_id")))
 
 
 def booking_has_slot_rule(broken: Column) -> Rule:
     return ("booking_has_slot", broken, F.format_string(
-        "booking %s already has a slot", F.col("booking_id")))
+        "booking %s has its slot", F.col("booking_id")))
+
+
+def valid_slot() -> Column:
+    """A start, and a duration within the allowed range."""
+    in_range = F.coalesce(F.col("duration_s").between(1, MAX_DURATION_S), F.lit(False))
+    return in_range & F.col("start").isNotNull()
+
+
+def slot_invalid_rule() -> Rule:
+    return ("slot_invalid", ~valid_slot(), F.lit("a slot starts at some time and lasts up to 2 hours"))
 
 
 def with_placement(candidates: DataFrame, bookings: DataFrame, tables: DataFrame) -> DataFrame:
@@ -189,7 +197,7 @@ def check_slots(
     earlier candidates count.
 
     First failure wins: booking missing, table missing, party too big, table overlap,
-    booking already has a slot, restaurant capacity exceeded.
+    booking already has a slot, restaurant capacity exceeded, start or duration invalid.
     """
     timed = with_bounds(candidates)
     df = with_stored_conflicts(
@@ -206,8 +214,9 @@ def check_slots(
         table_overlap_rule(F.col("_crossed")),
         booking_has_slot_rule(F.col("_slots") > 0),
         ("over_capacity", F.col("_taken") + F.col("party_size") > F.col("_capacity"),
-         F.format_string("capacity exceeded: occupied=%s new=%s capacity=%s",
+         F.format_string("%s people and %s more are too many for %s seats",
                          F.col("_taken"), F.col("party_size"), F.col("_capacity"))),
+        slot_invalid_rule(),
     ])
 
 
@@ -223,7 +232,10 @@ def _is(name: str, ok: Column, text: str) -> Rule:
 
 
 def column_rules(table: str) -> list[Rule]:
-    """NOT NULL, range, code and length rules of a table."""
+    """NOT NULL, range, code and length rules of a table.
+
+    Fixed values: which columns are required, and the ranges, codes and lengths.
+    """
     c = F.col
     rules = {
         "roles": _required("name"),
@@ -260,22 +272,27 @@ def column_rules(table: str) -> list[Rule]:
 
 
 def check_columns(df: DataFrame, table: str) -> DataFrame:
-    """Column constraints of a model table, in one projection. Rules on columns that
-    ``df`` does not have are left out."""
-    wanted = [r for r in column_rules(table) if r[0].rsplit("_", 1)[0] in df.columns]
+    """Column constraints of a model table, in one projection. A column that has rules and
+    is not there raises an error: nothing could be said about it."""
+    wanted = column_rules(table)
+    absent = sorted({r[0].rsplit("_", 1)[0] for r in wanted} - set(df.columns))
+    if absent:
+        raise ValueError(f"{table} lacks the columns {', '.join(absent)}")
     return _judge(df, df.columns, wanted)
 
 
-# audits of stored data -------------------------------------------------------------
+def audit_columns(model: dict[str, DataFrame]) -> DataFrame:
+    """Per table and column rule: how many rows break it first. Rules that hold are not listed."""
+    parts = [
+        check_columns(rows, name).filter(F.col("rule").isNotNull())
+        .groupBy("rule").agg(F.count("*").alias("n"))
+        .select(F.lit(name).alias("table_name"), "rule", "n")
+        for name, rows in model.items()
+    ]
+    return _union(parts)
 
 
-def duplicates(df: DataFrame, key: tuple[str, ...], label: str) -> DataFrame:
-    """Key values stored more than once, and how often. NULLs are not duplicates."""
-    text = F.concat_ws(",", *[F.col(k).cast("string") for k in key])
-    counted = df.dropna(subset=list(key)).groupBy(*key).agg(F.count("*").alias("n"))
-    return counted.filter(F.col("n") > 1).select(
-        F.lit(label).alias("constraint"), text.alias("key"), "n"
-    )
+# audits of stored data -------------------------------------------------------------
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -285,12 +302,26 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def audit_uniques(
     model: dict[str, DataFrame], keys: dict[str, list[tuple[str, ...]]] | None = None
 ) -> DataFrame:
-    keys = UNIQUE_KEYS if keys is None else keys
-    return _union([
-        duplicates(model[table], key, f"{table}({','.join(key)})")
-        for table, all_keys in keys.items() if table in model
-        for key in all_keys
-    ])
+    """Key values stored more than once, and how often. NULLs are not duplicates.
+
+    Each table is read once: a row unfolds into its keys, and all are counted together.
+    """
+    parts = []
+    for table, all_keys in (UNIQUE_KEYS if keys is None else keys).items():
+        if table in model:
+            own = [
+                F.struct(
+                    F.lit(f"{table}({','.join(key)})").alias("constraint"),
+                    F.array(*[F.col(k).cast("string") for k in key]).alias("_key"),
+                )
+                for key in all_keys
+            ]
+            parts.append(model[table].select(F.inline(F.array(*own))))
+    found = _union(parts).filter(~F.exists("_key", lambda k: k.isNull()))
+    counted = found.groupBy("constraint", "_key").agg(F.count("*").alias("n"))
+    return counted.filter(F.col("n") > 1).select(
+        "constraint", F.array_join("_key", ",").alias("key"), "n"
+    )
 
 
 def orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
@@ -302,24 +333,38 @@ def orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
 def audit_fks(model: dict[str, DataFrame], fks: list[ForeignKey] | None = None) -> DataFrame:
     """Per foreign key with both tables present: rows, and rows whose parent is missing.
 
-    References are counted per value first, so a value that most rows share is joined once.
+    Each table is read once as child and once as parent. References and parent keys are
+    folded per value with map-side combine, so a value that most rows share is one row.
     """
+    fks = [
+        fk for fk in (FOREIGN_KEYS if fks is None else fks) if fk.child in model and fk.parent in model
+    ]
     parts = []
-    for fk in FOREIGN_KEYS if fks is None else fks:
-        if fk.child not in model or fk.parent not in model:
-            continue
-        child = model[fk.child].filter(F.col(fk.column).isNotNull())
-        values = child.groupBy(fk.column).agg(F.count("*").alias("_n"))
-        parents = model[fk.parent].select(
-            F.col(fk.parent_key).alias(fk.column), F.lit(True).alias("_found")
-        )
-        lost = F.when(F.col("_found").isNull(), F.col("_n")).otherwise(0)
-        parts.append(values.join(parents, fk.column, "left").agg(
-            F.lit(fk.name).alias("fk"),
-            F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
-            F.coalesce(F.sum(lost), F.lit(0)).alias("n_orphans"),
-        ).select("fk", "n_rows", "n_orphans"))
-    return _union(parts)
+    for child in dict.fromkeys(fk.child for fk in fks):
+        own = [
+            F.struct(
+                F.lit(f"{fk.parent}.{fk.parent_key}").alias("parent"),
+                F.col(fk.column).cast("string").alias("value"), F.lit(i).alias("fk"),
+            )
+            for i, fk in enumerate(fks) if fk.child == child
+        ]
+        parts.append(model[child].select(F.inline(F.array(*own))))
+    for parent, key in dict.fromkeys((fk.parent, fk.parent_key) for fk in fks):
+        parts.append(model[parent].select(
+            F.lit(f"{parent}.{key}").alias("parent"), F.col(key).cast("string").alias("value"), F.lit(-1).alias("fk")
+        ))
+    met = _union(parts).filter(F.col("value").isNotNull())
+    counts = [F.count(F.when(F.col("fk") == i, 1)).alias(f"_{i}") for i in range(len(fks))]
+    values = met.groupBy("parent", "value").agg(F.max(F.col("fk") == -1).alias("_found"), *counts)
+    sums = []
+    for i in range(len(fks)):
+        sums.append(F.coalesce(F.sum(f"_{i}"), F.lit(0)).alias(f"n_{i}"))
+        sums.append(F.coalesce(F.sum(F.when(~F.col("_found"), F.col(f"_{i}"))), F.lit(0)).alias(f"lost_{i}"))
+    rows = [
+        F.struct(F.lit(fk.name).alias("fk"), F.col(f"n_{i}").alias("n_rows"), F.col(f"lost_{i}").alias("n_orphans"))
+        for i, fk in enumerate(fks)
+    ]
+    return values.agg(*sums).select(F.inline(F.array(*rows)))
 
 
 def overlapping_slots(slots: DataFrame, bookings: DataFrame) -> DataFrame:
@@ -349,13 +394,14 @@ def oversized_parties(slots: DataFrame, bookings: DataFrame, tables: DataFrame)
 
 def audit_overlaps(slots: DataFrame, bookings: DataFrame, tables: DataFrame) -> DataFrame:
     """Both kinds of stored violations, which later changes of a booking's status or size
-    or of a table can cause: overlapping pairs and parties larger than their table."""
-    pairs = overlapping_slots(slots, bookings).withColumn("kind", F.lit("overlap"))
+    or of a table can cause: slots that overlap others on their table, with how many, and
+    parties larger than their table. One row per slot and kind; ``overlapping_slots`` lists pairs."""
+    crossed = overlap_counts(slots, bookings).withColumn("kind", F.lit("overlap"))
     large = oversized_parties(slots, bookings, tables).select(
-        "table_id", "slot_id", F.lit(None).cast("long").alias("other_slot_id"),
+        "table_id", "slot_id", F.lit(None).cast("long").alias("n_overlaps"),
         F.lit("party_too_big").alias("kind"),
     )
-    return pairs.unionByName(large).select("kind", "table_id", "slot_id", "other_slot_id")
+    return crossed.unionByName(large).select("kind", "table_id", "slot_id", "n_overlaps")
 
 
 def audit_repeated_bookings(slots: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Buckets of 2^25 microseconds, about 34 seconds.
+# Buckets of 2^25 microseconds, about 34 seconds, and runs of 2^12 of them, about 38 hours.
 _BITS = 25
+_RUN_BITS = 12
 
 _FOLD = {"sum": F.sum, "max": F.max}
 
@@ -30,7 +31,8 @@ def running(
     Rows of one instant are folded first, with map-side combine. One window then runs
     inside each ~34 s bucket and one over the bucket totals of each key. However many
     rows share a key, a bucket or an instant, a window sees at most one row per
-    microsecond of its bucket or one row per 34 seconds of the calendar.
+    microsecond of its bucket or one row per 34 seconds of the calendar. Without keys the
+    bucket totals are folded in runs, and only run totals (a row per 38 hours) meet in one window.
     """
     keys = list(keys)
 
@@ -51,7 +53,16 @@ def running(
     for c in [*keys, "_b"]:
         known = known.filter(F.col(c).isNotNull())
     instants = known.groupBy(*keys, "_b", at).agg(*totals)
-    buckets = instants.groupBy(*keys, "_b").agg(*totals).select(*keys, "_b", *earlier(keys, "_b"))
+    buckets = instants.groupBy(*keys, "_b").agg(*totals)
+    if keys:
+        buckets = buckets.select(*keys, "_b", *earlier(keys, "_b"))
+    else:
+        buckets = buckets.withColumn("_run", F.shiftright("_b", _RUN_BITS))
+        runs = buckets.groupBy("_run").agg(*totals).select("_run", *earlier([], "_run"))
+        runs = runs.withColumnsRenamed({f"{c}_before": f"_{c}_run" for c in folds})
+        buckets = buckets.select("_run", "_b", *earlier(["_run"], "_b")).join(runs, "_run").select(
+            "_b", *[_plus(kind, F.col(f"{c}_before"), F.col(f"_{c}_run")).alias(f"{c}_before") for c, kind in folds.items()]
+        )
     buckets = buckets.withColumnsRenamed({f"{c}_before": f"_{c}_base" for c in folds})
     inside = instants.select(*keys, "_b", at, *folds, *earlier([*keys, "_b"], at))
     return inside.join(buckets, [*keys, "_b"]).select(

@@ -21,12 +21,12 @@ _MODEL = {
                 "FROM events",
     "slots": "SELECT event_id AS slot_id, (user_id + 13 * k) % (SELECT n FROM n) AS table_id, "
              "event_id AS booking_id, ts AS start, 1800 * (1 + event_id % 4) AS duration_s, "
-             "ts + to_seconds(1800 * (1 + event_id % 4)) AS finish FROM ev WHERE event_id % 10 <> 0",
+             "ts + to_seconds(1800 * (1 + event_id % 4)) AS finish FROM ev",
     "booked": "SELECT s.*, b.customer_id, b.party_size, b.status FROM slots s JOIN bookings b USING (booking_id)",
     "hours": "SELECT DISTINCT date_trunc('hour', start) AS at FROM slots",
     "floor_orders": "SELECT event_id AS order_id, user_id AS customer_id, "
                     "(user_id + 13 * k) % (SELECT n FROM n) AS table_id, ts + to_seconds(600) AS placed FROM ev "
-                    "WHERE event_type = 'purchase' AND event_id % 10 <> 0 AND event_id % 2 = 1",
+                    "WHERE event_type = 'purchase'",
     "categories": "SELECT row_number() OVER (ORDER BY name) AS category_id, name "
                   "FROM (SELECT DISTINCT p_type AS name FROM part)",
     "dishes": "SELECT p_partkey AS dish_id, c.category_id, c.name AS category, p_name AS name, p_brand AS description, "
@@ -37,6 +37,9 @@ _MODEL = {
     "order_lines": "SELECT l_orderkey AS order_id, l_partkey AS dish_id, l_linenumber AS line_no, "
                    "CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 END AS status, "
                    "CAST(l_quantity AS BIGINT) AS qty, l_shipdate AS requested FROM lineitem",
+    "numbered": "SELECT *, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, "
+                "l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS line_id FROM lineitem",
+    "preparations": "SELECT l_suppkey AS cook_id, line_id FROM numbered",
     "specialties": "SELECT DISTINCT l_suppkey AS cook_id, l_partkey AS dish_id FROM lineitem",
     "forms": "SELECT o_orderkey AS form_id, o_custkey AS customer_id, o_orderkey % 150 AS waiter_id, "
              "(o_orderkey * 13 + 5) % (SELECT n FROM n) AS table_id, i, (o_orderkey * 7 + 11 * i) % 200 AS dish_id, "
@@ -45,6 +48,7 @@ _MODEL = {
 _DEPENDS = {
     "user_roles": ["roles", "role_assignments"], "slots": ["n", "ev"], "booked": ["slots", "bookings"],
     "hours": ["slots"], "floor_orders": ["n", "ev"], "dishes": ["categories"], "ords": ["n"], "forms": ["n"],
+    "preparations": ["numbered"],
 }
 
 
@@ -97,9 +101,10 @@ ORACLES["customer_bookings"] = _sql(
 ORACLES["table_availability"] = _sql(
     "WITH r AS (SELECT event_id AS request_id, (user_id * 3 + k) % (SELECT n FROM n) AS table_id, "
     "ts + to_seconds(3600) AS start, CAST(7200 AS BIGINT) AS duration_s, ts + to_seconds(10800) AS finish FROM ev) "
-    'SELECT r.request_id, r.table_id, r.start, r.duration_s, r.finish AS "end", CASE WHEN EXISTS ('
-    "SELECT 1 FROM booked b WHERE b.table_id = r.table_id AND b.status <> 4 AND b.start < r.finish "
-    "AND r.start < b.finish) THEN 'NOT AVAILABLE' ELSE 'AVAILABLE' END AS availability FROM r", "booked")
+    "SELECT request_id, r.table_id, any_value(r.start) AS start, any_value(r.duration_s) AS duration_s, "
+    'any_value(r.finish) AS "end", if(count(b.slot_id) = 0, \'AVAILABLE\', \'NOT AVAILABLE\') AS availability '
+    "FROM r LEFT JOIN (FROM booked WHERE status IN (1, 2, 3)) b ON r.table_id = b.table_id "
+    "AND greatest(b.start, r.start) < least(b.finish, r.finish) GROUP BY request_id, r.table_id", "booked")
 ORACLES["capacity_usage"] = _sql(
     "SELECT h.at AS start, CAST(7200 AS BIGINT) AS duration_s, h.at + to_seconds(7200) AS \"end\", "
     "CAST(coalesce(sum(b.party_size), 0) AS BIGINT) AS people_booked, "
@@ -109,21 +114,26 @@ ORACLES["capacity_usage"] = _sql(
 ORACLES["overlap_sum_all"] = _sql(
     "SELECT a.slot_id, CAST(sum(b.party_size) AS BIGINT) AS people FROM booked a JOIN booked b "
     "ON a.start < b.finish AND b.start < a.finish WHERE a.status <> 4 AND b.status <> 4 GROUP BY a.slot_id", "booked")
+# An hour's first 30 minutes are those less than 1,801 s after it.
 _UPCOMING = (
-    'SELECT h.at, b.booking_id, u.name AS customer, b.table_id, b.start, b.finish AS "end" FROM hours h '
-    "JOIN booked b ON b.start BETWEEN h.at AND h.at + INTERVAL 30 MINUTE "
-    "JOIN users u ON u.user_id = b.customer_id WHERE b.status = 1")
+    "WITH due AS (SELECT *, epoch(start) - epoch(date_trunc('hour', start)) AS after FROM booked WHERE status = 1) "
+    "SELECT date_trunc('hour', start) AS at, booking_id, (SELECT name FROM users WHERE user_id = due.customer_id) AS customer, "
+    'table_id, start, finish AS "end" FROM due WHERE after <= 1800')
 ORACLES["upcoming_bookings"] = _sql(_UPCOMING, "booked", "hours", "users")
 
 
 def _board(at: str, extra: str = "") -> str:
+    """One row per (table, slot now in use); the state from two flags, in order of rank."""
     return _sql(
-        f"SELECT t.table_id, t.seats, CASE WHEN (SELECT count(*) FROM floor_orders o WHERE o.customer_id = u.user_id "
-        f"AND CAST(o.placed AS DATE) = CAST({at} AS DATE)) > 0 THEN 'Occupied' WHEN b.booking_id IS NOT NULL "
-        f"THEN 'Reserved' ELSE 'Free' END AS state, u.name AS customer{extra} FROM dining_tables t "
-        f"LEFT JOIN slots s ON s.table_id = t.table_id AND {at} BETWEEN s.start AND s.finish "
-        f"LEFT JOIN bookings b ON b.booking_id = s.booking_id LEFT JOIN users u ON u.user_id = b.customer_id",
-        "dining_tables", "slots", "bookings", "users", "floor_orders")
+        f"WITH clock AS (SELECT {at} AS t), "
+        "guests AS (SELECT DISTINCT customer_id FROM floor_orders, clock WHERE date_trunc('day', placed) = date_trunc('day', t)), "
+        "using_now AS (SELECT table_id, customer_id, customer_id IN (FROM guests) AS has_ordered FROM booked, clock "
+        "WHERE start <= t AND finish >= t) "
+        "SELECT d.table_id, d.seats, list_extract(['Free', 'Reserved', 'Occupied'], "
+        "1 + CAST(n.customer_id IS NOT NULL AS INTEGER) + CAST(coalesce(n.has_ordered, false) AS INTEGER)) AS state, "
+        f"users.name AS customer{extra} FROM dining_tables d LEFT JOIN using_now n USING (table_id) "
+        "LEFT JOIN users ON users.user_id = n.customer_id",
+        "dining_tables", "booked", "users", "floor_orders")
 
 
 ORACLES["table_board"] = _board(AS_OF)
@@ -168,6 +178,11 @@ ORACLES["kitchen_queue"] = _sql(
     "SELECT e.cook_id, l.order_id, l.line_no, d.name AS dish, d.prep_s, l.qty, l.requested FROM order_lines l "
     "JOIN dishes d USING (dish_id) JOIN specialties e USING (dish_id) WHERE l.status = 1",
     "order_lines", "dishes", "specialties")
+ORACLES["kitchen_next"] = _sql(
+    "WITH q AS (SELECT e.cook_id, l.order_id, l.line_no, d.name AS dish, l.qty, l.requested, row_number() OVER (PARTITION BY "
+    "e.cook_id ORDER BY d.prep_s DESC, l.requested, l.order_id, l.line_no, l.qty, d.name) AS r FROM order_lines l "
+    "JOIN dishes d USING (dish_id) JOIN specialties e USING (dish_id) WHERE l.status = 1) "
+    "SELECT cook_id, order_id, line_no, dish, qty, requested FROM q WHERE r = 1", "order_lines", "dishes", "specialties")
 ORACLES["kitchen_panel"] = _sql(
     f"SELECT l.order_id, l.line_no, d.name AS dish, {_LINE_LABEL} AS status, l.qty, c.name AS customer, o.table_id, "
     "l.requested FROM order_lines l JOIN dishes d USING (dish_id) JOIN ords o USING (order_id) "
@@ -187,6 +202,9 @@ ORACLES["ready_lines"] = _sql(
 ORACLES["delivered_lines"] = _sql(
     "SELECT l.line_no, l.order_id, o.table_id, d.name AS dish, l.qty, l.requested FROM order_lines l "
     "JOIN ords o USING (order_id) JOIN dishes d USING (dish_id) WHERE l.status = 3", "order_lines", "ords", "dishes")
+ORACLES["order_totals"] = _sql(
+    "SELECT l.order_id, count(*) AS n_lines, CAST(sum(l.qty) AS BIGINT) AS units, sum(l.qty * d.price) AS total "
+    "FROM order_lines l JOIN dishes d USING (dish_id) GROUP BY 1", "order_lines", "dishes")
 _RANKING = (
     "SELECT d.dish_id, d.name AS dish, CAST(sum(l.qty) AS BIGINT) AS total_units, count(*) AS times_ordered "
     "FROM order_lines l JOIN dishes d USING (dish_id) GROUP BY d.dish_id, d.name")
@@ -225,7 +243,7 @@ def _role(user: str, role: str) -> str:
 
 
 def _lacks(user: str, role: str) -> str:
-    return f"concat('user ', {user}, ' does not have role {role}')"
+    return f"concat('user ', {user}, ' lacks the role {role}')"
 
 
 ORACLES["has_role"] = _sql(
@@ -239,7 +257,7 @@ ORACLES["check_orders"] = _sql(
     "SELECT order_id, customer_id, waiter_id, table_id, CASE WHEN NOT w THEN 'not_waiter' WHEN NOT c THEN 'not_customer' "
     "WHEN customer_id = waiter_id THEN 'same_person' END AS rule, "
     f"CASE WHEN NOT w THEN {_lacks('waiter_id', 'WAITER')} WHEN NOT c THEN {_lacks('customer_id', 'CUSTOMER')} "
-    "WHEN customer_id = waiter_id THEN concat('user ', waiter_id, ' is customer and waiter') END AS message FROM c",
+    "WHEN customer_id = waiter_id THEN concat('user ', waiter_id, ' would wait on themselves') END AS message FROM c",
     "ords", "user_roles")
 ORACLES["check_specialties"] = _sql(
     f"SELECT e.*, CASE WHEN NOT {_role('e.cook_id', 'COOK')} THEN 'not_cook' END AS rule, "
@@ -252,30 +270,39 @@ ORACLES["check_preparations"] = _sql(
     "WHERE e.cook_id = p.cook_id AND e.dish_id = p.dish_id) AS knows FROM p) "
     "SELECT order_id, line_no, cook_id, dish_id, CASE WHEN NOT cook THEN 'not_cook' WHEN NOT knows THEN 'no_specialty' "
     f"END AS rule, CASE WHEN NOT cook THEN {_lacks('cook_id', 'COOK')} WHEN NOT knows THEN "
-    "concat('cook ', cook_id, ' has no specialty for dish ', dish_id) END AS message FROM c",
+    "concat('dish ', dish_id, ' is beyond the specialties of cook ', cook_id) END AS message FROM c",
     "specialties", "user_roles")
+ORACLES["check_preparations_by_line"] = _sql(
+    "WITH p AS (SELECT line_id, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey - l_suppkey % 10 + 3 ELSE l_suppkey END "
+    f"AS cook_id, l_partkey AS dish_id FROM numbered), c AS (SELECT p.*, {_role('p.cook_id', 'COOK')} AS cook, EXISTS ("
+    "SELECT 1 FROM specialties e WHERE e.cook_id = p.cook_id AND e.dish_id = p.dish_id) AS knows FROM p) "
+    "SELECT line_id, cook_id, CASE WHEN NOT cook THEN 'not_cook' WHEN NOT knows THEN 'no_specialty' END AS rule, "
+    f"CASE WHEN NOT cook THEN {_lacks('cook_id', 'COOK')} WHEN NOT knows THEN concat('line ', line_id, "
+    "' is beyond the specialties of cook ', cook_id) END AS message FROM c", "numbered", "specialties", "user_roles")
 
 _SLOT_RULES = (
     "SELECT slot_id, table_id, booking_id, start, duration_s, CASE WHEN party_size IS NULL THEN 'booking_missing' "
     "WHEN seats IS NULL THEN 'table_missing' WHEN party_size > seats THEN 'party_too_big' "
     "WHEN cross_n > 0 THEN 'table_overlap' WHEN slot_n > 0 THEN 'booking_has_slot' "
-    "WHEN people + party_size > cap THEN 'over_capacity' END AS rule, "
-    "CASE WHEN party_size IS NULL THEN concat('booking ', booking_id, ' does not exist') "
-    "WHEN seats IS NULL THEN concat('table ', table_id, ' does not exist') "
-    "WHEN party_size > seats THEN concat('table ', table_id, ' has ', seats, ' seats and the booking needs ', party_size) "
-    "WHEN cross_n > 0 THEN concat('table ', table_id, ' already has a booking that overlaps') "
-    "WHEN slot_n > 0 THEN concat('booking ', booking_id, ' already has a slot') "
-    "WHEN people + party_size > cap THEN concat('capacity exceeded: occupied=', people, ' new=', party_size, "
-    "' capacity=', cap) END AS message FROM j")
+    "WHEN people + party_size > cap THEN 'over_capacity' "
+    "WHEN NOT coalesce(duration_s BETWEEN 1 AND 7200 AND start IS NOT NULL, false) THEN 'slot_invalid' END AS rule, "
+    "CASE WHEN party_size IS NULL THEN concat('no booking ', booking_id, ' is known') "
+    "WHEN seats IS NULL THEN concat('no table ', table_id, ' is known') "
+    "WHEN party_size > seats THEN concat('a party of ', party_size, ' is more than the ', seats, ' seats of table ', table_id) "
+    "WHEN cross_n > 0 THEN concat('table ', table_id, ' is taken for part of that time') "
+    "WHEN slot_n > 0 THEN concat('booking ', booking_id, ' has its slot') "
+    "WHEN people + party_size > cap THEN concat(people, ' people and ', party_size, ' more are too many for ', cap, ' seats') "
+    "WHEN NOT coalesce(duration_s BETWEEN 1 AND 7200 AND start IS NOT NULL, false) "
+    "THEN 'a slot starts at some time and lasts up to 2 hours' END AS message FROM j")
 
 
 def _slot_check(candidates: str, not_self: str) -> str:
     return _sql(
         f"WITH cand AS ({candidates}), "
         "people AS (SELECT c.slot_id, CAST(coalesce(sum(b.party_size), 0) AS BIGINT) AS people FROM cand c "
-        f"LEFT JOIN booked b ON b.status IN (1, 2) AND b.start < c.finish AND c.start < b.finish {not_self} GROUP BY 1), "
+        f"LEFT JOIN booked b ON b.status IN (1, 2) AND b.start < c.finish AND c.start < b.finish AND c.start < c.finish {not_self} GROUP BY 1), "
         "crossed AS (SELECT c.slot_id, count(b.slot_id) AS cross_n FROM cand c LEFT JOIN booked b "
-        f"ON b.table_id = c.table_id AND b.status <> 4 AND b.start < c.finish AND c.start < b.finish {not_self} GROUP BY 1), "
+        f"ON b.table_id = c.table_id AND b.status <> 4 AND b.start < c.finish AND c.start < b.finish AND c.start < c.finish {not_self} GROUP BY 1), "
         "taken AS (SELECT c.slot_id, count(b.slot_id) AS slot_n FROM cand c LEFT JOIN slots b "
         f"ON b.booking_id = c.booking_id {not_self} GROUP BY 1), "
         "j AS (SELECT c.*, b.party_size, t.seats, cross_n, slot_n, people, "
@@ -287,8 +314,8 @@ def _slot_check(candidates: str, not_self: str) -> str:
 
 ORACLES["check_slots"] = _slot_check(
     "SELECT event_id + 1000000000 AS slot_id, (user_id * 7 + k) % ((SELECT n FROM n) + 1) AS table_id, "
-    "event_id * 2 AS booking_id, ts + to_seconds(1800) AS start, 1800 * (1 + k % 4) AS duration_s, "
-    "ts + to_seconds(1800 + 1800 * (1 + k % 4)) AS finish FROM ev", "")
+    "event_id * 2 AS booking_id, ts + to_seconds(1800) AS start, 1800 * (k % 6) AS duration_s, "
+    "ts + to_seconds(1800 + 1800 * (k % 6)) AS finish FROM ev", "")
 ORACLES["recheck_slots"] = _slot_check("SELECT * FROM slots", "AND b.slot_id <> c.slot_id")
 ORACLES["check_columns"] = _sql(
     "SELECT slot_id, table_id, booking_id, start, 1800 * (slot_id % 6) AS duration_s, CASE WHEN 1800 * (slot_id % 6) "
@@ -304,7 +331,7 @@ def _fk(child: str, column: str, parent: str, key: str, label: str | None = None
 
 
 ORACLES["audit_fks"] = _sql(
-    "WITH preparations AS (SELECT l_suppkey AS cook_id, l_partkey AS dish_id FROM lineitem) " + " UNION ALL ".join([
+    " UNION ALL ".join([
         _fk("role_assignments", "role_id", "roles", "role_id"), _fk("role_assignments", "user_id", "users", "user_id"),
         _fk("dishes", "category_id", "categories", "category_id"), _fk("bookings", "customer_id", "users", "user_id"),
         _fk("slots", "table_id", "dining_tables", "table_id"), _fk("slots", "booking_id", "bookings", "booking_id"),
@@ -313,10 +340,9 @@ ORACLES["audit_fks"] = _sql(
         _fk("ords", "table_id", "dining_tables", "table_id", "orders.table_id"),
         _fk("order_lines", "dish_id", "dishes", "dish_id"), _fk("order_lines", "order_id", "ords", "order_id"),
         _fk("specialties", "cook_id", "users", "user_id"), _fk("specialties", "dish_id", "dishes", "dish_id"),
-        _fk("preparations", "cook_id", "users", "user_id"),
-        _fk("order_lines", "order_id", "bookings", "booking_id"),
+        _fk("preparations", "cook_id", "users", "user_id"), _fk("preparations", "line_id", "numbered", "line_id"),
     ]),
-    "user_roles", "users", "dining_tables", "booked", "ords", "order_lines", "dishes", "specialties")
+    "user_roles", "users", "dining_tables", "booked", "ords", "order_lines", "dishes", "specialties", "preparations")
 
 
 def _dup(table: str, key: str, label: str) -> str:
@@ -327,15 +353,22 @@ def _dup(table: str, key: str, label: str) -> str:
 
 ORACLES["audit_uniques"] = _sql(
     " UNION ALL ".join([
+        _dup("roles", "role_id", "roles"), _dup("roles", "name", "roles"),
         _dup("users", "user_id", "users"), _dup("users", "login", "users"),
-        _dup("role_assignments", "role_id,user_id", "role_assignments"), _dup("dishes", "name", "dishes"),
-        _dup("ords", "order_id", "orders"), _dup("order_lines", "order_id,line_no", "order_lines"),
-        _dup("slots", "slot_id,start", "slots"),
-    ]), "users", "role_assignments", "dishes", "ords", "order_lines", "slots")
+        _dup("role_assignments", "role_id,user_id", "role_assignments"), _dup("dining_tables", "table_id", "dining_tables"),
+        _dup("categories", "category_id", "categories"), _dup("categories", "name", "categories"),
+        _dup("dishes", "dish_id", "dishes"), _dup("dishes", "name", "dishes"), _dup("bookings", "booking_id", "bookings"),
+        _dup("slots", "slot_id,start", "slots"), _dup("ords", "order_id", "orders"), _dup("numbered", "line_id", "order_lines"),
+        _dup("specialties", "cook_id,dish_id", "specialties"), _dup("preparations", "cook_id,line_id", "preparations"),
+    ]), "roles", "users", "role_assignments", "dining_tables", "dishes", "bookings", "ords", "slots", "specialties", "preparations")
+ORACLES["audit_columns"] = _sql(
+    "SELECT 'slots' AS table_name, 'duration_s_invalid' AS rule, count(*) AS n FROM slots "
+    "WHERE 1800 * (slot_id % 6) NOT BETWEEN 1 AND 7200 UNION ALL "
+    "SELECT 'orders', 'customer_id_invalid', count(*) FROM ords WHERE customer_id = waiter_id HAVING count(*) > 0", "slots", "ords")
 ORACLES["audit_overlaps"] = _sql(
-    "SELECT 'overlap' AS kind, a.table_id, a.slot_id, b.slot_id AS other_slot_id FROM booked a JOIN booked b "
-    "ON a.table_id = b.table_id AND a.slot_id < b.slot_id AND a.start < b.finish AND b.start < a.finish "
-    "WHERE a.status <> 4 AND b.status <> 4 UNION ALL "
+    "SELECT 'overlap' AS kind, a.table_id, a.slot_id, count(*) AS n_overlaps FROM booked a JOIN booked b "
+    "ON a.table_id = b.table_id AND a.slot_id <> b.slot_id AND a.start < b.finish AND b.start < a.finish "
+    "WHERE a.status <> 4 AND b.status <> 4 GROUP BY ALL UNION ALL "
     "SELECT 'party_too_big', b.table_id, b.slot_id, NULL FROM booked b JOIN dining_tables t USING (table_id) "
     "WHERE b.party_size > t.seats", "booked", "dining_tables")
 ORACLES["audit_overlap_counts"] = _sql(
@@ -366,9 +399,9 @@ ORACLES["admit_slots"] = _sql(
     "FROM walk w JOIN line l ON l.table_id = w.table_id AND l.rn = w.rn + 1), "
     "judged AS (SELECT p.*, CASE WHEN pre_rule IS NOT NULL THEN pre_rule WHEN NOT w.ok THEN 'table_overlap' END AS rule "
     "FROM pre p LEFT JOIN walk w ON w.slot_id = p.slot_id) "
-    "SELECT slot_id, table_id, booking_id, rule, CASE rule WHEN 'party_too_big' THEN concat('table ', table_id, ' has ', "
-    "seats, ' seats and the booking needs ', party_size) WHEN 'table_overlap' THEN concat('table ', table_id, "
-    "' already has a booking that overlaps') END AS message FROM judged", "booked", "dining_tables", recursive=True)
+    "SELECT slot_id, table_id, booking_id, rule, CASE rule WHEN 'party_too_big' THEN concat('a party of ', party_size, "
+    "' is more than the ', seats, ' seats of table ', table_id) WHEN 'table_overlap' THEN concat('table ', table_id, "
+    "' is taken for part of that time') END AS message FROM judged", "booked", "dining_tables", recursive=True)
 
 ORACLES["assign_ids"] = (
     "SELECT o_orderkey, o_orderdate, (SELECT max(o_orderkey) FROM orders) + row_number() OVER "
@@ -379,8 +412,14 @@ ORACLES["resolve_names"] = _sql(
 _HEADS = ("heads AS (SELECT form_id, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY form_id) AS order_id "
           "FROM (SELECT form_id FROM forms GROUP BY form_id HAVING max(qty) > 0))")
 ORACLES["split_order_forms"] = _sql(
-    f"WITH {_HEADS} SELECT h.order_id, f.dish_id, f.qty, 1 AS status FROM forms f JOIN heads h USING (form_id) "
+    f"WITH {_HEADS} SELECT (SELECT count(*) FROM lineitem) + row_number() OVER (ORDER BY h.order_id, f.i) AS line_id, "
+    f"h.order_id, f.dish_id, f.qty, 1 AS status, {AS_OF} AS requested FROM forms f JOIN heads h USING (form_id) "
     "WHERE f.qty > 0", "forms")
+ORACLES["order_form_tables"] = _sql(
+    f"WITH seat AS (SELECT customer_id, table_id, row_number() OVER (PARTITION BY customer_id ORDER BY start DESC, slot_id DESC) AS r "
+    f"FROM booked WHERE start <= {AS_OF} AND finish >= {AS_OF}) "
+    "SELECT o_orderkey AS form_id, o_custkey AS customer_id, table_id FROM orders LEFT JOIN seat ON customer_id = o_custkey AND r = 1",
+    "booked")
 ORACLES["order_form_headers"] = _sql(
     f"WITH {_HEADS} SELECT DISTINCT f.form_id, f.customer_id, f.waiter_id, f.table_id, h.order_id FROM forms f "
     "LEFT JOIN heads h USING (form_id)", "forms")
@@ -399,15 +438,21 @@ ORACLES["apply_deletes"] = _sql(
     "SELECT 'slots', slot_id FROM booked WHERE status = 4", "booked")
 ORACLES["refused_deletes"] = _sql(
     "WITH refs AS (SELECT DISTINCT customer_id AS user_id, 'bookings.customer_id' AS blocked_by FROM bookings UNION "
-    "SELECT customer_id, 'orders.customer_id' FROM ords UNION SELECT waiter_id, 'orders.waiter_id' FROM ords) "
+    "SELECT customer_id, 'orders.customer_id' FROM ords UNION SELECT waiter_id, 'orders.waiter_id' FROM ords UNION "
+    "SELECT l_suppkey, 'preparations.cook_id' FROM lineitem) "
     "SELECT u.user_id, r.blocked_by FROM users u LEFT JOIN refs r USING (user_id)", "users", "bookings", "ords")
+ORACLES["model_scan"] = _sql(
+    "SELECT u.user_id, u.login, CAST(sum(b.party_size) AS BIGINT) AS people FROM bookings b "
+    "JOIN users u ON u.user_id = b.customer_id GROUP BY ALL", "bookings", "users")
+ORACLES["append_defaults"] = _sql(
+    "SELECT booking_id, customer_id, party_size, CASE status WHEN 4 THEN 4 ELSE 1 END AS status FROM bookings", "bookings")
 ORACLES["slots_by_month_pruned"] = _sql(
     "WITH s AS (SELECT slot_id, table_id, booking_id, start + to_days(CAST(31 * (slot_id % 3) AS INTEGER)) AS start, "
     "duration_s FROM slots) SELECT * FROM s WHERE start < TIMESTAMP '2024-02-20' "
     "AND start + to_seconds(duration_s) > TIMESTAMP '2024-02-05'", "slots")
 
 ORACLES["stream_ready_alerts"] = _sql(
-    _READY.format(line="", extra=", concat('Order #', l.order_id, ' is ready to be served. Waiter: ', w.name, '.') "
+    _READY.format(line="", extra=", concat('Order ', l.order_id, ' waits at the pass for ', w.name) "
                                  "AS message"), "order_lines", "ords", "users", "dishes")
 ORACLES["stream_upcoming_alerts"] = ORACLES["upcoming_bookings"]
 ORACLES["stream_table_board"] = _board(
@@ -416,7 +461,6 @@ ORACLES["stream_live_board"] = _sql(
     "WITH r AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY start DESC, slot_id DESC) AS r FROM slots) "
     "SELECT table_id, start, slot_id, booking_id, duration_s FROM r WHERE r = 1", "slots")
 ORACLES["stream_daily_sales"] = _sql(
-    "WITH sold AS (SELECT l.requested, l.qty * d.price AS money FROM order_lines l JOIN dishes d USING (dish_id) "
-    "WHERE l.status = 3) SELECT CAST(requested AS DATE) AS day, CAST(sum(money) AS DECIMAL(38,2)) AS total_sales, "
-    "count(*) AS n_lines FROM sold WHERE CAST(requested AS DATE) + INTERVAL 1 DAY <= "
-    "(SELECT max(requested) FROM sold) - INTERVAL 1 HOUR GROUP BY 1", "order_lines", "dishes")
+    "SELECT CAST(l.requested AS DATE) AS day, CAST(sum(l.qty * d.price) AS DECIMAL(38,2)) AS total_sales, "
+    "count(*) AS n_lines FROM order_lines l JOIN dishes d USING (dish_id) WHERE l.status = 3 GROUP BY 1",
+    "order_lines", "dishes")

@@ -220,23 +220,24 @@ def booking_order_history(
     Slots and orders meet on customer, table and time bucket, so a customer with a long
     history is spread over time and compared only with orders of the same hours.
     """
-    base = _bookings_named(bookings, users).join(slots, "booking_id", "left")
-    base = with_bounds(base).select(
-        "booking_id", "customer_id", "customer", "status", "table_id", "_s", "_e"
+    base = _bookings_named(bookings, users).join(slots, "booking_id", "left").select(
+        "booking_id", "customer", "status", "table_id"
     )
+    taken = with_bounds(slots.join(bookings.select("booking_id", "customer_id"), "booking_id"))
     timed = in_buckets(
-        base.filter(F.col("_s") <= F.col("_e")), F.col("_s"), F.col("_e"), BUCKET_US, "_first"
+        taken.filter(F.col("_s") <= F.col("_e")).select("booking_id", "customer_id", "table_id", "_s", "_e"),
+        F.col("_s"), F.col("_e"), BUCKET_US, "_first",
     )
     placed = orders.select(
         "customer_id", "table_id", "order_id", "placed", epoch_us("placed").alias("_t")
     ).withColumn("_bucket", bucket(F.col("_t"), BUCKET_US))
     matched = timed.join(placed, ["customer_id", "table_id", "_bucket"]).filter(
         F.col("_t").between(F.col("_s"), F.col("_e"))
+    ).select("booking_id", "table_id", "order_id", "placed").withColumnRenamed("table_id", "_table")
+    rows = base.join(
+        matched, (base["booking_id"] == matched["booking_id"]) & base["table_id"].eqNullSafe(F.col("_table")), "left"
     )
-    columns = ["booking_id", "customer", "status", "table_id"]
-    matched = matched.select(*columns, "order_id", "placed")
-    lonely = base.select(*columns).join(
-        matched.select("booking_id").distinct(), "booking_id", "left_anti"
+    return ordered(
+        rows.select(base["booking_id"], "customer", "status", "table_id", "order_id", "placed"),
+        "-booking_id", "order_id",
     )
-    rows = matched.unionByName(lonely, allowMissingColumns=True)
-    return ordered(rows.select(*columns, "order_id", "placed"), "-booking_id", "order_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatwise.functions.columns import (
@@ -128,6 +128,23 @@ def kitchen_queue(
     )
 
 
+def kitchen_next(lines: DataFrame, dishes: DataFrame, specialties: DataFrame) -> DataFrame:
+    """Per cook the first line of ``kitchen_queue``: the longest preparation, then the oldest request.
+
+    The first line of each dish is found before cooks come in, so that lines and cooks
+    never multiply.
+    """
+    key = _line_key(lines)
+    order = F.struct("requested", "order_id", *key, "qty")
+    first = lines.filter(F.col("status") == REQUESTED).groupBy("dish_id").agg(F.min(order).alias("_line"))
+    rows = first.join(
+        dishes.select("dish_id", F.col("name").alias("dish"), "prep_s"), "dish_id"
+    ).join(specialties.select("cook_id", "dish_id"), "dish_id")
+    best = F.min(F.struct(-F.col("prep_s"), "_line.requested", "_line.order_id", *[f"_line.{k}" for k in key], "_line.qty", "dish"))
+    found = rows.groupBy("cook_id").agg(best.alias("_b"))
+    return ordered(found.select("cook_id", *[f"_b.{c}" for c in ("order_id", *key, "dish", "qty", "requested")]), "cook_id")
+
+
 def kitchen_panel(
     orders: DataFrame, lines: DataFrame, users: DataFrame, dishes: DataFrame,
     specialties: DataFrame, cook_id: int | None = None, labels: dict[int, str] = LINE_STATUS,
@@ -219,14 +236,30 @@ def dish_ranking(lines: DataFrame, dishes: DataFrame) -> DataFrame:
 
 
 def sales_by_period(lines: DataFrame, dishes: DataFrame, unit: str) -> DataFrame:
-    """Value of delivered lines per calendar day, week or month of the request."""
-    sold = lines.filter(F.col("status") == DELIVERED).select("dish_id", "qty", "requested")
-    rows = sold.join(dishes.select("dish_id", "price"), "dish_id")
+    """Value of delivered lines per calendar day, week or month of the request.
+
+    Quantities are summed per period and dish before prices are joined.
+    """
+    sold = lines.filter(F.col("status") == DELIVERED)
+    units = sold.groupBy(period("requested", unit).alias(unit), "dish_id").agg(F.sum("qty").alias("_qty"))
+    rows = units.join(dishes.select("dish_id", "price"), "dish_id")
+    return ordered(
+        rows.groupBy(unit).agg(F.sum(line_amount("_qty", "price")).alias("total_sales")), unit
+    )
+
+
+def order_totals(lines: DataFrame, dishes: DataFrame) -> DataFrame:
+    """Lines, units and value of each order, whatever the state of its lines."""
+    units = lines.groupBy("order_id", "dish_id").agg(
+        F.sum("qty").alias("_qty"), F.count("*").alias("_lines")
+    )
+    rows = units.join(dishes.select("dish_id", "price"), "dish_id")
     return ordered(
-        rows.groupBy(period("requested", unit).alias(unit)).agg(
-            F.sum(line_amount("qty", "price")).alias("total_sales")
+        rows.groupBy("order_id").agg(
+            F.sum("_lines").alias("n_lines"), F.sum("_qty").alias("units"),
+            F.sum(line_amount("_qty", "price")).alias("total"),
         ),
-        unit,
+        "order_id",
     )
 
 
@@ -236,26 +269,27 @@ def daily_kpis(lines: DataFrame, dishes: DataFrame, day: str | None = None) -> D
     An order belongs to the day of its first line. The star dish breaks ties by name.
     """
     lines = lines.filter(F.col("order_id").isNotNull())
-    placed = lines.groupBy("order_id").agg(F.min("requested").cast("date").alias("day"))
+    # Lines are read once and folded per order and dish; an order has at most a row per dish then.
+    per = lines.groupBy("order_id", "dish_id").agg(
+        F.count("*").alias("_n"), F.sum("qty").alias("_qty"), F.min("requested").alias("_first")
+    )
+    whole = Window.partitionBy("order_id")
+    counts_order = F.row_number().over(whole.orderBy("dish_id")) == 1
+    per = per.select(
+        "dish_id", "_n", "_qty", F.min("_first").over(whole).cast("date").alias("day"),
+        F.when(counts_order, 1).otherwise(0).alias("_order"),
+    )
     if day is not None:
-        placed = placed.filter(F.col("day") == F.lit(day).cast("date"))
+        per = per.filter(F.col("day") == F.lit(day).cast("date"))
     per_dish = (
-        lines.select("order_id", "dish_id", "qty")
-        .join(placed, "order_id")
-        .groupBy("day", "dish_id")
-        .agg(F.count("*").alias("_n"), F.sum("qty").alias("_qty"))
-        .join(dishes.select("dish_id", "name", "price"), "dish_id")
+        per.groupBy("day", "dish_id")
+        .agg(F.sum("_n").alias("_n"), F.sum("_qty").alias("_qty"), F.sum("_order").alias("_orders"))
+        .join(dishes.select("dish_id", "name", "price"), "dish_id", "left")
     )
-    rank = F.struct(-F.col("_n"), "name", "dish_id")
+    rank = F.when(F.col("name").isNotNull(), F.struct(-F.col("_n"), "name", "dish_id"))
+    known = F.when(F.col("name").isNotNull(), F.col("_n"))
     totals = per_dish.groupBy("day").agg(
-        F.min_by("name", rank).alias("star_dish"),
-        F.max("_n").alias("star_lines"),
-        F.sum(line_amount("_qty", "price")).alias("gross_revenue"),
-    )
-    orders = placed.groupBy("day").agg(F.count("*").alias("total_orders"))
-    return ordered(
-        orders.join(totals, "day").select(
-            "day", "total_orders", "star_dish", "star_lines", "gross_revenue"
-        ),
-        "day",
+        F.sum("_orders").alias("total_orders"), F.min_by("name", rank).alias("star_dish"),
+        F.max(known).alias("star_lines"), F.sum(line_amount("_qty", "price")).alias("gross_revenue"),
     )
+    return ordered(totals.filter(F.col("star_dish").isNotNull()), "day")

@@ -12,8 +12,9 @@ from seatwise.operators import admission, changes, intervals, joins, keys, rules
 from seatwise.oracle import ORACLES
 from seatwise.plans import floor, people, service
 from seatwise.sources.mapped import SOURCES, MappedModel
-from seatwise.sources.schemas import FOREIGN_KEYS, ForeignKey
-from seatwise.sources.tables import read_slots_between, write_slots_by_month
+from seatwise.sources.tables import (
+    append_rows, load_model, read_slots_between, write_slots_by_month,
+)
 from seatwise.streaming import live
 from seatwise.workspace import new_folder
 
@@ -145,29 +146,40 @@ def customer_orders(m):
 
 @query
 def kitchen_queue(m):
-    return service.kitchen_queue(m.order_lines().drop("cook_id"), m.dishes(), m.specialties())
+    return service.kitchen_queue(m.order_lines(C.REQUESTED).drop("cook_id"), m.dishes(), m.specialties())
+
+
+@query
+def kitchen_next(m):
+    """What each cook does next: one row per cook."""
+    return service.kitchen_next(m.order_lines(C.REQUESTED), m.dishes(), m.specialties())
 
 
 @query
 def kitchen_panel(m):
     return service.kitchen_panel(
-        m.orders(), m.order_lines().drop("cook_id"), m.users(), m.dishes(), m.specialties()
+        m.orders(), m.order_lines(C.REQUESTED).drop("cook_id"), m.users(), m.dishes(), m.specialties()
     )
 
 
 @query
 def kitchen_load(m):
-    return service.kitchen_load(m.order_lines(), m.dishes(), m.specialties())
+    return service.kitchen_load(m.order_lines(C.REQUESTED), m.dishes(), m.specialties())
 
 
 @query
 def ready_lines(m):
-    return service.ready_lines(m.orders(), m.order_lines(), m.users(), m.dishes())
+    return service.ready_lines(m.orders(), m.order_lines(C.PREPARED), m.users(), m.dishes())
 
 
 @query
 def delivered_lines(m):
-    return service.delivered_lines(m.orders(), m.order_lines(), m.dishes())
+    return service.delivered_lines(m.orders(), m.order_lines(C.DELIVERED), m.dishes())
+
+
+@query
+def order_totals(m):
+    return service.order_totals(m.order_lines(), m.dishes())
 
 
 @query
@@ -185,17 +197,17 @@ def top_dishes(m):
 
 @query
 def sales_by_day(m):
-    return service.sales_by_period(m.order_lines(), m.dishes(), "day")
+    return service.sales_by_period(m.order_lines(C.DELIVERED), m.dishes(), "day")
 
 
 @query
 def sales_by_week(m):
-    return service.sales_by_period(m.order_lines(), m.dishes(), "week")
+    return service.sales_by_period(m.order_lines(C.DELIVERED), m.dishes(), "week")
 
 
 @query
 def sales_by_month(m):
-    return service.sales_by_period(m.order_lines(), m.dishes(), "month")
+    return service.sales_by_period(m.order_lines(C.DELIVERED), m.dishes(), "month")
 
 
 @query
@@ -205,7 +217,7 @@ def daily_kpis(m):
 
 @query
 def format_amounts(m):
-    sales = service.sales_by_period(m.order_lines(), m.dishes(), "day")
+    sales = service.sales_by_period(m.order_lines(C.DELIVERED), m.dishes(), "day")
     return sales.select("day", C.format_amount("total_sales").alias("total_sales"))
 
 
@@ -270,6 +282,13 @@ def check_preparations(m):
     )
 
 
+@query
+def check_preparations_by_line(m):
+    return rules.check_preparations(
+        m.claimed_lines(), m.lines_with_id(), m.specialties(), m.role_assignments(), m.roles()
+    )
+
+
 @query
 def check_slots(m):
     return rules.check_slots(m.proposed_slots(), m.slots(), m.bookings(), m.dining_tables())
@@ -288,34 +307,33 @@ def check_columns(m):
     return rules.check_columns(m.unchecked_slots(), "slots")
 
 
-def _stored(m: MappedModel) -> dict[str, DataFrame]:
-    return {
-        "roles": m.roles(), "users": m.users(), "role_assignments": m.role_assignments(),
-        "dining_tables": m.dining_tables(), "categories": m.categories(),
-        "dishes": m.dishes_with_category(), "bookings": m.bookings(), "slots": m.slots(),
-        "orders": m.orders(), "order_lines": m.order_lines(), "specialties": m.specialties(),
-        "preparations": m.preparations(),
+def _stored(m: MappedModel, *names: str) -> dict[str, DataFrame]:
+    """The mapped tables by name, all 12 by default; only the named ones are built."""
+    made = {
+        "roles": m.roles, "users": m.accounts, "role_assignments": m.role_assignments,
+        "dining_tables": m.dining_tables, "categories": m.categories,
+        "dishes": m.dishes_with_category, "bookings": m.bookings, "slots": m.slots,
+        "orders": m.orders, "order_lines": m.lines_with_id, "specialties": m.specialties,
+        "preparations": m.preparations,
     }
+    return {name: made[name]() for name in names or made}
+
+
+@query
+def audit_columns(m):
+    """Column rules of all tables: how many rows break which rule first."""
+    model = {**_stored(m), "slots": m.unchecked_slots()}
+    return rules.audit_columns(model)
 
 
 @query
 def audit_fks(m):
-    fks = [fk for fk in FOREIGN_KEYS if fk.name != "preparations.line_id"]
-    # Orders placed on the floor must belong to a booking; not all order ids do.
-    fks = [*fks, ForeignKey("order_lines", "order_id", "bookings", "booking_id", False)]
-    return rules.audit_fks(_stored(m), fks)
+    return rules.audit_fks(_stored(m))
 
 
 @query
 def audit_uniques(m):
-    return rules.audit_uniques(_stored(m), {
-        "users": [("user_id",), ("login",)],
-        "role_assignments": [("role_id", "user_id")],
-        "dishes": [("name",)],
-        "orders": [("order_id",)],
-        "order_lines": [("order_id", "line_no")],
-        "slots": [("slot_id", "start")],
-    })
+    return rules.audit_uniques(_stored(m))
 
 
 @query
@@ -366,10 +384,19 @@ def resolve_names(m):
 
 @query
 def split_order_forms(m):
-    _, lines, _ = changes.split_order_forms(m.order_forms(), m.orders(), ["form_id"])
+    at = F.lit(AS_OF).cast("timestamp_ntz")
+    _, lines, _ = changes.split_order_forms(m.order_forms(), m.orders(), ["form_id"], m.lines_with_id(), at)
     return lines
 
 
+@query
+def order_form_tables(m):
+    """Forms that bring no table, with the one where their customer sits."""
+    forms = m.order_forms().withColumn("table_id", F.lit(None).cast("long"))
+    at = F.lit(AS_OF).cast("timestamp_ntz")
+    return changes.with_active_table(forms, m.slots(), m.bookings(), at).select("form_id", "customer_id", "table_id")
+
+
 @query
 def order_form_headers(m):
     heads, _, rejected = changes.split_order_forms(m.order_forms(), m.orders(), ["form_id"])
@@ -405,14 +432,34 @@ def apply_deletes(m):
 
 @query
 def refused_deletes(m):
-    """Every user asked to be deleted; bookings and orders keep theirs."""
-    stored = _stored(m)
-    model = {t: stored[t] for t in ("users", "role_assignments", "bookings", "orders", "specialties")}
+    """Every user asked to be deleted; bookings, orders and preparations keep theirs."""
+    model = _stored(m, "users", "role_assignments", "bookings", "slots", "orders", "specialties", "preparations")
     _, deleted, refused = changes.apply_deletes(model, "users", m.users())
     done = deleted["users"].select("user_id", F.lit(None).cast("string").alias("blocked_by"))
     return refused.unionByName(done)
 
 
+@query
+def model_scan(m):
+    """Stored tables read back with their declared types: people booked per customer."""
+    path = new_folder(m.spark, "model")
+    for name, rows in _stored(m, "bookings", "users").items():
+        rows.write.parquet(f"{path}/{name}")
+    model = load_model(m.spark, path, ["bookings", "users"])
+    per = model["bookings"].groupBy(F.col("customer_id").alias("user_id")).agg(F.sum("party_size").alias("people"))
+    return model["users"].join(per, "user_id").select("user_id", "login", "people")
+
+
+@query
+def append_defaults(m):
+    """Bookings appended in two parts, the second without a status: it gets the default."""
+    path = new_folder(m.spark, "appended")
+    cancelled = F.col("status") == C.CANCELLED
+    append_rows(m.bookings().filter(cancelled), "bookings", path)
+    append_rows(m.bookings().filter(~cancelled).drop("status"), "bookings", path)
+    return load_model(m.spark, path, ["bookings"])["bookings"]
+
+
 @query
 def slots_by_month_pruned(m):
     path = new_folder(m.spark, "slots")
@@ -437,16 +484,16 @@ def _streamed(m: MappedModel, **tables: DataFrame) -> MappedModel:
 @query
 def stream_ready_alerts(m):
     out = new_folder(m.spark, "ready")
-    lines = _streamed(m, lineitem=_stream(m, "lineitem")).order_lines()
+    lines = _streamed(m, lineitem=_stream(m, "lineitem")).order_lines(C.PREPARED)
     live.stream_ready_alerts(lines, m.orders(), m.users(), m.dishes(), out).awaitTermination()
-    return live.read_rows(m.spark, out)
+    return live.read_rows(m.spark, out).drop("batch")
 
 
 @query
 def stream_upcoming_alerts(m):
     out = new_folder(m.spark, "upcoming")
     hour = C.slot_end(F.col("ts").cast("date").cast("timestamp_ntz"), 3600 * F.hour("ts"))
-    ticks = _stream(m, "events").filter(F.col("event_id") % 10 != 0).select(hour.alias("at"))
+    ticks = _stream(m, "events").select(hour.alias("at"))
     live.stream_upcoming_alerts(ticks, m.slots(), m.bookings(), m.users(), out).awaitTermination()
     return live.upcoming_alerts(m.spark, out)
 
@@ -474,6 +521,6 @@ def stream_live_board(m):
 @query
 def stream_daily_sales(m):
     out = new_folder(m.spark, "sales")
-    lines = _streamed(m, lineitem=_stream(m, "lineitem")).order_lines()
+    lines = _streamed(m, lineitem=_stream(m, "lineitem")).order_lines(C.DELIVERED)
     live.stream_daily_sales(lines, m.dishes(), out).awaitTermination()
-    return live.read_rows(m.spark, out)
+    return live.daily_sales(m.spark, out)

@@ -32,6 +32,7 @@ class MappedModel:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._categories: DataFrame | None = None
+        self._lines: DataFrame | None = None
 
     def source(self, name: str) -> DataFrame:
         """Typed scan; the declared schema saves a look at the files for every query."""
@@ -45,6 +46,14 @@ class MappedModel:
             F.lower("c_name").alias("login"),
         )
 
+    def accounts(self) -> DataFrame:
+        """Users with all declared columns; the digest is that of the login."""
+        return self.users().select(
+            "user_id", "name", C.sha256_digest("login").alias("password_digest"),
+            F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("digest_ts"), "login",
+            F.lit(None).cast("string").alias("token"),
+        )
+
     def roles(self) -> DataFrame:
         names = [C.ADMIN, C.MAITRE, C.WAITER, C.COOK, C.CUSTOMER]
         rows = ", ".join(f"({i}L, '{name}')" for i, name in enumerate(names, 1))
@@ -88,7 +97,7 @@ class MappedModel:
         )
 
     def slots(self) -> DataFrame:
-        return self._events().filter(F.col("event_id") % 10 != 0).select(
+        return self._events().select(
             F.col("event_id").alias("slot_id"),
             ((F.col("user_id") + 13 * F.col("k")) % self.n_tables()).alias("table_id"),
             F.col("event_id").alias("booking_id"),
@@ -121,13 +130,14 @@ class MappedModel:
         return self.slots().withColumn("duration_s", 1800 * (F.col("slot_id") % 6))
 
     def proposed_slots(self) -> DataFrame:
-        """A new slot asked for every booking, some for bookings or tables that do not exist."""
+        """A new slot asked for every booking, some for bookings or tables that
+        do not exist, some with no duration or too long a one."""
         return self._events().select(
             (F.col("event_id") + 1_000_000_000).alias("slot_id"),
             ((F.col("user_id") * 7 + F.col("k")) % (self.n_tables() + 1)).alias("table_id"),
             (F.col("event_id") * 2).alias("booking_id"),
             C.slot_end("ts", F.lit(1800)).alias("start"),
-            (1800 * (1 + F.col("k") % 4)).alias("duration_s"),
+            (1800 * (F.col("k") % 6)).alias("duration_s"),
         )
 
     def table_requests(self) -> DataFrame:
@@ -146,11 +156,7 @@ class MappedModel:
         return self.slots().select(hour.alias("at")).distinct()
 
     def floor_orders(self) -> DataFrame:
-        return self._events().filter(
-            (F.col("event_type") == "purchase")
-            & (F.col("event_id") % 10 != 0)
-            & (F.col("event_id") % 2 == 1)
-        ).select(
+        return self._events().filter(F.col("event_type") == "purchase").select(
             F.col("event_id").alias("order_id"),
             F.col("user_id").alias("customer_id"),
             ((F.col("user_id") + 13 * F.col("k")) % self.n_tables()).alias("table_id"),
@@ -191,9 +197,33 @@ class MappedModel:
             ((F.col("o_orderkey") * 13 + 5) % self.n_tables()).alias("table_id"),
         )
 
-    def order_lines(self) -> DataFrame:
+    def order_lines(self, *statuses: int) -> DataFrame:
+        """All lines, or those with the given statuses. They are filtered by the stored code, so
+        that the scan can skip row groups."""
+        return self._as_lines(self._with_status(self.source("lineitem"), statuses))
+
+    @staticmethod
+    def _with_status(rows: DataFrame, statuses: tuple[int, ...]) -> DataFrame:
+        codes = {C.REQUESTED: "A", C.PREPARED: "N", C.DELIVERED: "R"}
+        wanted = [codes[s] for s in statuses]
+        return rows.filter(F.col("l_returnflag").isin(*wanted)) if wanted else rows
+
+    def numbered_lines(self) -> DataFrame:
+        """All lines with a ``line_id``: the place in the order of all columns, as the rows have no
+        key. Equal rows can stand for each other. Numbered once, when first asked for."""
+        if self._lines is None:
+            columns = [c.split(" ")[0] for c in SOURCES["lineitem"].split(", ")]
+            self._lines = assign_ids(self.source("lineitem"), "line_id", columns)
+        return self._lines
+
+    def lines_with_id(self) -> DataFrame:
+        return self._as_lines(self.numbered_lines(), "line_id")
+
+    @staticmethod
+    def _as_lines(rows: DataFrame, *more: str) -> DataFrame:
         flag = F.col("l_returnflag")
-        return self.source("lineitem").select(
+        return rows.select(
+            *more,
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("dish_id"),
             F.col("l_linenumber").alias("line_no"),
@@ -210,8 +240,14 @@ class MappedModel:
         ).distinct()
 
     def preparations(self) -> DataFrame:
-        return self.source("lineitem").select(
-            F.col("l_suppkey").alias("cook_id"), F.col("l_partkey").alias("dish_id")
+        return self.numbered_lines().select(F.col("l_suppkey").alias("cook_id"), "line_id")
+
+    def claimed_lines(self) -> DataFrame:
+        """Preparations by line id, some claimed by a cook who does not know the dish."""
+        cook = F.col("l_suppkey")
+        other = cook - cook % 10 + 3
+        return self.numbered_lines().select(
+            "line_id", F.when(F.col("l_linenumber") % 2 == 0, other).otherwise(cook).alias("cook_id")
         )
 
     def claimed_preparations(self) -> DataFrame:

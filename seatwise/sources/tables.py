@@ -43,9 +43,17 @@ def with_defaults(new: DataFrame, table: str) -> DataFrame:
     return new.select(columns)
 
 
+def _of_allowed_length(slots: DataFrame) -> DataFrame:
+    """Fails the write on a slot longer than the longest allowed one: readers look back no further."""
+    text = F.format_string("slot %s lasts %s s, more than allowed", F.col("slot_id"), F.col("duration_s"))
+    checked = F.when(F.col("duration_s") > MAX_DURATION_S, F.raise_error(text)).otherwise(F.col("duration_s"))
+    return slots.withColumn("duration_s", checked.cast("long"))
+
+
 def append_rows(new: DataFrame, table: str, folder: str) -> None:
     """Multi-row insert into a parquet table."""
-    with_defaults(new, table).write.mode("append").parquet(f"{folder.rstrip('/')}/{table}")
+    rows = with_defaults(new, table)
+    (_of_allowed_length(rows) if table == "slots" else rows).write.mode("append").parquet(f"{folder.rstrip('/')}/{table}")
 
 
 def write_slots_by_month(slots: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -56,7 +64,7 @@ def write_slots_by_month(slots: DataFrame, path: str, mode: str = "overwrite") -
     a month cover narrow time ranges, which lets the scan skip them by their statistics.
     """
     (
-        slots.withColumn(MONTH, F.date_format("start", "yyyy-MM"))
+        _of_allowed_length(slots).withColumn(MONTH, F.date_format("start", "yyyy-MM"))
         .repartitionByRange("start", "slot_id")
         .sortWithinPartitions("start")
         .write.mode(mode)

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from seatwise.functions.columns import (
-    DELIVERED, MAX_DURATION_S, PREPARED, line_amount, ready_text, slot_end, wall_clock_as_utc,
+    DELIVERED, PREPARED, line_amount, ready_text, slot_end,
 )
 from seatwise.plans.floor import instant, table_board, upcoming_bookings
 from seatwise.sources.tables import MONTH
@@ -32,10 +32,6 @@ def _start(writer, out: str, once: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
-def _to_files(df: DataFrame, out: str, once: bool) -> StreamingQuery:
-    return _start(df.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows"), out, once)
-
-
 def read_rows(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows")
 
@@ -46,27 +42,48 @@ def stream_ready_alerts(
 ) -> StreamingQuery:
     """One alert per line that arrives as prepared, with table, waiter, dish and text."""
     waiters = users.select(F.col("user_id").alias("waiter_id"), F.col("name").alias("waiter"))
-    heads = orders.join(waiters, "waiter_id").select("order_id", "table_id", "waiter")
-    alerts = (
-        lines.filter(F.col("status") == PREPARED)
-        .join(dishes.select("dish_id", F.col("name").alias("dish")), "dish_id")
-        .join(heads, "order_id")
-        .select(
-            "order_id", "table_id", "waiter", "dish", "qty", "requested",
-            ready_text("order_id", "waiter").alias("message"),
+
+    def alerts(batch: DataFrame) -> DataFrame:
+        # Orders are cut to the batch before anything else: by range, which the scan can use, then by id.
+        span = batch.agg(F.min("order_id").alias("low"), F.max("order_id").alias("high")).first()
+        near = orders.filter(F.col("order_id").between(span["low"], span["high"]))
+        heads = near.join(batch.select("order_id").distinct(), "order_id", "left_semi").join(waiters, "waiter_id")
+        return (
+            batch.join(dishes.select("dish_id", F.col("name").alias("dish")), "dish_id")
+            .join(heads.select("order_id", "table_id", "waiter"), "order_id")
+            .select(
+                "order_id", "table_id", "waiter", "dish", "qty", "requested",
+                ready_text("order_id", "waiter").alias("message"),
+            )
         )
-    )
-    return _to_files(alerts, out, once)
+
+    ready = lines.filter((F.col("status") == PREPARED) & F.col("order_id").isNotNull())
+    return _per_batch(ready, alerts, out, once)
 
 
 def _per_batch(events: DataFrame, write, out: str, once: bool) -> StreamingQuery:
+    """Each batch is held while its rows are made, and a batch without rows writes nothing."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = write(batch)
-        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        batch = batch.persist()
+        try:
+            if not batch.isEmpty():
+                write(batch).write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return _start(events.writeStream.foreachBatch(run), out, once)
 
 
+def _only_latest(spark: SparkSession, out: str, batch_id: int) -> None:
+    """Drops what whole-state batches before the last two have written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/rows")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in files.listStatus(path):
+        name = entry.getPath().getName()
+        if name.startswith("batch=") and int(name.removeprefix("batch=")) < batch_id - 1:
+            files.delete(entry.getPath(), True)
+
+
 def stream_upcoming_alerts(
     ticks: DataFrame, slots: DataFrame, bookings: DataFrame, users: DataFrame, out: str,
     horizon_s: int = 1800, once: bool = True,
@@ -88,7 +105,7 @@ def stream_upcoming_alerts(
         refs = batch.select("at").distinct()
         return upcoming_bookings(refs, near, bookings, users, horizon_s)
 
-    return _per_batch(ticks, soon, out, once)
+    return _per_batch(ticks.filter(F.col("at").isNotNull()), soon, out, once)
 
 
 def upcoming_alerts(spark: SparkSession, out: str) -> DataFrame:
@@ -98,10 +115,10 @@ def upcoming_alerts(spark: SparkSession, out: str) -> DataFrame:
 def stream_table_board(
     ticks: DataFrame, tables: DataFrame, slots: DataFrame, bookings: DataFrame,
     users: DataFrame, orders: DataFrame, out: str, once: bool = True,
-    longest_s: int = MAX_DURATION_S,
+    longest_s: int | None = None,
 ) -> StreamingQuery:
-    """The floor board as of the latest reference time of each batch. Stored slots are at
-    most ``longest_s`` long (a column rule), which keeps the scan to recent files."""
+    """The floor board as of the latest reference time of each batch. Give ``longest_s`` where
+    no stored slot is longer (as the writers of this library ensure): it keeps the scan to recent files."""
     def latest(batch: DataFrame) -> DataFrame:
         # One row per refresh: the board shows one instant.
         now = batch.agg(F.max("at").alias("at")).first()["at"]
@@ -110,7 +127,7 @@ def stream_table_board(
         )
         return board.withColumn("at", instant(now))
 
-    return _per_batch(ticks, latest, out, once)
+    return _per_batch(ticks.filter(F.col("at").isNotNull()), latest, out, once)
 
 
 def stream_live_board(
@@ -135,24 +152,38 @@ def live_board(spark: SparkSession, out: str, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, "batch").alias("_v")).select(key, "_v.*")
 
 
+def compact_board(spark: SparkSession, out: str, key: str) -> None:
+    """Folds all batches of a board that is not running into its last one."""
+    last = read_rows(spark, out).agg(F.max("batch").alias("b")).first()["b"]
+    live_board(spark, out, key).write.mode("overwrite").parquet(f"{out}/folded")
+    spark.read.parquet(f"{out}/folded").write.mode("overwrite").parquet(f"{out}/rows/batch={last}")
+    _only_latest(spark, out, last + 1)
+
+
 def stream_daily_sales(
-    lines: DataFrame, dishes: DataFrame, out: str, late: str = "1 hour", once: bool = True
+    lines: DataFrame, dishes: DataFrame, out: str, once: bool = True
 ) -> StreamingQuery:
-    """Delivered sales and line counts per closed calendar day.
+    """Delivered sales and line counts per calendar day, open days included.
 
-    The event time is the wall clock read as UTC, so one-day windows are calendar days. A
-    day is emitted once the watermark passes its end, and rows later than the watermark
-    are dropped, which is the usual contract of append mode.
+    Lines come in any order of their request times, so no row is too late: the totals of all days
+    are the state (a row per day), and each batch writes them anew, replacing those before it.
     """
     sold = lines.filter(F.col("status") == DELIVERED).join(
         dishes.select("dish_id", "price"), "dish_id"
     )
-    timed = sold.withColumn("_t", wall_clock_as_utc("requested")).withWatermark("_t", late)
-    days = timed.groupBy(F.window("_t", "1 day")).agg(
+    days = sold.groupBy(F.col("requested").cast("date").alias("day")).agg(
         F.sum(line_amount("qty", "price")).alias("total_sales"), F.count("*").alias("n_lines")
     )
-    start_day = (F.unix_micros(F.col("window.start")) / 86_400_000_000).cast("int")
-    return _to_files(
-        days.select(F.date_from_unix_date(start_day).alias("day"), "total_sales", "n_lines"),
-        out, once,
-    )
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        _only_latest(batch.sparkSession, out, batch_id)
+
+    return _start(days.writeStream.outputMode("complete").foreachBatch(run), out, once)
+
+
+def daily_sales(spark: SparkSession, out: str) -> DataFrame:
+    """Totals as of the last batch."""
+    rows = read_rows(spark, out)
+    last = rows.agg(F.max("batch").alias("b")).first()["b"]
+    return rows.filter(F.col("batch") == F.lit(last)).drop("batch")

@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: str | None = None
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; there a temporary folder is
-    used. On a cluster a machine-local folder would lose data with its executor.
+    Only a local session, whose one machine holds everything, may go without the setting: it gets a
+    folder for the life of the process. On a cluster such a folder would lose data with its executor.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    global _own
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="seatwise-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if _own is None:
+        _own = tempfile.mkdtemp(prefix="seatwise-")
+        atexit.register(shutil.rmtree, _own, ignore_errors=True)
+    return _own
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from seatwise.operators import changes, keys, rules
@@ -67,10 +68,28 @@ def test_order_demo(spark, seed):
         "form_id long, customer_id long, waiter_id long, table_id long, entries array<struct<dish_id: long, qty: int>>")
     heads, lines, rejected = changes.split_order_forms(forms, seed["orders"], ["form_id"])
     assert [(r["order_id"], r["customer_id"]) for r in heads.collect()] == [(7, 24)]
-    assert sorted(tuple(r) for r in lines.collect()) == [(7, 4, 1, 1), (7, 12, 2, 1)]
+    assert lines.columns == ["line_id", "dish_id", "order_id", "status", "qty", "requested"]
+    assert sorted(tuple(r)[:5] for r in lines.collect()) == [(1, 4, 7, 1, 1), (2, 12, 7, 1, 2)]
+    _, lines, _ = changes.split_order_forms(forms, seed["orders"], ["form_id"], seed["order_lines"], F.lit(at("12:00")))
+    assert sorted((r["line_id"], r["requested"]) for r in lines.collect()) == [(13, at("12:00")), (14, at("12:00"))]
     assert sorted(r["form_id"] for r in rejected.collect()) == [2, 3, 4]
 
 
+def test_orders_take_the_table_of_the_seated_customer(spark, seed):
+    forms = spark.createDataFrame([(1, 18, None), (2, 18, 3), (3, 26, None)], "form_id long, customer_id long, table_id long")
+    when = F.lit(str(at("12:30"))).cast("timestamp_ntz")
+    got = changes.with_active_table(forms, seed["slots"], seed["bookings"], when)
+    assert got.columns == forms.columns
+    assert {r["form_id"]: r["table_id"] for r in got.collect()} == {1: 4, 2: 3, 3: None}
+
+
+def test_too_long_slots_are_not_stored(spark, tmp_path):
+    long = frame(spark, "slots", [(1, 1, 1, at("12:00"), 7201)])
+    for write in (lambda: append_rows(long, "slots", str(tmp_path)), lambda: write_slots_by_month(long, str(tmp_path / "m"))):
+        with pytest.raises(Exception, match="slot 1 lasts 7201 s"):
+            write()
+
+
 def test_latest_change_wins_and_null_is_a_value(spark, seed):
     updates = spark.createDataFrame([(5, 2, 1), (5, 3, 2), (6, None, 1), (99, 1, 1)], "line_id long, status int, step int")
     table, changed = changes.apply_updates(seed["order_lines"], updates, "line_id", ["status"], ["step"])

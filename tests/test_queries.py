@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as registered
 import check
+from seatwise.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -16,18 +17,19 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(registered.queries()) and set(ORACLES) <= set(registered.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_sql(spark, con, name):
     assert check.compare(spark, con, FOLDER, name) is None
 
 
-STREAMED = {n for n in registered.queries() if n.startswith("stream_")}
+STREAMED = {n for n in QUERIES if n.startswith("stream_")}
 
 
-@pytest.mark.parametrize("name", sorted(set(registered.queries()) - STREAMED))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMED))
 def test_no_nested_loop_joins(spark, name):
     plan = registered.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
@@ -67,7 +69,38 @@ def test_large_sides_are_not_broadcast(spark):
     """With the size threshold at zero only the per-task counts of new ids are broadcast."""
     for name in ("check_slots", "daily_kpis", "order_detail", "table_availability", "refused_deletes"):
         plan = plan_of(spark, name, **{"spark.sql.autoBroadcastJoinThreshold": "-1"})
-        assert "BroadcastHashJoin" not in plan, name
+        joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+        assert all("[_task#" in line for line in joins), name
+
+
+def scans(spark, name):
+    plan = plan_of(spark, name, **{"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    return plan, plan.count("FileScan parquet")
+
+
+def test_status_reaches_the_scan(spark):
+    for name, flag in (("sales_by_day", "R"), ("ready_lines", "N"), ("delivered_lines", "R"), ("kitchen_load", "A")):
+        assert f"EqualTo(l_returnflag,{flag})" in plan_of(spark, name), name
+
+
+def test_lines_are_read_once(spark):
+    for name in ("daily_kpis", "sales_by_month", "order_totals", "dish_ranking"):
+        assert plan_of(spark, name).count("ReadSchema: struct<l_") == 1, name
+
+
+def test_audits_read_each_table_once_per_part(spark):
+    plan, n = scans(spark, "audit_fks")
+    assert n <= 16 and plan.count("Exchange hashpartitioning") <= 12
+    assert scans(spark, "audit_uniques")[1] <= 12
+
+
+def test_no_bucket_totals_in_one_task(spark):
+    """Without keys only the totals of 38-hour runs, already folded, meet in one window."""
+    plan = plan_of(spark, "overlap_sum_all")
+    assert plan.count("Exchange SinglePartition") > 0
+    for line in plan.splitlines():
+        if "Window" in line and "windowspecdefinition(0" in line:
+            assert "_run" in line
 
 
 def test_entry(spark):

@@ -40,7 +40,7 @@ def test_case_0_valid_booking_is_accepted(spark, seed):
 def test_cases_1_to_4_roles(spark, seed):
     people = seed["role_assignments"], seed["roles"]
     checked = rules.check_bookings(frame(spark, "bookings", [(11, 3, 2, 1)]), *people)
-    assert checked.first()["message"] == "user 3 does not have role CUSTOMER"
+    assert checked.first()["message"] == "user 3 lacks the role CUSTOMER"
     assert only(checked) == "not_customer"
     orders = lambda *row: only(rules.check_orders(frame(spark, "orders", [row]), *people))
     assert orders(7, 17, 9, 1) == "not_waiter"
@@ -111,7 +111,7 @@ def test_capacity_counts_every_touching_booking(spark, seed):
     new = frame(spark, "slots", [(3, 2, 3, at("12:30"), 3600), (4, 2, 3, at("14:00"), 3600)])
     checked = {r["slot_id"]: r for r in rules.check_slots(new, slots, bookings, tables).collect()}
     assert checked[3]["rule"] == "over_capacity"
-    assert checked[3]["message"] == "capacity exceeded: occupied=8 new=1 capacity=8"
+    assert checked[3]["message"] == "8 people and 1 more are too many for 8 seats"
     assert checked[4]["rule"] is None
     audit = rules.audit_capacity(slots, bookings, tables)
     assert audit.count() == 0
@@ -128,6 +128,26 @@ def test_update_leaves_out_the_stored_row(spark, seed):
     assert moved == "table_overlap"     # table 5 is taken by slot 4
 
 
+@pytest.mark.parametrize("start,duration", [(None, 7200), ("18:00", 0), ("18:00", 10800), ("18:00", None), ("18:00", 10**9)])
+def test_invalid_slots_are_refused_last(spark, seed, start, duration):
+    b = extended(spark, seed, (27, 4, 1))
+    start = start and at(start)
+    assert slot_rule(spark, seed, (10, 12, 11, start, duration), b) in ("slot_invalid", "over_capacity")
+    assert slot_rule(spark, seed, (10, 12, 11, start, duration), b, seed["slots"].limit(0)) == "slot_invalid"
+    assert slot_rule(spark, seed, (10, 99, 11, start, duration), b) == "table_missing"
+
+
+def test_rules_on_absent_columns_are_an_error(spark):
+    with pytest.raises(ValueError, match="slots lacks the columns start, table_id"):
+        rules.check_columns(spark.sql("SELECT 1L AS slot_id, 1L AS booking_id, 5L AS duration_s"), "slots")
+
+
+def test_column_audit_counts_per_rule(spark, seed):
+    lines = seed["order_lines"].unionByName(frame(spark, "order_lines", [(13, 4, 1, 99, 1, "2026-04-13 16:00:00")]))
+    got = rules.audit_columns({**seed, "order_lines": lines, "users": seed["users"].withColumn("password_digest", F.lit(b"1"))})
+    assert [tuple(r) for r in got.collect()] == [("order_lines", "status_invalid", 1)]
+
+
 @pytest.mark.parametrize("table,row,rule", [
     ("dining_tables", (16, 0), "seats_invalid"),
     ("dining_tables", (16, None), "seats_missing"),
@@ -172,7 +192,9 @@ def test_stored_audits(spark, seed):
         (22, 1, 3, at("20:00"), 7200),       # party of 6 on 2 seats; second slot of booking 3
     ]))
     found = {tuple(r) for r in rules.audit_overlaps(slots, seed["bookings"], seed["dining_tables"]).collect()}
-    assert found == {("overlap", 4, 2, 21), ("party_too_big", 1, 22, None)}
+    assert found == {("overlap", 4, 2, 1), ("overlap", 4, 21, 1), ("party_too_big", 1, 22, None)}
+    pairs = rules.overlapping_slots(slots, seed["bookings"]).collect()
+    assert [tuple(r) for r in pairs] == [(4, 2, 21)]
     counts = rules.overlap_counts(slots, seed["bookings"]).collect()
     assert sorted(tuple(r) for r in counts) == [(4, 2, 1), (4, 21, 1)]
     repeated = rules.audit_repeated_bookings(slots).collect()

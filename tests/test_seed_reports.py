@@ -189,7 +189,7 @@ def test_columns(spark):
     digest = spark.range(1).select(F.lower(F.hex(C.sha256_digest(F.lit("abc"))))).first()[0]
     assert digest == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
     text = spark.range(1).select(C.ready_text(F.lit(3), F.lit("Ann"))).first()[0]
-    assert text == "Order #3 is ready to be served. Waiter: Ann."
+    assert text == "Order 3 waits at the pass for Ann"
 
 
 @pytest.mark.parametrize("zone", ["America/Bogota", "UTC", "Europe/Madrid"])

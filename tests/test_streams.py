@@ -32,7 +32,7 @@ def test_ready_alerts_resume(spark, seed, tmp_path):
         return as_set(live.read_rows(spark, out), "order_id", "table_id", "message")
 
     feed(seed["order_lines"].filter("line_id <= 5"), source, "lines")
-    assert run() == {(2, 4, "Order #2 is ready to be served. Waiter: Person 04.")}
+    assert run() == {(2, 4, "Order 2 waits at the pass for Person 04")}
     feed(seed["order_lines"].filter("line_id > 5"), source, "lines")
     assert {r[:2] for r in run()} == {(2, 4), (4, 5), (6, 9)}
     assert live.read_rows(spark, out).count() == 3
@@ -76,35 +76,60 @@ def test_live_board_keeps_the_latest_across_batches(spark, tmp_path):
     assert run([(1, at("11:00"), 4, 1), (2, at("12:00"), 5, 3), (3, at("12:00"), 6, 1)]) == {(1, 2), (2, 3), (3, 1)}
 
 
-def test_daily_sales_close_days_and_drop_late_rows(spark, seed, tmp_path):
+def test_batches_without_rows_write_nothing(spark, seed, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    feed(spark.createDataFrame([(at("13:40"),), (None,)], "at timestamp_ntz"), source, "ticks")
+    feed(seed["order_lines"], source, "lines")
+    none = spark.readStream.schema("at timestamp_ntz").parquet(f"{source}/ticks").filter("at > timestamp_ntz'2030-01-01'")
+    args = seed["slots"], seed["bookings"], seed["users"]
+    orders = seed["orders"].withColumn("placed", F.lit(str(at("12:00"))).cast("timestamp_ntz"))
+    live.stream_table_board(none, seed["dining_tables"], *args, orders, f"{out}/b").awaitTermination()
+    live.stream_upcoming_alerts(none, *args, out=f"{out}/u").awaitTermination()
+    lines = spark.readStream.schema(seed["order_lines"].schema).parquet(f"{source}/lines").filter("line_id < 0")
+    live.stream_ready_alerts(lines, seed["orders"], seed["users"], seed["dishes"], f"{out}/r").awaitTermination()
+    assert not any((tmp_path / "out" / name / "rows").exists() for name in "bur")
 
-    def run(*rows):
-        feed(spark.createDataFrame([(0, 12, 1, 3, q, t) for q, t in rows], LINES), source, "lines")
-        lines = spark.readStream.schema(LINES).parquet(f"{source}/lines")
-        live.stream_daily_sales(lines, seed["dishes"], out).awaitTermination()
-        return as_set(live.read_rows(spark, out), "day", "total_sales")
 
-    d = datetime
-    first = run((1, d(2026, 4, 13, 23, 59)), (1, d(2026, 4, 14, 0, 0)), (1, d(2026, 4, 14, 0, 30)))
-    assert first == set()       # the watermark is still inside the 13th
-    # a row for the 13th that is late but within the hour still counts
-    second = run((2, d(2026, 4, 13, 23, 40)), (1, d(2026, 4, 15, 2, 0)))
-    assert second == {(date(2026, 4, 13), Decimal("21000.00")), (date(2026, 4, 14), Decimal("14000.00"))}
-    # one for a closed day is dropped
-    third = run((9, d(2026, 4, 13, 12, 0)), (1, d(2026, 4, 16, 2, 0)))
-    assert third == second | {(date(2026, 4, 15), Decimal("7000.00"))}
+def test_compaction_keeps_the_board(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "k long, ts timestamp_ntz, v int"
+    for minute in range(4):
+        feed(spark.createDataFrame([(minute % 2, at(f"12:{minute:02d}"), minute), (9, at("12:00"), 9)], schema), source, "ev")
+        events = spark.readStream.schema(schema).parquet(f"{source}/ev")
+        live.stream_live_board(events, "k", ["v"], ["ts"], out).awaitTermination()
+    before = as_set(live.live_board(spark, out, "k"), "k", "v")
+    live.compact_board(spark, out, "k")
+    assert as_set(live.live_board(spark, out, "k"), "k", "v") == before == {(0, 2), (1, 3), (9, 9)}
+    assert len(list((tmp_path / "out" / "rows").glob("batch=*"))) == 1
 
 
-def test_closed_days_equal_batch(spark, seed, tmp_path):
+def test_daily_sales_count_late_rows_and_open_days(spark, seed, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    days = [20, 5, 6, 20, 5]
+    for i, day in enumerate(days):
+        rows = [(i, 12, 1, 3, 1 + i, datetime(2026, 4, day, 12, 0)), (50 + i, 12, 1, 1, 7, datetime(2026, 4, day))]
+        feed(spark.createDataFrame(rows, LINES), source, "lines")
+    lines = spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).parquet(f"{source}/lines")
+    live.stream_daily_sales(lines, seed["dishes"], out).awaitTermination()
+    got = as_set(live.daily_sales(spark, out), "day", "total_sales", "n_lines")
+    want = {(date(2026, 4, 20), Decimal(35000), 2), (date(2026, 4, 5), Decimal(49000), 2), (date(2026, 4, 6), Decimal(21000), 1)}
+    assert got == want
+    # only the last two states are kept, and a later run goes on from there
+    assert len(list((tmp_path / "out" / "rows").glob("batch=*"))) == 2
+    feed(spark.createDataFrame([(9, 12, 1, 3, 1, datetime(2026, 4, 1, 0, 0))], LINES), source, "lines")
+    again = spark.readStream.schema(LINES).parquet(f"{source}/lines")
+    live.stream_daily_sales(again, seed["dishes"], out).awaitTermination()
+    assert as_set(live.daily_sales(spark, out), "day", "total_sales", "n_lines") == want | {(date(2026, 4, 1), Decimal(7000), 1)}
+
+
+def test_shuffled_files_equal_batch(spark, seed, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     lines = spark.range(400).select(
         F.col("id").alias("line_id"), (1 + F.col("id") % 14).alias("dish_id"), F.lit(1).cast("long").alias("order_id"),
         (1 + F.col("id") % 3).cast("int").alias("status"), F.lit(2).alias("qty"),
         (F.lit(str(at("00:00", 1))).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("id") * 3).cast("int"))).alias("requested"))
-    feed(lines, source, "lines")
-    stream = live.file_stream(spark, f"{source}/lines", "*.parquet", lines.schema)
+    lines.repartition(6).write.parquet(f"{source}/lines")
+    stream = live.file_stream(spark, f"{source}/lines", "*.parquet", lines.schema, maxFilesPerTrigger="1")
     live.stream_daily_sales(stream, seed["dishes"], out).awaitTermination()
-    got = as_set(live.read_rows(spark, out), "day", "total_sales")
-    batch = as_set(service.sales_by_period(lines, seed["dishes"], "day"), "day", "total_sales")
-    assert got <= batch and len(batch) - len(got) == 1
+    got = as_set(live.daily_sales(spark, out), "day", "total_sales")
+    assert got == as_set(service.sales_by_period(lines, seed["dishes"], "day"), "day", "total_sales")
