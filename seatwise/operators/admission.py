@@ -21,11 +21,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seatwise.functions.columns import CANCELLED, OCCUPIED, RESERVED, overlaps
+from seatwise.functions.columns import CANCELLED, overlaps
 from seatwise.operators.intervals import BUCKET_US, in_buckets, islands, with_bounds
 from seatwise.operators.rules import (
-    _judge, booking_has_slot_rule, placement_rules, slot_invalid_rule, table_overlap_rule, valid_slot,
-    with_placement, with_stored_conflicts,
+    _judge, booking_has_slot_rule, placement_rules, slot_invalid_rule, stored_slots, table_overlap_rule,
+    valid_slot, with_placement, with_stored_conflicts,
 )
 from seatwise.workspace import cut_lineage
 
@@ -156,7 +156,7 @@ def admit_slots(
     rank = F.struct(*[F.col(c) for c in arrival], F.col("slot_id"))
     timed = with_bounds(candidates)
     placed = with_placement(timed, bookings, tables).withColumn("_rank", rank)
-    checked = with_stored_conflicts(placed, timed, existing, bookings)
+    checked = with_stored_conflicts(placed, timed, stored_slots(existing, bookings))
     first = _judge(checked, checked.columns, [
         *placement_rules(),
         table_overlap_rule(F.col("_crossed")),

@@ -16,7 +16,8 @@ from seatwise.functions.columns import (
 )
 from seatwise.operators.intervals import overlap_join, overlap_sum, overlaps_any, with_bounds
 from seatwise.operators.joins import blocking_slots, booked_slots
-from seatwise.sources.schemas import FOREIGN_KEYS, TABLES, UNIQUE_KEYS, ForeignKey
+from seatwise.sources.schemas import FOREIGN_KEYS, UNIQUE_KEYS, ForeignKey
+from seatwise.workspace import cut_lineage
 
 Rule = tuple[str, Column, Column]
 
@@ -148,30 +149,35 @@ def with_placement(candidates: DataFrame, bookings: DataFrame, tables: DataFrame
     )
 
 
+def stored_slots(slots: DataFrame, bookings: DataFrame) -> DataFrame:
+    """Slots with their bounds and with the size and status of their booking, written once:
+    the checks of a batch read them several times."""
+    rows = with_bounds(booked_slots(slots, bookings.select("booking_id", "party_size", "status")))
+    return cut_lineage(rows.select("slot_id", "table_id", "booking_id", "_s", "_e", "party_size", "status"))
+
+
 def with_stored_conflicts(
-    placed: DataFrame, candidates: DataFrame, slots: DataFrame, bookings: DataFrame,
-    update: bool = False,
+    placed: DataFrame, candidates: DataFrame, stored: DataFrame, update: bool = False
 ) -> DataFrame:
     """Add ``_crossed`` (does a stored slot block the table then?) and ``_slots`` (stored slots
-    of the booking). ``placed`` are the ``candidates`` with more columns. With ``update`` a
-    stored row of the same ``slot_id`` is left out.
+    of the booking). ``placed`` are the ``candidates`` with more columns, ``stored`` comes from
+    ``stored_slots``. With ``update`` a stored row of the same ``slot_id`` is left out.
 
     Overlaps come from running totals and slots from a grouped count: a busy table or a
     much-repeated booking makes no pairs.
     """
-    stored = with_bounds(blocking_slots(slots, bookings))
+    blocking = stored.filter(F.col("status") != CANCELLED)
     if update:
-        df = overlap_sum(placed, stored, F.lit(1), "_overlaps", ["table_id"], candidates)
+        df = overlap_sum(placed, blocking, F.lit(1), "_overlaps", ["table_id"], candidates)
     else:
-        df = overlaps_any(placed, stored, "_crossed", ["table_id"], candidates)
-    per_booking = slots.groupBy("booking_id").agg(F.count("*").alias("_slots"))
+        df = overlaps_any(placed, blocking, "_crossed", ["table_id"], candidates)
+    per_booking = stored.groupBy("booking_id").agg(F.count("*").alias("_slots"))
     df = df.join(per_booking, "booking_id", "left").withColumn(
         "_slots", F.coalesce("_slots", F.lit(0))
     )
     if not update:
         return df
-    own = with_bounds(slots.join(bookings.select("booking_id", "status", "party_size"), "booking_id"))
-    own = own.select(
+    own = stored.select(
         "slot_id", F.col("table_id").alias("_own_table"), F.col("booking_id").alias("_own_booking"),
         F.col("_s").alias("_own_s"), F.col("_e").alias("_own_e"),
         F.col("status").alias("_own_status"), F.col("party_size").alias("_own_size"),
@@ -199,12 +205,11 @@ def check_slots(
     First failure wins: booking missing, table missing, party too big, table overlap,
     booking already has a slot, restaurant capacity exceeded, start or duration invalid.
     """
-    timed = with_bounds(candidates)
-    df = with_stored_conflicts(
-        with_placement(timed, bookings, tables), timed, slots, bookings, update
-    )
-    live = with_bounds(booked_slots(slots, bookings.filter(F.col("status").isin(RESERVED, OCCUPIED))))
-    df = overlap_sum(df, live, "party_size", "_people", bounds_from=timed)
+    placed = cut_lineage(with_placement(with_bounds(candidates), bookings, tables))
+    stored = stored_slots(slots, bookings)
+    df = with_stored_conflicts(placed, placed, stored, update)
+    live = stored.filter(F.col("status").isin(RESERVED, OCCUPIED))
+    df = overlap_sum(df, live, "party_size", "_people", bounds_from=placed)
     people = F.col("_people") - F.col("_own_people") if update else F.col("_people")
     df = df.withColumn("_taken", people).withColumn(
         "_capacity", tables.agg(F.coalesce(F.sum("seats"), F.lit(0))).scalar()

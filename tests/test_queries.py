@@ -94,6 +94,11 @@ def test_audits_read_each_table_once_per_part(spark):
     assert scans(spark, "audit_uniques")[1] <= 12
 
 
+def test_slot_checks_read_what_was_written_once(spark):
+    for name in ("check_slots", "recheck_slots"):
+        assert scans(spark, name)[1] <= 1, name
+
+
 def test_no_bucket_totals_in_one_task(spark):
     """Without keys only the totals of 38-hour runs, already folded, meet in one window."""
     plan = plan_of(spark, "overlap_sum_all")
