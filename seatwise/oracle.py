@@ -137,6 +137,7 @@ def _board(at: str, extra: str = "") -> str:
 
 
 ORACLES["table_board"] = _board(AS_OF)
+ORACLES["table_board_now"] = _board("CAST(now() AS TIMESTAMP)")
 ORACLES["seated_customers"] = _sql(
     f"SELECT b.customer_id, u.name, b.booking_id, b.table_id FROM booked b JOIN users u ON u.user_id = b.customer_id "
     f"WHERE {AS_OF} BETWEEN b.start AND b.finish", "booked", "users")
@@ -252,6 +253,8 @@ ORACLES["check_bookings"] = _sql(
     f"SELECT b.*, CASE WHEN NOT {_role('b.customer_id', 'CUSTOMER')} THEN 'not_customer' END AS rule, "
     f"CASE WHEN NOT {_role('b.customer_id', 'CUSTOMER')} THEN {_lacks('b.customer_id', 'CUSTOMER')} END AS message "
     "FROM bookings b", "bookings", "user_roles")
+ORACLES["accepted_bookings"] = _sql(
+    "SELECT * FROM bookings WHERE customer_id IN (SELECT user_id FROM user_roles WHERE role = 'CUSTOMER')", "bookings", "user_roles")
 ORACLES["check_orders"] = _sql(
     f"WITH c AS (SELECT o.*, {_role('o.waiter_id', 'WAITER')} AS w, {_role('o.customer_id', 'CUSTOMER')} AS c FROM ords o) "
     "SELECT order_id, customer_id, waiter_id, table_id, CASE WHEN NOT w THEN 'not_waiter' WHEN NOT c THEN 'not_customer' "
@@ -436,6 +439,9 @@ ORACLES["changed_rows"] = _sql(
 ORACLES["apply_deletes"] = _sql(
     "SELECT 'bookings' AS table_name, booking_id AS id FROM bookings WHERE status = 4 UNION ALL "
     "SELECT 'slots', slot_id FROM booked WHERE status = 4", "booked")
+ORACLES["table_changes"] = _sql(
+    "SELECT table_id, CAST(CASE seats WHEN 2 THEN 3 ELSE seats END AS INTEGER) AS seats FROM dining_tables "
+    "WHERE table_id IN (SELECT table_id FROM slots UNION SELECT table_id FROM ords)", "dining_tables", "slots", "ords")
 ORACLES["refused_deletes"] = _sql(
     "WITH refs AS (SELECT DISTINCT customer_id AS user_id, 'bookings.customer_id' AS blocked_by FROM bookings UNION "
     "SELECT customer_id, 'orders.customer_id' FROM ords UNION SELECT waiter_id, 'orders.waiter_id' FROM ords UNION "

@@ -86,6 +86,14 @@ def table_board(m):
     )
 
 
+@query
+def table_board_now(m):
+    """The board as of the current time, long after the last slot here."""
+    return floor.table_board(
+        m.dining_tables(), m.slots(), m.bookings(), m.users(), m.floor_orders()
+    )
+
+
 @query
 def seated_customers(m):
     return floor.seated_customers(m.slots(), m.bookings(), m.users(), AS_OF)
@@ -265,6 +273,11 @@ def check_bookings(m):
     return rules.check_bookings(m.bookings(), m.role_assignments(), m.roles())
 
 
+@query
+def accepted_bookings(m):
+    return rules.accepted(rules.check_bookings(m.bookings(), m.role_assignments(), m.roles()))
+
+
 @query
 def check_orders(m):
     return rules.check_orders(m.orders(), m.role_assignments(), m.roles())
@@ -430,6 +443,17 @@ def apply_deletes(m):
     )
 
 
+@query
+def table_changes(m):
+    """Tables of 2 get a third seat, and every table is asked to go: those with slots or orders stay."""
+    tables = m.dining_tables()
+    asked = tables.filter("seats = 2").select("table_id", F.lit(3).alias("seats"), F.lit(1).alias("step"))
+    changed, _ = changes.apply_updates(tables, asked, "table_id", ["seats"], ["step"])
+    model = {**_stored(m, "slots", "orders"), "dining_tables": changed}
+    left, _, _ = changes.apply_deletes(model, "dining_tables", tables)
+    return left["dining_tables"]
+
+
 @query
 def refused_deletes(m):
     """Every user asked to be deleted; bookings, orders and preparations keep theirs."""
