@@ -159,10 +159,14 @@ class Graph:
         self.links = np.array(links, np.int64).reshape(-1, 3)
 
     def inputs(self) -> np.ndarray:
-        x = np.zeros((len(self.on), FEATURES))
-        for i, on in enumerate(self.on):
-            x[i, on] = 1
-        return x
+        return _inputs(self.on)
+
+
+def _inputs(on: list[list[int]]) -> np.ndarray:
+    x = np.zeros((len(on), FEATURES))
+    for i, positions in enumerate(on):
+        x[i, positions] = 1
+    return x
 
 
 class Field:
@@ -196,12 +200,19 @@ class Field:
         return node, joint / joint.sum(axis=(1, 2), keepdims=True)
 
 
-def fit(texts: list[str], steps: int = 120, rate: float = 0.15, decay: float = 1e-3, blank: float = 0.25) -> Field:
+def fit(texts: list[str], **settings: float) -> Field:
+    graph = Graph(texts)
+    return fit_words(graph.on, graph.label, graph.links, **settings)
+
+
+def fit_words(
+    on: list[list[int]], label: list[int], links: np.ndarray,
+    steps: int = 120, rate: float = 0.15, decay: float = 1e-3, blank: float = 0.25,
+) -> Field:
     """Fits the field to the patterns' own findings: the gradient is what is seen less what the
     beliefs expect. In each step a part ``blank`` of the words shows no features, so that links
     learn to stand in for them. Without any nodes the field is empty and adds nothing."""
-    graph = Graph(texts)
-    x, links, y = graph.inputs(), graph.links, np.eye(_LABELS)[np.array(graph.label, np.int64)]
+    x, y = _inputs(on), np.eye(_LABELS)[np.array(label, np.int64)]
     field = Field(np.zeros((FEATURES, _LABELS)), np.zeros((2, _LABELS, _LABELS)))
     if not len(x):
         field.single[0, 0] = 9.0
@@ -249,14 +260,31 @@ def _all_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int]
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Broadcast:
-    """The field, fitted on the ``sample`` documents with a digit or @ whose ids hash lowest."""
+    """The field, fitted on the ``sample`` documents with a digit or @ whose ids hash lowest. Their words
+    become features where the documents are; the driver gets those and no text."""
     ids = docs.filter(F.col("text").rlike("[0-9@]")).select("doc_id").distinct()
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
         F.min("text").alias("text")
     )
-    texts = [r.text for r in rows.orderBy("doc_id").toLocalIterator()]
-    return docs.sparkSession.sparkContext.broadcast(fit(texts))
+
+    @F.pandas_udf("on array<array<int>>, label array<int>, links array<array<int>>")
+    def graphs(texts: pd.Series) -> pd.DataFrame:
+        made = [Graph([t]) for t in texts]
+        return pd.DataFrame({
+            "on": [g.on for g in made], "label": [g.label for g in made], "links": [g.links.tolist() for g in made],
+        })
+
+    on: list[list[int]] = []
+    label: list[int] = []
+    links: list[np.ndarray] = []
+    for r in rows.select("doc_id", graphs("text").alias("g")).orderBy("doc_id").toLocalIterator():
+        own = np.array(r.g.links, np.int64).reshape(-1, 3)
+        links.append(own + np.array([len(on), len(on), 0]))
+        on += r.g.on
+        label += r.g.label
+    field = fit_words(on, label, np.concatenate([np.zeros((0, 3), np.int64), *links]))
+    return docs.sparkSession.sparkContext.broadcast(field)
 
 
 def spans_column(text: str, field: Broadcast) -> Column:
