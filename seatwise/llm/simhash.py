@@ -225,5 +225,7 @@ def first_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     held = numbered(docs, "prints", fingerprint_column(text, shingle).alias("fp"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "n"))
     prints = held.select("n", F.col("row.doc_id").alias("doc_id"), "fp")
-    kept = prints.join(groups(prints, radius), "fp").groupBy("root").agg(least.alias("k")).select("k.n")
+    # One row per fingerprint before the join, however many copies share it.
+    firsts = prints.groupBy("fp").agg(least.alias("k"))
+    kept = firsts.join(groups(prints, radius), "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.n")
     return held.join(kept, "n", "left_semi").select("row.*")
