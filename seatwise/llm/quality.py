@@ -141,7 +141,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Broadcast
     rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("f").alias("f"))
     found = rows.select("doc_id", "label", "f.at", "f.value").toArrow().sort_by("doc_id")
     label = found.column("label").to_numpy()
-    inputs = [(np.array(a, np.int64), np.array(v)) for a, v in zip(found.column("at").to_pylist(), found.column("value").to_pylist())]
+    at, value = (found.column(c).combine_chunks() for c in ("at", "value"))
+    cuts = at.offsets.to_numpy()
+    at, value = at.values.to_numpy().astype(np.int64), value.values.to_numpy()
+    inputs = [(at[i:j], value[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
     weight = np.ones(len(label))
     for k in (0, 1):
         if (label == k).any():
