@@ -23,17 +23,23 @@ SHARD = 8192
 STEP = 1 << 21
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64 bits: each is 1 if it is set in over half of the shingles' XXH64. No words: 0."""
-    tokens = words(text)
-    if not tokens:
-        return 0
+def shingle_hashes(tokens: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, or of all words if there are fewer (at least one)."""
     line = b" ".join(tokens)
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(line)]
     n = max(1, len(tokens) - shingle + 1)
     pieces = map(line.__getitem__, map(slice, starts[:n], ends[min(shingle, len(tokens)) - 1 :]))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(42)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(42)), np.uint64, n)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """64 bits: each is 1 if it is set in over half of the shingles' XXH64. No words: 0."""
+    tokens = words(text)
+    if not tokens:
+        return 0
+    hashes = shingle_hashes(tokens, shingle)
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 15):
         octets = hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
