@@ -17,10 +17,10 @@ SHARE = 0.1
 # Winners up to this size go to every task; beyond it pages and winners are joined by host.
 BROADCAST_BYTES = 64 << 20
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[\"'])*+)>",
-    re.S,
-)
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+# Attributes up to the end of the tag, if no quoted value has a < or > in it.
+_PLAIN = re.compile(r"[^<>\"']*+(?:(?<==)(?:\"[^\"<>]*+\"|'[^'<>]*+')[^<>\"']*+)*+>")
+_UNQUOTED = re.compile(r"[^<>\"']*+")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _DIGITS = re.compile(r"\d+")
 
@@ -65,23 +65,46 @@ class Page:
         self.blocks: list[tuple[_Node, str, int]] = []
         self._text: list[str] = []
         self._linked = self._in_link = 0
-        at = 0
-        while found := _TAG.search(html, at):
+        at = look = 0
+        self._dead: set[int] = set()
+        while found := _MARK.search(html, look):
+            end = found.end() if not found[2] else self._tag_end(html, found.end())
+            if end < 0:
+                look = found.start() + 1
+                continue
             self._add(html[at : found.start()])
-            at = found.end()
+            at = look = end
             if not found[2]:
                 continue
-            tag = found[2].lower()
+            tag, rest = found[2].lower(), html[found.end() : end - 1]
             if found[1]:
                 self._close(tag)
             elif tag in _RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at) if not found[3].endswith("/") else None
-                at = end.end() if end else (len(html) if tag in ("script", "style") and not found[3].endswith("/") else at)
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at) if not rest.endswith("/") else None
+                at = look = end.end() if end else (len(html) if tag in ("script", "style") and not rest.endswith("/") else at)
             else:
-                self._open(tag, found[3])
+                self._open(tag, rest)
         self._add(html[at:])
         self._flush()
 
+    def _tag_end(self, html: str, at: int) -> int:
+        """Behind the > of the tag whose name ends at ``at``, -1 if there is none. A quote after = holds up to the next
+        one like it, however far; any other quote stands for itself. Quotes from which no end is
+        found are remembered, so that none is followed twice."""
+        if plain := _PLAIN.match(html, at):
+            return plain.end()
+        start, seen = at, []
+        while True:
+            i = _UNQUOTED.match(html, at).end()
+            if i >= len(html) or html[i] == "<" or i in self._dead:
+                self._dead.update(seen)
+                return -1
+            if html[i] == ">":
+                return i + 1
+            seen.append(i)
+            close = html.find(html[i], i + 1) if html[start:i].rstrip().endswith("=") else -1
+            start = at = (close if close >= 0 else i) + 1
+
     def _add(self, raw: str) -> None:
         if raw and not self.stack[-1].dropped:
             self._text.append(raw)

@@ -63,3 +63,14 @@ def test_rows_in_any_state(spark):
     assert len(got) == len(rows) and sorted(t for d, t in got if d in (2, 3)) == ["", ""]
     assert [t for d, t in got if d in (1, 4)] == [WANT] * 3 and dict(got)[5].count("\n") == 8999
     assert html.main_texts(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("value", ['"' + "a > b, it's <b>x</b> " * 400 + '"', "'" + '{"k": "<p>no</p>"} ' * 400 + "'"])
+def test_long_attribute_values_are_no_text(value):
+    page = Page(f"<body><div class=nav data-props={value}>menu</div><article data-x={value}>{BODY}<p>It's the end.</p></article>")
+    assert page.main_text([]) == WANT + "\nIt's the end."
+
+
+@pytest.mark.parametrize("page", ['<a x="' * 30_000, "<a x='>\"" * 30_000, "<a x=\"'<a x='\"" * 20_000])
+def test_open_quotes_stay_linear(page):
+    assert isinstance(Page(page).main_text([]), str)
