@@ -33,6 +33,7 @@ _BLOCK = frozenset(
 )
 _DROP = frozenset("nav header footer aside form menu button dialog label legend option head".split())
 _CONTAINER = frozenset("article main section div td body html".split())
+_AROUND = frozenset(("form", "nav", "header"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
 _NOISE = re.compile(
@@ -45,21 +46,62 @@ _HEAD_NAME = re.compile(r"(?:^|[-_\s])(?:header|head|masthead)(?=[-_\s]|$)", re.
 _GOOD_NAME = re.compile(r"(?:^|[-_\s])(?:article|content|post|entry|story|main|text|body)(?=[-_\s]|$)", re.I)
 
 
+# Unlinked text below a noise name counts this much when the page's main block is looked for; text in an article or main
+# below it counts whole, unless the name is that of remarks or of other articles, or an article elsewhere has text.
+_PENALTY = 0.1
+_OTHERS = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|respond|disqus|related|recommended)(?=[-_\s]|$)", re.I)
+
+
 class _Node:
-    __slots__ = ("tag", "names", "parent", "dropped", "inner", "path", "score", "heading")
+    """``named`` is the closest node around or at this one that is dropped by its name alone, ``hard`` tells of other reasons."""
+
+    __slots__ = ("tag", "names", "parent", "hard", "named", "inner", "path", "score", "heading", "order", "plain", "main")
 
-    def __init__(self, tag: str, names: str, classes: str, parent: _Node | None, dropped: bool, inner: bool):
-        self.tag, self.names, self.parent, self.dropped, self.inner = tag, names, parent, dropped, inner
+    def __init__(self, tag: str, names: str, classes: str, parent: _Node | None, hard: bool, named: bool, inner: bool):
+        self.tag, self.names, self.parent, self.hard, self.inner = tag, names, parent, hard, inner
+        self.named = self if named else parent.named if parent else None
+        self.order = self.plain = self.main = 0
         step = tag + "".join(f".{c}" for c in sorted(set(_DIGITS.sub("0", classes).lower().split())))
         self.path = f"{parent.path}/{step}" if parent else step
         self.score, self.heading = 0.0, False
 
+    @property
+    def dropped(self) -> bool:
+        return self.hard or self.named is not None
+
 
 class Page:
     """The blocks of a page: (node, text, characters in links), in page order, without what is never main text."""
 
     def __init__(self, html: str):
-        self.root = _Node("#", "", "", None, False, False)
+        self._kept: set[int] = set()
+        self._parse(html)
+        while found := self._misnamed():
+            self._kept |= found
+            self._parse(html)
+
+    def _misnamed(self) -> set[int]:
+        """The nodes dropped by their names that hold the page's main block; none if it is elsewhere."""
+        kept = sum(len(text) - linked for _, text, linked in self.blocks)
+        article = any(node.inner and len(text) > linked for node, text, linked in self.blocks)
+        best, top = None, float(kept)
+        for node in self.nodes:
+            if node.named is node and not node.hard and node.plain:
+                others = any(_OTHERS.search(n.names) for n in self._around(node))
+                worth = node.main if node.main and not article and not others else 0
+                worth += _PENALTY * (node.plain - worth)
+                if worth > top:
+                    best, top = node, worth
+        return {n.order for n in self._around(best) if n.named is n} if best is not None else set()
+
+    @staticmethod
+    def _around(node: _Node) -> Iterator[_Node]:
+        while node is not None:
+            yield node
+            node = node.parent
+
+    def _parse(self, html: str) -> None:
+        self.root = _Node("#", "", "", None, False, False, False)
         self.stack = [self.root]
         self.nodes: list[_Node] = []
         self.blocks: list[tuple[_Node, str, int]] = []
@@ -106,7 +148,12 @@ class Page:
             start = at = (close if close >= 0 else i) + 1
 
     def _add(self, raw: str) -> None:
-        if raw and not self.stack[-1].dropped:
+        node = self.stack[-1]
+        if raw and node.named is not None and not node.hard and not self._in_link:
+            size = len(" ".join(raw.split()))
+            node.named.plain += size
+            node.named.main += size if node.inner else 0
+        if raw and not node.dropped:
             self._text.append(raw)
             if self._in_link:
                 self._linked += len(raw)
@@ -168,16 +215,19 @@ class Page:
         if tag in ("article", "main") and parent.dropped:
             # A form around the page, or a menu that was never closed, does not take the article along.
             above = self.stack[1:]
-            if all(n.tag in ("form", "nav", "header") or not n.dropped or n.parent.dropped for n in above):
+            first = next(n for n in above if n.dropped)
+            if first.tag in _AROUND:
+                for n in above:
+                    n.hard, n.named = False, None
+            elif (first := next((n for n in above if n.hard), first)).tag in _AROUND:
                 for n in above:
-                    n.dropped = False
+                    n.hard = False
         header = tag == "header" or bool(_HEAD_NAME.search(names))
-        dropped = (
-            parent.dropped or hidden or role in _ROLES or tag in _DROP and tag != "header"
-            or tag not in ("body", "html", "article", "main") and tag not in _HEADINGS and bool(_NOISE.search(names))
-            or header and not parent.inner and tag not in _HEADINGS and tag not in ("body", "html", "article", "main")
-        )
-        node = _Node(tag, names, classes, parent, dropped, inner)
+        outside = tag not in _HEADINGS and tag not in ("body", "html", "article", "main")
+        hard = parent.hard or hidden or role in _ROLES or tag in _DROP and tag != "header" or tag == "header" and not parent.inner
+        named = outside and (bool(_NOISE.search(names)) or header and tag != "header" and not parent.inner)
+        node = _Node(tag, names, classes, parent, hard, named and len(self.nodes) not in self._kept, inner)
+        node.order = len(self.nodes)
         self.stack.append(node)
         self.nodes.append(node)
 

@@ -74,3 +74,14 @@ def test_long_attribute_values_are_no_text(value):
 @pytest.mark.parametrize("page", ['<a x="' * 30_000, "<a x='>\"" * 30_000, "<a x=\"'<a x='\"" * 20_000])
 def test_open_quotes_stay_linear(page):
     assert isinstance(Page(page).main_text([]), str)
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "content-with-sidebar", "no-header", "elementor-widget-container", "search-results"])
+@pytest.mark.parametrize("inside", ["<article>{}</article>", "<main>{}</main>", "{}", "<form><article>{}</article></form>"])
+def test_wrappers_with_noise_names_keep_the_article(spark, name, inside):
+    side = "<div class=sidebar><p>side</p></div><div class=comments><p>I think so.</p></div>"
+    page = f"<body><div class=menu><a href=x>m</a></div><div class='{name}'>{inside.format(BODY)}{side}</div><footer>f</footer></body>"
+    assert Page(page).main_text([]) == WANT
+    if inside == "{}":
+        got = html.main_texts(spark.createDataFrame([(1, "http://a/b", page)] * 3, "page_id long, url string, html string")).collect()
+        assert [r.text for r in got] == [WANT] * 3
