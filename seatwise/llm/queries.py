@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatwise.llm import chat, decontaminate, html, langid, lm, mixing, neighbours, pii, quality, simhash
+from seatwise.llm import (
+    chat, decontaminate, filters, html, langid, lm, mixing, neighbours, pieces, pii, quality, simhash, whitening,
+)
 from seatwise.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,11 +91,32 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_piece_ids(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    model = pieces.load(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = pieces.encode(read(spark, folder, "documents"), "doc_id", "text", model)
+    return pieces.decode(encoded, "key", "ids", model).select(
+        F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return whitening.whiten(rows)
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filters.filter_audit(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_language_model, op2_simhash_groups, op3_language, op4_main_text, op5_personal_data, op6_neighbours,
-        op7_contamination, op8_mixing_schedule,
-        op9_quality, op10_chat_format,
+        op7_contamination, op8_mixing_schedule, op9_quality, op10_chat_format, op11_piece_ids, op12_whitening,
+        op13_filter_audit,
     )
 }
 
@@ -148,4 +171,51 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op7_contamination": _CONTAMINATION, "op10_chat_format": _CHAT}
+# All orders by joins of distinct letters; every step is judged on the documents themselves, folded by what they fail.
+_FILTERS = r"""
+WITH
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         concat(CASE WHEN len(words) < 200 THEN 'A' ELSE '' END,
+                CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END,
+                CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END,
+                CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+                CASE WHEN doc_id > first THEN 'E' ELSE '' END) AS failed
+  FROM w JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)),
+folded AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+  FROM judged GROUP BY part, failed),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+  JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+steps AS (SELECT filter_order, step, filter_order[step] AS x, filter_order[1:step - 1] AS before
+          FROM orders, unnest(range(1, 6)) AS u(step)),
+seen AS (
+  SELECT part, filter_order, step, x, n, n_good, n_toxic, failed,
+         before <> '' AND regexp_matches(failed, '[' || before || '_]') AS gone, contains(failed, x) AS fails
+  FROM folded, steps),
+counted AS (
+  SELECT part, filter_order, step, x,
+         sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN failed = x THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT gone AND fails THEN n_good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN NOT gone AND fails THEN n_toxic ELSE 0 END) AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM counted
+"""
+
+ORACLES: dict[str, str] = {
+    "op7_contamination": _CONTAMINATION, "op10_chat_format": _CHAT, "op13_filter_audit": _FILTERS,
+}
