@@ -132,6 +132,11 @@ def booking_has_slot_rule(broken: Column) -> Rule:
         "booking %s has its slot", F.col("booking_id")))
 
 
+def over_capacity_rule(taken: Column, total: Column) -> Rule:
+    return ("over_capacity", taken + F.col("party_size") > total, F.format_string(
+        "%s people and %s more are too many for %s seats", taken, F.col("party_size"), total))
+
+
 def valid_slot() -> Column:
     """A start, and a duration within the allowed range."""
     in_range = F.coalesce(F.col("duration_s").between(1, MAX_DURATION_S), F.lit(False))
@@ -218,9 +223,7 @@ def check_slots(
         *placement_rules(),
         table_overlap_rule(F.col("_crossed")),
         booking_has_slot_rule(F.col("_slots") > 0),
-        ("over_capacity", F.col("_taken") + F.col("party_size") > F.col("_capacity"),
-         F.format_string("%s people and %s more are too many for %s seats",
-                         F.col("_taken"), F.col("party_size"), F.col("_capacity"))),
+        over_capacity_rule(F.col("_taken"), F.col("_capacity")),
         slot_invalid_rule(),
     ])
 

@@ -406,6 +406,33 @@ ORACLES["admit_slots"] = _sql(
     "' is more than the ', seats, ' seats of table ', table_id) WHEN 'table_overlap' THEN concat('table ', table_id, "
     "' is taken for part of that time') END AS message FROM judged", "booked", "dining_tables", recursive=True)
 
+# One walk over the whole batch: each step joins one candidate to all that were admitted before.
+ORACLES["admit_slots_capacity"] = _sql(
+    "WITH cand AS (SELECT b.*, t.seats, row_number() OVER (ORDER BY CAST(round(e.value * 100) AS BIGINT), b.slot_id) AS rn "
+    "FROM booked b JOIN events e ON e.event_id = b.slot_id LEFT JOIN dining_tables t USING (table_id) WHERE b.status <> 2), "
+    "fifth AS (SELECT CAST(floor(sum(seats) / 5) AS BIGINT) AS n FROM dining_tables), "
+    "pre AS MATERIALIZED (SELECT c.rn, c.table_id AS t, c.start AS s, c.finish AS e, c.party_size AS p, c.status, "
+    "CASE WHEN c.party_size > c.seats THEN 'party_too_big' WHEN count(x.slot_id) FILTER (x.table_id = c.table_id) > 0 "
+    "THEN 'table_overlap' END AS rule, CAST(coalesce(sum(x.party_size), 0) AS BIGINT) AS stored FROM cand c LEFT JOIN "
+    "(FROM booked WHERE status = 2) x ON x.start < c.finish AND c.start < x.finish "
+    "GROUP BY c.rn, c.table_id, c.start, c.finish, c.party_size, c.status, c.seats), "
+    "walk(rn, t, s, e, p, b, rule, taken) USING KEY (rn) AS ("
+    "SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), CAST(0 AS BIGINT), "
+    "false, 'start', CAST(0 AS BIGINT) UNION ALL "
+    "SELECT rn, t, s, e, if(status IN (1, 2), p, 0), status <> 4, CASE WHEN pre_rule IS NOT NULL THEN pre_rule "
+    "WHEN crossing > 0 THEN 'table_overlap' WHEN stored + beside + p > (SELECT n FROM fifth) THEN 'over_capacity' END, "
+    "stored + beside FROM ("
+    "SELECT c.rn, any_value(c.t) AS t, any_value(c.s) AS s, any_value(c.e) AS e, any_value(c.p) AS p, "
+    "any_value(c.status) AS status, any_value(c.rule) AS pre_rule, any_value(c.stored) AS stored, "
+    "count(a.rn) FILTER (a.t = c.t AND a.b) AS crossing, CAST(coalesce(sum(a.p), 0) AS BIGINT) AS beside "
+    "FROM walk w JOIN pre c ON c.rn = w.rn + 1 "
+    "LEFT JOIN recurring.walk a ON a.rule IS NULL AND a.s < c.e AND c.s < a.e GROUP BY c.rn)) "
+    "SELECT slot_id, table_id, booking_id, w.rule, CASE w.rule WHEN 'party_too_big' THEN concat('a party of ', party_size, "
+    "' is more than the ', seats, ' seats of table ', table_id) WHEN 'table_overlap' THEN concat('table ', table_id, "
+    "' is taken for part of that time') WHEN 'over_capacity' THEN concat(taken, ' people and ', party_size, "
+    "' more are too many for ', (SELECT n FROM fifth), ' seats') END AS message FROM cand JOIN walk w USING (rn)",
+    "booked", "dining_tables", recursive=True)
+
 ORACLES["assign_ids"] = (
     "SELECT o_orderkey, o_orderdate, (SELECT max(o_orderkey) FROM orders) + row_number() OVER "
     "(ORDER BY o_orderdate, o_orderkey) AS order_id FROM orders")

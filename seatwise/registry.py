@@ -378,6 +378,15 @@ def admit_slots(m):
     ).select("slot_id", "table_id", "booking_id", "rule", "message")
 
 
+@query
+def admit_slots_capacity(m):
+    """The batch admitted one by one when only a fifth of the seats may be used at a time."""
+    fifth = m.dining_tables().agg((F.sum("seats") / 5).cast("long")).scalar()
+    return admission.admit_slots(
+        m.slot_requests(), m.seated_slots(), m.bookings(), m.dining_tables(), ["arrived"], total=fifth
+    ).select("slot_id", "table_id", "booking_id", "rule", "message")
+
+
 # changes -------------------------------------------------------------------------------
 
 
