@@ -35,7 +35,7 @@ from seatwise.operators.rules import (
     table_overlap_rule, valid_slot, with_placement, with_stored_conflicts,
 )
 from seatwise.operators.running import running
-from seatwise.workspace import cut_lineage
+from seatwise.workspace import cut_lineage, written
 
 # Rows of one island judged together per round. Spark prunes row_number() <= 1000 before
 # the shuffle (its default window group limit), so hot islands are cut on the map side.
@@ -165,16 +165,16 @@ def _reached(chains: DataFrame) -> tuple[DataFrame, int]:
         *keys, (-F.col("_at")).alias("_z"), (-F.greatest("_v", "_v_before")).alias("_next"))
     first = nodes.groupBy(*keys).agg(F.min("_a").alias("_head"))
     nodes = nodes.join(found, [*keys, "_z"]).join(first, keys)
-    nodes = cut_lineage(nodes.select(*keys, "_a", "_no", "_next", (F.col("_a") == F.col("_head")).alias("_on")))
+    nodes = written(nodes.select(*keys, "_a", "_no", "_next", (F.col("_a") == F.col("_head")).alias("_on")), "chain")
     steps = 0
     while True:
         steps += 1
         ahead = nodes.select(*keys, F.col("_a").alias("_next"), F.col("_next").alias("_over"))
         marked = nodes.filter(F.col("_on") & F.col("_next").isNotNull()).select(
             *keys, F.col("_next").alias("_a"), F.lit(True).alias("_hit"))
-        nodes = cut_lineage(nodes.join(ahead, [*keys, "_next"], "left").join(marked, [*keys, "_a"], "left").select(
+        nodes = written(nodes.join(ahead, [*keys, "_next"], "left").join(marked, [*keys, "_a"], "left").select(
             *keys, "_a", "_no", F.col("_over").alias("_next"),
-            (F.col("_on") | F.coalesce(F.col("_hit"), F.lit(False))).alias("_on")))
+            (F.col("_on") | F.coalesce(F.col("_hit"), F.lit(False))).alias("_on")), "chain")
         # Once no node that is on leads anywhere, all are found: 2^steps nodes of each island are.
         if nodes.filter(F.col("_on") & F.col("_next").isNotNull()).isEmpty():
             return nodes.filter("_on").select("_no"), steps
@@ -196,7 +196,7 @@ def _decide(
             left = earlier_sum(left, left, "_open", n)
             over = F.col("_low") + F.col("party_size") > total
             fits = F.col("_low") + F.col("_open") + F.col("party_size") <= total
-            left = cut_lineage(left.filter(~over).withColumn("_unsure", ~fits).drop("_open"))
+            left = written(left.filter(~over).withColumn("_unsure", ~fits).drop("_open"), "open")
             n_left = left.count()
             if not n_left:
                 break
@@ -211,7 +211,7 @@ def _decide(
         ready = islands(left, ["table_id"]).join(repeats, "booking_id", "left").withColumn("_waits", waits)
         steps = 0
         if n_left > block_size:
-            ready = cut_lineage(ready)
+            ready = written(ready, "ready")
             ordered = _ordered_islands(ready, block_size)
             if ordered is not None:
                 ordered = cut_lineage(ordered)
@@ -226,7 +226,7 @@ def _decide(
         judged = _verdicts(block)
         if steps:
             judged = judged.select(fields).unionByName(chained.select(fields))
-        judged = cut_lineage(judged)
+        judged = written(judged, "judged")
         if rounds is not None:
             rounds.append(steps)
         n_decided = judged.filter(F.col("_verdict") != WAIT).count()
@@ -242,8 +242,8 @@ def _decide(
         rest = rest.join(used.select("booking_id"), "booking_id", "left_anti")
         rest = rest.join(_overlapped(rest, new), "slot_id", "left_anti")
         if total is not None:
-            rest = earlier_sum(cut_lineage(rest), new, "_more", n).withColumn("_low", F.col("_low") + F.col("_more"))
-        left = cut_lineage(rest.select(*columns))
+            rest = earlier_sum(written(rest, "rest"), new, "_more", n).withColumn("_low", F.col("_low") + F.col("_more"))
+        left = written(rest.select(*columns), "open")
         n_left = left.count()
     return reduce(lambda a, b: a.unionByName(b), admitted)
 
