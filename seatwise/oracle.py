@@ -484,6 +484,12 @@ ORACLES["slots_by_month_pruned"] = _sql(
     "duration_s FROM slots) SELECT * FROM s WHERE start < TIMESTAMP '2024-02-20' "
     "AND start + to_seconds(duration_s) > TIMESTAMP '2024-02-05'", "slots")
 
+ORACLES["stored_slot_changes"] = _sql(
+    "SELECT slot_id, table_id, booking_id, start + to_days(CAST(31 * (slot_id % 3) AS INTEGER)) "
+    "+ CASE WHEN status = 4 THEN to_days(31) + to_hours(1) ELSE to_days(0) END AS start, duration_s "
+    "FROM booked WHERE status <> 3", "booked")
+ORACLES["append_batches"] = ORACLES["append_defaults"].replace("CASE status WHEN 4 THEN 4 ELSE 1 END AS status", "status")
+
 ORACLES["stream_ready_alerts"] = _sql(
     _READY.format(line="", extra=", concat('Order ', l.order_id, ' waits at the pass for ', w.name) "
                                  "AS message"), "order_lines", "ords", "users", "dishes")
@@ -493,7 +499,18 @@ ORACLES["stream_table_board"] = _board(
 ORACLES["stream_live_board"] = _sql(
     "WITH r AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY start DESC, slot_id DESC) AS r FROM slots) "
     "SELECT table_id, start, slot_id, booking_id, duration_s FROM r WHERE r = 1", "slots")
+ORACLES["stream_upcoming_once"] = _sql(
+    "SELECT DISTINCT b.booking_id, u.name AS customer, b.table_id, b.start, b.finish AS \"end\" FROM booked b "
+    "JOIN users u ON u.user_id = b.customer_id JOIN hours h ON b.start >= h.at AND b.start <= h.at + to_seconds(7200) "
+    "WHERE b.status = 1", "booked", "users", "hours")
 ORACLES["stream_daily_sales"] = _sql(
     "SELECT CAST(l.requested AS DATE) AS day, CAST(sum(l.qty * d.price) AS DECIMAL(38,2)) AS total_sales, "
     "count(*) AS n_lines FROM order_lines l JOIN dishes d USING (dish_id) WHERE l.status = 3 GROUP BY 1",
     "order_lines", "dishes")
+ORACLES["stream_day_parts"] = ORACLES["stream_daily_sales"]
+# Closed: the latest line is a day past the end of the day.
+ORACLES["stream_closed_days"] = _sql(
+    "SELECT CAST(l.requested AS DATE) AS day, CAST(sum(l.qty * d.price) AS DECIMAL(38,2)) AS total_sales, "
+    "count(*) AS n_lines FROM order_lines l JOIN dishes d USING (dish_id) WHERE l.status = 3 GROUP BY 1 HAVING "
+    "CAST(l.requested AS DATE) + 2 <= (SELECT max(requested) FROM order_lines WHERE status = 3)", "order_lines", "dishes")
+

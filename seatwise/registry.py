@@ -12,8 +12,9 @@ from seatwise.operators import admission, changes, intervals, joins, keys, rules
 from seatwise.oracle import ORACLES
 from seatwise.plans import floor, people, service
 from seatwise.sources.mapped import SOURCES, MappedModel
+from seatwise.sources.schemas import TABLES
 from seatwise.sources.tables import (
-    append_rows, load_model, read_slots_between, write_slots_by_month,
+    MONTH, append_once, append_rows, change_slots, load_model, read_appended, read_slots_between, write_slots_by_month,
 )
 from seatwise.streaming import live
 from seatwise.workspace import new_folder
@@ -407,7 +408,7 @@ def resolve_names(m):
 @query
 def split_order_forms(m):
     at = F.lit(AS_OF).cast("timestamp_ntz")
-    _, lines, _ = changes.split_order_forms(m.order_forms(), m.orders(), ["form_id"], m.lines_with_id(), at)
+    _, lines, _ = changes.split_order_forms(m.order_forms(), m.orders(), ["form_id"], m.last_line_id(), at)
     return lines
 
 
@@ -466,7 +467,8 @@ def table_changes(m):
 @query
 def refused_deletes(m):
     """Every user asked to be deleted; bookings, orders and preparations keep theirs."""
-    model = _stored(m, "users", "role_assignments", "bookings", "slots", "orders", "specialties", "preparations")
+    model = _stored(m, "users", "role_assignments", "bookings", "slots", "orders", "specialties")
+    model["preparations"] = m.unnumbered_preparations()
     _, deleted, refused = changes.apply_deletes(model, "users", m.users())
     done = deleted["users"].select("user_id", F.lit(None).cast("string").alias("blocked_by"))
     return refused.unionByName(done)
@@ -500,6 +502,29 @@ def slots_by_month_pruned(m):
     return read_slots_between(m.spark, path, "2024-02-05 00:00:00", "2024-02-20 00:00:00")
 
 
+@query
+def stored_slot_changes(m):
+    """Stored slots of which those of released bookings go and those of cancelled ones start a month and an hour later,
+    read back from the files."""
+    path = new_folder(m.spark, "slots")
+    write_slots_by_month(m.spread_slots(), path)
+    of = lambda status: m.spread_slots().join(
+        m.bookings().filter(F.col("status") == status).select("booking_id"), "booking_id", "left_semi")
+    later = F.col("start") + F.make_dt_interval(F.lit(31), F.lit(1))
+    change_slots(m.spark, path, of(C.CANCELLED).select("slot_id", later.alias("start")), of(C.RELEASED).select("slot_id"))
+    return m.spark.read.schema(TABLES["slots"]).parquet(path).drop(MONTH)
+
+
+@query
+def append_batches(m):
+    """Bookings appended in two named batches, one of them sent twice: it is stored once."""
+    path = new_folder(m.spark, "batches")
+    cancelled = F.col("status") == C.CANCELLED
+    for batch, rows in (("a", cancelled), ("b", ~cancelled), ("a", cancelled)):
+        append_once(m.bookings().filter(rows), "bookings", path, batch)
+    return read_appended(m.spark, "bookings", path)
+
+
 # streams, run until the input is used up -----------------------------------------------
 
 
@@ -557,3 +582,30 @@ def stream_daily_sales(m):
     lines = _streamed(m, lineitem=_stream(m, "lineitem")).order_lines(C.DELIVERED)
     live.stream_daily_sales(lines, m.dishes(), out).awaitTermination()
     return live.daily_sales(m.spark, out)
+
+
+@query
+def stream_closed_days(m):
+    out = new_folder(m.spark, "closed")
+    lines = _streamed(m, lineitem=_stream(m, "lineitem")).order_lines(C.DELIVERED)
+    live.stream_closed_days(lines, m.dishes(), out).awaitTermination()
+    return live.closed_days(m.spark, out)
+
+
+@query
+def stream_day_parts(m):
+    out = new_folder(m.spark, "parts")
+    lines = _streamed(m, lineitem=_stream(m, "lineitem")).order_lines(C.DELIVERED)
+    live.stream_day_parts(lines, m.dishes(), out).awaitTermination()
+    return live.sales_so_far(m.spark, out)
+
+
+@query
+def stream_upcoming_once(m):
+    """Every booking announced once, however many hours of the clock see it coming."""
+    out = new_folder(m.spark, "upcoming")
+    hour = C.slot_end(F.col("ts").cast("date").cast("timestamp_ntz"), 3600 * F.hour("ts"))
+    ticks = _stream(m, "events").select(hour.alias("at"))
+    live.stream_upcoming_alerts(ticks, m.slots(), m.bookings(), m.users(), f"{out}/all", 7200).awaitTermination()
+    live.stream_upcoming_once(m.spark, f"{out}/all", f"{out}/once", 7200).awaitTermination()
+    return live.read_rows(m.spark, f"{out}/once").select("booking_id", "customer", "table_id", "start", "end")

@@ -216,6 +216,15 @@ class MappedModel:
             self._lines = assign_ids(self.source("lineitem"), "line_id", columns)
         return self._lines
 
+    def last_line_id(self) -> DataFrame:
+        """One row with the highest ``line_id``: lines are numbered from 1, so their count tells it without a sort."""
+        return self.source("lineitem").agg(F.count("*").alias("line_id"))
+
+    def unnumbered_preparations(self) -> DataFrame:
+        """Preparations without the id of their line, for what only asks for the cook."""
+        return self.source("lineitem").select(
+            F.col("l_suppkey").alias("cook_id"), F.lit(None).cast("long").alias("line_id"))
+
     def lines_with_id(self) -> DataFrame:
         return self._as_lines(self.numbered_lines(), "line_id")
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatwise.functions.columns import MAX_DURATION_S, REQUESTED, RESERVED
 from seatwise.sources.schemas import TABLES
+from seatwise.workspace import written
 
 # What an insert that leaves a column out stores there.
 DEFAULTS = {
@@ -95,3 +97,97 @@ def read_slots_between(
 
 def _month(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
+
+
+# changes of stored slots -------------------------------------------------------------------
+
+
+def _months_of(stored: DataFrame, ids: DataFrame) -> DataFrame:
+    return stored.select("slot_id", MONTH).join(ids, "slot_id", "left_semi").select(MONTH)
+
+
+def change_slots(
+    spark: SparkSession, path: str, updates: DataFrame | None = None, deletes: DataFrame | None = None, dry_run: bool = False
+) -> DataFrame:
+    """Update or delete slots stored by ``write_slots_by_month``, rewriting only the months that this touches.
+
+    ``updates`` has slot_id (unique) and any columns to set; a new ``start`` moves a slot to its month. ``deletes`` has
+    slot_id and wins over an update. Ids that are not stored change nothing. Returns a row per touched month, with
+    rows before and after; with ``dry_run`` that is all, and no file is changed.
+
+    The touched months are found by ids alone (two columns are read), and new rows are written to the shared folder before
+    any month is replaced, so that a run that breaks off can be repeated: setting the same values
+    again gives the same rows. Months are replaced by one dynamic partition overwrite; a month that
+    loses its last row by an empty file.
+    """
+    schema = TABLES["slots"] + f", {MONTH} string"
+    stored = spark.read.schema(schema).parquet(path)
+    none = stored.select("slot_id").limit(0)
+    gone = none if deletes is None else deletes.select("slot_id").distinct()
+    changed = none if updates is None else updates.join(gone, "slot_id", "left_anti")
+    ids = gone.unionByName(changed.select("slot_id")).distinct()
+    # A slot that moves to a month brings that month in: its rows are kept beside the new one.
+    touched = _months_of(stored, ids)
+    month = F.date_format("start", "yyyy-MM")
+    if "start" in changed.columns:
+        touched = touched.unionByName(changed.join(stored.select("slot_id"), "slot_id", "left_semi").select(month.alias(MONTH)))
+    months = [r[MONTH] for r in touched.distinct().collect()]  # a row per month of the calendar at most
+    in_months = F.col(MONTH).isin([m for m in months if m is not None])
+    if None in months:
+        in_months = in_months | F.col(MONTH).isNull()
+    before = stored.filter(in_months)
+    names = [c for c in changed.columns if c != "slot_id"]
+    new = {c: F.col(f"_new.{c}") for c in names}
+    held = changed.select("slot_id", F.struct(F.lit(True).alias("_set"), *names).alias("_new"))
+    rows = before.join(gone, "slot_id", "left_anti").join(held, "slot_id", "left").select(*[
+        F.when(F.col("_new").isNotNull(), new[c]).otherwise(F.col(c)).cast(stored.schema[c].dataType).alias(c)
+        if c in new else F.col(c) for c in stored.columns if c != MONTH
+    ])
+    staged = written(_of_allowed_length(rows).withColumn(MONTH, month), "changed-slots")
+    report = written(before.groupBy(MONTH).agg(F.count("*").alias("n_before")).join(
+        staged.groupBy(F.col(MONTH).alias("_m")).agg(F.count("*").alias("n_after")), F.col(MONTH).eqNullSafe(F.col("_m")), "full"
+    ).select(F.coalesce(MONTH, "_m").alias(MONTH), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_before", "n_after")]), "report")
+    if not dry_run and months:
+        (
+            staged.repartitionByRange("start", "slot_id").sortWithinPartitions("start").write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+        )
+        for r in report.filter("n_after = 0").collect():
+            name = "__HIVE_DEFAULT_PARTITION__" if r[MONTH] is None else r[MONTH]
+            staged.drop(MONTH).limit(0).write.mode("overwrite").parquet(f"{path}/{MONTH}={name}")
+    return report
+
+
+def append_once(new: DataFrame, table: str, folder: str, batch: str) -> bool:
+    """Multi-row insert under the name ``batch``, stored once however often it is run: False if it was there.
+
+    The rows go to a folder of their own, which a repeated run replaces, and count from the moment the
+    batch is entered in the list of those that are complete. ``read_appended`` reads the complete ones.
+    """
+    spark, home = new.sparkSession, f"{folder.rstrip('/')}/{table}"
+    done = _complete(spark, home)
+    if done is not None and not done.filter(F.col("batch") == batch).isEmpty():
+        return False
+    rows = with_defaults(new, table)
+    (_of_allowed_length(rows) if table == "slots" else rows).write.mode("overwrite").parquet(f"{home}/rows/batch={batch}")
+    spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(f"{home}/complete")
+    return True
+
+
+def _complete(spark: SparkSession, home: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("batch string").parquet(f"{home}/complete").distinct()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_appended(spark: SparkSession, table: str, folder: str) -> DataFrame:
+    """Rows of the complete batches of ``append_once``; those of a run that broke off are left out."""
+    home = f"{folder.rstrip('/')}/{table}"
+    done = _complete(spark, home)
+    if done is None:
+        return spark.createDataFrame([], TABLES[table])
+    rows = spark.read.schema(TABLES[table] + ", batch string").parquet(f"{home}/rows")
+    return rows.join(done, "batch", "left_semi").drop("batch")

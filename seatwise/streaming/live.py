@@ -7,13 +7,13 @@ batch that is run again after a failure replaces its own output.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from seatwise.functions.columns import (
-    DELIVERED, PREPARED, line_amount, ready_text, slot_end,
+    DELIVERED, PREPARED, line_amount, ready_text, slot_end, wall_clock_as_utc,
 )
 from seatwise.plans.floor import instant, table_board, upcoming_bookings
 from seatwise.sources.tables import MONTH
@@ -112,6 +112,30 @@ def upcoming_alerts(spark: SparkSession, out: str) -> DataFrame:
     return read_rows(spark, out).drop("batch").distinct()
 
 
+def stream_once(
+    alerts: DataFrame, keys: list[str], at: str, within: str, out: str, once: bool = True
+) -> StreamingQuery:
+    """Of the alerts with equal ``keys`` only the first one to arrive, however often and in however many batches
+    they come again, so that readers need no ``distinct``.
+
+    The keys seen are streaming state, kept until the latest ``at`` is more than ``within`` past a key's
+    first one: state holds the keys of that span of time. Alerts further behind the latest one are dropped as too late.
+    """
+    seen = alerts.withColumn("_at", wall_clock_as_utc(at)).withWatermark("_at", within)
+    return _start(
+        seen.dropDuplicatesWithinWatermark(keys).drop("_at").writeStream.format("parquet").option("path", f"{out}/rows"),
+        out, once,
+    )
+
+
+def stream_upcoming_once(spark: SparkSession, found: str, out: str, horizon_s: int = 1800, once: bool = True) -> StreamingQuery:
+    """Each booking and start alerted once, from what ``stream_upcoming_alerts`` writes under ``found``. A booking
+    is announced at most ``horizon_s`` before its start, so keys of that span are all that has to be kept."""
+    schema = "at timestamp_ntz, booking_id long, customer string, table_id long, start timestamp_ntz, `end` timestamp_ntz, batch int"
+    alerts = file_stream(spark, f"{found}/rows", "*.parquet", schema).drop("batch")
+    return stream_once(alerts, ["booking_id", "start"], "at", f"{horizon_s} seconds", out, once)
+
+
 def stream_table_board(
     ticks: DataFrame, tables: DataFrame, slots: DataFrame, bookings: DataFrame,
     users: DataFrame, orders: DataFrame, out: str, once: bool = True,
@@ -187,3 +211,78 @@ def daily_sales(spark: SparkSession, out: str) -> DataFrame:
     rows = read_rows(spark, out)
     last = rows.agg(F.max("batch").alias("b")).first()["b"]
     return rows.filter(F.col("batch") == F.lit(last)).drop("batch")
+
+
+# days that are closed, and what comes late ------------------------------------------------
+
+
+def _day(at: Column) -> Column:
+    """Calendar day of an instant that stands for a wall clock in UTC, whatever the session's zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(at) / F.lit(86_400_000_000)).cast("int"))
+
+
+def _valued(sums: DataFrame, dishes: DataFrame) -> DataFrame:
+    """Totals per day from quantities per day and dish: prices are joined to sums, never to lines."""
+    priced = sums.join(dishes.select("dish_id", "price"), "dish_id")
+    return priced.groupBy("day").agg(
+        F.sum(line_amount("qty", "price")).alias("total_sales"), F.sum("n_lines").alias("n_lines")
+    )
+
+
+def stream_closed_days(
+    lines: DataFrame, dishes: DataFrame, out: str, lateness: str = "1 day", once: bool = True
+) -> StreamingQuery:
+    """Delivered sales of each calendar day, written once, when the day is over: as soon as a line was requested more than
+    ``lateness`` after its end. State holds open days only (a row per day and dish); no day is written again. Lines
+    that come later than that are not in it: ``day_corrections`` has them.
+    """
+    sold = lines.filter(F.col("status") == DELIVERED).withColumn("_at", wall_clock_as_utc("requested"))
+    days = sold.withWatermark("_at", lateness).groupBy(F.window("_at", "1 day").alias("_w"), "dish_id").agg(
+        F.sum("qty").alias("qty"), F.count("*").alias("n_lines")
+    ).select(_day(F.col("_w.start")).alias("day"), "dish_id", "qty", "n_lines")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # All dishes of a day are closed in one batch, so a day is one row.
+        batch = batch.persist()
+        try:
+            if not batch.isEmpty():
+                _valued(batch, dishes).write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return _start(days.writeStream.outputMode("append").foreachBatch(run), out, once)
+
+
+def stream_day_parts(lines: DataFrame, dishes: DataFrame, out: str, once: bool = True) -> StreamingQuery:
+    """What each batch adds to the delivered sales of each day: a row per day that it touches, late ones included, and no
+    state. ``sales_so_far`` adds them up."""
+    sold = lines.filter(F.col("status") == DELIVERED)
+
+    def parts(batch: DataFrame) -> DataFrame:
+        sums = batch.groupBy(F.col("requested").cast("date").alias("day"), "dish_id").agg(
+            F.sum("qty").alias("qty"), F.count("*").alias("n_lines"))
+        return _valued(sums, dishes)
+
+    return _per_batch(sold, parts, out, once)
+
+
+def sales_so_far(spark: SparkSession, out: str) -> DataFrame:
+    """Totals of all days from the parts of all batches."""
+    return read_rows(spark, out).groupBy("day").agg(
+        F.sum("total_sales").cast("decimal(38,2)").alias("total_sales"), F.sum("n_lines").alias("n_lines"))
+
+
+def closed_days(spark: SparkSession, out: str) -> DataFrame:
+    return read_rows(spark, out).select("day", F.col("total_sales").cast("decimal(38,2)").alias("total_sales"), "n_lines")
+
+
+def day_corrections(spark: SparkSession, closed: str, parts: str) -> DataFrame:
+    """What lines that came after their day was closed add to it: with the closed days it makes up the totals of all
+    lines so far. Days that are still open, or were closed rightly, have no row. Days whose
+    lines all came too late have no closed row and are corrected from nothing."""
+    latest = read_rows(spark, closed).agg(F.max("day")).scalar()
+    done = closed_days(spark, closed).withColumnsRenamed({"total_sales": "_sales", "n_lines": "_n"})
+    return sales_so_far(spark, parts).filter(F.col("day") <= latest).join(done, "day", "left").select(
+        "day", (F.col("total_sales") - F.coalesce("_sales", F.lit(0))).cast("decimal(38,2)").alias("total_sales"),
+        (F.col("n_lines") - F.coalesce("_n", F.lit(0))).alias("n_lines"),
+    ).filter(F.col("n_lines") != 0)

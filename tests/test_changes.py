@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from seatwise.operators import changes, keys, rules
+from seatwise.sources.schemas import TABLES
 from seatwise.sources.tables import (
-    append_rows, load_model, read_slots_between, with_defaults, write_slots_by_month,
+    append_once, append_rows, change_slots, load_model, read_appended, read_slots_between, with_defaults,
+    write_slots_by_month,
 )
 from tests.seed import at, frame
 
@@ -148,3 +152,79 @@ def test_months_are_pruned(spark, tmp_path):
     assert [r["m"] for r in read] == ["2026-04"]
     stored = spark.read.parquet(path)
     assert stored.count() == 62
+
+
+def month_files(path):
+    return {
+        m.name: sorted((f.name, f.stat().st_mtime_ns) for f in m.iterdir() if f.name.startswith("part-"))
+        for m in Path(path).iterdir() if m.name.startswith("slot_month=")}
+
+
+def stored(spark, path):
+    rows = spark.read.schema(TABLES["slots"]).parquet(path).collect()
+    assert len({r.slot_id for r in rows}) == len(rows)
+    return {r.slot_id: (r.table_id, r.start, r.duration_s) for r in rows}
+
+
+@pytest.fixture
+def months(spark, tmp_path):
+    path = str(tmp_path / "slots")
+    rows = [(i, i % 3, i, datetime(2026, 1 + i % 4, 1 + i % 25, 12), 3600) for i in range(40)] + [(99, 1, 99, None, 60)]
+    write_slots_by_month(frame(spark, "slots", rows), path)
+    return path
+
+
+def test_only_touched_months_are_rewritten(spark, months):
+    before, files = stored(spark, months), month_files(months)
+    updates = spark.createDataFrame(
+        [(0, datetime(2026, 2, 3, 9), 5), (1, datetime(2026, 2, 4, 9), 6), (7777, datetime(2026, 4, 1), 1)],
+        "slot_id long, start timestamp_ntz, table_id int")
+    deletes = spark.createDataFrame([(5,), (1,), (8888,)], "slot_id long")
+    for _ in range(2):  # a dry run changes no file, and says the same twice
+        report = {r.slot_month: (r.n_before, r.n_after) for r in change_slots(spark, months, updates, deletes, True).collect()}
+        assert report == {"2026-01": (10, 9), "2026-02": (10, 9)} and month_files(months) == files
+    report = {r.slot_month: (r.n_before, r.n_after) for r in change_slots(spark, months, updates, deletes).collect()}
+    assert report == {"2026-01": (10, 9), "2026-02": (10, 9)}
+    want = {k: v for k, v in before.items() if k not in (1, 5)} | {0: (5, datetime(2026, 2, 3, 9), 3600)}
+    assert stored(spark, months) == want
+    now = month_files(months)
+    assert {m for m in files if now[m] != files[m]} == {"slot_month=2026-01", "slot_month=2026-02"}
+    # the same change again: same rows
+    change_slots(spark, months, updates, deletes)
+    assert stored(spark, months) == want
+
+
+def test_a_month_that_loses_all_rows_and_one_that_is_new(spark, months):
+    before = stored(spark, months)
+    may = [(i, datetime(2026, 5, 1)) for i in range(2, 40, 4)]  # all of March
+    change_slots(spark, months, spark.createDataFrame([*may, (99, datetime(2026, 6, 1))], "slot_id long, start timestamp_ntz"))
+    want = before | {i: (before[i][0], start, before[i][2]) for i, start in [*may, (99, datetime(2026, 6, 1))]}
+    assert stored(spark, months) == want
+    got = read_slots_between(spark, months, "2026-03-01 00:00:00", "2026-04-01 00:00:00")
+    assert got.count() == 0
+    change_slots(spark, months, deletes=spark.createDataFrame([(i,) for i in range(100)], "slot_id long"))
+    assert stored(spark, months) == {}
+
+
+def test_a_change_that_breaks_a_rule_changes_no_file(spark, months):
+    files = month_files(months)
+    with pytest.raises(Exception, match="lasts 9000 s"):
+        change_slots(spark, months, spark.createDataFrame([(3, 9000)], "slot_id long, duration_s long"))
+    assert month_files(months) == files
+    assert change_slots(spark, months).count() == 0 and month_files(months) == files
+
+
+def test_a_batch_is_stored_once(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = spark.createDataFrame([(1, 2), (2, 3)], "booking_id long, party_size int")
+    assert read_appended(spark, "bookings", folder).count() == 0
+    assert append_once(rows, "bookings", folder, "first") and not append_once(rows, "bookings", folder, "first")
+    # a run that broke off before its batch was complete: its rows do not count, and it can be run again
+    rows.withColumn("status", F.lit(1)).write.parquet(f"{folder}/bookings/rows/batch=second")
+    assert read_appended(spark, "bookings", folder).count() == 2
+    assert append_once(rows.filter("booking_id = 2"), "bookings", folder, "second")
+    got = sorted(tuple(r) for r in read_appended(spark, "bookings", folder).select("booking_id", "status").collect())
+    assert got == [(1, 1), (2, 1), (2, 1)]
+    with pytest.raises(Exception, match="lasts"):
+        append_once(spark.createDataFrame([(1, 9000)], "slot_id long, duration_s long"), "slots", folder, "x")
+    assert read_appended(spark, "slots", folder).count() == 0

@@ -133,3 +133,59 @@ def test_shuffled_files_equal_batch(spark, seed, tmp_path):
     live.stream_daily_sales(stream, seed["dishes"], out).awaitTermination()
     got = as_set(live.daily_sales(spark, out), "day", "total_sales")
     assert got == as_set(service.sales_by_period(lines, seed["dishes"], "day"), "day", "total_sales")
+
+
+def sold(i, day, hour=12, dish=12, status=3, qty=1):
+    return (i, dish, 1, status, qty, datetime(2026, 4, day, hour))
+
+
+def test_closed_days_and_corrections_are_the_batch_totals(spark, seed, tmp_path):
+    """Several shuffled files: each day is written once, late lines are corrections, and state forgets closed days."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    files = [
+        [sold(1, 5), sold(2, 5, 23, dish=14), sold(3, 6, status=1)], [sold(4, 6), sold(5, 9)],
+        [sold(6, 5, 1, qty=4), sold(7, 12)],  # day 5 is closed by now
+        [sold(8, 12, 0), sold(9, 13), sold(10, 9, qty=2)], [sold(11, 18)], [sold(12, 7)],  # a day that was never seen
+    ]
+    every = spark.createDataFrame([r for f in files for r in f], LINES)
+    for i, rows in enumerate(files):
+        feed(spark.createDataFrame(rows, LINES), source, "lines")
+        for name, start in (("closed", live.stream_closed_days), ("parts", live.stream_day_parts)):
+            lines = spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).parquet(f"{source}/lines")
+            query = start(lines, seed["dishes"], f"{out}/{name}")
+            query.awaitTermination()
+            if name == "closed":
+                progress = [p for p in query.recentProgress if p["stateOperators"]]
+                # a row per open day and dish: two days with a dish each at most
+                assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 2
+    closed = live.closed_days(spark, f"{out}/closed")
+    days = [r.day for r in closed.collect()]
+    assert len(days) == len(set(days)) and date(2026, 4, 18) not in days and date(2026, 4, 13) in days
+    corrections = live.day_corrections(spark, f"{out}/closed", f"{out}/parts")
+    assert {(r.day, r.n_lines) for r in corrections.collect()} == {(date(2026, 4, d), 1) for d in (5, 7, 9)}
+    total = closed.unionByName(corrections).groupBy("day").agg(
+        F.sum("total_sales").alias("total_sales"), F.sum("n_lines").alias("n_lines"))
+    want = service.sales_by_period(every, seed["dishes"], "day").filter("day < date'2026-04-18'")
+    assert as_set(total, "day", "total_sales") == as_set(want, "day", "total_sales")
+    so_far = live.sales_so_far(spark, f"{out}/parts")
+    assert as_set(so_far, "day", "total_sales") == as_set(service.sales_by_period(every, seed["dishes"], "day"), "day", "total_sales")
+
+
+def test_an_alert_comes_once_over_batches_and_restarts(spark, seed, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    args = seed["slots"], seed["bookings"], seed["users"]
+
+    def tick(*clocks):
+        feed(spark.createDataFrame([(at(c),) for c in clocks], "at timestamp_ntz"), source, "ticks")
+        ticks = spark.readStream.schema("at timestamp_ntz").parquet(f"{source}/ticks")
+        live.stream_upcoming_alerts(ticks, *args, out=f"{out}/all").awaitTermination()
+        live.stream_upcoming_once(spark, f"{out}/all", f"{out}/once").awaitTermination()
+        rows = [tuple(r) for r in live.read_rows(spark, f"{out}/once").select("at", "booking_id").collect()]
+        return sorted(rows)
+
+    assert tick("13:40") == [(at("13:40"), 7)]
+    assert tick("13:40", "13:45") == [(at("13:40"), 7)]  # the same tick again, and a later one
+    assert tick("14:45", "14:45") == [(at("13:40"), 7), (at("14:45"), 8)]
+    assert tick("15:00") == [(at("13:40"), 7), (at("14:45"), 8)]
+    # readers of all alerts see more rows than there are bookings
+    assert live.read_rows(spark, f"{out}/all").count() > 2
