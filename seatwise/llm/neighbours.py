@@ -75,23 +75,22 @@ def _coder(space: Broadcast):
 _INDEX = "id long, vector array<double>, bits binary, length double, fit double, on_centre double"
 
 
-def build_index(vectors: DataFrame) -> tuple[DataFrame, Broadcast | None]:
-    """Codes of all usable rows of ``vectors(id, vector)``, written to the shared folder, and their space.
+def usable_rows(vectors: DataFrame) -> DataFrame:
+    """id, vector (in double precision) of the rows of ``vectors(id, vector)`` that take part."""
+    own = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    return own.filter(usable("vector") & F.col("id").isNotNull())
+
 
-    Rows of another length than the most frequent one (ties: the longer) take no part. The centre is
-    the mean over all rows; nothing is sampled.
+def build_index(own: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """Codes of ``own(id, vector)``, all of one length, written to the shared folder, and their space.
+
+    The centre is the mean over all rows; nothing is sampled.
     """
-    own = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    own = own.filter(usable("vector") & F.col("id").isNotNull())
-    sizes = own.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    if sizes is None:
-        return vectors.sparkSession.createDataFrame([], _INDEX), None
-    own = own.filter(F.size("vector") == sizes.size)
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     each = own.select(F.posexplode("vector").alias("i", "x"), norm.alias("norm"))
     centre = each.groupBy("i").agg(F.avg(F.col("x") / F.col("norm")).alias("m")).orderBy("i").toArrow()
     centre = np.nan_to_num(centre.column("m").to_numpy())
-    space = vectors.sparkSession.sparkContext.broadcast(Space(centre))
+    space = own.sparkSession.sparkContext.broadcast(Space(centre))
     return stored(own.mapInArrow(_coder(space), _INDEX), "codes"), space
 
 
@@ -164,13 +163,28 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     Each code gives an estimate of the cosine and a bound of its error. Rows that can still be among the k best
     by their upper bound are compared exactly, in the task that holds them. Queries
     go to the tasks in rounds of bounded size, chosen by a hash of the id. Rows that repeat a query's id are no
-    candidates for it; other repeated rows are candidates one by one; of queries with one id one is taken.
+    candidates for it; other repeated rows are candidates one by one; of queries with one id and length one is taken.
+    A cosine needs vectors of one length, so each length is searched on its own; a query id with vectors of
+    several lengths gets its k nearest over them.
     """
-    index, space = build_index(vectors)
-    spark = vectors.sparkSession
-    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if space is None:
-        return out
+    own = usable_rows(vectors)
+    # Distinct lengths are at most the root of twice the numbers stored.
+    sizes = sorted(r["size"] for r in own.groupBy(F.size("vector").alias("size")).count().collect())
+    found = [r for n in sizes for r in _found(own.filter(F.size("vector") == n), is_query, k)]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    all_ = found[0]
+    for more in found[1:]:
+        all_ = all_.unionByName(more)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = all_.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _found(own: DataFrame, is_query: Column, k: int) -> list[DataFrame]:
+    """(query_id, vec_id, score) of the k best of every task among vectors of one length, a table for each round of queries."""
+    index, space = build_index(own)
+    spark = own.sparkSession
     asked = index.filter(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
     rounds = max(1, -(-asked.count() * space.value.size * 24 // ROUND_BYTES))
     results = []
@@ -182,11 +196,4 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         queries = spark.sparkContext.broadcast(Queries(own.column("id").to_numpy(), rows, space.value))
         found = index.mapInArrow(_finder(queries, space, k), "query_id long, vec_id long, score double")
         results.append(found)
-    if not results:
-        return out
-    all_ = results[0]
-    for more in results[1:]:
-        all_ = all_.unionByName(more)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = all_.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return results

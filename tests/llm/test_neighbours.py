@@ -70,3 +70,14 @@ def test_rows_in_any_state(spark):
     assert by == {0: [20, 1, 10, 10], 10: [1, 0, 20], 20: [0, 1, 10, 10]}
     assert neighbours.search(odd.limit(0), F.col("id") % 10 == 0).count() == 0
     assert neighbours.search(odd.filter("id = 2"), F.col("id") % 2 == 0).count() == 0
+
+
+def test_vectors_of_several_lengths(spark):
+    """60 vectors of three and 51 of two numbers: all are searched, each among those of its length."""
+    rng = np.random.default_rng(6)
+    some = {3: np.arange(60), 2: np.arange(100, 151)}
+    rows = {n: rng.normal(size=(len(ids), n)).astype(np.float32).astype(float) for n, ids in some.items()}
+    data = table(spark, some[3], rows[3]).unionByName(table(spark, some[2], rows[2]))
+    want = brute(rows[3], some[3], 50) | brute(rows[2], some[2], 50)
+    assert set(want) == {0, 50, 100, 150}
+    assert found(neighbours.search(data, F.col("id") % 50 == 0)) == want
