@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seatwise.llm.common import cut_lineage
+from seatwise.llm.common import cut_lineage, numbered
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -66,7 +66,8 @@ def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Point i of the golden-ratio sequence falls into one source's part of [0, 1), the parts being
     as long as the targets. The r-th slot of a source takes its block r, until its target is met;
-    the few blocks that are then still missing come last (``late`` = 1). Ranks are counted inside
+    the few blocks that are then still missing come last (``late`` = 1, slots after all others; those of
+    several sources can share one). Ranks are counted inside
     runs of 2^16 slots, with one row per source and run above them.
     """
     total = F.sum("quota").over(Window.partitionBy())
@@ -94,7 +95,7 @@ def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
     short = per.join(got, "s", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < blocks")
     missing = F.explode(F.sequence(F.col("got"), F.col("blocks") - 1)).alias("block")
     rest = short.select(F.lit(1).alias("late"), "s", missing)
-    rest = rest.select("late", F.col("block").alias("slot"), "s", "block")
+    rest = rest.select("late", (n + F.col("block")).cast("long").alias("slot"), "s", "block")
     return ranked.filter("block < blocks").drop("blocks").unionByName(rest)
 
 
@@ -119,21 +120,14 @@ def placed(sizes: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def mix(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = REPEAT,
-    block: int = BLOCK, seed: int = SEED,
+def _pieces(
+    docs: DataFrame, weights: Sequence[float], share: float, most: int, block: int, seed: int
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words, repeats counted): one row per document.
-
-    A source's stream is its documents in shuffled order, ``most`` times over, cut into blocks of
-    ``block`` words and at its target; the last block may be shorter. The schedule names the
-    blocks, and the join gives each document its words in them. Empty and null texts take 0, an
-    empty table gives no rows, a null source is a source, repeated rows count one by one. The
-    same rows and seed give the same result.
-    """
+    """Each document's words in each block of its source's stream, with the block's slot (null: not taken). A document
+    without words has one row with no block."""
     sizes = sized(docs)
     plan = cut_lineage(targets(sizes, weights, share, most))
-    taken_blocks = schedule(plan, block).select("s", "block")
+    slots = schedule(plan, block).select("s", "block", "slot")
     rows = placed(sizes, plan, seed)
     copies = []
     for epoch in range(most):
@@ -143,10 +137,48 @@ def mix(
     some = F.col("copy.high") > F.col("copy.low")
     whole = F.sequence(F.floor(F.col("copy.low") / block), F.floor((F.col("copy.high") - 1) / block))
     pieces = pieces.withColumn("block", F.explode_outer(F.when(some, whole)))
-    part = F.least("copy.high", (F.col("block") + 1) * block) - F.greatest("copy.low", F.col("block") * block)
-    pieces = pieces.withColumn("part", part).drop("copy")
-    met = pieces.join(taken_blocks.withColumn("hit", F.lit(1)), ["s", "block"], "left")
-    taken = F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("part"))), F.lit(0)).alias("taken")
-    return met.groupBy("s", "cell", "rn", "doc_id", "size", "source_size", "target").agg(taken).select(
-        "doc_id", "size", "source_size", "target", "taken"
-    )
+    first = F.greatest("copy.low", F.col("block") * block) - F.col("copy.low")
+    past = F.least("copy.high", (F.col("block") + 1) * block) - F.col("copy.low")
+    pieces = pieces.withColumn("from", first).withColumn("to", past).drop("copy")
+    return pieces.join(slots, ["s", "block"], "left")
+
+
+def mixed_stream(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = REPEAT,
+    block: int = BLOCK, seed: int = SEED,
+) -> DataFrame:
+    """slot, s, block, doc_id, from, to: the mixture itself, as runs of words (``from`` to before ``to``) of documents.
+    Sorted by slot, s and block, any stretch of it holds the sources close to their weights."""
+    taken = _pieces(docs, weights, share, most, block, seed).filter(F.col("slot").isNotNull())
+    return taken.select("slot", "s", "block", "doc_id", "from", "to")
+
+
+def mix(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = REPEAT,
+    block: int = BLOCK, seed: int = SEED,
+) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words, repeats counted), first_slot: one row per document.
+
+    A source's stream is its documents in shuffled order, ``most`` times over, cut into blocks of
+    ``block`` words and at its target; the last block may be shorter. The schedule gives the
+    blocks their slots; a document's words in blocks that have one are taken, and the smallest of those slots says when the mixture
+    first comes to it (null: never). Empty and null texts take 0, an
+    empty table gives no rows, a null source is a source, repeated rows count one by one. The
+    same rows and seed give the same result.
+    """
+    taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("to") - F.col("from"))), F.lit(0)).alias("taken")
+    met = _pieces(docs, weights, share, most, block, seed)
+    return met.groupBy("s", "cell", "rn", "doc_id", "size", "source_size", "target").agg(
+        taken, F.min("slot").alias("first_slot")
+    ).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
+
+
+MIXED = ("size", "source_size", "target", "taken", "first_slot")
+
+
+def with_mix(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the columns MIXED, which replace columns of these names."""
+    held = numbered(docs, "mixing")
+    mixed = mix(held.select(F.col("n").alias("doc_id"), "row.source", "row.text"))
+    own = [c for c in docs.columns if c not in MIXED]
+    return held.join(mixed.withColumnRenamed("doc_id", "n"), "n").select(*[f"row.`{c}`" for c in own], *MIXED)

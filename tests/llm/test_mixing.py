@@ -66,3 +66,32 @@ def test_each_block_is_taken_once(spark):
 def test_nothing_to_mix(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert [r.taken for r in mixing.mix(docs(spark, [(1, None, None, None), (2, "", None, "a")])).collect()] == [0, 0]
+
+
+def test_the_point_sequence_decides_the_slots(spark, monkeypatch):
+    """Other points, other slots: each document's first slot is where the schedule puts its first block."""
+    rows = [(i, "w " * (20 + i % 9), "en", "abc"[i % 3]) for i in range(300)]
+
+    def first_slots():
+        return {r.doc_id: r.first_slot for r in mixing.mix(docs(spark, rows), block=16).collect()}
+
+    golden = first_slots()
+    by_doc = {}
+    stream = mixing.mixed_stream(docs(spark, rows), block=16).collect()
+    for r in stream:
+        by_doc[r.doc_id] = min(by_doc.get(r.doc_id, r.slot), r.slot)
+    assert by_doc == {d: s for d, s in golden.items() if s is not None}
+    monkeypatch.setattr(mixing, "GOLDEN", 0.001)
+    assert first_slots() != golden
+
+
+def test_the_stream_holds_the_words_that_are_taken(spark):
+    rows = DOCS + [(1000 + i, "w " * (i % 37), "en", "abcdefg"[i % 7]) for i in range(200)]
+    taken = Counter()
+    for r in mixing.mixed_stream(docs(spark, rows), block=64).collect():
+        assert 0 <= r["from"] < r.to
+        taken[r.doc_id] += r.to - r["from"]
+    want = Counter()
+    for r in mixing.mix(docs(spark, rows), block=64).collect():
+        want[r.doc_id] += r.taken
+    assert +taken == +want
