@@ -11,10 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seatwise.functions.columns import MAX_DURATION_S, col, epoch_us, overlaps, slot_end
+from seatwise.functions.columns import MAX_DURATION_S, col, epoch_us, slot_end
 from seatwise.operators.running import running
 
 BUCKET_US = MAX_DURATION_S * 1_000_000
+# Width of a dyadic cell of level 0, 2^33 microseconds or 2.4 hours; 12 levels of four to one reach 4,500 years.
+_CELL_BITS = 33
 # Parts that a time bucket is dealt into where nothing but time joins two tables.
 PARTS = 16
 
@@ -45,35 +47,65 @@ def _dealt(many: DataFrame, few: DataFrame) -> DataFrame:
     return many.join(few, ["_bucket", "_part"]).drop("_part")
 
 
+def _top_level(low: Column, high: Column) -> Column:
+    """The highest level on which [low, high] can have a cell."""
+    n = F.shiftright(high, _CELL_BITS) - F.shiftright(low, _CELL_BITS) + 1
+    return F.floor(F.log2(n) / 2 + 0.01).cast("int")
+
+
+def dyadic_cells(low: Column, high: Column) -> Column:
+    """The fewest cells, as an array of (_level, _cell), that cover [low, high] and do not overlap.
+
+    A cell of level 0 is 2^33 microseconds wide, four cells of a level make one of the next. A range has at most six
+    cells per level, so ten years take some tens of cells, and a slot of two hours one or two.
+    """
+    def bounds(level: Column) -> tuple[Column, Column]:
+        up = F.call_function("shiftleft", F.lit(1).cast("long"), 2 * level) - 1
+        first = F.call_function("shiftright", F.shiftright(low, _CELL_BITS) + up, 2 * level)
+        return first, F.call_function("shiftright", F.shiftright(high, _CELL_BITS) + 1, 2 * level)
+
+    def run(first: Column, end: Column) -> Column:
+        return F.when(first < end, F.sequence(first, end - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def of_level(level: Column) -> Column:
+        (first, end), (wide, wide_end) = bounds(level), bounds(level + 1)
+        inner = wide < wide_end
+        here = F.concat(run(first, F.when(inner, 4 * wide).otherwise(end)), run(F.when(inner, 4 * wide_end).otherwise(end), end))
+        return F.transform(here, lambda c: F.struct(level.alias("_level"), c.alias("_cell")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), _top_level(low, high)), of_level))
+
+
+def _starts_in(ranges: DataFrame, low: str, end: str, points: DataFrame, at: str, keys: list[str]) -> DataFrame:
+    """Rows of ``points`` with those of ``ranges`` that have a cell around ``at``. A point is looked up on
+    the levels that some range reaches, which for slots of two hours is one."""
+    top = ranges.agg(F.max(_top_level(F.col(low), F.col(end) - 1))).scalar()
+    cells = ranges.select("*", F.inline(dyadic_cells(F.col(low), F.col(end) - 1)))
+    marks = points.withColumn("_level", F.explode(F.sequence(F.lit(0), top)))
+    marks = marks.withColumn("_cell", F.call_function("shiftright", F.col(at), _CELL_BITS + 2 * F.col("_level")))
+    return cells.join(marks, [*keys, "_level", "_cell"]).filter(F.col(at) < F.col(end))
+
+
 def overlap_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    condition: Column | None = None,
-    bucket_us: int = BUCKET_US,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], condition: Column | None = None
 ) -> DataFrame:
-    """Pairs of rows with equal keys whose [_s, _e) ranges overlap.
+    """Pairs of rows with equal keys whose [_s, _e) ranges overlap, of any length.
 
     Right columns that also exist on the left (other than the keys) get a ``_2`` suffix.
-    The time bucket is part of the hash key, so a busy key is spread over its buckets;
-    with buckets as wide as the longest slot, the rows compared are within a constant
-    factor of the rows returned. A pair that shares several buckets is kept in the
-    first one only. Rows with an empty or NULL range are left out.
+    Two ranges overlap if the later one starts within the other, so each pair is found once: a start meets the
+    dyadic cells of a range on its own and the wider levels. Cell and level are part of the hash key, so a busy key is
+    spread over its cells, and the rows compared are within a constant factor of the rows returned.
+    Rows with an empty or NULL range are left out.
     """
     keys = list(keys)
     valid = F.col("_s") < F.col("_e")
-    a = in_buckets(left.filter(valid), F.col("_s"), F.col("_e") - 1, bucket_us, "_first")
-    renamed = {c: f"{c}_2" for c in right.columns if c in left.columns and c not in keys}
-    renamed.update({"_first": "_first_2"})
-    b = in_buckets(right.filter(valid), F.col("_s"), F.col("_e") - 1, bucket_us, "_first")
-    b = b.withColumnsRenamed(renamed)
-    pairs = a.join(b, [*keys, "_bucket"]).filter(
-        overlaps(F.col("_s"), F.col("_e"), F.col("_s_2"), F.col("_e_2"))
-        & (F.col("_bucket") == F.greatest("_first", "_first_2"))
-    )
-    if condition is not None:
-        pairs = pairs.filter(condition)
-    return pairs.drop("_bucket", "_first", "_first_2")
+    a, b = left.filter(valid), right.filter(valid)
+    b = b.withColumnsRenamed({c: f"{c}_2" for c in b.columns if c in a.columns and c not in keys})
+    columns = [*a.columns, *[c for c in b.columns if c not in keys]]
+    here = _starts_in(a, "_s", "_e", b, "_s_2", keys).filter(F.col("_s_2") >= F.col("_s"))
+    there = _starts_in(b, "_s_2", "_e_2", a, "_s", keys).filter(F.col("_s") > F.col("_s_2"))
+    pairs = here.select(*columns).unionByName(there.select(*columns))
+    return pairs if condition is None else pairs.filter(condition)
 
 
 def _edges(intervals: DataFrame, keys: list[str], amount: Column) -> DataFrame:

@@ -105,6 +105,12 @@ ORACLES["table_availability"] = _sql(
     'any_value(r.finish) AS "end", if(count(b.slot_id) = 0, \'AVAILABLE\', \'NOT AVAILABLE\') AS availability '
     "FROM r LEFT JOIN (FROM booked WHERE status IN (1, 2, 3)) b ON r.table_id = b.table_id "
     "AND greatest(b.start, r.start) < least(b.finish, r.finish) GROUP BY request_id, r.table_id", "booked")
+ORACLES["overlap_pairs"] = _sql(
+    "SELECT event_id AS request_id, s.slot_id, s.table_id AS place FROM ev JOIN booked s ON s.table_id = (user_id * 3 + k) % (SELECT n FROM n) "
+    "AND event_id % 10 <> 0 AND s.start < ts + to_seconds(10800) AND s.finish > ts + to_seconds(3600) "
+    "UNION ALL SELECT event_id, s.slot_id, -event_id - 1 FROM ev JOIN booked s ON s.booking_id = event_id "
+    "AND event_id % 10 = 0 AND s.start < ts + to_seconds(1826 * 86400 + 3600) AND s.finish > ts - to_seconds(1826 * 86400 - 3600)",
+    "booked")
 ORACLES["capacity_usage"] = _sql(
     "SELECT h.at AS start, CAST(7200 AS BIGINT) AS duration_s, h.at + to_seconds(7200) AS \"end\", "
     "CAST(coalesce(sum(b.party_size), 0) AS BIGINT) AS people_booked, "
@@ -179,6 +185,11 @@ ORACLES["kitchen_queue"] = _sql(
     "SELECT e.cook_id, l.order_id, l.line_no, d.name AS dish, d.prep_s, l.qty, l.requested FROM order_lines l "
     "JOIN dishes d USING (dish_id) JOIN specialties e USING (dish_id) WHERE l.status = 1",
     "order_lines", "dishes", "specialties")
+ORACLES["kitchen_first"] = _sql(
+    "WITH q AS (SELECT e.cook_id, l.order_id, l.line_no, d.name AS dish, d.prep_s, l.qty, l.requested, row_number() OVER ("
+    "PARTITION BY e.cook_id ORDER BY d.prep_s DESC, l.requested, l.order_id, l.line_no, l.qty, d.name) AS place FROM order_lines l "
+    "JOIN dishes d USING (dish_id) JOIN specialties e USING (dish_id) WHERE l.status = 1) FROM q WHERE place <= 5",
+    "order_lines", "dishes", "specialties")
 ORACLES["kitchen_next"] = _sql(
     "WITH q AS (SELECT e.cook_id, l.order_id, l.line_no, d.name AS dish, l.qty, l.requested, row_number() OVER (PARTITION BY "
     "e.cook_id ORDER BY d.prep_s DESC, l.requested, l.order_id, l.line_no, l.qty, d.name) AS r FROM order_lines l "

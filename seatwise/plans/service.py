@@ -145,6 +145,28 @@ def kitchen_next(lines: DataFrame, dishes: DataFrame, specialties: DataFrame) ->
     return ordered(found.select("cook_id", *[f"_b.{c}" for c in ("order_id", *key, "dish", "qty", "requested")]), "cook_id")
 
 
+def kitchen_first(lines: DataFrame, dishes: DataFrame, specialties: DataFrame, k: int = 5) -> DataFrame:
+    """Per cook the first ``k`` lines of ``kitchen_queue`` and their ``place``.
+
+    Only the first k lines of a dish can be among them, and all lines of a dish wait equally long, so each dish
+    is cut to k lines before cooks come in. Both cuts are made within each task before the shuffle, so neither a
+    dish nor a cook brings more than k rows per task, and the work grows with lines plus k times cook-dish pairs.
+    """
+    key = _line_key(lines)
+    age = ["requested", "order_id", *key, "qty"]
+    pending = lines.filter(F.col("status") == REQUESTED).select("dish_id", *age)
+    in_dish = F.row_number().over(Window.partitionBy("dish_id").orderBy(*age))
+    oldest = pending.withColumn("_place", in_dish).filter(F.col("_place") <= k).drop("_place")
+    rows = oldest.join(dishes.select("dish_id", F.col("name").alias("dish"), "prep_s"), "dish_id").join(
+        specialties.select("cook_id", "dish_id"), "dish_id"
+    )
+    in_queue = F.row_number().over(Window.partitionBy("cook_id").orderBy(F.desc("prep_s"), *age, "dish")).cast("long")
+    found = rows.withColumn("place", in_queue).filter(F.col("place") <= k)
+    return ordered(
+        found.select("cook_id", "place", "order_id", *key, "dish", "prep_s", "qty", "requested"), "cook_id", "place"
+    )
+
+
 def kitchen_panel(
     orders: DataFrame, lines: DataFrame, users: DataFrame, dishes: DataFrame,
     specialties: DataFrame, cook_id: int | None = None, labels: dict[int, str] = LINE_STATUS,

@@ -75,6 +75,22 @@ def overlap_sum_all(m):
     return rows.select("slot_id", "people")
 
 
+@query
+def overlap_pairs(m):
+    """Requests with the slots in their way. Every tenth asks for ten years, from five before, for which
+    its own booking's slots alone are looked up; the rest ask for two hours of a table."""
+    long = F.col("request_id") % 10 == 0
+    asked = m.table_requests().withColumns({
+        "place": F.when(long, -F.col("request_id") - 1).otherwise(F.col("table_id")),
+        "start": F.when(long, C.slot_end("start", F.lit(-1826 * 86400))).otherwise(F.col("start")),
+        "duration_s": F.when(long, 3652 * 86400).otherwise(F.col("duration_s")).cast("long"),
+    }).drop("table_id")
+    slots = m.slots().select("slot_id", "start", "duration_s", F.inline(F.array(
+        F.struct(F.col("table_id").alias("place")), F.struct((-F.col("booking_id") - 1).alias("place")))))
+    pairs = intervals.overlap_join(intervals.with_bounds(asked), intervals.with_bounds(slots), ["place"])
+    return pairs.select("request_id", "slot_id", "place")
+
+
 @query
 def upcoming_bookings(m):
     return floor.upcoming_bookings(m.hours(), m.slots(), m.bookings(), m.users())
@@ -158,6 +174,11 @@ def kitchen_queue(m):
     return service.kitchen_queue(m.order_lines(C.REQUESTED).drop("cook_id"), m.dishes(), m.specialties())
 
 
+@query
+def kitchen_first(m):
+    return service.kitchen_first(m.order_lines(C.REQUESTED).drop("cook_id"), m.dishes(), m.specialties(), 5)
+
+
 @query
 def kitchen_next(m):
     """What each cook does next: one row per cook."""

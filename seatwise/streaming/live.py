@@ -7,6 +7,9 @@ batch that is run again after a failure replaces its own output.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -74,16 +77,6 @@ def _per_batch(events: DataFrame, write, out: str, once: bool) -> StreamingQuery
     return _start(events.writeStream.foreachBatch(run), out, once)
 
 
-def _only_latest(spark: SparkSession, out: str, batch_id: int) -> None:
-    """Drops what whole-state batches before the last two have written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/rows")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for entry in files.listStatus(path):
-        name = entry.getPath().getName()
-        if name.startswith("batch=") and int(name.removeprefix("batch=")) < batch_id - 1:
-            files.delete(entry.getPath(), True)
-
-
 def stream_upcoming_alerts(
     ticks: DataFrame, slots: DataFrame, bookings: DataFrame, users: DataFrame, out: str,
     horizon_s: int = 1800, once: bool = True,
@@ -169,19 +162,33 @@ def stream_live_board(
     return _start(latest.writeStream.outputMode("update").foreachBatch(run), out, once)
 
 
-def live_board(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """Current board: per key the row of its last batch."""
-    rows = read_rows(spark, out)
-    value = F.struct(*[c for c in rows.columns if c not in (key, "batch")])
-    return rows.groupBy(key).agg(F.max_by(value, "batch").alias("_v")).select(key, "_v.*")
+def _if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def live_board(spark: SparkSession, out: str, key: str, keep_batch: bool = False) -> DataFrame:
+    """Current board: per key the row of its last batch, from the batches and what was folded of earlier ones."""
+    found = [df for df in (_if_there(spark, f"{out}/{part}") for part in ("rows", "folded")) if df is not None]
+    rows = reduce(DataFrame.unionByName, found) if found else read_rows(spark, out)
+    value = F.struct(*[c for c in rows.columns if c != key])
+    board = rows.groupBy(key).agg(F.max_by(value, "batch").alias("_v")).select(key, "_v.*")
+    return board if keep_batch else board.drop("batch")
 
 
 def compact_board(spark: SparkSession, out: str, key: str) -> None:
-    """Folds all batches of a board that is not running into its last one."""
-    last = read_rows(spark, out).agg(F.max("batch").alias("b")).first()["b"]
-    live_board(spark, out, key).write.mode("overwrite").parquet(f"{out}/folded")
-    spark.read.parquet(f"{out}/folded").write.mode("overwrite").parquet(f"{out}/rows/batch={last}")
-    _only_latest(spark, out, last + 1)
+    """Folds all batches of a board that is not running into one row per key.
+
+    The folded board is written beside the batches before these are replaced by it, and readers take both:
+    whenever it breaks off, at least one of the two is whole, and a repeated call completes it.
+    """
+    live_board(spark, out, key, keep_batch=True).write.mode("overwrite").partitionBy("batch").parquet(f"{out}/next")
+    for part in ("folded", "rows"):
+        spark.read.parquet(f"{out}/next").write.mode("overwrite").partitionBy("batch").parquet(f"{out}/{part}")
 
 
 def stream_daily_sales(
@@ -190,7 +197,8 @@ def stream_daily_sales(
     """Delivered sales and line counts per calendar day, open days included.
 
     Lines come in any order of their request times, so no row is too late: the totals of all days
-    are the state (a row per day), and each batch writes them anew, replacing those before it.
+    are the state (a row per day), and each batch writes them anew, in the place of the last but one: the
+    one before it stays whole for readers until the new one is.
     """
     sold = lines.filter(F.col("status") == DELIVERED).join(
         dishes.select("dish_id", "price"), "dish_id"
@@ -200,8 +208,8 @@ def stream_daily_sales(
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
-        _only_latest(batch.sparkSession, out, batch_id)
+        state = batch.withColumn("batch", F.lit(batch_id).cast("long"))
+        state.write.mode("overwrite").parquet(f"{out}/rows/turn={batch_id % 2}")
 
     return _start(days.writeStream.outputMode("complete").foreachBatch(run), out, once)
 
@@ -210,7 +218,7 @@ def daily_sales(spark: SparkSession, out: str) -> DataFrame:
     """Totals as of the last batch."""
     rows = read_rows(spark, out)
     last = rows.agg(F.max("batch").alias("b")).first()["b"]
-    return rows.filter(F.col("batch") == F.lit(last)).drop("batch")
+    return rows.filter(F.col("batch") == F.lit(last)).drop("batch", "turn")
 
 
 # days that are closed, and what comes late ------------------------------------------------

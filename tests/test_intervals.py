@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seatwise.functions.columns import epoch_us
 from seatwise.operators.intervals import (
-    active_at_each, islands, overlap_join, overlap_sum, overlaps_any, starting_within, with_bounds,
+    active_at_each, dyadic_cells, islands, overlap_join, overlap_sum, overlaps_any, starting_within, with_bounds,
 )
 from seatwise.operators.running import running
 
@@ -67,13 +67,43 @@ def test_overlap_sum_with_null_bounds_and_keys(spark):
     assert sorted((r["id"], r["total"]) for r in got.collect()) == [(1, 5), (2, 0), (3, 0), (4, 0)]
 
 
-@pytest.mark.parametrize("bucket_s", [600, 7200, 86400])
-def test_overlap_join_equals_brute_force(spark, bucket_s):
-    left, right = intervals(3, 150, 4), intervals(4, 150, 4)
-    pairs = overlap_join(
-        frame(spark, left), frame(spark, right), ["key"], bucket_us=bucket_s * 1_000_000)
+def long_intervals(seed: int, n: int):
+    """Random intervals from none to eighty years, around and before 1970, many with equal bounds."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        start = rng.choice([T0, datetime(1969, 12, 31, 23), datetime(1, 1, 1), datetime(2024, 1, 1)])
+        start += timedelta(seconds=rng.choice([0, 1, 3600, 86400 * 30, 86400 * 3650]) * rng.randrange(3))
+        length = rng.choice([0, 1, 7200, 86400, 86400 * 31, 86400 * 3652, 86400 * 29220])
+        rows.append((i, rng.choice([0, 0, 1, None]), start, length, 1))
+    return rows
+
+
+@pytest.mark.parametrize("make", [lambda seed: intervals(seed, 150, 4), lambda seed: long_intervals(seed, 150)])
+def test_overlap_join_equals_brute_force(spark, make):
+    left, right = make(3), make(4)
+    pairs = overlap_join(frame(spark, left), frame(spark, right), ["key"])
     got = sorted((r["id"], r["id_2"]) for r in pairs.collect())
-    assert got == sorted((x[0], y[0]) for x in left for y in right if x[1] == y[1] and meet(x, y))
+    same = lambda x, y: x[1] is not None and x[1] == y[1]
+    assert got and got == sorted((x[0], y[0]) for x in left for y in right if same(x, y) and meet(x, y))
+
+
+def test_overlap_join_of_empty_sides(spark):
+    some, none = frame(spark, intervals(3, 20, 2)), frame(spark, [])
+    for a, b in [(some, none), (none, some), (none, none)]:
+        assert overlap_join(a, b, ["key"]).collect() == []
+
+
+def test_dyadic_cells_cover_a_range_once(spark):
+    rng = random.Random(8)
+    width = 1 << 33
+    spans = [(rng.randrange(-(1 << 57), 1 << 57), rng.choice([1, width, 5 * width, 10 * 365 * 86_400_000_000, 1 << 56])) for _ in range(300)]
+    rows = spark.createDataFrame([(low, low + n - 1) for low, n in spans], "low long, high long")
+    for r in rows.select("low", "high", dyadic_cells(F.col("low"), F.col("high")).alias("cells")).collect():
+        parts = sorted((c << 2 * level, (c + 1) << 2 * level) for level, c in r["cells"])
+        assert parts[0][0] == r["low"] >> 33 and parts[-1][1] == (r["high"] >> 33) + 1
+        assert all(x[1] == y[0] for x, y in zip(parts, parts[1:]))
+        assert len(parts) <= 80
 
 
 def test_islands_are_chains(spark):

@@ -97,10 +97,24 @@ def test_compaction_keeps_the_board(spark, tmp_path):
         feed(spark.createDataFrame([(minute % 2, at(f"12:{minute:02d}"), minute), (9, at("12:00"), 9)], schema), source, "ev")
         events = spark.readStream.schema(schema).parquet(f"{source}/ev")
         live.stream_live_board(events, "k", ["v"], ["ts"], out).awaitTermination()
-    before = as_set(live.live_board(spark, out, "k"), "k", "v")
+    board = lambda: as_set(live.live_board(spark, out, "k"), "k", "v")
+    before = board()
     live.compact_board(spark, out, "k")
-    assert as_set(live.live_board(spark, out, "k"), "k", "v") == before == {(0, 2), (1, 3), (9, 9)}
-    assert len(list((tmp_path / "out" / "rows").glob("batch=*"))) == 1
+    assert board() == before == {(0, 2), (1, 3), (9, 9)}
+    # one row per key is left, under the batch that wrote it
+    assert live.read_rows(spark, out).count() == 3
+    # a compaction that broke off has either part missing
+    rows = tmp_path / "out" / "rows"
+    rows.rename(tmp_path / "aside")
+    assert board() == before
+    (tmp_path / "aside").rename(rows)
+    (tmp_path / "out" / "folded").rename(tmp_path / "aside")
+    assert board() == before
+    feed(spark.createDataFrame([(0, at("13:00"), 7), (4, at("13:00"), 8)], schema), source, "ev")
+    live.stream_live_board(spark.readStream.schema(schema).parquet(f"{source}/ev"), "k", ["v"], ["ts"], out).awaitTermination()
+    assert board() == {(0, 7), (1, 3), (4, 8), (9, 9)}
+    live.compact_board(spark, out, "k")
+    assert board() == {(0, 7), (1, 3), (4, 8), (9, 9)} and live.read_rows(spark, out).count() == 4
 
 
 def test_daily_sales_count_late_rows_and_open_days(spark, seed, tmp_path):
@@ -115,7 +129,7 @@ def test_daily_sales_count_late_rows_and_open_days(spark, seed, tmp_path):
     want = {(date(2026, 4, 20), Decimal(35000), 2), (date(2026, 4, 5), Decimal(49000), 2), (date(2026, 4, 6), Decimal(21000), 1)}
     assert got == want
     # only the last two states are kept, and a later run goes on from there
-    assert len(list((tmp_path / "out" / "rows").glob("batch=*"))) == 2
+    assert len(list((tmp_path / "out" / "rows").glob("turn=*"))) == 2
     feed(spark.createDataFrame([(9, 12, 1, 3, 1, datetime(2026, 4, 1, 0, 0))], LINES), source, "lines")
     again = spark.readStream.schema(LINES).parquet(f"{source}/lines")
     live.stream_daily_sales(again, seed["dishes"], out).awaitTermination()
