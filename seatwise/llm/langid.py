@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -12,15 +14,17 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seatwise.llm.common import fold_out
+from seatwise.llm.common import fold_out, stored
+from seatwise.operators.keys import assign_ids
+from seatwise.workspace import new_folder
 
 BITS = 15
 ORDERS = (1, 2, 3)
 SMOOTH = 0.5
 HELD_MOD, HELD_REST = 4, 2
 UNKNOWN = "und"
-# Cells of the broadcast matrix (languages x features), 4 bytes each. With more languages,
-# neighbouring features are merged until it fits.
+# Cells of a broadcast matrix (languages x features), 4 bytes each. More languages are dealt into blocks, each with
+# a matrix and a pass over the texts of its own.
 CELLS = 1 << 25
 # Languages whose counts a task holds at a time.
 HELD = 64
@@ -49,19 +53,25 @@ def has_letter(text: str | None) -> bool:
 
 
 class Model:
-    """Log probabilities: a row per feature, a column per language."""
+    """Log probabilities of a block of languages: a row per feature, a column per language."""
 
-    def __init__(self, languages: list[str], prior: np.ndarray, table: np.ndarray, merged: int):
-        self.languages, self.prior, self.table, self.merged = languages, prior, table, merged
+    def __init__(self, languages: list[str], prior: np.ndarray, table: np.ndarray):
+        self.languages, self.prior, self.table = languages, prior, table
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def best(self, text: str | None) -> tuple[str | None, float, float]:
+        """The language, its joint log probability up to a constant of the corpus, and the sum of all joint
+        probabilities of the block relative to it."""
         if not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0
+            return None, -np.inf, 0.0
         counts = grams(text)
         at = np.flatnonzero(counts)
-        joint = self.prior + counts[at].astype(np.float64) @ self.table[at >> self.merged]
+        joint = self.prior + counts[at].astype(np.float64) @ self.table[at]
         best = int(joint.argmax())
-        return self.languages[best], float(1 / np.exp(joint - joint[best]).sum())
+        return self.languages[best], float(joint[best]), float(np.exp(joint - joint[best]).sum())
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        lang, _, total = self.best(text)
+        return (UNKNOWN, 0.0) if lang is None else (lang, 1 / total)
 
 
 _COUNTED = pa.schema([("lang", pa.string()), ("docs", pa.int64()), ("feature", pa.int32()), ("n", pa.int64())])
@@ -94,50 +104,87 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def learn(docs: DataFrame) -> Broadcast:
-    """Counts of all rows of ``docs(text, lang)`` with a language, as a matrix of bounded size."""
+def learn(docs: DataFrame) -> Iterator[Broadcast]:
+    """Counts of all rows of ``docs(text, lang)`` with a language, as matrices of bounded size: one, or, with more
+    languages than fit, one per block of languages in the order of their code points. No more than a block's counts
+    and languages come to the driver."""
+    spark = docs.sparkSession
     rows = docs.filter(F.col("lang").isNotNull()).select("lang", "text")
     counts = rows.mapInArrow(_count, "lang string, docs long, feature int, n long")
-    counts = counts.groupBy("lang", "feature").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).persist()
-    languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
-    merged = 0
-    while len(languages) << BITS - merged > CELLS and merged < BITS:
-        merged += 1
-    own = counts.groupBy("lang", F.shiftright("feature", merged).alias("feature")).agg(
-        F.sum("docs").alias("docs"), F.sum("n").alias("n")
-    )
-    found = own.toArrow()
-    counts.unpersist()
-    column = np.searchsorted(languages, found.column("lang").to_pylist()) if languages else np.zeros(0, np.int64)
+    counts = stored(counts.groupBy("lang", "feature").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")), "grams")
+    languages = counts.filter("feature = -1").select("lang")
+    size = max(1, CELLS >> BITS)
+    n = languages.count()
+    if n <= size:
+        yield spark.sparkContext.broadcast(_model(counts))
+        return
+    numbers = assign_ids(languages, "number", ["lang"]).select("lang", F.floor((F.col("number") - 1) / size).alias("block"))
+    path = new_folder(spark, "language-blocks")
+    counts.join(numbers, "lang").repartition("block", "lang").write.partitionBy("block").parquet(path)
+    for block in range(-(-n // size)):
+        yield spark.sparkContext.broadcast(_model(spark.read.parquet(path).filter(F.col("block") == block)))
+
+
+def _model(counts: DataFrame) -> Model:
+    found = counts.select("lang", "feature", "docs", "n").toArrow()
+    lang = found.column("lang").combine_chunks().dictionary_encode()
+    names = lang.dictionary.to_pylist()
+    languages = sorted(names)
+    place = {name: i for i, name in enumerate(languages)}
+    column = np.array([place[name] for name in names], np.int64)[lang.indices.to_numpy()]
     feature, docs_n, n = (found.column(c).to_numpy() for c in ("feature", "docs", "n"))
-    table = np.full((1 << BITS - merged, len(languages)), SMOOTH)
+    table = np.full((1 << BITS, len(languages)), SMOOTH)
     seen = feature >= 0
     table[feature[seen], column[seen]] += n[seen]
     prior = np.bincount(column, docs_n, minlength=len(languages)) + 1.0
-    model = Model(languages, np.log(prior / prior.sum()) if languages else prior,
-                  np.log(table / table.sum(axis=0)).astype(np.float32), merged)
-    return docs.sparkSession.sparkContext.broadcast(model)
+    return Model(languages, np.log(prior), np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
 def predict_column(text: str, model: Broadcast) -> Column:
-    @F.pandas_udf("lang_pred string, score double")
+    """struct(lang, joint, total), as ``Model.best`` gives them."""
+    @F.pandas_udf("lang string, joint double, total double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame(map(model.value.predict, texts), columns=["lang_pred", "score"])
+            yield pd.DataFrame(map(model.value.best, texts), columns=["lang", "joint", "total"])
 
     return predict(F.col(text))
 
 
+def _joined(docs: DataFrame, models: Iterator[Broadcast], first: Broadcast) -> DataFrame:
+    """doc_id, held_out, p: the best of all blocks. Each block's answers are written before the next block's
+    matrix is made, and a row's answers, one per block, meet in one shuffle."""
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("n"), "doc_id", "held_out", "text"), "texts")
+    answers = []
+    for block, model in enumerate(chain([first], models)):
+        answer = rows.select("n", F.lit(block).alias("block"), predict_column("text", model).alias("p"))
+        answers.append(stored(answer.filter("p.lang is not null").select("n", "block", "p.*"), "answers"))
+        model.destroy()
+    # Blocks follow the code points, so among equals the smallest block has the first language.
+    best = F.max(F.struct("joint", (-F.col("block")).alias("block"), "lang"))
+    both = reduce(DataFrame.unionByName, answers).groupBy("n").agg(
+        best.alias("b"), F.collect_list(F.struct("joint", "total")).alias("parts"))
+    total = F.aggregate("parts", F.lit(0.0), lambda sum_, p: sum_ + p.total * F.exp(p.joint - F.col("b.joint")))
+    p = F.struct(F.col("b.lang").alias("lang"), F.col("b.joint").alias("joint"), total.alias("total"))
+    return rows.drop("text").join(both.select("n", p.alias("p")), "n", "left").drop("n")
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per row of ``docs(doc_id, text, lang)``.
 
     Learns from rows that are not held out and have a language. A null text or one without any
     letter is ``und`` with score 0, and so is every text if there is nothing to learn from. The score is
-    the posterior probability of the predicted language; ties go to the first by code point.
+    the posterior probability of the predicted language; ties go to the first by code point. Any number of
+    languages: those beyond one matrix take further passes over the texts.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     docs = docs.withColumn("held_out", fold_out("doc_id", HELD_MOD, HELD_REST))
-    model = learn(docs.filter(~F.col("held_out")))
-    return docs.select("doc_id", "held_out", predict_column("text", model).alias("p")).select(
-        "doc_id", "held_out", "p.lang_pred", "p.score"
+    models = learn(docs.filter(~F.col("held_out")))
+    first, second = next(models), next(models, None)
+    if second is None:
+        found = docs.select("doc_id", "held_out", predict_column("text", first).alias("p"))
+    else:
+        found = _joined(docs, chain([second], models), first)
+    return found.select(
+        "doc_id", "held_out", F.coalesce("p.lang", F.lit(UNKNOWN)).alias("lang_pred"),
+        F.when(F.col("p.lang").isNull(), 0.0).otherwise(1 / F.col("p.total")).alias("score"),
     )
