@@ -52,23 +52,45 @@ _PENALTY = 0.1
 _OTHERS = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|respond|disqus|related|recommended)(?=[-_\s]|$)", re.I)
 
 
+# What the opening of a block ends by itself, and what that does not reach beyond.
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_WALLS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+
+
 class _Node:
-    """``named`` is the closest node around or at this one that is dropped by its name alone, ``hard`` tells of other reasons."""
+    """``named`` is the closest node around or at this one that is dropped by its name alone, ``hard`` tells of other reasons;
+    ``first_hard`` and ``first_drop`` are the outermost such nodes around or at it. ``box`` is the closest container, with
+    ``titled`` for a title on the way there. All of it is handed down, so that no page walks its open tags again and again."""
 
-    __slots__ = ("tag", "names", "parent", "hard", "named", "inner", "path", "score", "heading", "order", "plain", "main")
+    __slots__ = (
+        "tag", "names", "parent", "hard", "named", "inner", "step", "at", "score", "heading", "order", "plain", "main",
+        "depth", "first_hard", "first_drop", "others", "box", "titled",
+    )
 
-    def __init__(self, tag: str, names: str, classes: str, parent: _Node | None, hard: bool, named: bool, inner: bool):
-        self.tag, self.names, self.parent, self.hard, self.inner = tag, names, parent, hard, inner
+    def __init__(self, tag: str, names: str, step: str, at: int, parent: _Node | None, hard: bool, named: bool, inner: bool):
+        self.tag, self.names, self.step, self.at, self.parent, self.hard, self.inner = tag, names, step, at, parent, hard, inner
         self.named = self if named else parent.named if parent else None
         self.order = self.plain = self.main = 0
-        step = tag + "".join(f".{c}" for c in sorted(set(_DIGITS.sub("0", classes).lower().split())))
-        self.path = f"{parent.path}/{step}" if parent else step
         self.score, self.heading = 0.0, False
+        self.depth = parent.depth + 1 if parent else 0
+        self.first_hard = parent and parent.first_hard or (self if hard else None)
+        self.first_drop = parent and parent.first_drop or (self if self.dropped else None)
+        self.others = bool(parent and parent.others) or bool(_OTHERS.search(names))
+        self.box = self if tag in _CONTAINER else parent.box if parent else None
+        self.titled = tag not in _CONTAINER and (tag in ("h1", "h2") or bool(parent and parent.titled))
 
     @property
     def dropped(self) -> bool:
         return self.hard or self.named is not None
 
+    @property
+    def path(self) -> str:
+        steps, node = [], self
+        while node is not None:
+            steps.append(node.step)
+            node = node.parent
+        return "/".join(reversed(steps))
+
 
 class Page:
     """The blocks of a page: (node, text, characters in links), in page order, without what is never main text."""
@@ -87,8 +109,7 @@ class Page:
         best, top = None, float(kept)
         for node in self.nodes:
             if node.named is node and not node.hard and node.plain:
-                others = any(_OTHERS.search(n.names) for n in self._around(node))
-                worth = node.main if node.main and not article and not others else 0
+                worth = node.main if node.main and not article and not node.others else 0
                 worth += _PENALTY * (node.plain - worth)
                 if worth > top:
                     best, top = node, worth
@@ -101,14 +122,19 @@ class Page:
             node = node.parent
 
     def _parse(self, html: str) -> None:
-        self.root = _Node("#", "", "", None, False, False, False)
+        # Paths as numbers: one per path around and step.
+        self.paths: dict[tuple[int, str], int] = {(-1, "#"): 0}
+        self.root = _Node("#", "", "#", 0, None, False, False, False)
         self.stack = [self.root]
+        # Depths at which each tag is open.
+        self.depths: dict[str, list[int]] = {}
         self.nodes: list[_Node] = []
         self.blocks: list[tuple[_Node, str, int]] = []
         self._text: list[str] = []
         self._linked = self._in_link = 0
         at = look = 0
         self._dead: set[int] = set()
+        unclosed: set[str] = set()
         while found := _MARK.search(html, look):
             end = found.end() if not found[2] else self._tag_end(html, found.end())
             if end < 0:
@@ -122,7 +148,11 @@ class Page:
             if found[1]:
                 self._close(tag)
             elif tag in _RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at) if not rest.endswith("/") else None
+                end = None
+                if not rest.endswith("/") and tag not in unclosed:
+                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+                    if end is None:
+                        unclosed.add(tag)
                 at = look = end.end() if end else (len(html) if tag in ("script", "style") and not rest.endswith("/") else at)
             else:
                 self._open(tag, rest)
@@ -180,17 +210,14 @@ class Page:
         self._in_link = int(tag == "a")
         if tag in ("hr",):
             return
-        # What the opening of a block ends by itself.
-        if tag != "body" and any(n.tag == "head" for n in self.stack) and tag not in ("head", "html"):
+        if tag != "body" and self._depth(("head",)) and tag not in ("head", "html"):
             self._close("head")
-        closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-        walls = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
         self._end(("p",), ("td", "th", "button", "body"))
-        if tag in closes:
-            self._end(closes[tag], walls.get(tag, ()))
+        if tag in _ENDS:
+            self._end(_ENDS[tag], _WALLS.get(tag, ()))
         if tag == "body":
             self._end(("head",), ("html",))
-        if tag in ("body", "html") and any(n.tag == tag for n in self.stack):
+        if tag in ("body", "html") and self._depth((tag,)):
             return
         self._push(tag, rest)
 
@@ -213,31 +240,40 @@ class Page:
         names = f"{classes} {ident}"
         inner = parent.inner or tag in ("article", "main")
         if tag in ("article", "main") and parent.dropped:
-            # A form around the page, or a menu that was never closed, does not take the article along.
-            above = self.stack[1:]
-            first = next(n for n in above if n.dropped)
-            if first.tag in _AROUND:
-                for n in above:
-                    n.hard, n.named = False, None
-            elif (first := next((n for n in above if n.hard), first)).tag in _AROUND:
-                for n in above:
-                    n.hard = False
+            # A form around the page, or a menu that was never closed, does not take the article along. What is inside
+            # something dropped is dropped, so only the open nodes from the outermost one on are touched.
+            drop, hard = parent.first_drop, parent.first_hard
+            if drop.tag in _AROUND:
+                for n in self.stack[drop.depth:]:
+                    n.hard, n.named, n.first_drop, n.first_hard = False, None, None, None
+            elif hard is not None and hard.tag in _AROUND:
+                for n in self.stack[hard.depth:]:
+                    n.hard, n.first_hard = False, None
         header = tag == "header" or bool(_HEAD_NAME.search(names))
         outside = tag not in _HEADINGS and tag not in ("body", "html", "article", "main")
         hard = parent.hard or hidden or role in _ROLES or tag in _DROP and tag != "header" or tag == "header" and not parent.inner
         named = outside and (bool(_NOISE.search(names)) or header and tag != "header" and not parent.inner)
-        node = _Node(tag, names, classes, parent, hard, named and len(self.nodes) not in self._kept, inner)
+        step = tag + "".join(f".{c}" for c in sorted(set(_DIGITS.sub("0", classes).lower().split())))
+        at = self.paths.setdefault((parent.at, step), len(self.paths))
+        node = _Node(tag, names, step, at, parent, hard, named and len(self.nodes) not in self._kept, inner)
         node.order = len(self.nodes)
+        self.depths.setdefault(tag, []).append(len(self.stack))
         self.stack.append(node)
         self.nodes.append(node)
 
+    def _depth(self, tags: tuple) -> int:
+        """Where the innermost open node with one of these tags is, 0 if there is none."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def _cut(self, depth: int) -> None:
+        for node in self.stack[depth:]:
+            self.depths[node.tag].pop()
+        del self.stack[depth:]
+
     def _end(self, tags: tuple, walls: tuple) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in tags:
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in walls:
-                return
+        depth = self._depth(tags)
+        if depth and depth > self._depth(walls):
+            self._cut(depth)
 
     def _close(self, tag: str) -> None:
         if tag == "a":
@@ -245,14 +281,8 @@ class Page:
         if tag in _BLOCK or tag in _DROP or tag == "span":
             if tag != "span":
                 self._flush()
-            if tag in ("body", "html"):
-                return
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i].tag == tag:
-                    del self.stack[i:]
-                    return
-                if tag in ("span", "p", "li") and self.stack[i].tag in ("td", "th", "article", "section"):
-                    return
+            if tag not in ("body", "html"):
+                self._end((tag,), ("td", "th", "article", "section") if tag in ("span", "p", "li") else ())
 
     def best(self) -> _Node | None:
         """The container with most text of its own and of its parts, links not counted. Parts of a part count
@@ -261,14 +291,13 @@ class Page:
             size = len(text) - linked
             if linked > 0.6 * len(text):
                 continue
-            around, share, heading = node, 1.0, False
-            while around is not None and around.tag != "#" and share > 0.05:
-                heading = heading or around.tag in ("h1", "h2")
-                if around.tag in _CONTAINER:
-                    around.score += share * size
-                    around.heading = around.heading or heading and around.tag != "body"
-                    share *= 0.6
-                around = around.parent
+            around, share, heading = node.box, 1.0, node.titled
+            while around is not None and share > 0.05:
+                around.score += share * size
+                around.heading = around.heading or heading and around.tag != "body"
+                share *= 0.6
+                heading = heading or around.parent.titled
+                around = around.parent.box
         best, top = None, 0.0
         for node in self.nodes:
             if node.tag in _CONTAINER and not node.dropped and node.score > 0:
@@ -281,22 +310,35 @@ class Page:
             best = best.parent
         return best
 
+    def _places(self, path: str) -> set[int]:
+        """The numbers of this path: each step is compared once, where the steps around it agree."""
+        agree = [-1] * len(self.paths)
+        for (around, step), at in self.paths.items():
+            if around < 0:
+                start = 0
+            elif agree[around] >= 0 and path.startswith("/", agree[around]):
+                start = agree[around] + 1
+            else:
+                continue
+            if path.startswith(step, start):
+                agree[at] = start + len(step)
+        return {at for at, n in enumerate(agree) if n == len(path)}
+
     def text(self, path: str | None) -> str:
         """The blocks below all nodes with this path (None: all blocks), one per line."""
-        out = []
-        for node, text, _ in self.blocks:
-            around = node
-            while path is not None and around is not None and around.path != path:
-                around = around.parent
-            if path is None or around is not None:
-                out.append(text)
-        return "\n".join(out)
+        if path is None:
+            return "\n".join(text for _, text, _ in self.blocks)
+        places = self._places(path)
+        below = {self.root: 0 in places}
+        for node in self.nodes:
+            below[node] = below[node.parent] or node.at in places
+        return "\n".join(text for node, text, _ in self.blocks if below[node])
 
     def main_text(self, ranked: list[str]) -> str:
         """By the first of the host's paths that this page has with text in it, else by its own best container."""
-        have = {n.path for n in self.nodes if not n.dropped}
+        have = {n.at for n in self.nodes if not n.dropped}
         for path in ranked:
-            if path in have and (found := self.text(path)):
+            if have & self._places(path) and (found := self.text(path)):
                 return found
         best = self.best()
         return self.text(best.path if best is not None else None)

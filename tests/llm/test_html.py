@@ -1,3 +1,6 @@
+import time
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +88,23 @@ def test_wrappers_with_noise_names_keep_the_article(spark, name, inside):
     if inside == "{}":
         got = html.main_texts(spark.createDataFrame([(1, "http://a/b", page)] * 3, "page_id long, url string, html string")).collect()
         assert [r.text for r in got] == [WANT] * 3
+
+
+@pytest.mark.parametrize("open_tags", ['<div class="a b">x ', "<ul class=a><li>x ", "<form><article>x ", "<div class=ad>x <article>y ", "<svg>x", "<h1><ul>x "])
+def test_deep_nesting_stays_linear(open_tags):
+    tracemalloc.start()
+    start = time.process_time()
+    page = Page(open_tags * 20_000)
+    best = page.best()
+    assert page.main_text([best.path] if best else []).count("x") in (0, 1, 20_000)
+    # A walk of all open tags per tag would take minutes and gigabytes.
+    assert time.process_time() - start < 60 and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_paths_agree_with_their_text():
+    """Numbers of paths against the texts of all nodes' paths, with steps that hold the separator."""
+    page = Page("".join(f"<div class='{c}'>{t}" for c in ("a/div", "a", "b/div.a") for t in ("<p>x</p>", "<section>y")))
+    paths = {n.path for n in page.nodes} | {"", "#", "#/", "#/div", "#/div.a/div"}
+    for path in paths:
+        assert page._places(path) == {n.at for n in [page.root, *page.nodes] if n.path == path}
