@@ -231,6 +231,16 @@ ORACLES["daily_kpis"] = _sql(
     "SELECT r.day, (SELECT count(*) FROM placed p WHERE p.day = r.day) AS total_orders, "
     "max(r.name) FILTER (r = 1) AS star_dish, max(r.n) AS star_lines, "
     "CAST(sum(r.money) AS DECIMAL(38,2)) AS gross_revenue FROM ranked r GROUP BY r.day", "order_lines", "dishes")
+ORACLES["merged_day_figures"] = _sql(
+    "WITH march AS (SELECT *, strftime(requested, '%Y-%m') = '1995-03' AS hit FROM order_lines), "
+    "now AS (SELECT dish_id, qty, if(hit AND line_no = 1, 3, status) AS status, "
+    "CAST(if(hit AND line_no = 3, requested + to_days(31), requested) AS DATE) AS day FROM march WHERE NOT (hit AND line_no = 2)), "
+    "per AS (SELECT day, d.name, n.dish_id, count(*) AS n, sum(n.qty) AS qty, sum(n.qty * d.price) AS money, "
+    "sum(if(n.status = 3, n.qty, 0) * d.price) AS sold FROM now n LEFT JOIN dishes d USING (dish_id) GROUP BY ALL), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, name, dish_id) AS r FROM per) "
+    "SELECT day, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(qty) AS BIGINT) AS units, max(name) FILTER (r = 1) AS star_dish, "
+    "CAST(sum(money) AS DECIMAL(38,2)) AS gross_revenue, CAST(sum(sold) AS DECIMAL(38,2)) AS total_sales FROM ranked GROUP BY day",
+    "order_lines", "dishes")
 ORACLES["format_amounts"] = _sql(
     "SELECT CAST(l.requested AS DATE) AS day, replace(format('{:,}', CAST(round(sum(l.qty * d.price), 0) AS BIGINT)), "
     "',', '.') AS total_sales FROM order_lines l JOIN dishes d USING (dish_id) WHERE l.status = 3 GROUP BY 1",

@@ -11,6 +11,7 @@ from seatwise.functions import columns as C
 from seatwise.operators import admission, changes, intervals, joins, keys, rules
 from seatwise.oracle import ORACLES
 from seatwise.plans import floor, people, service
+from seatwise.sources.day_parts import daily_figures, merge_day_parts, read_day_parts, write_day_parts
 from seatwise.sources.mapped import SOURCES, MappedModel
 from seatwise.sources.schemas import TABLES
 from seatwise.sources.tables import (
@@ -536,6 +537,22 @@ def stored_slot_changes(m):
     return m.spark.read.schema(TABLES["slots"]).parquet(path).drop(MONTH)
 
 
+@query
+def merged_day_figures(m):
+    """Daily figures from stored sums, after three batches of changes in March 1995: first lines are delivered (sent
+    twice), second ones deleted, third ones moved by 31 days."""
+    home = new_folder(m.spark, "day-parts")
+    lines = m.order_lines()
+    write_day_parts(lines, home)
+    of = lambda no: lines.filter((F.date_format("requested", "yyyy-MM") == "1995-03") & (F.col("line_no") == no))
+    later = F.col("requested") + F.make_dt_interval(F.lit(31))
+    for _ in range(2):
+        merge_day_parts(m.spark, home, of(1), of(1).withColumn("status", F.lit(C.DELIVERED)), "delivered")
+    merge_day_parts(m.spark, home, of(2), lines.limit(0), "deleted")
+    merge_day_parts(m.spark, home, of(3), of(3).withColumn("requested", later), "moved")
+    return daily_figures(read_day_parts(m.spark, home), m.dishes())
+
+
 @query
 def append_batches(m):
     """Bookings appended in two named batches, one of them sent twice: it is stored once."""

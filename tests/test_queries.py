@@ -111,3 +111,14 @@ def test_no_bucket_totals_in_one_task(spark):
 def test_entry(spark):
     df = registered.entry(spark)
     assert df.columns == ["day", "total_sales"] and df.count() > 0
+
+
+def test_first_lines_are_cut_before_the_shuffle(spark):
+    plan = plan_of(spark, "kitchen_first", **{"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    # Per dish and per cook: a cut to k rows within each task, and one after the shuffle.
+    assert plan.count("WindowGroupLimit") == 4
+
+
+def test_ranges_of_any_length_meet_by_cells(spark):
+    plan = plan_of(spark, "overlap_pairs", **{"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    assert "hashpartitioning(place" in plan and "_cell" in plan and "NestedLoop" not in plan

@@ -128,6 +128,8 @@ def test_orders_and_kitchen(seed):
         seed["order_lines"], seed["dishes"], seed["specialties"], cook))
     assert queue(9) == []
     assert [(r[0], r[2]) for r in queue()] == [(10, 9), (11, 7), (12, 5), (15, 10)]
+    first = lambda k: rows(service.kitchen_first(seed["order_lines"], seed["dishes"], seed["specialties"], k))
+    assert [(r[0], r[1], r[3]) for r in first(2)] == [(10, 1, 9), (11, 1, 7), (12, 1, 5), (15, 1, 10)] and first(0) == []
     panel = rows(service.kitchen_panel(
         seed["orders"], seed["order_lines"], seed["users"], seed["dishes"], seed["specialties"]))
     assert [r[1] for r in panel] == [5, 7, 9, 10]
