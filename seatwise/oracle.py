@@ -517,6 +517,8 @@ ORACLES["stream_ready_alerts"] = _sql(
 ORACLES["stream_upcoming_alerts"] = ORACLES["upcoming_bookings"]
 ORACLES["stream_table_board"] = _board(
     "(SELECT max(ts) FROM events)", ", (SELECT max(ts) FROM events) AS at")
+_LAST = "(SELECT greatest((SELECT max(ts) FROM events), (SELECT max(placed) FROM floor_orders)))"
+ORACLES["stream_floor_board"] = _board(_LAST, f", {_LAST} AS at")
 ORACLES["stream_live_board"] = _sql(
     "WITH r AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY start DESC, slot_id DESC) AS r FROM slots) "
     "SELECT table_id, start, slot_id, booking_id, duration_s FROM r WHERE r = 1", "slots")

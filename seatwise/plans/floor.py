@@ -180,10 +180,13 @@ def table_board(
         .groupBy("customer_id").agg(F.count("*").alias("_orders"))
     )
     rows = seated.join(names, "customer_id", "left").join(ordering, "customer_id", "left")
-    board = keep_all(tables.select("table_id", "seats"), rows, "table_id")
-    state = (
-        F.when(F.col("_orders") > 0, labels[0]).when(F.col("_booked"), labels[1]).otherwise(labels[2])
-    )
+    return board_rows(tables, rows.withColumn("_ordered", F.col("_orders") > 0), labels)
+
+
+def board_rows(tables: DataFrame, seated: DataFrame, labels: tuple[str, str, str] = TABLE_STATE) -> DataFrame:
+    """Every table with its state, from the slots that are on: ``table_id``, ``customer``, ``_booked``, ``_ordered``."""
+    board = keep_all(tables.select("table_id", "seats"), seated, "table_id")
+    state = F.when(F.col("_ordered"), labels[0]).when(F.col("_booked"), labels[1]).otherwise(labels[2])
     return ordered(
         board.select("table_id", "seats", state.alias("state"), "customer"), "table_id", "customer"
     )

@@ -604,6 +604,19 @@ def stream_table_board(m):
     return live.read_rows(m.spark, out).drop("batch")
 
 
+@query
+def stream_floor_board(m):
+    """The board as of the last event, from a stream of slots and a stream of orders."""
+    out = new_folder(m.spark, "floor")
+    slots = _streamed(m, events=_stream(m, "events")).slots()
+    customers = m.bookings().select("booking_id", "customer_id")
+    orders = _streamed(m, events=_stream(m, "events")).floor_orders()
+    live.stream_floor_changes(slots.join(customers, "booking_id", "left"), orders, out).awaitTermination()
+    at = m.slots().select(F.col("start").alias("at")).unionByName(m.floor_orders().select(F.col("placed").alias("at")))
+    last = at.agg(F.max("at")).first()[0]
+    return live.floor_board(m.spark, out, m.dining_tables(), m.users(), last).withColumn("at", floor.instant(last))
+
+
 @query
 def stream_live_board(m):
     out = new_folder(m.spark, "live")

@@ -7,6 +7,7 @@ batch that is run again after a failure replaces its own output.
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -16,9 +17,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from seatwise.functions.columns import (
-    DELIVERED, PREPARED, line_amount, ready_text, slot_end, wall_clock_as_utc,
+    DELIVERED, MAX_DURATION_S, PREPARED, TABLE_STATE, line_amount, ready_text, slot_end, wall_clock_as_utc,
 )
-from seatwise.plans.floor import instant, table_board, upcoming_bookings
+from seatwise.plans.floor import board_rows, instant, table_board, upcoming_bookings
 from seatwise.sources.tables import MONTH
 
 
@@ -147,6 +148,65 @@ def stream_table_board(
     return _per_batch(ticks.filter(F.col("at").isNotNull()), latest, out, once)
 
 
+def stream_floor_changes(
+    slots: DataFrame, orders: DataFrame, out: str, lateness: str = "30 minutes", once: bool = True
+) -> StreamingQuery:
+    """What a floor board needs, from a stream of slots (slot_id, table_id, customer_id, start, duration_s; no customer
+    where there is no booking) and a stream of orders (customer_id, placed): each slot when it arrives, and
+    again with the day when its customer is known to have ordered on a day that it touches. A batch writes what it
+    changes and nothing else; ``floor_board`` reads the slots of the last two hours.
+
+    The streams are joined on the customer, within the time that can matter to a board as of the latest event: a slot waits for
+    orders for the longest slot (two hours), an order for slots of its day. Both go from the state once the later of
+    the two streams' watermarks allows it, so a slot waits as long as it may still be on, and an order no
+    longer than a day. Orders of a customer that come within ``lateness`` of each other on a day are one row of
+    state. Rows more than ``lateness`` behind both streams are left out.
+    """
+    timed = slots.withColumn("_start", wall_clock_as_utc("start")).withWatermark("_start", lateness)
+    arrived = timed.select(
+        "slot_id", "table_id", "customer_id", "start", slot_end("start", "duration_s").alias("end"), "_start")
+    placed = (
+        orders.filter(F.col("customer_id").isNotNull() & F.col("placed").isNotNull())
+        .select(F.col("customer_id").alias("_customer"), F.col("placed").cast("date").alias("ordered_day"),
+                wall_clock_as_utc("placed").alias("_placed"))
+        .withWatermark("_placed", lateness).dropDuplicatesWithinWatermark(["_customer", "ordered_day"])
+    )
+    met = arrived.join(placed, (F.col("customer_id") == F.col("_customer")) & F.expr(
+        f"_placed > _start - INTERVAL 24 HOURS AND _placed <= _start + INTERVAL {MAX_DURATION_S} SECONDS"
+    ) & F.col("ordered_day").between(F.col("start").cast("date"), F.col("end").cast("date")))
+    names = ["slot_id", "table_id", "customer_id", "start", "end", "ordered_day"]
+    changes = met.select(names).unionByName(arrived.withColumn("ordered_day", F.lit(None).cast("date")).select(names))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # By day first, so that a reader opens the files of one or two days; a repeated batch replaces its own folders.
+        rows = batch.withColumn("day", F.col("start").cast("date")).withColumn("batch", F.lit(batch_id).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{out}/rows")
+
+    return _start(changes.writeStream.outputMode("append").foreachBatch(run), out, once)
+
+
+def floor_board(
+    spark: SparkSession, out: str, tables: DataFrame, users: DataFrame, at: datetime | str,
+    labels: tuple[str, str, str] = TABLE_STATE,
+) -> DataFrame:
+    """The floor board as of ``at``, the time of the latest event or a later one, from what ``stream_floor_changes`` wrote:
+    the same rows as ``table_board`` gives for all slots and orders that have arrived. It reads the days that a slot which is
+    still on can have started on, so its cost does not grow with what is stored."""
+    now = instant(at)
+    since = slot_end(now, F.lit(-MAX_DURATION_S))
+    schema = ("slot_id long, table_id long, customer_id long, start timestamp_ntz, `end` timestamp_ntz, "
+              "ordered_day date, day date, batch long")
+    on = spark.read.schema(schema).parquet(f"{out}/rows").filter(
+        F.col("day").between(since.cast("date"), now.cast("date"))
+        & F.col("start").between(since, now) & (F.col("end") >= now))
+    seated = on.groupBy("slot_id", "table_id", "customer_id").agg(
+        F.max(F.coalesce(F.col("ordered_day") == now.cast("date"), F.lit(False))).alias("_ordered"))
+    names = users.select(F.col("user_id").alias("customer_id"), F.col("name").alias("customer"))
+    rows = seated.join(names, "customer_id", "left").select(
+        "table_id", "customer", F.col("customer_id").isNotNull().alias("_booked"), "_ordered")
+    return board_rows(tables, rows, labels)
+
+
 def stream_live_board(
     events: DataFrame, key: str, state: list[str], order: list[str], out: str, once: bool = True
 ) -> StreamingQuery:

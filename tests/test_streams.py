@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -203,3 +204,69 @@ def test_an_alert_comes_once_over_batches_and_restarts(spark, seed, tmp_path):
     assert tick("15:00") == [(at("13:40"), 7), (at("14:45"), 8)]
     # readers of all alerts see more rows than there are bookings
     assert live.read_rows(spark, f"{out}/all").count() > 2
+
+
+SLOT = "slot_id long, table_id long, booking_id long, customer_id long, start timestamp_ntz, duration_s long"
+
+
+def test_floor_board_of_two_streams_equals_the_batch_board(spark, tmp_path):
+    """Slots and orders arrive in files of their own, out of order within half an hour: after each pair of files the board is
+    that of all rows so far, and the state forgets slots that are over and orders of days that are."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rng = random.Random(5)
+    begin = datetime(2026, 4, 5, 19, 0)
+    tables = spark.createDataFrame([(t, 4) for t in range(8)], "table_id long, seats int")
+    users = spark.createDataFrame([(c, f"Person {c:02d}") for c in range(11)], "user_id long, name string")
+    slots, orders, widest = [], [], 0
+    for batch in range(9):
+        now = begin + timedelta(hours=batch * 5)  # three days, with slots over midnight
+        new_slots = [(100 * batch + i, rng.randrange(8), 100 * batch + i, rng.choice([None, *range(12)]),
+                      now + timedelta(minutes=rng.randrange(-20, 40)), rng.choice([1800, 3600, 7200])) for i in range(9)]
+        new_orders = [(rng.randrange(12), now + timedelta(minutes=rng.randrange(-20, 40))) for _ in range(7)]
+        new_orders += new_orders[:2] + [(None, now), (1, None)]
+        slots, orders = slots + new_slots, orders + new_orders
+        feed(spark.createDataFrame(new_slots, SLOT), source, "slots")
+        feed(spark.createDataFrame(new_orders, "customer_id long, placed timestamp_ntz"), source, "orders")
+        stream = lambda name, schema: spark.readStream.schema(schema).parquet(f"{source}/{name}")
+        query = live.stream_floor_changes(
+            stream("slots", SLOT), stream("orders", "customer_id long, placed timestamp_ntz"), out)
+        query.awaitTermination()
+        held = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
+        widest = max(widest, held[-1])
+        at_end = max([r[4] for r in slots] + [r[1] for r in orders if r[1]])
+        every = spark.createDataFrame(slots, SLOT)
+        bookings = every.filter("customer_id IS NOT NULL").select("booking_id", "customer_id", F.lit(1).alias("status"))
+        want = floor.table_board(
+            tables, every.drop("customer_id"), bookings, users,
+            spark.createDataFrame(orders, "customer_id long, placed timestamp_ntz"), at_end)
+        got = live.floor_board(spark, out, tables, users, at_end)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), batch
+    states = {r.state for r in live.floor_board(spark, out, tables, users, at_end).collect()}
+    assert states == {"Occupied", "Reserved", "Free"}
+    # 81 slots and 81 orders came; a batch's slots, and the orders of a day with their first sight of each customer, are held
+    assert widest <= 9 * 2 + 2 * 7 * 5 and held[-1] < len(slots)
+    # a reader opens the folders of the day and, after midnight only, of the one before
+    plan = live.floor_board(spark, out, tables, users, "2026-04-06 20:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "(day#" in plan
+
+
+def test_floor_changes_of_a_repeated_batch_replace_themselves(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    feed(spark.createDataFrame([(1, 1, 1, 5, at("12:00"), 3600)], SLOT), source, "slots")
+    feed(spark.createDataFrame([(5, at("12:05"))], "customer_id long, placed timestamp_ntz"), source, "orders")
+
+    def run():
+        live.stream_floor_changes(
+            spark.readStream.schema(SLOT).parquet(f"{source}/slots"),
+            spark.readStream.schema("customer_id long, placed timestamp_ntz").parquet(f"{source}/orders"), out,
+        ).awaitTermination()
+        return live.read_rows(spark, out).count()
+
+    assert run() == 2
+    # the batch is taken for not committed, as after a failure, and runs again
+    commit = max((tmp_path / "out" / "_progress" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    commit.rename(tmp_path / "commit")
+    crc = commit.with_name(f".{commit.name}.crc")
+    if crc.exists():
+        crc.rename(tmp_path / "commit.crc")
+    assert run() == 2
