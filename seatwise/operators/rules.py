@@ -16,8 +16,8 @@ from seatwise.functions.columns import (
 )
 from seatwise.operators.intervals import overlap_join, overlap_sum, overlaps_any, with_bounds
 from seatwise.operators.joins import blocking_slots, booked_slots
-from seatwise.sources.schemas import FOREIGN_KEYS, UNIQUE_KEYS, ForeignKey
-from seatwise.workspace import cut_lineage
+from seatwise.sources.schemas import FOREIGN_KEYS, IDENTIFYING, UNIQUE_KEYS, ForeignKey
+from seatwise.workspace import cut_lineage, written
 
 Rule = tuple[str, Column, Column]
 
@@ -307,26 +307,55 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+# Values that are whole numbers are held as bits, 64 to a word. Files keep neighbouring numbers together, so a task
+# folds up to 64 rows into one word before the shuffle, and only rows of words that show a fault are looked at singly.
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _bit(value: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), value.bitwiseAND(F.lit(63)).cast("int"))
+
+
 def audit_uniques(
     model: dict[str, DataFrame], keys: dict[str, list[tuple[str, ...]]] | None = None
 ) -> DataFrame:
     """Key values stored more than once, and how often. NULLs are not duplicates.
 
-    Each table is read once: a row unfolds into its keys, and all are counted together.
+    A key's suspects come first: rows are folded to words of 64 values of one whole-number column, ``IDENTIFYING``
+    where that column nearly identifies a row, with the rest of the key otherwise. A word with more rows than
+    bits holds a repeated value. Keys without such a column are folded by their hash. Rows of suspect words alone are
+    then counted by their whole key, so a hash or a column that repeats costs a count and changes nothing.
+    Each table is read once for the words, and once for suspects if there are any.
     """
-    parts = []
+    words, whole = [], []
     for table, all_keys in (UNIQUE_KEYS if keys is None else keys).items():
-        if table in model:
-            own = [
-                F.struct(
-                    F.lit(f"{table}({','.join(key)})").alias("constraint"),
-                    F.array(*[F.col(k).cast("string") for k in key]).alias("_key"),
-                )
-                for key in all_keys
-            ]
-            parts.append(model[table].select(F.inline(F.array(*own))))
-    found = _union(parts).filter(~F.exists("_key", lambda k: k.isNull()))
-    counted = found.groupBy("constraint", "_key").agg(F.count("*").alias("n"))
+        if table not in model:
+            continue
+        kinds = dict(model[table].dtypes)
+        own = []
+        for key in all_keys:
+            values = [F.col(k) for k in key]
+            known = reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
+            numbers = [k for k in key if kinds[k] in _WHOLE]
+            packed = next((k for k in numbers if (table, k) in IDENTIFYING), numbers[-1] if numbers else None)
+            if packed is None:
+                value, rest = F.xxhash64(*values), []
+            else:
+                value = F.col(packed).cast("long")
+                rest = [] if (table, packed) in IDENTIFYING else [F.col(k) for k in key if k != packed]
+            name = F.lit(f"{table}({','.join(key)})")
+            own.append(F.struct(
+                # One long stands for constraint, rest and word: where two fall together, there is no bit less.
+                F.xxhash64(name, *rest, F.shiftright(value, 6)).alias("_word"), F.when(known, _bit(value)).alias("_bits"),
+                name.alias("constraint"), F.array(*[v.cast("string") for v in values]).alias("_key"),
+            ))
+        rows = model[table].select(F.inline(F.array(*own))).filter(F.col("_bits").isNotNull())
+        words.append(rows.select("_word", "_bits"))
+        whole.append(rows.drop("_bits"))
+    # Written, so that the next plan knows how few they are.
+    suspects = written(_union(words).groupBy("_word").agg(F.count("*").alias("_n"), F.bit_or("_bits").alias("_bits")).filter(
+        F.col("_n") > F.bit_count("_bits")).select("_word"), "suspects")
+    counted = _union(whole).join(suspects, "_word", "left_semi").groupBy("constraint", "_key").agg(F.count("*").alias("n"))
     return counted.filter(F.col("n") > 1).select(
         "constraint", F.array_join("_key", ",").alias("key"), "n"
     )
@@ -341,38 +370,51 @@ def orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
 def audit_fks(model: dict[str, DataFrame], fks: list[ForeignKey] | None = None) -> DataFrame:
     """Per foreign key with both tables present: rows, and rows whose parent is missing.
 
-    Each table is read once as child and once as parent. References and parent keys are
-    folded per value with map-side combine, so a value that most rows share is one row.
+    References and parent keys are folded to words of 64 values with map-side combine: bits of the keys that exist, and
+    bits of those referred to per foreign key. Where a word has references without a parent, its rows are counted
+    by value; they meet the word's parent bits in a join. Keys must be whole numbers, as all of the model are. A value that
+    most rows share is one bit. Each table is read once as child and once as parent, and children again only
+    if there are orphans.
     """
     fks = [
         fk for fk in (FOREIGN_KEYS if fks is None else fks) if fk.child in model and fk.parent in model
     ]
-    parts = []
-    for child in dict.fromkeys(fk.child for fk in fks):
+    for fk in fks:
+        for table, column in ((fk.child, fk.column), (fk.parent, fk.parent_key)):
+            if dict(model[table].dtypes)[column] not in _WHOLE:
+                raise TypeError(f"{table}.{column} is not a whole number")
+
+    def values(table: str, refs: list[tuple[str, str, int]]) -> DataFrame:
         own = [
-            F.struct(
-                F.lit(f"{fk.parent}.{fk.parent_key}").alias("parent"),
-                F.col(fk.column).cast("string").alias("value"), F.lit(i).alias("fk"),
-            )
-            for i, fk in enumerate(fks) if fk.child == child
+            F.struct(F.lit(parent).alias("parent"), F.col(column).cast("long").alias("value"), F.lit(i).alias("fk"))
+            for parent, column, i in refs
         ]
-        parts.append(model[child].select(F.inline(F.array(*own))))
-    for parent, key in dict.fromkeys((fk.parent, fk.parent_key) for fk in fks):
-        parts.append(model[parent].select(
-            F.lit(f"{parent}.{key}").alias("parent"), F.col(key).cast("string").alias("value"), F.lit(-1).alias("fk")
-        ))
-    met = _union(parts).filter(F.col("value").isNotNull())
-    counts = [F.count(F.when(F.col("fk") == i, 1)).alias(f"_{i}") for i in range(len(fks))]
-    values = met.groupBy("parent", "value").agg(F.max(F.col("fk") == -1).alias("_found"), *counts)
-    sums = []
-    for i in range(len(fks)):
-        sums.append(F.coalesce(F.sum(f"_{i}"), F.lit(0)).alias(f"n_{i}"))
-        sums.append(F.coalesce(F.sum(F.when(~F.col("_found"), F.col(f"_{i}"))), F.lit(0)).alias(f"lost_{i}"))
+        rows = model[table].select(F.inline(F.array(*own))).filter(F.col("value").isNotNull())
+        return rows.withColumn("_word", F.shiftright("value", 6)).withColumn("_bit", _bit(F.col("value")))
+
+    children = _union([
+        values(child, [(f"{fk.parent}.{fk.parent_key}", fk.column, i) for i, fk in enumerate(fks) if fk.child == child])
+        for child in dict.fromkeys(fk.child for fk in fks)
+    ])
+    parents = _union([
+        values(parent, [(f"{parent}.{key}", key, -1)]) for parent, key in dict.fromkeys((fk.parent, fk.parent_key) for fk in fks)
+    ])
+    words = written(children.unionByName(parents).groupBy("parent", "_word", "fk").agg(
+        F.bit_or("_bit").alias("_bits"), F.count("*").alias("n")), "key-words")
+    there, asked = (F.coalesce(F.bit_or(F.when(c, F.col("_bits"))), F.lit(0)) for c in (F.col("fk") == -1, F.col("fk") != -1))
+    lacking = written(words.groupBy("parent", "_word").agg(there.alias("_there"), asked.alias("_asked")).filter(
+        F.col("_asked").bitwiseAND(F.bitwise_not("_there")) != 0).drop("_asked"), "lacking")
+    lost = children.join(lacking, ["parent", "_word"]).filter(F.col("_bit").bitwiseAND(F.col("_there")) == 0)
+    per = words.select("fk", "n", F.lit(0).cast("long").alias("lost")).unionByName(
+        lost.groupBy("fk").agg(F.count("*").alias("lost")).select("fk", F.lit(0).cast("long").alias("n"), "lost"))
+    is_fk = [F.col("fk") == i for i in range(len(fks))]
+    totals = per.agg(*[
+        F.coalesce(F.sum(F.when(f, F.col(c))), F.lit(0)).alias(f"{c}_{i}") for i, f in enumerate(is_fk) for c in ("n", "lost")])
     rows = [
         F.struct(F.lit(fk.name).alias("fk"), F.col(f"n_{i}").alias("n_rows"), F.col(f"lost_{i}").alias("n_orphans"))
         for i, fk in enumerate(fks)
     ]
-    return values.agg(*sums).select(F.inline(F.array(*rows)))
+    return totals.select(F.inline(F.array(*rows)))
 
 
 def overlapping_slots(slots: DataFrame, bookings: DataFrame) -> DataFrame:

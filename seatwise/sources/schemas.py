@@ -38,6 +38,9 @@ UNIQUE_KEYS = {
     "preparations": [("cook_id", "line_id")],
 }
 
+# Columns of a longer key that nearly identify a row by themselves.
+IDENTIFYING = {("slots", "slot_id"), ("preparations", "line_id")}
+
 
 @dataclass(frozen=True)
 class ForeignKey:

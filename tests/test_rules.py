@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from seatwise.operators import rules
-from seatwise.sources.schemas import FOREIGN_KEYS
+from seatwise.sources.schemas import FOREIGN_KEYS, ForeignKey
 from tests.seed import at, frame
 
 
@@ -199,3 +201,82 @@ def test_stored_audits(spark, seed):
     assert sorted(tuple(r) for r in counts) == [(4, 2, 1), (4, 21, 1)]
     repeated = rules.audit_repeated_bookings(slots).collect()
     assert sorted(tuple(r) for r in repeated) == [(3, 2), (7, 2)]
+
+
+def test_unique_audit_equals_counting_on_random_keys(spark):
+    """Keys of one, two and three columns, of text and of time; NULLs, negative and extreme numbers, words shared by many."""
+    rng = random.Random(3)
+    edge = [None, 0, -1, 63, 64, -64, 2**63 - 1, -2**63]
+    rows = [(rng.choice([*edge, *range(-200, 200)]), rng.choice([None, *range(12)]), rng.choice([None, "a", "b", "", "ab"]),
+             datetime(2026, 4, 5, rng.randrange(3))) for _ in range(500)]
+    names = ["n", "k", "t", "at"]
+    df = spark.createDataFrame(rows, "n long, k int, t string, at timestamp_ntz")
+    keys = [("n",), ("t",), ("n", "k"), ("k", "t"), ("t", "at"), ("n", "k", "at")]
+    want = set()
+    for key in keys:
+        cells = [tuple(r[names.index(c)] for c in key) for r in rows]
+        for cell, n in Counter(c for c in cells if None not in c).items():
+            if n > 1:
+                want.add((f"x({','.join(key)})", ",".join(map(str, cell)), n))
+    got = {tuple(r) for r in rules.audit_uniques({"x": df}, {"x": keys}).collect()}
+    assert got == want and len(want) > 100
+    assert rules.audit_uniques({"x": df.limit(0)}, {"x": keys}).count() == 0
+
+
+def test_identifying_column_that_repeats_changes_nothing(spark):
+    """A line prepared by two cooks shares its line_id: suspected, and not found guilty."""
+    df = spark.createDataFrame([(1, 7), (2, 7), (1, 8), (1, 8), (3, None), (3, None)], "cook_id long, line_id long")
+    got = [tuple(r) for r in rules.audit_uniques({"preparations": df}).collect()]
+    assert got == [("preparations(cook_id,line_id)", "1,8", 2)]
+
+
+def test_key_audit_equals_counting_on_random_keys(spark):
+    rng = random.Random(4)
+    edge = [0, -1, 63, 64, 2**63 - 1, -2**63]
+    parents = {*edge[:4], *rng.sample(range(-300, 300), 400)}
+    refs = [(rng.choice([None, *edge, *range(-310, 310)]), rng.choice([None, *range(64)])) for _ in range(900)]
+    model = {"p": spark.createDataFrame([(p,) for p in parents] + [(None,)], "id long"),
+             "c": spark.createDataFrame(refs, "a long, b int")}
+    fks = [ForeignKey("c", "a", "p", "id", False), ForeignKey("c", "b", "p", "id", True)]
+    got = {r["fk"]: (r["n_rows"], r["n_orphans"]) for r in rules.audit_fks(model, fks).collect()}
+    want = {}
+    for i, name in enumerate(("c.a", "c.b")):
+        seen = [r[i] for r in refs if r[i] is not None]
+        want[name] = (len(seen), sum(v not in parents for v in seen))
+    assert got == want and want["c.a"][1] > 0
+    empty = {name: df.limit(0) for name, df in model.items()}
+    assert {tuple(r) for r in rules.audit_fks(empty, fks).collect()} == {("c.a", 0, 0), ("c.b", 0, 0)}
+    with pytest.raises(TypeError):
+        rules.audit_fks({**model, "p": spark.createDataFrame([("x",)], "id string")}, fks)
+
+
+def rows_shuffled(df):
+    """Rows that all the finished exchanges of a plan without adaptive execution have written."""
+    def walk(node):
+        own = node.metrics().get("shuffleRecordsWritten")
+        kids = node.children()
+        return (own.get().value() if own.isDefined() else 0) + sum(walk(kids.apply(i)) for i in range(kids.size()))
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_audits_shuffle_words_and_no_rows(spark, tmp_path, monkeypatch):
+    """100,000 rows in order of their ids: what is shuffled is a word for 64 of them."""
+    spark.range(0, 100_000, 1, 4).select("id", F.expr("id DIV 3").alias("up")).write.parquet(f"{tmp_path}/c")
+    spark.range(0, 40_000, 1, 4).write.parquet(f"{tmp_path}/p")
+    model = {"c": spark.read.parquet(f"{tmp_path}/c"), "p": spark.read.parquet(f"{tmp_path}/p")}
+    shuffled = []
+
+    def counted(df, label):
+        rows = df.collect()
+        shuffled.append(rows_shuffled(df))
+        return spark.createDataFrame(rows, df.schema)
+
+    monkeypatch.setattr(rules, "written", counted)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert rules.audit_uniques(model, {"c": [("id",)], "p": [("id",)]}).count() == 0
+        rules.audit_fks(model, [ForeignKey("c", "up", "p", "id", False)]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert len(shuffled) == 3 and 0 < shuffled[0] < 2_400 and 0 < shuffled[1] < 1_300
