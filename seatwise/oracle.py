@@ -505,6 +505,10 @@ ORACLES["slots_by_month_pruned"] = _sql(
     "duration_s FROM slots) SELECT * FROM s WHERE start < TIMESTAMP '2024-02-20' "
     "AND start + to_seconds(duration_s) > TIMESTAMP '2024-02-05'", "slots")
 
+ORACLES["slots_by_place_pruned"] = _sql(
+    "WITH s AS (SELECT slot_id, table_id, booking_id, start + to_days(CAST(31 * (slot_id % 3) AS INTEGER)) AS start, "
+    "duration_s FROM slots) SELECT s.* FROM s, n WHERE start < TIMESTAMP '2024-02-07' "
+    "AND start + to_seconds(duration_s) > TIMESTAMP '2024-02-05' AND table_id BETWEEN n // 4 AND 2 * (n // 4) - 1", "slots")
 ORACLES["stored_slot_changes"] = _sql(
     "SELECT slot_id, table_id, booking_id, start + to_days(CAST(31 * (slot_id % 3) AS INTEGER)) "
     "+ CASE WHEN status = 4 THEN to_days(31) + to_hours(1) ELSE to_days(0) END AS start, duration_s "

@@ -524,6 +524,15 @@ def slots_by_month_pruned(m):
     return read_slots_between(m.spark, path, "2024-02-05 00:00:00", "2024-02-20 00:00:00")
 
 
+@query
+def slots_by_place_pruned(m):
+    """Two days of a quarter of the tables, from files laid out by table and time."""
+    path = new_folder(m.spark, "slots")
+    write_slots_by_month(m.spread_slots(), path, by_table=True)
+    quarter = m.dining_tables().agg((F.count("*") / 4).cast("long")).first()[0]
+    return read_slots_between(m.spark, path, "2024-02-05 00:00:00", "2024-02-07 00:00:00", tables=(quarter, 2 * quarter - 1))
+
+
 @query
 def stored_slot_changes(m):
     """Stored slots of which those of released bookings go and those of cancelled ones start a month and an hour later,

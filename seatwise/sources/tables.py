@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,27 +59,60 @@ def append_rows(new: DataFrame, table: str, folder: str) -> None:
     (_of_allowed_length(rows) if table == "slots" else rows).write.mode("append").parquet(f"{folder.rstrip('/')}/{table}")
 
 
-def write_slots_by_month(slots: DataFrame, path: str, mode: str = "overwrite") -> None:
+CELL_BITS = 6
+
+
+def _interleaved(first: Column, second: Column) -> Column:
+    """The bits of two numbers below 2^``CELL_BITS`` in turn, the first one's ahead: neighbours in both stay together."""
+    bit = lambda n, i, at: F.shiftleft(F.shiftright(n, i).bitwiseAND(F.lit(1)), at)
+    parts = [bit(n, i, 2 * i + ahead) for i in range(CELL_BITS) for n, ahead in ((first, 1), (second, 0))]
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+
+
+def _placed(slots: DataFrame) -> Column:
+    """Cell of a slot among 64 shares of the tables by their number of slots and 64 half-days of the month."""
+    cells = 1 << CELL_BITS
+    shares = F.percentile_approx("table_id", F.array(*[F.lit(i / cells) for i in range(1, cells)]), 10_000)
+    # 63 numbers, whatever the table's size. Tables that fill several shares lie in the last of them.
+    bounds = slots.agg(shares.alias("b")).first()["b"] or []
+    bounds = F.array(*[F.lit(v) for v in sorted(set(bounds))]).cast("array<bigint>")
+    table = F.size(F.filter(bounds, lambda v: v <= F.col("table_id")))
+    half_day = 2 * (F.dayofmonth("start") - 1) + F.floor(F.hour("start") / 12).cast("int")
+    return F.coalesce(_interleaved(F.coalesce(table, F.lit(0)), half_day), F.lit(-1))
+
+
+def _laid_out(rows: DataFrame, by_table: bool, tasks: int | None) -> DataFrame:
+    """Rows with their month, spread over tasks by ranges and sorted within them."""
+    order = [F.col("start"), F.col("slot_id")]
+    if by_table:
+        order = [F.col(MONTH), _placed(rows), *order]
+    spread = rows.repartitionByRange(tasks, *order) if tasks else rows.repartitionByRange(*order)
+    return spread.sortWithinPartitions(MONTH, "table_id", "start") if by_table else spread.sortWithinPartitions("start")
+
+
+def write_slots_by_month(
+    slots: DataFrame, path: str, mode: str = "overwrite", by_table: bool = False, tasks: int | None = None
+) -> None:
     """Slots in one folder per month of ``start``; a NULL start lands in the default folder.
 
     Ranges of (start, id) are spread over the tasks: each task writes one or two months,
     a month that holds most of the table is still written by many tasks, and the files of
     a month cover narrow time ranges, which lets the scan skip them by their statistics.
+
+    With ``by_table`` the files of a month cover narrow ranges of tables and of time: rows are in the order of the
+    interleaved bits of both, so that a filter on either skips most files, and one on both nearly all. Shares of tables hold
+    about equal numbers of slots; a table with most of them is split by time. ``tasks`` sets the number of files.
     """
-    (
-        _of_allowed_length(slots).withColumn(MONTH, F.date_format("start", "yyyy-MM"))
-        .repartitionByRange("start", "slot_id")
-        .sortWithinPartitions("start")
-        .write.mode(mode)
-        .partitionBy(MONTH)
-        .parquet(path)
-    )
+    rows = _of_allowed_length(slots).withColumn(MONTH, F.date_format("start", "yyyy-MM"))
+    _laid_out(rows, by_table, tasks).write.mode(mode).partitionBy(MONTH).parquet(path)
 
 
 def read_slots_between(
-    spark: SparkSession, path: str, since: str, until: str, columns: list[str] | None = None
+    spark: SparkSession, path: str, since: str, until: str, columns: list[str] | None = None,
+    tables: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Slots that overlap [since, until), reading only the months that can hold them.
+    """Slots that overlap [since, until), reading only the months that can hold them; of the tables from one
+    number to another, if these are given.
 
     A slot may start up to the longest allowed duration before ``since``, so the first
     month is taken from there. Spark does not derive the month filter from ``start``.
@@ -92,6 +126,8 @@ def read_slots_between(
         & (F.col("start") < until_ts)
         & (F.col("start") + F.make_dt_interval(*[F.lit(0)] * 3, F.col("duration_s")) > since_ts)
     )
+    if tables:
+        found = found.filter(F.col("table_id").between(*tables))
     return found.select(columns) if columns else found.drop(MONTH)
 
 
@@ -107,7 +143,8 @@ def _months_of(stored: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def change_slots(
-    spark: SparkSession, path: str, updates: DataFrame | None = None, deletes: DataFrame | None = None, dry_run: bool = False
+    spark: SparkSession, path: str, updates: DataFrame | None = None, deletes: DataFrame | None = None, dry_run: bool = False,
+    by_table: bool = False, tasks: int | None = None,
 ) -> DataFrame:
     """Update or delete slots stored by ``write_slots_by_month``, rewriting only the months that this touches.
 
@@ -118,7 +155,7 @@ def change_slots(
     The touched months are found by ids alone (two columns are read), and new rows are written to the shared folder before
     any month is replaced, so that a run that breaks off can be repeated: setting the same values
     again gives the same rows. Months are replaced by one dynamic partition overwrite; a month that
-    loses its last row by an empty file.
+    loses its last row by an empty file. ``by_table`` and ``tasks`` lay the new files out as ``write_slots_by_month`` does.
     """
     schema = TABLES["slots"] + f", {MONTH} string"
     stored = spark.read.schema(schema).parquet(path)
@@ -149,7 +186,7 @@ def change_slots(
     ).select(F.coalesce(MONTH, "_m").alias(MONTH), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_before", "n_after")]), "report")
     if not dry_run and months:
         (
-            staged.repartitionByRange("start", "slot_id").sortWithinPartitions("start").write.mode("overwrite")
+            _laid_out(staged, by_table, tasks).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
         )
         for r in report.filter("n_after = 0").collect():

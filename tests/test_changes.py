@@ -6,6 +6,7 @@ from datetime import datetime
 from decimal import Decimal
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,47 @@ def test_a_batch_is_stored_once(spark, tmp_path):
     with pytest.raises(Exception, match="lasts"):
         append_once(spark.createDataFrame([(1, 9000)], "slot_id long, duration_s long"), "slots", folder, "x")
     assert read_appended(spark, "slots", folder).count() == 0
+
+
+def files_met(path, month, column, low, high):
+    """Files of a month whose statistics leave room for the range, and all of them."""
+    footers = [pq.ParquetFile(f).metadata for f in (Path(path) / f"slot_month={month}").glob("*.parquet")]
+    met = 0
+    for footer in footers:
+        groups = [footer.row_group(i) for i in range(footer.num_row_groups)]
+        at = [footer.row_group(0).column(i).path_in_schema for i in range(footer.num_columns)].index(column)
+        met += any(g.column(at).statistics.min <= high and g.column(at).statistics.max >= low for g in groups)
+    return met, len(footers)
+
+
+def test_files_by_table_and_time_serve_both_filters(spark, tmp_path):
+    """A third of the slots are on one table; table and day alone, and both together, each leave few files."""
+    begin = F.lit("2026-04-01 00:00:00").cast("timestamp_ntz")
+    slots = spark.range(60_000).select(
+        F.col("id").alias("slot_id"),
+        F.when(F.col("id") % 3 == 0, 500).otherwise(F.pmod(F.xxhash64("id"), F.lit(1000))).cast("long").alias("table_id"),
+        F.col("id").alias("booking_id"),
+        (begin + F.make_dt_interval(F.lit(0), F.lit(0), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(43_200)).cast("int"))).alias("start"),
+        F.lit(1800).cast("long").alias("duration_s"),
+    ).unionByName(spark.createDataFrame([(-1, None, 1, datetime(2026, 4, 1), 60), (-2, 1, 1, None, 60)], TABLES["slots"]))
+    path, plain = str(tmp_path / "both"), str(tmp_path / "time")
+    write_slots_by_month(slots, path, by_table=True, tasks=64)
+    write_slots_by_month(slots, plain)
+    day = datetime(2026, 4, 9), datetime(2026, 4, 9, 23, 59)
+    for column, low, high in (("table_id", 700, 700), ("start", *day)):
+        met, of = files_met(path, "2026-04", column, low, high)
+        assert of >= 50 and met <= of / 4, column
+    met, of = files_met(plain, "2026-04", "table_id", 700, 700)
+    assert met == of
+    span = "2026-04-09 00:00:00", "2026-04-10 00:00:00"
+    got = read_slots_between(spark, path, *span, tables=(700, 700))
+    want = read_slots_between(spark, plain, *span).filter("table_id = 700")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 0
+    every = lambda p: spark.read.schema(TABLES["slots"]).parquet(p).drop("slot_month")
+    assert every(path).exceptAll(slots).count() == 0 and every(path).count() == 60_002
+    # a change keeps the layout
+    change_slots(spark, path, every(plain).filter("table_id = 700").select("slot_id", F.lit(60).alias("duration_s")), by_table=True, tasks=64)
+    met, of = files_met(path, "2026-04", "table_id", 700, 700)
+    assert of >= 50 and met <= of / 4
+    assert {r.duration_s for r in every(path).filter("table_id = 700").collect()} == {60}
+    write_slots_by_month(slots.limit(0), str(tmp_path / "none"), by_table=True)
