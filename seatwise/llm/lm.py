@@ -27,9 +27,9 @@ HELD_MOD, HELD_REST = 7, 2
 TOP = 1 << 18
 WORD_CLASSES, CLASS_SIZE, RARE = 64, 64, 32
 EMBED, STATE = 16, 24
-# The model starts on WARM documents in one task; then every task goes on with one document in SLICE
+# The model starts on WARM documents in one task; then every task goes on with all documents
 # of its own, and the models are averaged.
-WARM, SLICE = 1200, 32
+WARM = 1200
 END = b"\n"
 _REPEAT = WORD_CLASSES + RARE
 _CLASSES = _REPEAT + 1
@@ -166,7 +166,10 @@ class Network:
         slopes["again"], slopes["bias"] = d_again, gate.sum(axis=0)
         slopes["enter"] = self.embed[x].reshape(-1, EMBED).T @ gate
         slopes["embed"] = np.zeros_like(self.embed)
-        np.add.at(slopes["embed"], x.ravel(), gate @ self.enter.T)
+        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
+        seen = x.ravel()[order]
+        first = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
+        slopes["embed"][seen[first]] = np.add.reduceat((gate @ self.enter.T)[order], first)
         return float(loss.mean()) if len(loss) else 0.0, states[-1], np.concatenate([slopes[n].ravel() for n in self.SHAPES])
 
 
@@ -236,7 +239,7 @@ def _windows(docs: Iterator[tuple], streams: int, length: int) -> Iterator[tuple
 
 
 def _train(network: Network, docs: Iterator[tuple], rate: float, passes: int = 1, streams: int = 48) -> int:
-    """Adam over windows of 20 tokens. Returns the tokens seen."""
+    """Adam over windows of 20 tokens, with smaller steps where few documents are left. Returns the tokens seen."""
     first, second = np.zeros_like(network.flat), np.zeros_like(network.flat)
     step = tokens = 0
     held = list(docs) if passes > 1 else None
@@ -251,7 +254,7 @@ def _train(network: Network, docs: Iterator[tuple], rate: float, passes: int = 1
             tokens += int(valid.sum())
             first += 0.1 * (slope - first)
             second += 0.002 * (slope * slope - second)
-            scale = rate * np.sqrt(1 - 0.998**step) / (1 - 0.9**step)
+            scale = rate * np.sqrt(valid.sum() / (20 * streams) * (1 - 0.998**step)) / (1 - 0.9**step)
             network.flat -= scale * first / (np.sqrt(second) + 1e-7)
     return tokens
 
@@ -305,12 +308,11 @@ def _together(pieces: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(v, "<f4") for v in found.column("values").to_pylist()]).astype(np.float32)
 
 
-def train(docs: DataFrame, vocabulary: Broadcast, warm: int = WARM, slice_: int = SLICE) -> Broadcast:
+def train(docs: DataFrame, vocabulary: Broadcast, warm: int = WARM) -> Broadcast:
     """The network's parameters, from ``docs(doc_id, text)``, all of which may be learnt from.
 
     It starts on the ``warm`` documents whose ids hash lowest. After that each task trains
-    on those of its documents whose hash falls into one of ``slice_`` slices, so this grows with the
-    corpus, and the results are averaged.
+    on all of its documents, and the results are averaged.
     """
     spark = docs.sparkSession
     order = F.xxhash64(F.lit(1), "doc_id")
@@ -318,8 +320,8 @@ def train(docs: DataFrame, vocabulary: Broadcast, warm: int = WARM, slice_: int
     first = docs.join(F.broadcast(ids), "doc_id").select("text").repartition(1)
     start = _together(first.mapInArrow(_learner(vocabulary, None, 0.01, 2, 48), _PIECES))
     start = Network().flat if start is None else start
-    own = docs.filter(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(slice_)) == 0).select("text")
-    all_ = _together(own.mapInArrow(_learner(vocabulary, spark.sparkContext.broadcast(start), 0.005, 1, 96), _PIECES))
+    learner = _learner(vocabulary, spark.sparkContext.broadcast(start), 0.005, 1, 256)
+    all_ = _together(docs.select("text").mapInArrow(learner, _PIECES))
     return spark.sparkContext.broadcast(start if all_ is None else all_)
 
 
@@ -470,7 +472,7 @@ _SCORED = pa.schema([
 _SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, part double, words array<binary>, ns array<int>, fresh array<int>"
 
 
-def score(docs: DataFrame, warm: int = WARM, slice_: int = SLICE) -> DataFrame:
+def score(docs: DataFrame, warm: int = WARM) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of
     ``docs(doc_id, text)``, both scores in log10.
 
@@ -481,7 +483,7 @@ def score(docs: DataFrame, warm: int = WARM, slice_: int = SLICE) -> DataFrame:
     rows = ids_and_text(docs).withColumn("held_out", fold_out("doc_id", HELD_MOD, HELD_REST))
     counts = word_counts(rows)
     vocab = vocabulary(counts)
-    parameters = train(rows.filter(~F.col("held_out")).select("doc_id", "text"), vocab, warm, slice_)
+    parameters = train(rows.filter(~F.col("held_out")).select("doc_id", "text"), vocab, warm)
     seen = rows.mapInArrow(_scorer(vocab, parameters), _SCORED_SQL)
     seen = stored(seen.select(F.monotonically_increasing_id().alias("row"), "*"), "scored")
     each = seen.select("row", F.explode(F.arrays_zip("words", "ns", "fresh")).alias("w"))

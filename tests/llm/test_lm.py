@@ -130,3 +130,11 @@ def test_state_is_carried_over_windows():
 def test_beats_word_counts_on_held_out_documents(spark):
     got = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").toPandas()
     assert got.score.sum() > got.base_score.sum() and (got.score > got.base_score).mean() > 0.7
+
+
+def test_the_network_sees_every_learning_document(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(1, 5 + i % 40)), "en", "a") for i in range(200)]
+    seen, real = [], lm._together
+    monkeypatch.setattr(lm, "_together", lambda p: seen.append(p.filter("piece = 0").agg({"tokens": "sum"}).first()[0]) or real(p))
+    lm.score(docs(spark, rows)).collect()
+    assert seen[-1] == sum(len(words(t)) + 1 for d, t, *_ in rows if not held(d))
