@@ -15,6 +15,7 @@ from seatwise.functions.columns import (
     period,
 )
 from seatwise.operators.joins import ordered
+from seatwise.operators.keys import assign_ids
 
 _DISH = ["dish_id", "name", "description", "prep_s", "price"]
 
@@ -148,19 +149,26 @@ def kitchen_next(lines: DataFrame, dishes: DataFrame, specialties: DataFrame) ->
 def kitchen_first(lines: DataFrame, dishes: DataFrame, specialties: DataFrame, k: int = 5) -> DataFrame:
     """Per cook the first ``k`` lines of ``kitchen_queue`` and their ``place``.
 
-    Only the first k lines of a dish can be among them, and all lines of a dish wait equally long, so each dish
-    is cut to k lines before cooks come in. Both cuts are made within each task before the shuffle, so neither a
-    dish nor a cook brings more than k rows per task, and the work grows with lines plus k times cook-dish pairs.
+    Only the first k lines of a dish can be among them, and all lines of a dish wait equally long, so each dish is cut to
+    k lines, and dishes are ranked by their first line, before cooks come in. The first k lines of a cook are of the
+    k first dishes; these are cut by (cook, rank) alone, and their lines come in after that. All cuts are made within each
+    task before the shuffle, and the work grows with lines plus cook-dish pairs plus k * k rows for a cook.
     """
     key = _line_key(lines)
     age = ["requested", "order_id", *key, "qty"]
     pending = lines.filter(F.col("status") == REQUESTED).select("dish_id", *age)
     in_dish = F.row_number().over(Window.partitionBy("dish_id").orderBy(*age))
-    oldest = pending.withColumn("_place", in_dish).filter(F.col("_place") <= k).drop("_place")
-    rows = oldest.join(dishes.select("dish_id", F.col("name").alias("dish"), "prep_s"), "dish_id").join(
-        specialties.select("cook_id", "dish_id"), "dish_id"
-    )
-    in_queue = F.row_number().over(Window.partitionBy("cook_id").orderBy(F.desc("prep_s"), *age, "dish")).cast("long")
+    oldest = pending.withColumn("_place", in_dish).filter(F.col("_place") <= k)
+    heads = oldest.groupBy("dish_id").agg(F.sort_array(F.collect_list(F.struct(*age))).alias("_lines"))
+    heads = heads.join(dishes.select("dish_id", F.col("name").alias("dish"), "prep_s"), "dish_id").select(
+        "*", F.col("prep_s").isNull().alias("_unknown"), (-F.col("prep_s")).alias("_sooner"), F.col("_lines")[0].alias("_first"))
+    ranked = assign_ids(heads, "_rank", ["_unknown", "_sooner", "_first", "dish"])
+    pairs = specialties.select("cook_id", "dish_id").join(ranked.select("dish_id", "_rank"), "dish_id").select("cook_id", "_rank")
+    of_cook = Window.partitionBy("cook_id")
+    nearest = pairs.withColumn("_place", F.row_number().over(of_cook.orderBy("_rank"))).filter(F.col("_place") <= k)
+    rows = nearest.select("cook_id", "_rank").join(ranked.select("_rank", "dish", "prep_s", "_lines"), "_rank").select(
+        "cook_id", "dish", "prep_s", F.inline("_lines"))
+    in_queue = F.row_number().over(of_cook.orderBy(F.desc("prep_s"), *age, "dish")).cast("long")
     found = rows.withColumn("place", in_queue).filter(F.col("place") <= k)
     return ordered(
         found.select("cook_id", "place", "order_id", *key, "dish", "prep_s", "qty", "requested"), "cook_id", "place"
