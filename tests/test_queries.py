@@ -122,3 +122,17 @@ def test_first_lines_are_cut_before_the_shuffle(spark):
 def test_ranges_of_any_length_meet_by_cells(spark):
     plan = plan_of(spark, "overlap_pairs", **{"spark.sql.autoBroadcastJoinThreshold": "-1"})
     assert "hashpartitioning(place" in plan and "_cell" in plan and "NestedLoop" not in plan
+
+
+def test_cooks_meet_ranks_of_dishes_not_lines(spark):
+    """What is sorted per cook before the shuffle are ranks: no line of a dish comes in before the cook's dishes are cut."""
+    plan = plan_of(spark, "kitchen_first", **{"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    cut = next(line for line in reversed(plan.splitlines()) if "WindowGroupLimit" in line)
+    assert "_rank" in cut and "requested" not in cut
+
+
+def test_points_without_long_ranges_are_marked_once(spark):
+    """Points take the wider levels only by a join with the keys of long ranges."""
+    plan = plan_of(spark, "overlap_pairs", **{"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    marks = [line for line in plan.splitlines() if "Generate explode(sequence" in line]
+    assert marks and all("explode(sequence(1, _top" in line for line in marks)
