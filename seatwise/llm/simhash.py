@@ -33,12 +33,8 @@ def shingle_hashes(tokens: list[bytes], shingle: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(42)), np.uint64, n)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64 bits: each is 1 if it is set in over half of the shingles' XXH64. No words: 0."""
-    tokens = words(text)
-    if not tokens:
-        return 0
-    hashes = shingle_hashes(tokens, shingle)
+def print_of(hashes: np.ndarray) -> int:
+    """64 bits: each is 1 if it is set in over half of the hashes. No hashes: 0."""
     n = len(hashes)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 15):
@@ -47,6 +43,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n).view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The print of all shingles' XXH64. No words: 0."""
+    tokens = words(text)
+    return print_of(shingle_hashes(tokens, shingle)) if tokens else 0
+
+
 def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
     @F.pandas_udf("long")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
