@@ -14,7 +14,7 @@ ones after it, uses up its booking and fills the restaurant. The same answer com
   ``BLOCK`` is ever gathered, and nothing is dropped: rounds go on until all are decided.
 * A candidate whose booking has an earlier candidate still open waits; so do later
   candidates that would overlap it.
-* With a capacity every round knows two sets around the people admitted before a candidate: at least those
+* With a capacity, who fits beside all open people, earlier or later, is free of the rule. For the others every round knows two sets around the people admitted before a candidate: at least those
   admitted so far, at most those and all open ones. Who does not fit beside the first set is refused,
   who fits beside the second is free of the rule, and who is in between waits. The sets grow together.
 * The earliest open candidate never waits, so every round decides at least that one.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatwise.functions.columns import CANCELLED, OCCUPIED, RESERVED, overlaps
-from seatwise.operators.intervals import BUCKET_US, in_buckets, islands, overlap_sum, with_bounds
+from seatwise.operators.intervals import BUCKET_US, in_buckets, islands, overlap_sum, overlaps_any, with_bounds
 from seatwise.operators.keys import assign_ids
 from seatwise.operators.rules import (
     _judge, booking_has_slot_rule, over_capacity_rule, placement_rules, slot_invalid_rule, stored_slots,
@@ -130,6 +130,26 @@ def earlier_sum(windows: DataFrame, intervals: DataFrame, name: str, n: int) ->
     return windows.join(sums, "_no", "left").withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
 
 
+def _near(intervals: DataFrame, windows: DataFrame) -> DataFrame:
+    """The intervals with people that overlap any of the windows."""
+    return overlaps_any(intervals.filter(F.col("_people") > 0), windows, "_met").filter("_met").drop("_met")
+
+
+def _earlier_where_full(windows: DataFrame, intervals: DataFrame, name: str, n: int, total: int) -> DataFrame:
+    """``earlier_sum`` for the windows that would be too full beside all ``intervals``, earlier or later; the others fit
+    whatever came before them and get 0. The logarithm is only paid where the restaurant is nearly full."""
+    people = intervals.filter(F.col("_people") > 0)
+    rows = overlap_sum(windows, people, "_people", "_all")
+    rows = rows.withColumn("_full", F.col("_low") + F.col("_all") + F.col("party_size") > total).drop("_all")
+    rows = written(rows, "beside")
+    full = rows.filter("_full").select("_no", "_s", "_e")
+    rows = rows.drop("_full")
+    if full.isEmpty():
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    sums = earlier_sum(full, _near(people, full), name, n).select("_no", name)
+    return rows.join(sums, "_no", "left").withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
+
+
 def _ordered_islands(left: DataFrame, block_size: int) -> DataFrame | None:
     """(table_id, _island, _forward): islands of more than ``block_size`` rows in which nothing waits and slots that block the
     table arrive in the order of their starts, or the other way round in the order of their ends."""
@@ -193,7 +213,7 @@ def _decide(
     columns = candidates.columns
     while n_left:
         if total is not None:
-            left = earlier_sum(left, left, "_open", n)
+            left = _earlier_where_full(left, left, "_open", n, total)
             over = F.col("_low") + F.col("party_size") > total
             fits = F.col("_low") + F.col("_open") + F.col("party_size") <= total
             left = written(left.filter(~over).withColumn("_unsure", ~fits).drop("_open"), "open")
@@ -242,7 +262,8 @@ def _decide(
         rest = rest.join(used.select("booking_id"), "booking_id", "left_anti")
         rest = rest.join(_overlapped(rest, new), "slot_id", "left_anti")
         if total is not None:
-            rest = earlier_sum(written(rest, "rest"), new, "_more", n).withColumn("_low", F.col("_low") + F.col("_more"))
+            rest = written(rest, "rest")
+            rest = earlier_sum(rest, _near(new, rest), "_more", n).withColumn("_low", F.col("_low") + F.col("_more"))
         left = written(rest.select(*columns), "open")
         n_left = left.count()
     return reduce(lambda a, b: a.unionByName(b), admitted)
@@ -307,7 +328,8 @@ def admit_slots(
     )
     full = []
     if total is not None:
-        beside = earlier_sum(losers.select("slot_id", "_no", "_s", "_e"), admitted, "_more", n).select("slot_id", "_more")
+        asked = losers.select("slot_id", "_no", "_s", "_e", "_low", "party_size")
+        beside = _earlier_where_full(asked, admitted, "_more", n, seats).select("slot_id", "_more")
         # Only of rows that were not admitted is asked whether they fitted.
         final = final.join(beside, "slot_id", "left").withColumn("_taken", F.col("_low") + F.col("_more"))
         full = [over_capacity_rule(F.col("_taken"), F.lit(seats))]
