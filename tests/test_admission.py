@@ -9,6 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from seatwise.operators import admission
 from seatwise.operators.admission import admit_slots, earlier_sum, restaurant_seats
 from tests.seed import at, frame
 from tests.test_intervals import T0
@@ -139,6 +140,16 @@ def test_capacity_of_the_seats_of_all_tables(spark):
     assert admitted(spark, [], [], bookings, seats, total=restaurant_seats(tables)) == {}
 
 
+def test_no_sum_in_order_of_arrival_where_all_fit(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(admission, "earlier_sum", lambda w, *a: asked.append(w.count()) or earlier_sum(w, *a))
+    bookings = {i: (1, 2, 1) for i in range(5)}
+    candidates = [(10 + i, [1, 2, 3, 3, 4][i], i, T0, 3600, i) for i in range(5)]
+    rows = lambda total: admitted(spark, candidates, [], bookings, {t: 2 for t in range(1, 5)}, total=F.lit(total))
+    assert rows(12) == walk(candidates, [], bookings, {t: 2 for t in range(1, 5)}, 12) and asked == []
+    assert rows(5) == walk(candidates, [], bookings, {t: 2 for t in range(1, 5)}, 5) and asked
+
+
 def chain(n, backward=False):
     rng = random.Random(n)
     bookings = {i: (1, 2, rng.choice([1, 1, 1, 3, 4])) for i in range(n)}
