@@ -42,14 +42,14 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """The rows, written once as Parquet to the shared folder and read from there."""
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(docs: DataFrame, label: str, *more: Column) -> DataFrame:
     """n (a number of each row), row (all columns of ``docs``) and further columns, written once, so that the numbers
     hold for all later reads. Names of ``docs`` cannot clash with them."""
-    return stored(docs.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row"), *more), label)
+    return stored(docs.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row"), *more), label, "zstd")
