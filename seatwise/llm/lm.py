@@ -37,6 +37,8 @@ _MODEL_WORDS = WORD_CLASSES * CLASS_SIZE
 _BEGIN = _MODEL_WORDS + RARE
 _ENDING = 3
 _CHUNK = 1024
+# So many rows of logits are worked on at a time.
+_ROWS = 1024
 # Bytes of text that a task scores at a time.
 BLOCK = 1 << 22
 
@@ -61,33 +63,40 @@ class Network:
         for (name, shape), size in zip(self.SHAPES.items(), sizes):
             setattr(self, name, flat[at : at + size].reshape(shape))
             at += size
-        self._entered: np.ndarray | None = None
         self._bounded: bool | None = None
 
     def entered(self, x: np.ndarray) -> np.ndarray:
-        """Gate inputs of tokens, from a table that is made once when the model is only read."""
-        if self._entered is None:
-            self._entered = self.embed @ self.enter + self.bias
-        return self._entered[x]
+        """Gate inputs of tokens: time x gates x streams, so that each gate is one run of memory."""
+        return self.enter.T @ self.embed[x].transpose(0, 2, 1) + self.bias[:, None]
 
     def run(self, gates: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         out = np.empty((len(gates), *h.shape), np.float32)
+        again, h = np.ascontiguousarray(self.again.T), np.ascontiguousarray(h.T)
         for t, g in enumerate(gates):
-            a = h @ self.again
-            zr = 1 / (1 + np.exp(-(g[:, : 2 * STATE] + a[:, : 2 * STATE])))
-            z, r, u = zr[:, :STATE], zr[:, STATE:], a[:, 2 * STATE :]
-            n = np.tanh(g[:, 2 * STATE :] + r * u)
+            a = again @ h
+            u = a[2 * STATE :]
+            zr = a[: 2 * STATE] + g[: 2 * STATE]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r = zr[:STATE], zr[STATE:]
+            n = r * u
+            n += g[2 * STATE :]
+            np.tanh(n, out=n)
             if keep is not None:
                 keep.append((h, z, r, n, u))
-            h = n + z * (h - n)
-            out[t] = h
+            h = h - n
+            h *= z
+            h += n
+            out[t] = h.T
         return out
 
-    def bounded(self) -> bool:
-        """True if no logit can overflow: states lie within -1 and 1. Asked once, when the model is only read."""
-        if self._bounded is None:
+    def bounded(self, anew: bool = False) -> bool:
+        """True if no logit can overflow: states lie within -1 and 1. Asked once, when the model is only read, or ``anew``."""
+        if self._bounded is None or anew:
             most = np.abs(self.to_class).sum(axis=0) + np.abs(self.class_bias)
-            words = np.abs(self.to_word).sum(axis=1) + np.abs(self.word_bias)
+            words = np.abs(self.to_word) @ np.ones(STATE, self.to_word.dtype) + np.abs(self.word_bias)
             self._bounded = bool(max(most.max(), words.max()) < 60)
         return self._bounded
 
@@ -95,81 +104,113 @@ class Network:
         """Minus log of the probability of each target (natural); with ``slopes`` also the gradient by state.
 
         ``word`` is -1 where the class is all that there is to predict. Targets are sorted by class once, so that a class
-        costs one product and the rest is done for all classes together."""
-        plain = slopes is None and self.bounded()
+        costs one product; the rest is done for some rows together, as many as a core's cache takes."""
+        plain = self.bounded(anew=slopes is not None)
 
-        def picked(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def picked(logits: np.ndarray, pick: np.ndarray) -> np.ndarray:
             """Minus log of the softmax at ``pick``; ``logits`` become the gradient if that is asked for."""
             rows = np.arange(len(pick))
             if not plain:
                 logits -= logits.max(axis=1, keepdims=True)
             chosen = logits[rows, pick]
             p = np.exp(logits, out=logits)
-            total = p @ np.ones(p.shape[1], np.float32)
+            total = p @ np.ones(p.shape[1], p.dtype)
             if slopes is not None:
-                p /= total[:, None]
+                p *= (1 / total)[:, None]
                 p[rows, pick] -= 1
-            return np.log(total) - chosen, p
+            return np.log(total) - chosen
 
-        out, p = picked(states @ self.to_class + self.class_bias, cls)
+        dtype = np.result_type(states, self.to_class)
+        out = np.empty(len(states), dtype)
         if slopes is not None:
-            slopes["to_class"], slopes["class_bias"] = states.T @ p, p.sum(axis=0)
-            back = p @ self.to_class.T
+            back = np.empty((len(states), STATE), dtype)
+            slopes["to_class"], slopes["class_bias"] = np.zeros_like(self.to_class), np.zeros_like(self.class_bias)
             slopes["to_word"], slopes["word_bias"] = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
+        for i in range(0, len(states), _ROWS):
+            at = slice(i, i + _ROWS)
+            p = states[at] @ self.to_class
+            p += self.class_bias
+            out[at] = picked(p, cls[at])
+            if slopes is not None:
+                slopes["to_class"] += states[at].T @ p
+                slopes["class_bias"] += np.ones(len(p), p.dtype) @ p
+                back[at] = p @ self.to_class.T
         inside = np.flatnonzero(word >= 0)
         inside = inside[np.argsort(cls[inside].astype(np.int16), kind="stable")]
         of, own = cls[inside], states[inside]
-        cuts = np.searchsorted(of, np.arange(WORD_CLASSES + 1))
-        spans = [
-            (slice(cuts[c], cuts[c + 1]), slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE))
-            for c in range(WORD_CLASSES) if cuts[c] < cuts[c + 1]
-        ]
-        logits = self.word_bias.reshape(WORD_CLASSES, CLASS_SIZE)[of]
-        for at, span in spans:
-            logits[at] += own[at] @ self.to_word[span].T
-        loss, p = picked(logits, word[inside] - of * CLASS_SIZE)
+        pick = word[inside] - of * CLASS_SIZE
+        cuts = np.searchsorted(of, np.arange(WORD_CLASSES + 1)).tolist()
+        loss, own_back = np.empty(len(inside), dtype), np.empty((len(inside) if slopes is not None else 0, STATE), dtype)
+        low = 0
+        while low < WORD_CLASSES:
+            high = low + 1
+            while high < WORD_CLASSES and cuts[high] - cuts[low] < _ROWS:
+                high += 1
+            begin = cuts[low]
+            spans = [
+                (slice(cuts[c] - begin, cuts[c + 1] - begin), slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE))
+                for c in range(low, high) if cuts[c] < cuts[c + 1]
+            ]
+            all_ = slice(begin, cuts[high])
+            p, rows = np.empty((cuts[high] - begin, CLASS_SIZE), dtype), own[all_]
+            for at, span in spans:
+                np.matmul(rows[at], self.to_word[span].T, out=p[at])
+                p[at] += self.word_bias[span]
+            loss[all_] = picked(p, pick[all_])
+            if slopes is not None:
+                for at, span in spans:
+                    slopes["to_word"][span] = p[at].T @ rows[at]
+                    slopes["word_bias"][span] = np.ones(at.stop - at.start, dtype) @ p[at]
+                    np.matmul(p[at], self.to_word[span], out=own_back[all_][at])
+            low = high
         out[inside] += loss
         if slopes is None:
             return out
-        for at, span in spans:
-            slopes["to_word"][span], slopes["word_bias"][span] = p[at].T @ own[at], p[at].sum(axis=0)
-            back[inside[at]] += p[at] @ self.to_word[span]
+        back[inside] += own_back
         return out, back
 
     def gradient(self, x: np.ndarray, cls: np.ndarray, word: np.ndarray, valid: np.ndarray, h: np.ndarray):
         """Loss per token, state after the window and the flat gradient; nothing flows back beyond the window."""
         t, b = x.shape
         keep: list = []
-        states = self.run((self.embed[x] @ self.enter) + self.bias, h, keep)
+        states = self.run(self.entered(x), h, keep)
         on = valid.ravel()
+        n_on = max(1, int(on.sum()))
         slopes: dict = {}
         loss, back = self.nll(states.reshape(-1, STATE)[on], cls.ravel()[on], word.ravel()[on], slopes)
         d_state = np.zeros((t * b, STATE), np.float32)
-        d_state[on] = back / max(1, on.sum())
+        d_state[on] = back / n_on
         for name in ("to_class", "class_bias", "to_word", "word_bias"):
-            slopes[name] = slopes[name] / max(1, on.sum())
-        d_state = d_state.reshape(t, b, STATE)
-        d_gate = np.empty((t, b, 3 * STATE), np.float32)
+            slopes[name] /= n_on
+        d_state = np.ascontiguousarray(d_state.reshape(t, b, STATE).transpose(0, 2, 1))
+        d_gate = np.empty((3 * STATE, t, b), np.float32)
         d_again = np.zeros_like(self.again)
-        d = np.zeros((b, STATE), np.float32)
+        d, d_a = np.zeros((STATE, b), np.float32), np.empty((3 * STATE, b), np.float32)
         for i in range(t - 1, -1, -1):
             before, z, r, n, u = keep[i]
-            d = d + d_state[i]
-            d_n = d * (1 - z) * (1 - n * n)
-            d_z = d * (before - n) * z * (1 - z)
-            d_r = d_n * u * r * (1 - r)
-            d_gate[i] = np.concatenate([d_z, d_r, d_n], axis=1)
-            d_a = np.concatenate([d_z, d_r, d_n * r], axis=1)
-            d_again += before.T @ d_a
-            d = d * z + d_a @ self.again.T
-        gate = d_gate.reshape(-1, 3 * STATE)
-        slopes["again"], slopes["bias"] = d_again, gate.sum(axis=0)
-        slopes["enter"] = self.embed[x].reshape(-1, EMBED).T @ gate
+            d += d_state[i]
+            rest = d * (1 - z)
+            d_n = rest * (1 - n * n)
+            rest *= z
+            rest *= before - n
+            d_a[:STATE] = rest
+            d_r = d_n * r
+            d_a[2 * STATE :] = d_r
+            d_r *= 1 - r
+            d_r *= u
+            d_a[STATE : 2 * STATE] = d_r
+            d_gate[: 2 * STATE, i], d_gate[2 * STATE :, i] = d_a[: 2 * STATE], d_n
+            d_again += before @ d_a.T
+            d *= z
+            d += self.again @ d_a
+        gate = d_gate.reshape(3 * STATE, -1)
+        slopes["again"], slopes["bias"] = d_again, gate.sum(axis=1)
+        slopes["enter"] = self.embed[x].reshape(-1, EMBED).T @ gate.T
         slopes["embed"] = np.zeros_like(self.embed)
         order = np.argsort(x.ravel().astype(np.int16), kind="stable")
         seen = x.ravel()[order]
         first = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
-        slopes["embed"][seen[first]] = np.add.reduceat((gate @ self.enter.T)[order], first)
+        slopes["embed"][seen[first]] = np.add.reduceat((gate.T @ self.enter.T)[order], first)
         return float(loss.mean()) if len(loss) else 0.0, states[-1], np.concatenate([slopes[n].ravel() for n in self.SHAPES])
 
 
@@ -210,7 +251,7 @@ class Vocabulary:
 def _windows(docs: Iterator[tuple], streams: int, length: int) -> Iterator[tuple]:
     """(slots, fresh, x, cls, word, valid): windows over up to ``streams`` documents side by side.
     A slot takes the next document when its own has ended; ``fresh`` slots begin with an empty state."""
-    slots: list[list | None] = [None] * streams
+    slots: list[list | None] = [None] * streams  # document, next position, its x, cls and word
     done = False
     while True:
         fresh = []
@@ -221,26 +262,28 @@ def _windows(docs: Iterator[tuple], streams: int, length: int) -> Iterator[tuple
                 continue
             item = next(docs, None)
             done = item is None
-            slots[i] = None if done else [item, 0]
+            slots[i] = None if done else [item, 0, np.stack(item[1:], dtype=np.int32, casting="unsafe")]
             if not done:
                 fresh.append(i)
         busy = [i for i, s in enumerate(slots) if s is not None]
         if not busy:
             return
         longest = min(length, max(len(slots[i][0][1]) - slots[i][1] for i in busy))
-        x, cls = np.zeros((longest, len(busy)), np.int32), np.zeros((longest, len(busy)), np.int32)
-        word, valid = np.full((longest, len(busy)), -1, np.int32), np.zeros((longest, len(busy)), bool)
+        held, ends = np.zeros((3, longest, len(busy)), np.int32), np.empty(len(busy), np.int64)
+        held[2] = -1
         for j, i in enumerate(busy):
-            (_, a, b, c), at = slots[i]
-            n = min(longest, len(a) - at)
-            x[:n, j], cls[:n, j], word[:n, j], valid[:n, j] = a[at : at + n], b[at : at + n], c[at : at + n], True
+            _, at, own = slots[i]
+            n = ends[j] = min(longest, own.shape[1] - at)
+            held[:, :n, j] = own[:, at : at + n]
             slots[i][1] = at + n
+        x, cls, word = held
+        valid = np.arange(longest)[:, None] < ends
         yield [(i, slots[i][0][0], slots[i][1] >= len(slots[i][0][1])) for i in busy], fresh, x, cls, word, valid
 
 
 def _train(network: Network, docs: Iterator[tuple], rate: float, passes: int = 1, streams: int = 48) -> int:
     """Adam over windows of 20 tokens, with smaller steps where few documents are left. Returns the tokens seen."""
-    first, second = np.zeros_like(network.flat), np.zeros_like(network.flat)
+    first, second, spare = np.zeros_like(network.flat), np.zeros_like(network.flat), np.empty_like(network.flat)
     step = tokens = 0
     held = list(docs) if passes > 1 else None
     for _ in range(passes):
@@ -249,13 +292,24 @@ def _train(network: Network, docs: Iterator[tuple], rate: float, passes: int = 1
             state[fresh] = 0
             at = [i for i, _, _ in slots]
             _, state[at], slope = network.gradient(x, cls, word, valid, state[at])
-            slope *= min(1.0, 5.0 / (float(np.sqrt((slope * slope).sum())) + 1e-9))
+            slope *= min(1.0, 5.0 / (float(np.sqrt(slope @ slope)) + 1e-9))
             step += 1
-            tokens += int(valid.sum())
-            first += 0.1 * (slope - first)
-            second += 0.002 * (slope * slope - second)
-            scale = rate * np.sqrt(valid.sum() / (20 * streams) * (1 - 0.998**step)) / (1 - 0.9**step)
-            network.flat -= scale * first / (np.sqrt(second) + 1e-7)
+            n = int(valid.sum())
+            tokens += n
+            scale = float(rate * np.sqrt(n / (20 * streams) * (1 - 0.998**step)) / (1 - 0.9**step))
+            # In place, in one scratch array: first += 0.1 (slope - first), second += 0.002 (slope^2 - second).
+            np.subtract(slope, first, out=spare)
+            spare *= 0.1
+            first += spare
+            slope *= slope
+            slope -= second
+            slope *= 0.002
+            second += slope
+            np.sqrt(second, out=spare)
+            spare += 1e-7
+            np.divide(first, spare, out=spare)
+            spare *= scale
+            network.flat -= spare
     return tokens
 
 

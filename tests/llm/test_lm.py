@@ -138,3 +138,26 @@ def test_the_network_sees_every_learning_document(spark, monkeypatch):
     monkeypatch.setattr(lm, "_together", lambda p: seen.append(p.filter("piece = 0").agg({"tokens": "sum"}).first()[0]) or real(p))
     lm.score(docs(spark, rows)).collect()
     assert seen[-1] == sum(len(words(t)) + 1 for d, t, *_ in rows if not held(d))
+
+
+def test_training_stays_in_single_precision():
+    """Steps in double precision cost twice the memory traffic and gain nothing."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, lm._BEGIN, (5, 3))
+    word = rng.integers(0, lm._MODEL_WORDS, (5, 3))
+    state = np.zeros((3, lm.STATE), np.float32)
+    _, after, slope = lm.Network().gradient(x, word // lm.CLASS_SIZE, word, np.ones((5, 3), bool), state)
+    assert slope.dtype == after.dtype == np.float32
+
+
+def test_rows_worked_on_at_a_time_change_nothing(monkeypatch):
+    net, rng = network(), np.random.default_rng(6)
+    word = np.where(rng.random(300) < 0.7, rng.integers(0, lm._MODEL_WORDS, 300), -1)
+    cls = np.where(word >= 0, word // lm.CLASS_SIZE, lm.WORD_CLASSES + 1)
+    found = []
+    for rows in (1, 40, 1000):
+        monkeypatch.setattr(lm, "_ROWS", rows)
+        slopes = {}
+        loss, back = net.nll(np.tanh(np.random.default_rng(7).normal(size=(300, lm.STATE))), cls, word, slopes)
+        found.append(np.concatenate([loss, back.ravel(), *[v.ravel() for v in slopes.values()]]))
+    assert np.allclose(found[0], found[2]) and np.allclose(found[1], found[2])
