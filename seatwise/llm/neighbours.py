@@ -17,8 +17,10 @@ SURE = 3.5
 SEED = 6
 # Bytes of queries that go to every task at a time; more queries make more rounds.
 ROUND_BYTES = 32 << 20
-# Queries that meet a batch of codes at once.
-TOGETHER = 128
+# Codes of a vector: each one is of what those before it leave over.
+LEVELS = 3
+# Queries that meet codes at once, and codes: as many pairs as a core's cache takes.
+TOGETHER, BLOCK = 128, 2048
 
 
 def usable(vector: str) -> Column:
@@ -43,19 +45,40 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 class Space:
-    """What codes and queries share: the rotation and the centre of all unit vectors."""
+    """What codes and queries share: a rotation per level and the centre of all unit vectors."""
 
     def __init__(self, centre: np.ndarray):
-        self.size, self.centre, self.turn = len(centre), centre, rotation(len(centre))
+        self.size, self.centre = len(centre), centre
+        self.turns = [rotation(len(centre), SEED + 1000 * k) for k in range(LEVELS)]
+
+    def turned(self, apart: np.ndarray) -> np.ndarray:
+        """In the axes of every level, side by side."""
+        return np.hstack([apart @ turn for turn in self.turns])
 
     def encode(self, rows: np.ndarray):
-        """Packed signs of the rotated difference to the centre, its length, its agreement with its own signs, and
-        the inner product with the centre."""
+        """Packed signs of the rotated difference to the centre, level by level (each of the rest that the levels before
+        leave), a scale per level, the length of the error and the inner product with the centre.
+
+        The scaled signs add up to a vector whose error is at right angles to the difference itself, in a direction that the
+        rotations make uniform: the estimate of an inner product is unbiased and its deviation is known from the error's length."""
         apart = _unit(rows) - self.centre
-        length = np.linalg.norm(apart, axis=1)
-        turned = (apart / np.maximum(length, 1e-12)[:, None]) @ self.turn
-        fit = np.abs(turned).sum(axis=1) / np.sqrt(self.size)
-        return np.packbits(turned > 0, axis=1), length, np.maximum(fit, 1e-6), (apart + self.centre) @ self.centre
+        rest, bits, scales = apart, [], []
+        for turn in self.turns:
+            side = rest @ turn
+            bits.append(np.packbits(side > 0, axis=1))
+            scales.append(np.abs(side).mean(axis=1))
+            rest = rest - scales[-1][:, None] * (np.where(side > 0, 1.0, -1.0) @ turn.T)
+        square = np.einsum("ij,ij->i", apart, apart)
+        agree = square - np.einsum("ij,ij->i", apart, rest)
+        up = np.where(agree > 0, square / np.where(agree > 0, agree, 1.0), 0.0)
+        error = np.linalg.norm(apart - up[:, None] * (apart - rest), axis=1)
+        return np.hstack(bits), np.stack(scales, axis=1) * up[:, None], error, (apart + self.centre) @ self.centre
+
+    def codes(self, bits: np.ndarray, scales: np.ndarray) -> np.ndarray:
+        """The scaled signs of all levels, side by side."""
+        packed = bits.reshape(len(bits), LEVELS, -1)
+        signs = np.unpackbits(packed, axis=2, count=self.size).astype(np.float32) * 2 - 1
+        return (signs * scales[:, :, None].astype(np.float32)).reshape(len(bits), -1)
 
 
 def _coder(space: Broadcast):
@@ -63,16 +86,17 @@ def _coder(space: Broadcast):
         for batch in batches:
             if not len(batch):
                 continue
-            bits, length, fit, on_centre = space.value.encode(_matrix(batch.column("vector"), space.value.size))
+            bits, scales, error, on_centre = space.value.encode(_matrix(batch.column("vector"), space.value.size))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("vector"), pa.array([b.tobytes() for b in bits], pa.binary()),
-                 *map(pa.array, (length, fit, on_centre))], ["id", "vector", "bits", "length", "fit", "on_centre"],
+                 pa.array([c.tobytes() for c in scales], pa.binary()), pa.array(error), pa.array(on_centre)],
+                ["id", "vector", "bits", "scales", "error", "on_centre"],
             )
 
     return code
 
 
-_INDEX = "id long, vector array<double>, bits binary, length double, fit double, on_centre double"
+_INDEX = "id long, vector array<double>, bits binary, scales binary, error double, on_centre double"
 
 
 def usable_rows(vectors: DataFrame) -> DataFrame:
@@ -100,8 +124,10 @@ class Queries:
         unit = _unit(rows)
         apart = unit - space.centre
         self.length = np.linalg.norm(apart, axis=1)
-        self.turned = (apart @ space.turn).astype(np.float32)
-        self.on_centre = unit @ space.centre - space.centre @ space.centre
+        on_centre = unit @ space.centre - space.centre @ space.centre
+        # Times a code with (inner product with the centre, 1, error) behind it: the upper end of the estimate.
+        behind = np.stack([np.ones(len(rows)), on_centre + 1e-5, self.length], axis=1)
+        self.high = np.hstack([space.turned(apart), behind]).astype(np.float32)
 
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,31 +151,45 @@ def _finder(queries: Broadcast, space: Broadcast, k: int):
             place = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
             kept = order[place <= k]
             ids, rows = ids[kept], rows[kept]
-            packed = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(batch), -1)[kept]
-            signs = (np.unpackbits(packed, axis=1, count=size).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(size))
-            length, fit, on_centre = (batch.column(c).to_numpy()[kept] for c in ("length", "fit", "on_centre"))
-            spread = length * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(max(size - 1, 1)) * SURE
-            for low in range(0, len(q.ids), TOGETHER):
-                part = slice(low, low + TOGETHER)
-                near = (q.turned[part] @ signs.T) * (length / fit) + on_centre + q.on_centre[part, None]
-                off = q.length[part, None] * spread + 1e-5
-                own = q.ids[part, None] == ids
-                low_end = np.where(own, -np.inf, near - off)
-                need = best[part, -1]
-                if len(ids) > k:
-                    need = np.maximum(need, np.partition(low_end, len(ids) - k, axis=1)[:, len(ids) - k])
-                a, b = np.nonzero((near + off >= need[:, None]) & ~own)
-                for cut in range(0, len(a), 1 << 18):
-                    a_, b_ = a[cut : cut + (1 << 18)], b[cut : cut + (1 << 18)]
-                    score = _cosines(q.rows[low + a_], rows[b_])
-                    touched = np.unique(a_)
-                    all_q = np.r_[np.repeat(touched, k), a_]
-                    all_s = np.r_[best[low + touched].ravel(), score]
-                    all_i = np.r_[who[low + touched].ravel(), ids[b_]]
-                    order = np.lexsort((all_i, -all_s, all_q))
-                    first = np.searchsorted(all_q[order], touched)
-                    top = order[first[:, None] + np.arange(k)]
-                    best[low + touched], who[low + touched] = all_s[top], all_i[top]
+            packed, scales = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), t).reshape(len(batch), -1)[kept]
+                for c, t in (("bits", np.uint8), ("scales", np.float64))
+            )
+            error, on_centre = (batch.column(c).to_numpy()[kept] for c in ("error", "on_centre"))
+            spread = error / np.sqrt(max(size - 1, 1)) * SURE
+            behind = np.stack([on_centre, np.ones(len(ids)), spread], axis=1).astype(np.float32)
+            codes = np.hstack([space.value.codes(packed, scales), behind])
+            for from_ in range(0, len(ids), BLOCK):
+                block = slice(from_, from_ + BLOCK)
+                some, some_ids, some_rows = codes[block], ids[block], rows[block]
+                for low in range(0, len(q.ids), TOGETHER):
+                    part = slice(low, low + TOGETHER)
+                    high = q.high[part] @ some.T
+                    need = best[part, -1].copy()
+                    unsure = np.flatnonzero(np.isneginf(need))
+                    if len(unsure) and len(some_ids) > k:
+                        # Fewer than k rows compared yet: the k that look nearest, compared, bound what is needed.
+                        look = np.where(q.ids[part][unsure, None] == some_ids, -np.inf, high[unsure])
+                        first = np.argpartition(look, len(some_ids) - k, axis=1)[:, len(some_ids) - k :]
+                        score = _cosines(q.rows[low + np.repeat(unsure, k)], some_rows[first.ravel()]).reshape(-1, k)
+                        sure = np.isfinite(np.take_along_axis(look, first, axis=1)).all(axis=1)
+                        need[unsure] = np.where(sure, score.min(axis=1), -np.inf)
+                    a, b = np.nonzero(high >= need[:, None].astype(np.float32))
+                    apart = q.ids[low + a] != some_ids[b]
+                    a, b = a[apart], b[apart]
+                    for cut in range(0, len(a), 1 << 13):
+                        a_, b_ = a[cut : cut + (1 << 13)], b[cut : cut + (1 << 13)]
+                        score = _cosines(q.rows[low + a_], some_rows[b_])
+                        better = score >= best[low + a_, -1]
+                        a_, b_, score = a_[better], b_[better], score[better]
+                        touched = np.unique(a_)
+                        all_q = np.r_[np.repeat(touched, k), a_]
+                        all_s = np.r_[best[low + touched].ravel(), score]
+                        all_i = np.r_[who[low + touched].ravel(), some_ids[b_]]
+                        order = np.lexsort((all_i, -all_s, all_q))
+                        first = np.searchsorted(all_q[order], touched)
+                        top = order[first[:, None] + np.arange(k)]
+                        best[low + touched], who[low + touched] = all_s[top], all_i[top]
         a, b = np.nonzero(best > -np.inf)
         yield pa.RecordBatch.from_arrays([pa.array(q.ids[a]), pa.array(who[a, b]), pa.array(best[a, b])], ["query_id", "vec_id", "score"])
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,24 @@ def test_vectors_of_several_lengths(spark):
     want = brute(rows[3], some[3], 50) | brute(rows[2], some[2], 50)
     assert set(want) == {0, 50, 100, 150}
     assert found(neighbours.search(data, F.col("id") % 50 == 0)) == want
+
+
+def test_codes_leave_few_pairs_to_compare(monkeypatch):
+    """Vectors without any structure: less than a twentieth of all pairs is compared exactly, and nothing is lost."""
+
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    rows, ids = np.random.default_rng(8).normal(size=(6000, 64)), np.arange(6000)
+    space, asked = neighbours.Space(neighbours._unit(rows).mean(axis=0)), ids % 50 == 0
+    plain = [pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(rows))], ["id", "vector"])]
+    compared, cosines = [], neighbours._cosines
+    monkeypatch.setattr(neighbours, "_cosines", lambda a, b: compared.append(len(a)) or cosines(a, b))
+    queries = neighbours.Queries(ids[asked], rows[asked], space)
+    out = next(neighbours._finder(Held(queries), Held(space), 5)(neighbours._coder(Held(space))(iter(plain))))
+    got = {}
+    for query, other in sorted(zip(out["query_id"].to_pylist(), out["vec_id"].to_pylist())):
+        got.setdefault(query, set()).add(other)
+    assert got == {query: set(near) for query, near in brute(rows, ids, 50).items()}
+    assert sum(compared) < 0.05 * len(ids) * asked.sum()
