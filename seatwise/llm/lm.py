@@ -9,9 +9,8 @@ carried from window to window, so that a document counts whole.
 from __future__ import annotations
 
 import zlib
-from collections import Counter, deque
+from collections import deque
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatwise.llm.common import fold_out, ids_and_text, stored, words
+from seatwise.llm.common import fold_out, ids_and_text, stored
 
 HELD_MOD, HELD_REST = 7, 2
 # Words with a count that every task knows; all others are joined.
@@ -47,6 +46,34 @@ def rare_class(word: bytes) -> int:
     return zlib.crc32(word[-_ENDING:]) % RARE
 
 
+def _rare_classes(found: pa.Array) -> np.ndarray:
+    """``rare_class`` of each of ``found``, asked once per ending."""
+    endings = pc.binary_slice(found, -_ENDING).dictionary_encode()
+    return np.array([rare_class(w) for w in endings.dictionary.to_pylist()], np.int32)[endings.indices.to_numpy()]
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of texts one after the other: the place of each token among the distinct ones, these, and where each text begins.
+    Tokens are the words of a text (``common.words``) and one end. Arrow's ASCII white space is that of ``bytes.split``."""
+    n, buffers = len(texts), texts.buffers()
+    whole = pa.LargeStringArray if pa.types.is_large_binary(texts.type) else pa.StringArray
+    lower = pc.ascii_lower(whole.from_buffers(n, buffers[1], buffers[2], offset=texts.offset))
+    trimmed = pc.ascii_trim_whitespace(lower)
+    split = pc.ascii_split_whitespace(trimmed)
+    # A text without words is split into one empty text.
+    sizes = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes -= pc.equal(pc.binary_length(trimmed), 0).to_numpy(zero_copy_only=False)
+    found = split.flatten()
+    coded = found.filter(pc.not_equal(pc.binary_length(found), 0)).dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary() if whole is pa.StringArray else pa.large_binary()).cast(pa.binary())
+    ends = np.cumsum(sizes + 1) - 1
+    codes = np.empty(int(sizes.sum()) + n, np.int32)
+    inside = np.ones(len(codes), bool)
+    inside[ends] = False
+    codes[inside], codes[ends] = coded.indices.to_numpy(), len(distinct)
+    return codes, pa.concat_arrays([distinct, pa.array([END], pa.binary())]), ends - sizes
+
+
 class Network:
     """Parameters, forward and backward steps over windows (time x streams)."""
 
@@ -64,10 +91,21 @@ class Network:
             setattr(self, name, flat[at : at + size].reshape(shape))
             at += size
         self._bounded: bool | None = None
+        self._rooms: dict[tuple, np.ndarray] = {}
+
+    def _room(self, name: str, shape: tuple, dtype=np.float32) -> np.ndarray:
+        """An array of any content, the same memory at every call: new memory costs a page fault for every 4 KB."""
+        size, held = int(np.prod(shape)), self._rooms.get((name, dtype))
+        if held is None or len(held) < size:
+            held = self._rooms[name, dtype] = np.empty(size, dtype)
+        return held[:size].reshape(shape)
 
     def entered(self, x: np.ndarray) -> np.ndarray:
-        """Gate inputs of tokens: time x gates x streams, so that each gate is one run of memory."""
-        return self.enter.T @ self.embed[x].transpose(0, 2, 1) + self.bias[:, None]
+        """Gate inputs of tokens: time x gates x streams, so that each gate is one run of memory. They hold until the next call."""
+        out = self._room("entered", (len(x), 3 * STATE, x.shape[1]), self.embed.dtype)
+        np.matmul(self.enter.T, self.embed[x].transpose(0, 2, 1), out=out)
+        out += self.bias[:, None]
+        return out
 
     def run(self, gates: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         out = np.empty((len(gates), *h.shape), np.float32)
@@ -121,19 +159,21 @@ class Network:
             return np.log(total) - chosen
 
         dtype = np.result_type(states, self.to_class)
+        # Biases are weights of a state that is always 1.
+        by_class = np.vstack([self.to_class, self.class_bias])
+        by_word = np.hstack([self.to_word, self.word_bias[:, None]])
+        bare, states = states, self._room("states", (len(states), STATE + 1), states.dtype)
+        states[:, :STATE], states[:, STATE] = bare, 1
         out = np.empty(len(states), dtype)
         if slopes is not None:
             back = np.empty((len(states), STATE), dtype)
-            slopes["to_class"], slopes["class_bias"] = np.zeros_like(self.to_class), np.zeros_like(self.class_bias)
-            slopes["to_word"], slopes["word_bias"] = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
+            of_class, of_word = np.zeros_like(by_class), np.zeros_like(by_word)
         for i in range(0, len(states), _ROWS):
             at = slice(i, i + _ROWS)
-            p = states[at] @ self.to_class
-            p += self.class_bias
+            p = np.matmul(states[at], by_class, out=self._room("classes", (len(states[at]), _CLASSES), dtype))
             out[at] = picked(p, cls[at])
             if slopes is not None:
-                slopes["to_class"] += states[at].T @ p
-                slopes["class_bias"] += np.ones(len(p), p.dtype) @ p
+                of_class += states[at].T @ p
                 back[at] = p @ self.to_class.T
         inside = np.flatnonzero(word >= 0)
         inside = inside[np.argsort(cls[inside].astype(np.int16), kind="stable")]
@@ -152,21 +192,22 @@ class Network:
                 for c in range(low, high) if cuts[c] < cuts[c + 1]
             ]
             all_ = slice(begin, cuts[high])
-            p, rows = np.empty((cuts[high] - begin, CLASS_SIZE), dtype), own[all_]
+            p, rows = self._room("words", (cuts[high] - begin, CLASS_SIZE), dtype), own[all_]
             for at, span in spans:
-                np.matmul(rows[at], self.to_word[span].T, out=p[at])
-                p[at] += self.word_bias[span]
+                np.matmul(rows[at], by_word[span].T, out=p[at])
             loss[all_] = picked(p, pick[all_])
             if slopes is not None:
+                to = own_back[all_]
                 for at, span in spans:
-                    slopes["to_word"][span] = p[at].T @ rows[at]
-                    slopes["word_bias"][span] = np.ones(at.stop - at.start, dtype) @ p[at]
-                    np.matmul(p[at], self.to_word[span], out=own_back[all_][at])
+                    np.matmul(p[at].T, rows[at], out=of_word[span])
+                    np.matmul(p[at], self.to_word[span], out=to[at])
             low = high
         out[inside] += loss
         if slopes is None:
             return out
         back[inside] += own_back
+        slopes["to_class"], slopes["class_bias"] = of_class[:STATE], of_class[STATE]
+        slopes["to_word"], slopes["word_bias"] = of_word[:, :STATE], of_word[:, STATE]
         return out, back
 
     def gradient(self, x: np.ndarray, cls: np.ndarray, word: np.ndarray, valid: np.ndarray, h: np.ndarray):
@@ -183,7 +224,7 @@ class Network:
         for name in ("to_class", "class_bias", "to_word", "word_bias"):
             slopes[name] /= n_on
         d_state = np.ascontiguousarray(d_state.reshape(t, b, STATE).transpose(0, 2, 1))
-        d_gate = np.empty((3 * STATE, t, b), np.float32)
+        d_gate = self._room("gates", (3 * STATE, t, b))
         d_again = np.zeros_like(self.again)
         d, d_a = np.zeros((STATE, b), np.float32), np.empty((3 * STATE, b), np.float32)
         for i in range(t - 1, -1, -1):
@@ -220,32 +261,30 @@ class Vocabulary:
     def __init__(self, known: list[bytes], counts: np.ndarray, n: int, distinct: int, rare_n: np.ndarray, rare_v: np.ndarray):
         self.known, self.counts, self.n, self.distinct = known, counts, n, distinct
         self.rare_log = np.log10(rare_n + rare_v + 1.0)
-        self._find: dict | None = None
+        self._find: pa.Array | None = None
 
-    def encode(self, tokens: list[bytes], starts: np.ndarray | None = None):
-        """Of documents' tokens one after the other, which begin at ``starts`` (0): position among the known (or -1), input,
-        class and word to predict, whether each repeats the one before it, and its rare class."""
+    def encode(self, texts: pa.Array):
+        """Of the texts' tokens one after the other: place among the distinct ones, input, class and word to predict, and
+        whether each repeats the one before it; of the distinct tokens: bytes, place among the known (or -1) and rare
+        class; and where each text begins."""
         if self._find is None:
-            self._find = {w: i for i, w in enumerate(self.known)}
-            self._rare = np.array([rare_class(w) for w in self.known], np.int32)
-        starts = np.zeros(1, np.int64) if starts is None else starts
-        at = np.fromiter(map(self._find.get, tokens, repeat(-1)), np.int64, len(tokens))
-        model = (at >= 0) & (at < _MODEL_WORDS)
-        rare = self._rare[at]
-        new = np.flatnonzero(at < 0)
-        rare[new] = [rare_class(tokens[i]) for i in new.tolist()]
-        again = np.zeros(len(tokens), bool)
-        again[1:] = at[1:] == at[:-1]
-        for i in new[again[new]].tolist():
-            again[i] = tokens[i] == tokens[i - 1]
+            self._find = pa.array(self.known, pa.binary())
+        codes, distinct, starts = _tokens(texts)
+        at = pc.fill_null(pc.index_in(distinct, value_set=self._find), -1).to_numpy().astype(np.int64)
+        rare = _rare_classes(distinct)
+        again = np.zeros(len(codes), bool)
+        again[1:] = codes[1:] == codes[:-1]
         again[starts] = False
+        model = (at >= 0) & (at < _MODEL_WORDS)
         own = np.where(model, at, _MODEL_WORDS + rare).astype(np.int32)
-        x = np.empty_like(own)
-        x[1:] = own[:-1]
+        x = np.empty(len(codes), np.int32)
+        x[1:] = own[codes[:-1]]
         x[starts] = _BEGIN
-        cls = np.where(again, _REPEAT, np.where(model, at // CLASS_SIZE, WORD_CLASSES + rare)).astype(np.int32)
-        word = np.where(model & ~again, at, -1).astype(np.int32)
-        return at, x, cls, word, again, rare
+        cls = np.where(model, at // CLASS_SIZE, WORD_CLASSES + rare).astype(np.int32)[codes]
+        cls[again] = _REPEAT
+        word = np.where(model, at, -1).astype(np.int32)[codes]
+        word[again] = -1
+        return codes, x, cls, word, again, distinct, at, rare, starts
 
 
 def _windows(docs: Iterator[tuple], streams: int, length: int) -> Iterator[tuple]:
@@ -315,9 +354,12 @@ def _train(network: Network, docs: Iterator[tuple], rate: float, passes: int = 1
 
 def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple]:
     for batch in batches:
-        for text in batch.column("text"):
-            _, x, cls, word, _, _ = vocabulary.encode([*words(text.as_py()), END])
-            yield None, x, cls, word
+        texts = batch.column("text")
+        for rows in _cut(texts):
+            _, x, cls, word, _, _, _, _, starts = vocabulary.encode(texts.slice(rows.start, len(rows)))
+            bounds = [*starts.tolist(), len(x)]
+            for low, high in zip(bounds, bounds[1:]):
+                yield None, x[low:high], cls[low:high], word[low:high]
 
 
 def _learner(vocabulary: Broadcast, start: Broadcast | None, rate: float, passes: int, streams: int):
@@ -380,22 +422,29 @@ def train(docs: DataFrame, vocabulary: Broadcast, warm: int = WARM) -> Broadcast
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts of a task, apart for learning and held-out rows."""
-    kept: list[Counter] = [Counter(), Counter()]
+    """Word counts of a task, apart for learning and held-out rows, folded when many words are held."""
+    kept: list[pa.Table] = []
 
-    def out() -> Iterator[pa.RecordBatch]:
-        for held, counter in enumerate(kept):
-            rows = [pa.array(counter.keys(), pa.binary()), pa.array([held] * len(counter), pa.int32()), pa.array(counter.values(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(rows, ["word", "held", "n"])
-            counter.clear()
+    def folded() -> pa.Table:
+        return pa.concat_tables(kept).group_by(["word", "held"]).aggregate([("n", "sum")]).rename_columns(["word", "held", "n"])
 
     for batch in batches:
-        for held, text in zip(batch.column("held_out").to_pylist(), batch.column("text")):
-            kept[held].update(words(text.as_py()))
-            kept[held][END] += 1
-        if len(kept[0]) + len(kept[1]) > 250_000:
-            yield from out()
-    yield from out()
+        texts = batch.column("text")
+        held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64)
+        for rows in _cut(texts):
+            codes, distinct, starts = _tokens(texts.slice(rows.start, len(rows)))
+            of = np.repeat(held[rows.start : rows.stop], np.diff(np.r_[starts, len(codes)]))
+            n = np.bincount(codes * 2 + of, minlength=2 * len(distinct))
+            for mark in (0, 1):
+                some = np.flatnonzero(n[mark::2])
+                its = [distinct.take(pa.array(some)), pa.array(np.full(len(some), mark, np.int32)), pa.array(n[mark::2][some])]
+                kept.append(pa.table(its, names=["word", "held", "n"]))
+            if sum(map(len, kept)) > 500_000:
+                kept[:] = [folded()]
+                if len(kept[0]) > 250_000:
+                    yield from kept.pop().to_batches()
+    if kept:
+        yield from folded().to_batches()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -439,15 +488,25 @@ def vocabulary(counts: DataFrame, top: int = TOP) -> Broadcast:
     return counts.sparkSession.sparkContext.broadcast(Vocabulary(known, counted, total.n, total.v, n, v))
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, list, list[bytes]]]:
-    """Ids, marks and texts of a batch in blocks of BLOCK bytes of text, or one row. The longest texts of a block come first: it
+def _cut(texts: pa.Array) -> Iterator[range]:
+    """Rows of blocks of BLOCK bytes of text, or one row."""
+    block = np.cumsum(_sizes(texts)) // BLOCK
+    bounds = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(texts)]
+    return (range(a, b) for a, b in zip(bounds, bounds[1:]) if a < b)
+
+
+def _sizes(texts: pa.Array) -> np.ndarray:
+    return pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, list, pa.Array]]:
+    """Ids, marks and texts of a batch in blocks. The longest texts of a block come first: it
     is read by many streams side by side, and the last ones then end at about the same time."""
-    sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
-    block = np.cumsum(sizes) // BLOCK
-    for k in np.unique(block).tolist():
-        rows = np.flatnonzero(block == k)
-        part = batch.take(pa.array(rows[np.argsort(-sizes[rows], kind="stable")]))
-        yield tuple(part.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))
+    sizes = _sizes(batch.column("text"))
+    for rows in _cut(batch.column("text")):
+        order = rows.start + np.argsort(-sizes[rows.start : rows.stop], kind="stable")
+        part = batch.take(pa.array(order))
+        yield part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), part.column("text")
 
 
 def _scorer(vocabulary: Broadcast, parameters: Broadcast):
@@ -465,34 +524,27 @@ def _scorer(vocabulary: Broadcast, parameters: Broadcast):
                 for ids, held, texts in _blocks(batch):
                     yield from encoded(ids, held, texts)
 
-        def encoded(ids: list, held: list, texts: list[bytes]) -> Iterator[tuple]:
-            tokens: list[bytes] = []
-            lengths = np.zeros(len(texts), np.int64)
-            for i, text in enumerate(texts):
-                before = len(tokens)
-                tokens.extend(words(text))
-                tokens.append(END)
-                lengths[i] = len(tokens) - before
-            ends = np.cumsum(lengths)
-            starts = ends - lengths
-            at, x, cls, word, again, rare = vocab.encode(tokens, starts)
+        def encoded(ids: list, held: list, texts: pa.Array) -> Iterator[tuple]:
+            codes, x, cls, word, again, distinct, at, rare, starts = vocab.encode(texts)
+            lengths = np.diff(np.r_[starts, len(codes)])
             known = at >= 0
             counted = np.where(known, log_count[at], 0.0)
-            base = np.add.reduceat(counted, starts) - out_of * lengths
-            by_class = (at >= _MODEL_WORDS) & ~again
-            by_hash = ~known & ~again
-            part = np.add.reduceat(np.where(by_class, counted, 0.0) - np.where(by_class | by_hash, vocab.rare_log[rare], 0.0), starts)
-            n_known = np.add.reduceat(known & (vocab.counts[at] > 0), starts, dtype=np.int64)
-            unknown = np.flatnonzero(~known)
-            cuts = np.searchsorted(unknown, np.r_[starts, len(tokens)]).tolist()
+            part = np.where(at >= _MODEL_WORDS, counted, 0.0) - np.where((at >= 0) & (at < _MODEL_WORDS), 0.0, vocab.rare_log[rare])
+            base = np.add.reduceat(counted[codes], starts) - out_of * lengths
+            part = np.add.reduceat(np.where(again, 0.0, part[codes]), starts)
+            n_known = np.add.reduceat((known & (vocab.counts[at] > 0))[codes], starts, dtype=np.int64)
+            # Words whose counts are to be joined: one entry for each in a text, with how often it is there.
+            unknown = np.flatnonzero(~known[codes])
+            doc = np.searchsorted(starts, unknown, side="right") - 1
+            pairs, of = np.unique(doc * len(distinct) + codes[unknown], return_inverse=True)
+            found = distinct.take(pa.array(pairs % len(distinct))).to_pylist()
+            ns = np.bincount(of, minlength=len(pairs)).tolist()
+            fresh = np.bincount(of, weights=~again[unknown], minlength=len(pairs)).astype(np.int64).tolist()
+            cuts = np.searchsorted(pairs, np.arange(len(starts) + 1) * len(distinct)).tolist()
             rows = zip(ids, held, lengths.tolist(), n_known.tolist(), base.tolist(), part.tolist(), strict=True)
-            for i, (row, start, end) in enumerate(zip(rows, starts.tolist(), ends.tolist(), strict=True)):
-                all_, fresh = Counter(), Counter()
-                for k in unknown[cuts[i] : cuts[i + 1]].tolist():
-                    all_[tokens[k]] += 1
-                    if not again[k]:
-                        fresh[tokens[k]] += 1
-                yield [*row, list(all_), list(all_.values()), [fresh[w] for w in all_]], x[start:end], cls[start:end], word[start:end]
+            for i, (row, start, size) in enumerate(zip(rows, starts.tolist(), lengths.tolist(), strict=True)):
+                its, own = slice(cuts[i], cuts[i + 1]), slice(start, start + size)
+                yield [*row, found[its], ns[its], fresh[its]], x[own], cls[own], word[own]
 
         def out() -> pa.RecordBatch:
             rows = [ready.popleft() for _ in range(len(ready))]
