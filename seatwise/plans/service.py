@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatwise.functions.columns import (
@@ -17,6 +20,8 @@ from seatwise.functions.columns import (
 from seatwise.operators.joins import ordered
 from seatwise.operators.keys import assign_ids
 
+# Lines of a dish that go to a cook together, and the rows of a cook and preparation time that one range may hold.
+PACK, GROUP = 256, 1 << 17
 _DISH = ["dish_id", "name", "description", "prep_s", "price"]
 
 
@@ -109,24 +114,84 @@ def customer_orders(
     )
 
 
+def _coded(key: str) -> Column:
+    """A line in one number: order, line, quantity and day, of which the lowest 31, 8, 8 and 16 bits are kept."""
+    day = F.unix_date(F.col("requested").cast("date")).cast("long")
+    code = day.bitwiseAND(0xFFFF)
+    for name, bits, at in (("qty", 0xFF, 16), (key, 0xFF, 24), ("order_id", 0x7FFFFFFF, 32)):
+        code = code.bitwiseOR(F.shiftleft(F.col(name).cast("long").bitwiseAND(bits), at))
+    return code
+
+
+def _decoded(code: Column, key: str, types: dict) -> dict[str, Column]:
+    """What ``_coded`` kept. A line that differs from it does not fit into a number."""
+    part = lambda at, bits: F.shiftright(code, at).bitwiseAND(bits)
+    day = F.date_from_unix_date(code.bitwiseAND(0xFFFF).cast("int"))
+    of = {"requested": day, "order_id": part(32, 0x7FFFFFFF), key: part(24, 0xFF), "qty": part(16, 0xFF)}
+    return {name: c.cast(types[name]) for name, c in of.items()}
+
+
+def _either(code: Column, wide: Column, key: str, types: dict) -> dict[str, Column]:
+    """The columns of a line that is a number or, where it does not fit, a struct."""
+    return {name: F.when(code.isNotNull(), c).otherwise(wide[name]) for name, c in _decoded(code, key, types).items()}
+
+
 def kitchen_queue(
     lines: DataFrame, dishes: DataFrame, specialties: DataFrame, cook_id: int | None = None
 ) -> DataFrame:
-    """Requested lines that each cook (or one cook) can prepare, longest preparation first."""
+    """Requested lines that each cook (or one cook) can prepare, longest preparation first.
+
+    The lines of a dish go to its cooks together, in packs of about ``PACK`` lines, so that what all lines of a dish share is
+    shuffled once for a cook, and small numbers take few bytes (``_coded``). Ranges are cut between cooks and preparation
+    times; lines are taken out and sorted within them. Lines of a cook and time that are more than ``GROUP`` go one by
+    one, so that ranges are also cut between them.
+    """
     if cook_id is not None:
         specialties = specialties.filter(F.col("cook_id") == cook_id)
-    pending = lines.filter(F.col("status") == REQUESTED).select(
-        "order_id", *_line_key(lines), "dish_id", "qty", "requested"
-    )
-    rows = _lines_with_dish(pending, dishes).join(
-        specialties.select("cook_id", "dish_id"), "dish_id"
-    )
-    return ordered(
-        rows.select(
-            "cook_id", "order_id", *_line_key(lines), "dish", "prep_s", "qty", "requested"
-        ),
-        "cook_id", "-prep_s", "requested", "order_id", *_line_key(lines),
-    )
+    key = _line_key(lines)
+    order = ["requested", "order_id", *key]
+    kept = [*order, "qty"]
+    types = {c: lines.schema[c].dataType for c in kept}
+    pending = lines.filter(F.col("status") == REQUESTED).select("dish_id", *kept)
+    pairs = specialties.select("cook_id", "dish_id")
+    named = dishes.select("dish_id", F.col("name").alias("dish"), "prep_s")
+    # Broadcast: at most a row for every PACK lines, and one for every GROUP rows of the result.
+    counts = pending.groupBy("dish_id").agg(F.count("*").alias("_n"))
+    many = counts.filter(F.col("_n") > PACK).select(F.col("dish_id").alias("_many"), F.ceil(F.col("_n") / PACK).alias("_packs"))
+    crowds = pairs.join(counts, "dish_id").join(named.select("dish_id", "prep_s"), "dish_id").groupBy(
+        F.col("cook_id").alias("_cook"), F.col("prep_s").alias("_prep")).agg(F.sum("_n").alias("_rows"))
+    crowds = F.broadcast(crowds.filter(F.col("_rows") > GROUP))
+
+    code = _coded(key[0])
+    fits = reduce(and_, [c.eqNullSafe(F.col(name)) for name, c in _decoded(F.col("_code"), key[0], types).items()])
+    packs = pending.join(F.broadcast(many), F.col("dish_id") == F.col("_many"), "left").select(
+        "dish_id", *kept, F.coalesce(F.pmod(F.xxhash64(*kept), "_packs"), F.lit(0)).alias("_part"), code.alias("_code"))
+    packs = packs.withColumn("_code", F.when(fits, F.col("_code")))
+    packs = packs.groupBy("dish_id", "_part", F.col("_code").isNull().alias("_odd")).agg(
+        F.collect_list("_code").alias("_codes"),
+        F.collect_list(F.when(F.col("_code").isNull(), F.struct(*kept))).alias("_wide"))
+
+    rows = packs.select("dish_id", "_codes", "_wide").join(named, "dish_id").join(pairs, "dish_id")
+    rows = rows.join(crowds, F.col("cook_id").eqNullSafe(F.col("_cook")) & F.col("prep_s").eqNullSafe(F.col("_prep")), "left")
+    alone = F.col("_rows").isNotNull().alias("_alone")
+
+    def cut(name: str) -> Column:
+        """The pack as a whole, or each of its lines as a pack."""
+        return F.when(F.col("_alone"), F.transform(name, lambda x: F.array(x))).otherwise(F.array(name)).alias(name)
+
+    packed = ["cook_id", "dish", "prep_s", "_codes", "_wide"]
+    rows = rows.select(*packed, alone).select("cook_id", "dish", "prep_s", "_alone", F.inline(F.arrays_zip(cut("_codes"), cut("_wide"))))
+    first = _either(F.get("_codes", F.lit(0)), F.get("_wide", F.lit(0)), key[0], types)
+    rows = rows.select(*packed, *[F.when(F.col("_alone"), first[c]).alias(f"_{c}") for c in order])
+    by = [F.asc_nulls_last("cook_id"), F.desc_nulls_first("prep_s")]
+    rows = rows.repartitionByRange(*by, *[F.asc_nulls_last(f"_{c}") for c in order])
+
+    empty = [F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c) for c in packed[3:]]
+    rows = rows.select("cook_id", "dish", "prep_s", F.inline(F.arrays_zip(*empty)))
+    line = _either(F.col("_codes"), F.col("_wide"), key[0], types)
+    rows = rows.select("cook_id", *[line[c].alias(c) for c in ("order_id", *key)], "dish", "prep_s",
+                       line["qty"].alias("qty"), line["requested"].alias("requested"))
+    return rows.sortWithinPartitions(*by, *[F.asc_nulls_last(c) for c in order])
 
 
 def kitchen_next(lines: DataFrame, dishes: DataFrame, specialties: DataFrame) -> DataFrame:
