@@ -355,7 +355,7 @@ def _train(network: Network, docs: Iterator[tuple], rate: float, passes: int = 1
 def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple]:
     for batch in batches:
         texts = batch.column("text")
-        for rows in _cut(texts):
+        for rows in _cut(_sizes(texts)):
             _, x, cls, word, _, _, _, _, starts = vocabulary.encode(texts.slice(rows.start, len(rows)))
             bounds = [*starts.tolist(), len(x)]
             for low, high in zip(bounds, bounds[1:]):
@@ -431,7 +431,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
         held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64)
-        for rows in _cut(texts):
+        for rows in _cut(_sizes(texts)):
             codes, distinct, starts = _tokens(texts.slice(rows.start, len(rows)))
             of = np.repeat(held[rows.start : rows.stop], np.diff(np.r_[starts, len(codes)]))
             n = np.bincount(codes * 2 + of, minlength=2 * len(distinct))
@@ -488,10 +488,10 @@ def vocabulary(counts: DataFrame, top: int = TOP) -> Broadcast:
     return counts.sparkSession.sparkContext.broadcast(Vocabulary(known, counted, total.n, total.v, n, v))
 
 
-def _cut(texts: pa.Array) -> Iterator[range]:
+def _cut(sizes: np.ndarray) -> Iterator[range]:
     """Rows of blocks of BLOCK bytes of text, or one row."""
-    block = np.cumsum(_sizes(texts)) // BLOCK
-    bounds = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(texts)]
+    block = np.cumsum(sizes) // BLOCK
+    bounds = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(sizes)]
     return (range(a, b) for a, b in zip(bounds, bounds[1:]) if a < b)
 
 
@@ -500,12 +500,12 @@ def _sizes(texts: pa.Array) -> np.ndarray:
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, list, pa.Array]]:
-    """Ids, marks and texts of a batch in blocks. The longest texts of a block come first: it
+    """Ids, marks and texts of a batch in blocks. The longest texts of the batch come first: it
     is read by many streams side by side, and the last ones then end at about the same time."""
     sizes = _sizes(batch.column("text"))
-    for rows in _cut(batch.column("text")):
-        order = rows.start + np.argsort(-sizes[rows.start : rows.stop], kind="stable")
-        part = batch.take(pa.array(order))
+    order = np.argsort(-sizes, kind="stable")
+    for rows in _cut(sizes[order]):
+        part = batch.take(pa.array(order[rows.start : rows.stop]))
         yield part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), part.column("text")
 
 

@@ -188,3 +188,13 @@ def test_tokens_are_the_words_and_an_end():
     assert [tokens[a:b] for a, b in zip(bounds, bounds[1:])] == [[*common.words(t), lm.END] for t in odd]
     assert len(set(distinct.to_pylist())) == len(distinct)
     assert [len(part) for part in lm._tokens(texts.slice(0, 0))] == [0, 1, 0]
+
+
+def test_longest_texts_of_a_batch_come_first(monkeypatch):
+    """In all blocks together: a long text that begins in the last block is read on alone."""
+    monkeypatch.setattr(lm, "BLOCK", 40)
+    texts = [b"x" * n for n in (3, 50, 0, 12, 30, 12, 60, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array([False] * 8), pa.array(texts)], ["doc_id", "held_out", "text"])
+    blocks = list(lm._blocks(batch))
+    assert [i for ids, _, _ in blocks for i in ids] == [6, 1, 4, 3, 5, 0, 7, 2] and len(blocks) > 2
+    assert all(t.to_pylist() == [texts[i] for i in ids] for ids, _, t in blocks)
